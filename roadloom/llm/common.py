@@ -68,3 +68,63 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def byte_table(seed: int) -> np.ndarray:
     """256 pseudo-random odd 64-bit values made from the seed."""
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def row_groups(batches, keys: int):
+    """The rows of sorted batches, group by group of equal values in the first ``keys`` columns, as Arrow tables.
+
+    Only one group at a time is held together.
+    """
+    import pyarrow as pa
+
+    held, held_key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for column in columns:
+            new[1:] |= column[1:] != column[:-1]
+        starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for start, end in zip(starts, starts[1:]):
+            key = tuple(c[start] for c in columns)
+            if held and key != held_key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            held_key = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """node, root: every node of edges (a, b) with the least node that it is connected with.
+
+    Alternates between tying larger neighbours and tying smaller neighbours to a node's least neighbour, which
+    halves distances; each round is a written table. Minima combine before they shuffle, and the joins may
+    split a node that very many edges touch.
+    """
+    from pyspark.sql import functions as F
+
+    def tie(pairs: DataFrame) -> DataFrame:
+        """(v, least of u and its neighbours v) for every pair (u, v)."""
+        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+        return pairs.join(least, F.col("u") == F.col("_u")).select("u", "v", "m")
+
+    current, before, turn = edges.select("a", "b").filter("a <> b"), None, 0
+    while True:
+        both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        large = tie(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        tied = tie(large)
+        small = tied.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(tied.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        written = scratch.write(small.distinct(), f"{name}-{turn}")
+        state = written.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if before is not None:
+            scratch.drop(f"{name}-{turn - 1}")
+        if state == before:
+            return written.select(F.col("a").alias("node"), F.col("b").alias("root")).union(written.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        current, before, turn = written, state, turn + 1
