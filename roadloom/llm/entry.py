@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import fingerprints, language_id, packing, pieces, quality_rules
+from roadloom.llm import fingerprints, jaccard_join, language_id, packing, pieces, quality_rules, suffix_dedup
 from roadloom.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(documents(spark, sf_dir, "doc_id", "text"), _tokenizer("piece_bpe_32k.model"))
 
@@ -36,8 +40,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.learn_and_identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op6_sentencepiece, op7_quality_rules, op8_fingerprints, op9_language_id)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_suffix_dedup, op6_sentencepiece, op7_quality_rules, op8_fingerprints, op9_language_id, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
