@@ -74,6 +74,17 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of a few numbers that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table for the small side of a join: broadcast if its counted rows are few, else left to shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def row_groups(batches, keys: int):
     """The rows of sorted batches, group by group of equal values in the first ``keys`` columns, as Arrow tables.
 

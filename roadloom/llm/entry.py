@@ -6,26 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import fingerprints, jaccard_join, language_id, packing, pieces, quality_rules, suffix_dedup
+from roadloom.llm import fingerprints, jaccard_join, language_id, licenses, packing, pieces, pii, quality_rules, suffix_dedup, tool_calls
 from roadloom.llm.common import documents
 
+#: For the queries on invented data; a real corpus takes a key of its own from a secret store.
+PSEUDONYM_KEY = "roadloom example key"
 
-def _tokenizer(name: str) -> str:
+
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir, "doc_id", "text"), PSEUDONYM_KEY, count="n_pseudonyms")
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return tool_calls.link_tool_calls(*tool_calls.turns_as_calls(turns), tool_calls.turn_schemas(spark))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encoded_digests(documents(spark, sf_dir, "doc_id", "text"), _tokenizer("piece_bpe_32k.model"))
+    return pieces.encoded_digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +61,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_suffix_dedup, op6_sentencepiece, op7_quality_rules, op8_fingerprints, op9_language_id, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_tool_calls, op3_best_fit_packing, op4_suffix_dedup, op5_license_scan, op6_sentencepiece, op7_quality_rules, op8_fingerprints, op9_language_id, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_tool_calls": tool_calls.TURNS_SQL, "op5_license_scan": licenses.scan_sql()}

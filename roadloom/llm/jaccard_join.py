@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, byte_table, components, mix64, row_groups, shuffle_parts, utf8_batch
+from roadloom.llm.common import Scratch, byte_table, components, mix64, row_groups, shuffle_parts, small_side, utf8_batch
 
 WORDS, PERCENT = 3, 90
 #: Subparts of a part, and how many of them similar sets may disagree on.
@@ -151,6 +151,31 @@ def set_hash(elements: np.ndarray) -> int:
     return int(mix64(mix64(elements).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(elements))).view(np.int64)[0])
 
 
+def _pack(sig: np.ndarray, owner: np.ndarray, nodes: np.ndarray) -> bytes:
+    """Signatures of one bucket (its number is part of them, so 32 bits more tell them apart) with their nodes."""
+    import zstandard
+
+    own = np.unique(owner)
+    step = np.diff(np.searchsorted(own, owner), prepend=0).astype(np.uint8)  # 0 or 1, as owners follow each other
+    return np.array([len(sig), len(own)], np.int64).tobytes() + nodes[own].tobytes() + sig.astype(np.uint32).tobytes() + zstandard.ZstdCompressor(level=1).compress(step.tobytes())
+
+
+def _unpack(blobs: list[bytes]) -> np.ndarray:
+    """Rows of signature and node."""
+    import zstandard
+
+    out = []
+    for blob in blobs:
+        n, own = np.frombuffer(blob, np.int64, 2).tolist()
+        nodes = np.frombuffer(blob, np.uint64, own, 16)
+        table = np.empty((n, 2), np.uint64)
+        table[:, 0] = np.frombuffer(blob, np.uint32, n, 16 + 8 * own)
+        step = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[16 + 8 * own + 4 * n :]), np.uint8)
+        table[:, 1] = nodes[np.cumsum(step, dtype=np.int64)]
+        out.append(table)
+    return np.concatenate(out)
+
+
 def _signed(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
     """Rows of two kinds: doc_id, n, node, sketch of each document; signatures and nodes packed by bucket."""
     names = ["bucket", "doc_id", "n", "node", "sketch", "payload"]
@@ -160,13 +185,13 @@ def _signed(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFram
 
         def packed() -> pa.RecordBatch:
             sig = np.concatenate([s for s, _ in held])
-            node = np.repeat(np.array([n for _, n in held], np.int64), [len(s) for s, _ in held])
+            owner = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
+            nodes = np.array([n for _, n in held], np.int64)
             bucket = (sig >> np.uint64(32)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
-            table = np.empty((len(sig), 2), np.uint64)
-            table[:, 0], table[:, 1] = sig[order], node[order].view(np.uint64)
+            sig, owner = sig[order], owner[order]
             there, start = np.unique(bucket[order], return_index=True)
-            blobs = [table[a:b].tobytes() for a, b in zip(start, [*start[1:], len(sig)])]
+            blobs = [_pack(sig[a:b], owner[a:b], nodes) for a, b in zip(start, [*start[1:], len(sig)])]
             none = [None] * len(there)
             return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(blobs, pa.binary())], names=names)
 
@@ -196,6 +221,29 @@ def _signed(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, doc_id long, n long, node long, sketch binary, payload binary")
 
 
+def _shared(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """node, name of its group, size of the group, for every group of nodes that share a signature."""
+    # most signatures are unique: only the others are sorted with their nodes
+    order = np.argsort(table[:, 0], kind="stable")
+    sig = table[order, 0]
+    again = np.r_[False, sig[1:] == sig[:-1]]
+    table = table[order[again | np.r_[again[1:], False]]]
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    new = np.ones(len(table), bool)
+    new[1:] = (table[1:] != table[:-1]).any(1)
+    table = table[new]
+    if not len(table):
+        return (np.zeros(0, np.int64),) * 3
+    start = np.flatnonzero(np.r_[True, table[1:, 0] != table[:-1, 0]])
+    size = np.diff(np.r_[start, len(table)])
+    group = np.add.reduceat(mix64(table[:, 1]), start) + size.astype(np.uint64)
+    pick = np.zeros(len(start), bool)
+    pick[np.unique(group, return_index=True)[1]] = True
+    pick &= size > 1
+    rows = np.repeat(pick, size)
+    return table[rows, 1].view(np.int64), np.repeat(group, size)[rows].view(np.int64), np.repeat(size, size)[rows]
+
+
 def _meeting(signed: DataFrame) -> DataFrame:
     """The document rows as they are, and (grp, size, node) for each group of sets that share a signature.
 
@@ -204,41 +252,21 @@ def _meeting(signed: DataFrame) -> DataFrame:
     names = ["doc_id", "n", "node", "sketch", "grp", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
             documents = batch.filter(batch.column(5).is_null())
             if documents.num_rows:
                 none = pa.array([None] * documents.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([*documents.columns[1:5], none, none], names=names)
-            held += [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in batch.column(5).drop_null().to_pylist()]
-        if not held:
-            return
-        table = np.concatenate(held)
-        held.clear()
-        # most signatures are unique: only the others are sorted with their nodes
-        order = np.argsort(table[:, 0], kind="stable")
-        sig = table[order, 0]
-        again = np.r_[False, sig[1:] == sig[:-1]]
-        table = table[order[again | np.r_[again[1:], False]]]
-        table = table[np.lexsort((table[:, 1], table[:, 0]))]
-        new = np.ones(len(table), bool)
-        new[1:] = (table[1:] != table[:-1]).any(1)
-        table = table[new]
-        if not len(table):
-            return
-        start = np.flatnonzero(np.r_[True, table[1:, 0] != table[:-1, 0]])
-        size = np.diff(np.r_[start, len(table)])
-        group = np.add.reduceat(mix64(table[:, 1]), start) + size.astype(np.uint64)
-        _, first = np.unique(group, return_index=True)
-        pick = np.zeros(len(start), bool)
-        pick[first] = True
-        pick &= size > 1
-        rows = np.repeat(pick, size)
-        node, grp, sizes = table[rows, 1].view(np.int64), np.repeat(group, size)[rows].view(np.int64), np.repeat(size, size)[rows]
-        for at in range(0, len(node), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            none = [None] * len(node[part])
-            yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(node[part]), pa.array(none, pa.binary()), pa.array(grp[part]), pa.array(sizes[part])], names=names)
+            packed = batch.filter(batch.column(5).is_valid())
+            for bucket, blob in zip(packed.column(0).to_pylist(), packed.column(5).to_pylist()):
+                held.setdefault(bucket, []).append(blob)
+        while held:
+            node, grp, size = _shared(_unpack(held.popitem()[1]))
+            for at in range(0, len(node), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                none = [None] * len(node[part])
+                yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(node[part]), pa.array(none, pa.binary()), pa.array(grp[part]), pa.array(size[part])], names=names)
 
     parts = shuffle_parts(signed.sparkSession)
     return signed.repartition(parts, "bucket").mapInArrow(run, "doc_id long, n long, node long, sketch binary, grp long, size long")
@@ -314,11 +342,26 @@ def _search(rows: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs but one document of each component: the one with the least doc_id.
+
+    Rows with one doc_id and one text, blanks and case aside, are one document.
+    """
+    ids = link_documents(docs, words, percent).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = small_side(Scratch(docs.sparkSession).write(ids, "gone"))
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    # an identifier given more than once is rare: only those rows are compared
+    again = small_side(Scratch(docs.sparkSession).write(docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).filter("n > 1").select("_again"), "again"))
+    marked = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")))
+    twins = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").withColumn("_text", marked).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti").unionByName(twins)
+
+
 def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     scratch, parts = Scratch(spark), shuffle_parts(spark)
-    met = scratch.write(_meeting(_signed(docs, words, percent, 4 * parts)), "met")
+    met = scratch.write(_meeting(_signed(docs, words, percent, 2 * parts)), "met")
     documents = met.filter("n is not null").select("doc_id", "n", "node", "sketch")
     groups = met.filter("grp is not null").select("grp", "size", "node").distinct()
     classes = documents.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("doc_id").alias("least"))
@@ -327,7 +370,7 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     blocks = components(near, scratch, "blocks")
 
     # the sets of the nodes that have a neighbour by sketch, from the texts
-    wanted = blocks.join(classes.select(F.col("node").alias("_node"), "least", "n"), F.col("node") == F.col("_node")).select("node", "root", "least", "n")
+    wanted = small_side(scratch.write(blocks.join(classes.select(F.col("node").alias("_node"), "least", "n"), F.col("node") == F.col("_node")).select("node", "root", "least", "n"), "wanted"))
     texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(wanted, F.col("_doc").eqNullSafe(F.col("least"))).select("node", "root", "n", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

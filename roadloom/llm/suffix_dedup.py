@@ -257,7 +257,7 @@ def _decided(recorded: DataFrame, length: int, most: int) -> DataFrame:
 
 
 def _fetched(joined: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted stretches. joined: key, text, wanted (array of text, start, end, grp, lead, hot).
+    """The bytes of the wanted stretches. joined: key, doc, wanted (array of text, start, end, grp, lead, hot).
 
     Places of hot k-grams are stretches of their own, grouped by their strings; of those with one string, a
     task sends on the first and reports the others as spans (data null).
@@ -272,7 +272,7 @@ def _fetched(joined: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             rows, firsts = [], {}
             keys, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for first, raw, bounds in blocks(batch.column(1)):
+            for first, raw, bounds in blocks(batch.column(1).field(0)):
                 texts = text_hash(_sums(raw), bounds[:-1], bounds[1:]).tolist()
                 data = raw.tobytes()
                 for i, own in enumerate(texts):
@@ -395,7 +395,7 @@ def _repeats(stretches: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(joined: DataFrame, schema: str, made) -> DataFrame:
-    """Applies ``made`` to (key, text bytes, spans) of every document. joined: key, text, gone (array of text, start, end)."""
+    """Applies ``made`` to (key, text bytes, spans) of every document. joined: key, doc, gone (array of text, start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,7 +405,7 @@ def _cut(joined: DataFrame, schema: str, made) -> DataFrame:
             ends = np.cumsum(count)
             fields = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
             rows = []
-            for first, raw, bounds in blocks(batch.column(1)):
+            for first, raw, bounds in blocks(batch.column(1).field(0)):
                 texts = text_hash(_sums(raw), bounds[:-1], bounds[1:])
                 data = raw.tobytes()
                 for i in range(len(bounds) - 1):
@@ -425,23 +425,24 @@ def kept_bytes(data: bytes, start: list[int], end: list[int]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """key, text, gone of every row of docs (doc_id, text): the spans (text hash, start, end) to remove.
+def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, more: tuple[str, ...] = ()) -> DataFrame:
+    """key, doc, gone of every row of docs (doc_id, text): doc has text and the further columns asked for.
 
-    The texts are shuffled by key once; both joins read that exchange.
+    ``gone`` are spans (text hash, start, end) to remove. The texts are shuffled by key once: both joins take
+    all of ``doc``, so they read one exchange.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    decided = Scratch(spark).write(_decided(_recorded(keyed, length, gram, 4 * parts), length, GROUP_RECORDS), "decided")
-    placed = keyed.repartition(parts, "key")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    decided = Scratch(spark).write(_decided(_recorded(keyed.select("key", "text"), length, gram, 4 * parts), length, GROUP_RECORDS), "decided")
+    placed = keyed.select("key", F.struct("text", *more).alias("doc")).repartition(parts, "key")
     item = F.struct("text", "start", "end", "grp", "lead", "hot")
     wanted = decided.filter("grp is not null").groupBy("key").agg(F.collect_list(item).alias("wanted")).withColumnRenamed("key", "_key")
-    texts = placed.join(wanted.hint("shuffle_hash"), F.col("key") == F.col("_key")).select("key", "text", "wanted")
-    more = _repeats(_fetched(texts, length), length)
-    spans = decided.filter("grp is null").select("key", "text", "start", "end").union(more)
+    texts = placed.join(wanted.hint("shuffle_hash"), F.col("key") == F.col("_key")).select("key", "doc", "wanted")
+    later = _repeats(_fetched(texts, length), length)
+    spans = decided.filter("grp is null").select("key", "text", "start", "end").union(later)
     gone = spans.groupBy("key").agg(F.collect_list(F.struct("text", "start", "end")).alias("gone")).withColumnRenamed("key", "_key")
-    return placed.join(gone.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "text", "gone")
+    return placed.join(gone.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "doc", "gone")
 
 
 def _ids(batch: pa.RecordBatch, rows: list[tuple]) -> pa.Array:
@@ -465,10 +466,19 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, text: what stays of every row of docs (doc_id, text). Bytes of a character cut in two are dropped."""
+    """docs with repeated passages taken out of their texts, all other columns as they are.
 
-    def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
-        kept = pa.array([kept_bytes(d, s, e).decode(errors="ignore") for _, d, s, e in rows], pa.string())
-        return pa.RecordBatch.from_arrays([_ids(batch, rows), kept], names=["doc_id", "text"])
+    Bytes of a character cut in two are dropped.
+    """
+    more = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields])
 
-    return _cut(with_spans(docs, length, gram), "doc_id long, text string", made)
+    def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at = pa.array([r[0] for r in rows], pa.int64())
+        columns = {c: batch.column(1).field(c).take(at) for c in more}
+        columns["doc_id"] = _ids(batch, rows)
+        columns["text"] = pa.array([kept_bytes(d, s, e).decode(errors="ignore") for _, d, s, e in rows], pa.string())
+        return pa.RecordBatch.from_arrays([columns[c] for c in docs_columns], names=docs_columns)
+
+    docs_columns = docs.columns
+    return _cut(with_spans(docs, length, gram, more), schema, made)

@@ -78,5 +78,7 @@ def test_one_id_with_several_texts(spark):
 def test_texts_without_repeats(spark):
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefgh é") for _ in range(400))
-    docs = spark.createDataFrame([(1, text), (2, f"before {text} after"), (3, None)], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in S.without_repeats(docs).collect()} == {1: text, 2: "before  after", 3: ""}
+    docs = frame(spark, [(1, text, "en", "a", 5), (2, f"before {text} after", "fr", None, None), (3, None, None, "b", 1)], more=True)
+    got = S.without_repeats(docs)
+    assert got.columns == docs.columns
+    assert {r.doc_id: (r.text, r.lang, r.source, r.n_chars, r.key) for r in got.collect()} == {1: (text, "en", "a", 5, "x"), 2: ("before  after", "fr", None, None, "x"), 3: ("", None, "b", 1, "x")}
