@@ -345,20 +345,37 @@ def _search(rows: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs but one document of each component: the one with the least doc_id.
 
-    Rows with one doc_id and one text, blanks and case aside, are one document.
+    Rows with one doc_id and one set of shingles are one document; other rows with one doc_id stay or go by
+    their own component. Of rows without a doc_id that are linked only with each other, each set stays.
     """
-    ids = link_documents(docs, words, percent).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = small_side(Scratch(docs.sparkSession).write(ids, "gone"))
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    # an identifier given more than once is rare: only those rows are compared
-    again = small_side(Scratch(docs.sparkSession).write(docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).filter("n > 1").select("_again"), "again"))
-    marked = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")))
-    twins = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").withColumn("_text", marked).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti").unionByName(twins)
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.write(_linked(docs, words, percent).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"), F.col("node").alias("_set")).distinct(), "gone")
+    # identifiers that are missing or given more than once are rare: only those rows are told apart by their sets
+    again = small_side(scratch.write(docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1 or _again is null").select("_again"), "again"))
+    plain = docs.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti").join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    twins = _with_node(docs.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi"), words)
+    left = twins.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_node").eqNullSafe(F.col("_set")), "left_anti")
+    return plain.unionByName(left.filter("_node is not null").dropDuplicates(["doc_id", "_node"]).unionByName(left.filter("_node is null")).drop("_node"))
+
+
+def _with_node(docs: DataFrame, words: int) -> DataFrame:
+    """docs with the hash of each text's set as ``_node``, null for an empty set."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [set_hash(s) if len(s) else None for s in shingle_sets(batch.column(at), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "_node"])
+
+    return docs.mapInArrow(run, docs.withColumn("_node", F.lit(None).cast("long")).schema)
 
 
 def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    return _linked(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     scratch, parts = Scratch(spark), shuffle_parts(spark)
     met = scratch.write(_meeting(_signed(docs, words, percent, 2 * parts)), "met")
@@ -389,4 +406,4 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     of_node = named.join(firsts, F.col("root") == F.col("_root")).select(F.col("node").alias("_n"), "first")
     # every class has its least document; those with links have the least of their component
     final = classes.select(F.col("node").alias("_node"), "least").join(of_node, F.col("_node") == F.col("_n"), "left").select("_node", F.coalesce("first", "least").alias("first"))
-    return documents.join(final, F.col("node") == F.col("_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+    return documents.join(final, F.col("node") == F.col("_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("first", "doc_id").alias("component_id"))
