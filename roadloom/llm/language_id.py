@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import mix64, utf8_batch
+from roadloom.llm.common import Scratch, mix64, small_side, utf8_batch
 
 UNKNOWN = "und"
 PER_LANGUAGE = 3000
@@ -111,10 +111,11 @@ class Model:
 
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """lang, text, weigh: about per_language texts of each language to learn from, and half as many to weigh the bits by."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    # a few rows, checked: a join by language alone would shuffle all texts to as many tasks as there are languages
+    counts = small_side(Scratch(labelled.sparkSession).write(labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("n")), "languages"))
     drawn = labelled.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     share = F.col("u") * F.col("n") / per_language
-    joined = drawn.join(counts.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"))
+    joined = drawn.join(counts, F.col("lang") == F.col("_lang"))
     # a language with fewer texts than the bound gives a third of them for the weights
     most = F.least(F.lit(1.5), F.col("n") / F.lit(float(per_language)))
     return joined.filter(share < most).select("lang", "text", (share >= most / 1.5).alias("weigh"))
