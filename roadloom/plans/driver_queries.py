@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo, intervals, parse, text
-from roadloom.operators import clusters, network, poi, publishing, roads, spatial
+from roadloom.operators import clusters, network, payload, poi, publishing, roads, spatial, splits
 from roadloom.streaming import progress
 
 LAT0 = 52.8
@@ -405,6 +405,68 @@ def _cluster_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("ward").cast("string").alias("ward"), F.col("k").alias("ord"), "road", left.alias("residences"), left.alias("size"), ((F.col("k") - start) * 5).cast("double").alias("dist_m"), F.col("lon0").alias("lon"), F.col("lat0").alias("lat"), names.alias("neighbours"))
 
 
+MEMBERS_SQL = f"member AS (SELECT c_nationkey * 10 + c_custkey // 30 % 7 AS cluster, c_custkey AS road, (c_custkey % 60)::INTEGER AS residences FROM customer), link AS (SELECT src, dst FROM pair UNION SELECT dst, src FROM pair), {EDGES_SQL}"
+
+
+def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r, edges = _ward_edges(spark, sf_dir)
+    return r.select((F.col("ward") * 10 + F.floor(F.col("k") / 30) % 7).alias("cluster"), F.col("k").alias("road"), F.col("k").alias("seq"), "residences"), edges
+
+
+@query(f"""WITH {EDGES_SQL}, {MEMBERS_SQL.split(', pair AS')[0]}, e AS (SELECT a.cluster, count(*) AS n FROM pair JOIN member a ON src = a.road JOIN member b ON dst = b.road AND a.cluster = b.cluster GROUP BY 1)
+SELECT m.cluster, count(*) AS roads, coalesce(max(n), 0) AS edges, CASE WHEN coalesce(max(n), 0) >= count(*) THEN 'loop' ELSE 'out-and-back' END AS shape FROM member m LEFT JOIN e ON m.cluster = e.cluster GROUP BY 1""")
+def cluster_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.cluster_shapes(*_members(spark, sf_dir))
+
+
+@query(f"""WITH {EDGES_SQL}, {MEMBERS_SQL.split(', pair AS')[0]}, d AS (SELECT a.cluster, a.road, count(*) AS n FROM link JOIN member a ON src = a.road JOIN member b ON dst = b.road AND a.cluster = b.cluster GROUP BY 1, 2)
+SELECT m.cluster, m.road AS parking FROM member m LEFT JOIN d ON m.cluster = d.cluster AND m.road = d.road QUALIFY row_number() OVER (PARTITION BY m.cluster ORDER BY coalesce(n, 0) DESC, residences DESC, m.road) = 1""")
+def parking_road(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.parking_roads(*_members(spark, sf_dir))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's road as a straight line east of 100 metres and more, positions in metres."""
+    c = table(spark, sf_dir, "customer", "c_custkey").withColumn("idx", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    pos = F.col("idx") * (F.lit(50.0) + (F.col("c_custkey") % 100).cast("double"))
+    return c.select(F.col("c_custkey").alias("road"), F.lit(0).alias("frag"), "idx", (F.lit(-2.0) + pos / 1000.0).alias("lon"), F.lit(52.0).alias("lat"), pos.alias("pos"))
+
+
+@query("""WITH r AS (SELECT c_custkey AS road, 2e0 * (5e1 + (c_custkey % 100)::DOUBLE) AS len, (c_custkey % 37)::DOUBLE AS a FROM customer),
+f AS (SELECT road, 0e0 AS a, a AS b FROM r WHERE a >= 5 UNION ALL SELECT road, a + 4e1, len FROM r WHERE len - a - 4e1 >= 5)
+SELECT road, round(a, 3) AS a, round(b, 3) AS b, round(-2e0 + a / 1e3, 6) AS lon_a, round(-2e0 + b / 1e3, 6) AS lon_b FROM f""")
+def remaining_subpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = (F.col("c_custkey") % 37).cast("double")
+    done = table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("road"), F.lit(0).alias("frag"), a.alias("a"), (a + 40.0).alias("b"))
+    out = splits.remaining_paths(_lines(spark, sf_dir), done)
+    return out.groupBy("road", "part").agg(F.round(F.first("a"), 3).alias("a"), F.round(F.first("b"), 3).alias("b"), F.round(F.min("lon"), 6).alias("lon_a"), F.round(F.max("lon"), 6).alias("lon_b")).drop("part")
+
+
+@query("""WITH r AS (SELECT c_custkey AS road, 2e0 * (5e1 + (c_custkey % 100)::DOUBLE) AS len, ceil((c_custkey % 60)::DOUBLE / 15e0)::INTEGER AS k FROM customer WHERE c_custkey % 60 > 15)
+SELECT road, part::INTEGER AS part, round(part * len / k, 3) AS a, round((part + 1) * len / k, 3) AS b FROM r, range(4) AS p(part) WHERE part < k""")
+def effort_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    needed = grid_roads(spark, sf_dir).select(F.col("k").alias("road"), splits.parts_needed(F.col("residences").cast("double"), 15.0).alias("k")).filter("k >= 2")
+    out = splits.split_evenly(_lines(spark, sf_dir), needed, 52.0)
+    # which end of a straight road the chain begins at is a tie of the two ends' distances: count from the west
+    back = out.join(needed, "road").join(splits.lengths(_lines(spark, sf_dir)), ["road", "frag"])
+    place = F.floor(F.col("a") * F.col("k") / F.col("length_m") + 0.5).cast("int")
+    return back.select("road", place.alias("part"), F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size FROM part WHERE p_size <= 8) SELECT p_partkey, list_extract(['#2a78d6', '#eb6834', '#1baf7a', '#eda100', '#e87ba4', '#008300', '#4a3aa7', '#e34948'], p_size) AS colour FROM p""")
+def route_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part", "p_partkey", "p_size").filter("p_size <= 8")
+    return p.select("p_partkey", payload.route_colour(F.col("p_size") - 1).alias("colour"))
+
+
+@query()
+def export_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = clusters.cluster_roads(_cluster_input(spark, sf_dir))
+    routes = members.groupBy("ward", F.col("cluster").cast("string").alias("route")).agg(F.first("kind").alias("kind"), F.sum("residences").alias("residences")).withColumn("name", F.concat(F.lit("Route "), "route"))
+    roads_of = members.join(grid_roads(spark, sf_dir).select("road", "status", F.array(geo.point(F.col("lon0"), F.col("lat0")), geo.point(F.col("lon0") + 0.002, F.col("lat0"))).alias("points")), "road")
+    return payload.exported(routes, roads_of.select("ward", F.col("cluster").cast("string").alias("route"), "seq", F.col("road").alias("street"), "status", "residences", "points"))
+
+
 @query()
 def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_roads(_cluster_input(spark, sf_dir))
