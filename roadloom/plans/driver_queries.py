@@ -127,7 +127,8 @@ def event_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MERGED_SQL = f"""{RANGES_SQL}, o AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rng),
-n AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM o),
+f AS (SELECT *, CASE WHEN reach IS NULL OR a > reach + 1e-9 THEN 1 ELSE 0 END AS new FROM o),
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY a, b, new DESC ROWS UNBOUNDED PRECEDING) AS i FROM f),
 m AS (SELECT user_id, min(a) AS a, max(b) AS b FROM n GROUP BY user_id, i)"""
 
 
@@ -167,7 +168,7 @@ def close_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT l_suppkey AS road, (l_orderkey * 131 % 20011)::DOUBLE AS pos, 2e4 AS len FROM lineitem WHERE l_orderkey % 20 = 0),
 o AS (SELECT *, CASE WHEN coalesce(pos - lag(pos) OVER (PARTITION BY road ORDER BY pos), 251e0) > 25e1 THEN 1 ELSE 0 END AS n FROM p),
-i AS (SELECT *, sum(n) OVER (PARTITION BY road ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM o),
+i AS (SELECT *, sum(n) OVER (PARTITION BY road ORDER BY pos, n DESC ROWS UNBOUNDED PRECEDING) AS island FROM o),
 s AS (SELECT road, island::BIGINT AS island, greatest(min(pos) - 3e1, 0e0) AS from_m, least(max(pos) + 3e1, max(len)) AS to_m, count(*) AS homes FROM i GROUP BY road, island)
 SELECT * FROM s WHERE to_m - from_m > 1""")
 def home_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
