@@ -433,9 +433,10 @@ def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, more: tu
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), *more)
-    decided = Scratch(spark).write(_decided(_recorded(keyed.select("key", "text"), length, gram, 4 * parts), length, GROUP_RECORDS), "decided")
-    placed = keyed.select("key", F.struct("text", *more).alias("doc")).repartition(parts, "key")
+    # further columns stay inside ``doc``, so that their names clash with none of these
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.struct(F.coalesce("text", F.lit("")).alias("text"), *more).alias("doc"))
+    decided = Scratch(spark).write(_decided(_recorded(keyed.select("key", "doc.text"), length, gram, 4 * parts), length, GROUP_RECORDS), "decided")
+    placed = keyed.repartition(parts, "key")
     item = F.struct("text", "start", "end", "grp", "lead", "hot")
     wanted = decided.filter("grp is not null").groupBy("key").agg(F.collect_list(item).alias("wanted")).withColumnRenamed("key", "_key")
     texts = placed.join(wanted.hint("shuffle_hash"), F.col("key") == F.col("_key")).select("key", "doc", "wanted")
