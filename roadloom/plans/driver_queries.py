@@ -116,14 +116,14 @@ def effort_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_custkey", F.round(geo.effort_weight(F.col("homes"), F.col("len")), 6).alias("effort_weight"))
 
 
-#: Ranges of each user: from events' hours of the month.
-RANGES_SQL = "rng AS (SELECT user_id, (event_id % 100)::DOUBLE / 1e2 AS a, (event_id % 100)::DOUBLE / 1e2 + (event_id % 7)::DOUBLE / 5e2 AS b FROM events WHERE event_id % 5 < 2)"
+#: Ranges of each user, one for each event.
+RANGES_SQL = "rng AS (SELECT user_id, (event_id % 1000)::DOUBLE / 1e3 AS a, (event_id % 1000)::DOUBLE / 1e3 + (event_id % 7)::DOUBLE / 1e3 AS b FROM events)"
 
 
 def event_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events", "event_id", "user_id").filter("event_id % 5 < 2")
-    a = (F.col("event_id") % 100).cast("double") / 100.0
-    return e.select("user_id", a.alias("a"), (a + (F.col("event_id") % 7).cast("double") / 500.0).alias("b"))
+    e = table(spark, sf_dir, "events", "event_id", "user_id")
+    a = (F.col("event_id") % 1000).cast("double") / 1000.0
+    return e.select("user_id", a.alias("a"), (a + (F.col("event_id") % 7).cast("double") / 1000.0).alias("b"))
 
 
 MERGED_SQL = f"""{RANGES_SQL}, o AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rng),
@@ -166,14 +166,14 @@ def close_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.round("x.a", 6).alias("a"), F.round("x.b", 6).alias("b"))
 
 
-@query("""WITH p AS (SELECT l_suppkey AS road, (l_orderkey * 131 % 20011)::DOUBLE AS pos, 2e4 AS len FROM lineitem WHERE l_orderkey % 20 = 0),
+@query("""WITH p AS (SELECT l_suppkey AS road, (l_orderkey * 131 % 2000003)::DOUBLE AS pos, 2e6 AS len FROM lineitem),
 o AS (SELECT *, CASE WHEN coalesce(pos - lag(pos) OVER (PARTITION BY road ORDER BY pos), 251e0) > 25e1 THEN 1 ELSE 0 END AS n FROM p),
 i AS (SELECT *, sum(n) OVER (PARTITION BY road ORDER BY pos, n DESC ROWS UNBOUNDED PRECEDING) AS island FROM o),
 s AS (SELECT road, island::BIGINT AS island, greatest(min(pos) - 3e1, 0e0) AS from_m, least(max(pos) + 3e1, max(len)) AS to_m, count(*) AS homes FROM i GROUP BY road, island)
 SELECT * FROM s WHERE to_m - from_m > 1""")
 def home_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey").filter("l_orderkey % 20 = 0")
-    return roads.islands(p.select(F.col("l_suppkey").alias("road"), (F.col("l_orderkey") * 131 % 20011).cast("double").alias("pos"), F.lit(20000.0).alias("len")), ("road",), "len")
+    p = table(spark, sf_dir, "lineitem", "l_suppkey", "l_orderkey")
+    return roads.islands(p.select(F.col("l_suppkey").alias("road"), (F.col("l_orderkey") * 131 % 2000003).cast("double").alias("pos"), F.lit(2000000.0).alias("len")), ("road",), "len")
 
 
 O_LON, O_LAT = key_point_sql("o_orderkey")
@@ -222,11 +222,11 @@ def point_to_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.match_homes(_homes(spark, sf_dir), _segments(spark, sf_dir), LAT0).select("pt", "seg", F.round("t", 4).alias("t"), F.round("dist", 3).alias("dist_m"), "far")
 
 
-@query("""WITH p AS (SELECT l_orderkey AS pt, (l_partkey % 40)::DOUBLE / 1e3 AS lon, (l_suppkey % 10)::DOUBLE / 1e3 AS lat FROM lineitem WHERE l_linenumber = 1)
-SELECT pt, lon, lat FROM p QUALIFY count(*) OVER (PARTITION BY round(lon * 1e5)::BIGINT, round(lat * 1e5)::BIGINT) < 35""")
+@query("""WITH p AS (SELECT l_orderkey AS pt, (l_partkey % 40)::DOUBLE / 1e3 AS lon, (l_suppkey % 10)::DOUBLE / 1e3 AS lat FROM lineitem)
+SELECT pt, lon, lat FROM p QUALIFY count(*) OVER (PARTITION BY round(lon * 1e5)::BIGINT, round(lat * 1e5)::BIGINT) < 150""")
 def commercial_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").filter("l_linenumber = 1")
-    return spatial.without_commercial_spots(p.select(F.col("l_orderkey").alias("pt"), ((F.col("l_partkey") % 40).cast("double") / 1000.0).alias("lon"), ((F.col("l_suppkey") % 10).cast("double") / 1000.0).alias("lat")), 35)
+    p = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
+    return spatial.without_commercial_spots(p.select(F.col("l_orderkey").alias("pt"), ((F.col("l_partkey") % 40).cast("double") / 1000.0).alias("lon"), ((F.col("l_suppkey") % 10).cast("double") / 1000.0).alias("lat")))
 
 
 @query("""SELECT lang, count(*) AS docs, count(l.doc_id) AS matched, coalesce(sum(quality), 0)::BIGINT AS good FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang""")
@@ -375,10 +375,11 @@ def road_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("ward").agg(F.count("*").alias("roads"), F.round(F.sum("leftover"), 4).alias("residences_left"), F.count_if(roads.eligible(F.col("status"), F.col("leftover"))).alias("eligible"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey < 26 THEN chr((65 + p_partkey)::INTEGER) WHEN p_partkey < 702 THEN chr((64 + p_partkey // 26)::INTEGER) || chr((65 + p_partkey % 26)::INTEGER)
-  ELSE chr((65 + (p_partkey - 702) // 676)::INTEGER) || chr((65 + ((p_partkey - 702) // 26) % 26)::INTEGER) || chr((65 + p_partkey % 26)::INTEGER) END AS route_id FROM part WHERE p_partkey < 18278""")
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 18278 AS n FROM part)
+SELECT p_partkey, CASE WHEN n < 26 THEN chr((65 + n)::INTEGER) WHEN n < 702 THEN chr((64 + n // 26)::INTEGER) || chr((65 + n % 26)::INTEGER)
+  ELSE chr((65 + (n - 702) // 676)::INTEGER) || chr((65 + ((n - 702) // 26) % 26)::INTEGER) || chr((65 + n % 26)::INTEGER) END AS route_id FROM p""")
 def route_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part", "p_partkey").filter("p_partkey < 18278").select("p_partkey", text.letters_id(F.col("p_partkey")).alias("route_id"))
+    return table(spark, sf_dir, "part", "p_partkey").select("p_partkey", text.letters_id(F.col("p_partkey") % 18278).alias("route_id"))
 
 
 @query(f"""WITH b AS (SELECT c_custkey AS k, ({metres_sql('0e0', '0e0', '1e-3', '1e-3', '528e-1')}) AS unused, degrees(atan2((((c_custkey * 13) % 200)::DOUBLE - 1e2) * (111320e0 * cos(radians(528e-1))), ((((c_custkey * 29) % 190)::DOUBLE - 95e0) * 110540e0))) + 36e1 AS d FROM customer),
@@ -454,10 +455,9 @@ def effort_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("road", place.alias("part"), F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_size FROM part WHERE p_size <= 8) SELECT p_partkey, list_extract(['#2a78d6', '#eb6834', '#1baf7a', '#eda100', '#e87ba4', '#008300', '#4a3aa7', '#e34948'], p_size) AS colour FROM p""")
+@query("""SELECT p_partkey, list_extract(['#2a78d6', '#eb6834', '#1baf7a', '#eda100', '#e87ba4', '#008300', '#4a3aa7', '#e34948'], p_size % 8 + 1) AS colour FROM part""")
 def route_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part", "p_partkey", "p_size").filter("p_size <= 8")
-    return p.select("p_partkey", payload.route_colour(F.col("p_size") - 1).alias("colour"))
+    return table(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", payload.route_colour(F.col("p_size") % 8).alias("colour"))
 
 
 @query()
