@@ -116,15 +116,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, root: every node of edges (a, b) with the least node that it is connected with.
 
     Alternates between tying larger neighbours and tying smaller neighbours to a node's least neighbour, which
-    halves distances; each round is a written table. Minima combine before they shuffle, and the joins may
-    split a node that very many edges touch.
+    halves distances; each round is a written table. Minima combine before they shuffle, and they meet the pairs
+    by node and salt, so the pairs of a node that very many edges touch are in several tasks.
     """
     from pyspark.sql import functions as F
 
+    salts = 8
+
     def tie(pairs: DataFrame) -> DataFrame:
         """(v, least of u and its neighbours v) for every pair (u, v)."""
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-        return pairs.join(least, F.col("u") == F.col("_u")).select("u", "v", "m")
+        least = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = pairs.withColumn("_t", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+        return salted.join(least, (F.col("u") == F.col("_u")) & (F.col("_t") == F.col("_s"))).select("u", "v", "m")
 
     current, before, turn = edges.select("a", "b").filter("a <> b"), None, 0
     while True:
