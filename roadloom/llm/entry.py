@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import fingerprints, jaccard_join, language_id, licenses, packing, pieces, pii, quality_rules, suffix_dedup, tool_calls
+from roadloom.llm import fingerprints, jaccard_join, language_id, licenses, oracles, packing, pieces, pii, quality_rules, suffix_dedup, tool_calls
 from roadloom.llm.common import documents
 
 #: For the queries on invented data; a real corpus takes a key of its own from a secret store.
@@ -65,4 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_tool_calls": tool_calls.TURNS_SQL, "op5_license_scan": licenses.scan_sql()}
+    return {
+        "op2_tool_calls": tool_calls.TURNS_SQL,
+        "op5_license_scan": licenses.scan_sql(),
+        "op7_quality_rules": oracles.QUALITY_SQL,
+        "op10_jaccard_join": oracles.LINKS_SQL,
+    }
