@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -9,8 +11,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Arrow batches hold whole texts and packed records, so their bytes are bounded besides their rows.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The named columns of the documents table."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
@@ -23,6 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bound_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = tempfile.mkdtemp(prefix="roadloom-")
@@ -70,6 +83,25 @@ def byte_table(seed: int) -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+def lean(run):
+    """A function over Arrow batches that gives freed memory back at the end of its task.
+
+    Workers live on from task to task and from job to job; what their allocators keep would add up.
+    """
+
+    def leaning(batches):
+        yield from run(batches)
+        gc.collect()
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return leaning
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import byte_table, mix64
+from roadloom.llm.common import byte_table, lean, mix64
 
 LEAST, USUAL, MOST = 32, 96, 384
 _HARD, _EASY = np.uint32(0xFE000000), np.uint32(0xF8000000)  # before and after the usual size
@@ -142,4 +142,4 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
             out = [[] for _ in range(7)]
 
-    return sorted_rows.select("place", "guest", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return sorted_rows.select("place", "guest", "doc_id", "text").mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

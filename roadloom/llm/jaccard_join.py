@@ -20,6 +20,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, byte_table, components, mix64, row_groups, shuffle_parts, small_side, utf8_batch
+from roadloom.llm.common import Scratch, byte_table, components, lean, mix64, row_groups, shuffle_parts, small_side, utf8_batch
 
 WORDS, PERCENT = 3, 90
 #: Subparts of a part, and how many of them similar sets may disagree on.
 SUBPARTS, SPARE = 2, 1
 BLOCK = 1 << 20
 GROUP_ROWS, GROUP_BYTES = 4096, 16 << 20
-FLUSH = 2_000_000
+FLUSH = 500_000
 _FACTOR = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -117,27 +118,45 @@ class Bands:
         return self.differing(self.tops[band], self.tops[band])
 
     def sketch_bits(self, band: int) -> int:
-        return 1 << max(8, (12 * self.most(band)).bit_length())
+        return 1 << max(8, (4 * self.most(band)).bit_length())
 
 
-def signatures(elements: np.ndarray, band: int, most: int, subparts: int = SUBPARTS, spare: int = SPARE) -> np.ndarray:
-    """Signatures of a sorted set for pairs of sets up to this band that differ in at most ``most`` elements."""
+def spare_cells(most: int, top: int) -> int:
+    """Cells beyond those that differences can touch, so that light ones need not be signatures (see ``signatures``)."""
+    mean = top / (most + 1)
+    light = most * math.exp(-mean) * (1 + mean)  # cells with less than two elements, if elements fall at random
+    return math.ceil(1.5 * light + 3 * math.sqrt(light)) if most >= 12 else 0
+
+
+def signatures(elements: np.ndarray, band: int, most: int, top: int, subparts: int = SUBPARTS, spare: int = SPARE) -> np.ndarray:
+    """Signatures of a sorted set for pairs of sets of sizes up to ``top`` that differ in at most ``most`` elements.
+
+    Where a signature is a single cell, cells with less than two elements are left out: they are common to many
+    sets that are not similar. Similar sets agree on all cells but ``most``, so with more further cells than a
+    set has light ones they agree on one that is not light. A set with too many light cells signs all.
+    """
     spare = min(spare, most)
     parts = -(-(most + 1) // (spare + 1))
     inner = subparts if spare else 1
+    single = inner - spare <= 1
+    if single:
+        parts = -(-(most + 1 + spare_cells(most, top)) // inner)
     cells = parts * inner
     # elements are hashes, so equal stretches of their range are equal parts of the domain
     edges = (np.arange(1, cells, dtype=np.float64) * (2.0**64 / cells)).astype(np.uint64)
     at = np.r_[0, np.searchsorted(elements, edges), len(elements)]
     sums = np.r_[np.uint64(0), np.cumsum(mix64(elements ^ np.uint64(0x5851F42D4C957F2D)))]
     cell = (sums[at[1:]] - sums[at[:-1]]).reshape(parts, inner)
+    heavy = (np.diff(at) >= 2).reshape(parts, inner)
+    skip = single and int((~heavy).sum()) < cells - most
     out = []
     for number, chosen in enumerate(combinations(range(inner), inner - spare if spare else 1)):
         mixed = cell[:, chosen[0]].copy()
         for c in chosen[1:]:
             mixed = mix64(mixed) + cell[:, c]
         place = np.uint64((band * 64 + number) << 32) + np.arange(parts, dtype=np.uint64)
-        out.append(mix64(mixed ^ mix64(place)))
+        made = mix64(mixed ^ mix64(place))
+        out.append(made[heavy[:, chosen[0]]] if skip else made)
     return np.concatenate(out)
 
 
@@ -207,7 +226,7 @@ def _signed(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFram
                     seen.add(own)
                     band = bands.band(len(elements))
                     sketches[-1] = sketch(elements, bands.sketch_bits(band + 1)).tobytes()
-                    sig = np.concatenate([signatures(elements, b, bands.most(b)) for b in (band, band + 1)])
+                    sig = np.concatenate([signatures(elements, b, bands.most(b), bands.tops[b]) for b in (band, band + 1)])
                     held.append((sig, own))
                     size += len(sig)
             bucket = pa.array([(x or 0) % buckets for x in node], pa.int32())
@@ -218,7 +237,7 @@ def _signed(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFram
         if held:
             yield packed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, doc_id long, n long, node long, sketch binary, payload binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "bucket int, doc_id long, n long, node long, sketch binary, payload binary")
 
 
 def _shared(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,7 +288,7 @@ def _meeting(signed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(node[part]), pa.array(none, pa.binary()), pa.array(grp[part]), pa.array(size[part])], names=names)
 
     parts = shuffle_parts(signed.sparkSession)
-    return signed.repartition(parts, "bucket").mapInArrow(run, "doc_id long, n long, node long, sketch binary, grp long, size long")
+    return signed.repartition(parts, "bucket").mapInArrow(lean(run), "doc_id long, n long, node long, sketch binary, grp long, size long")
 
 
 def _stars(node: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +358,7 @@ def _search(rows: DataFrame, key: str, percent: int, exact: bool) -> DataFrame:
     what = "elements" if exact else "sketch"
     parts = shuffle_parts(rows.sparkSession)
     dealt = rows.select(key, "p", "q", "node", "n", what).repartition(parts, key, "p", "q").sortWithinPartitions(key, "p", "q")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -367,7 +386,7 @@ def _with_node(docs: DataFrame, words: int) -> DataFrame:
             nodes = [set_hash(s) if len(s) else None for s in shingle_sets(batch.column(at), words)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "_node"])
 
-    return docs.mapInArrow(run, docs.withColumn("_node", F.lit(None).cast("long")).schema)
+    return docs.mapInArrow(lean(run), docs.withColumn("_node", F.lit(None).cast("long")).schema)
 
 
 def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -396,8 +415,9 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
             own = np.array([h for _, h in found], np.int64) == batch.column(0).to_numpy()  # one doc_id may stand with other texts
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s for s, _ in found], pa.binary())], names=["node", "root", "n", "elements"]).filter(pa.array(own))
 
-    whole = scratch.write(texts.mapInArrow(sets, "node long, root long, n long, elements binary").dropDuplicates(["node"]), "sets")
-    weights = whole.groupBy("root").agg(F.ceil(F.sum(8 * F.col("n") + 64) / GROUP_BYTES).alias("blocks")).withColumnRenamed("root", "_root")
+    # a row given twice gives its set twice; such twins are near each other, and an edge to oneself is none
+    whole = scratch.write(texts.mapInArrow(lean(sets), "node long, root long, n long, elements binary"), "sets")
+    weights = small_side(scratch.write(whole.groupBy("root").agg(F.ceil(F.sum(8 * F.col("n") + 64) / GROUP_BYTES).alias("blocks")).withColumnRenamed("root", "_root"), "weights"))
     dealt = _blocks(whole.join(weights, F.col("root") == F.col("_root")), "root", F.col("blocks"))
     links = scratch.write(_search(dealt, "root", percent, exact=True), "links")
     linked = components(links, scratch, "linked").select(F.col("node").alias("_n"), "root")

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, mix64, small_side, utf8_batch
+from roadloom.llm.common import Scratch, lean, mix64, small_side, utf8_batch
 
 UNKNOWN = "und"
 PER_LANGUAGE = 3000
@@ -139,7 +139,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(found[at])], names=["lang", "dim", "n"])
 
-    counted = sample.filter("not weigh").select("lang", "text").mapInArrow(count, "lang string, dim long, n long").groupBy("lang", "dim").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("dim").alias("dims"), F.collect_list("n").alias("ns"))
+    counted = sample.filter("not weigh").select("lang", "text").mapInArrow(lean(count), "lang string, dim long, n long").groupBy("lang", "dim").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list("dim").alias("dims"), F.collect_list("n").alias("ns"))
     rows = sorted(counted.collect(), key=lambda r: r.lang)  # at most DIMENSIONS counts of each language
     languages = [r.lang for r in rows]
     table = np.zeros((len(rows), DIMENSIONS))
@@ -168,7 +168,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         bits = np.arange(len(right))
         yield pa.RecordBatch.from_arrays([pa.array(bits), pa.array(right), pa.array(size), pa.array(np.full(len(right), float(n)))], names=["bit", "right", "size", "n"])
 
-    found = sample.filter("weigh").filter(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(weigh, "bit long, right double, size double, n double").groupBy("bit").agg(*(F.sum(c).alias(c) for c in ("right", "size", "n"))).collect()
+    found = sample.filter("weigh").filter(F.col("lang").isin(languages)).select("lang", "text").mapInArrow(lean(weigh), "bit long, right double, size double, n double").groupBy("bit").agg(*(F.sum(c).alias(c) for c in ("right", "size", "n"))).collect()
     for r in found:
         if r.n:
             # a mean margin of usual size counts as log-odds of 4; a bit no better than chance counts for little
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, score = shared.value.predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(score < LEAST_SCORE)], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def learn_and_identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -209,4 +209,4 @@ def keep_identified(docs: DataFrame, least_score: float, per_language: int = PER
             found, score = model.value.predict(batch.column(names.index("text")))
             yield batch.filter(pa.array((np.array(found, object) != UNKNOWN) & (score >= least_score)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch
+from roadloom.llm.common import Scratch, lean
 from roadloom.llm.word_tokens import word_tokens
 
 LIMIT = 4096
@@ -46,7 +46,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, closing_id:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), _PIECES)
 
 
 class _Plan:
@@ -169,4 +169,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, limit: int = LIMIT, closing_
             sequence = run[:, 3] + rank - run[:, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(run[:, 4])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

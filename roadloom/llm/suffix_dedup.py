@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, byte_table, mix64, row_groups, shuffle_parts, utf8_batch
+from roadloom.llm.common import Scratch, byte_table, lean, mix64, row_groups, shuffle_parts, utf8_batch
 
 LENGTH, GRAM = 100, 28
-BLOCK, FLUSH = 1 << 20, 2_000_000
+BLOCK, FLUSH = 1 << 20, 500_000
 GROUP_RECORDS = 100_000
 CHUNK_BYTES = 8 << 20
 LAST = (1 << 63) - 1
@@ -217,7 +217,7 @@ def _recorded(docs: DataFrame, length: int, gram: int, buckets: int) -> DataFram
         if held:
             yield from flushed()
 
-    return docs.mapInArrow(run, "bucket int, key long, text long, start long, end long, payload binary")
+    return docs.mapInArrow(lean(run), "bucket int, key long, text long, start long, end long, payload binary")
 
 
 def _decided(recorded: DataFrame, length: int, most: int) -> DataFrame:
@@ -254,7 +254,7 @@ def _decided(recorded: DataFrame, length: int, most: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(table["key"][own]), pa.array(table["text"][own].astype(np.int64)), pa.array(table["start"][own].astype(np.int64)), pa.array(end.astype(np.int64)), grp, lead, flag], names=names)
 
     parts = shuffle_parts(recorded.sparkSession)
-    return recorded.repartition(parts, "bucket").mapInArrow(run, "key long, text long, start long, end long, grp long, lead long, hot boolean")
+    return recorded.repartition(parts, "bucket").mapInArrow(lean(run), "key long, text long, start long, end long, grp long, lead long, hot boolean")
 
 
 def _fetched(joined: DataFrame, length: int) -> DataFrame:
@@ -303,7 +303,7 @@ def _fetched(joined: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield batch_of(rows)
 
-    return joined.mapInArrow(run, "grp long, key long, text long, start long, end long, lead long, data binary")
+    return joined.mapInArrow(lean(run), "grp long, key long, text long, start long, end long, lead long, data binary")
 
 
 def suffix_runs(words: np.ndarray, place: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -392,7 +392,7 @@ def _repeats(stretches: DataFrame, length: int) -> DataFrame:
             yield solve(pa.concat_tables(held))
 
     parts = shuffle_parts(stretches.sparkSession)
-    return stretches.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(run, "key long, text long, start long, end long")
+    return stretches.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(lean(run), "key long, text long, start long, end long")
 
 
 def _cut(joined: DataFrame, schema: str, made) -> DataFrame:
@@ -418,7 +418,7 @@ def _cut(joined: DataFrame, schema: str, made) -> DataFrame:
                     rows.append((first + i, data[bounds[i] : bounds[i + 1]], start.tolist(), end.tolist()))
             yield made(batch, rows)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def kept_bytes(data: bytes, start: list[int], end: list[int]) -> bytes:

@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 200_000
 _END = b"\xff"  # stands for the end-of-word mark: no UTF-8 text holds this byte
 _PLAIN = re.compile(r"[!-~¡-¬®-ÿ]*")
 _PLAIN_TEXT = re.compile(r"[ \n!-~¡-¬®-ÿ]*")

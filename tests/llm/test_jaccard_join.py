@@ -74,20 +74,22 @@ def test_odd_rows(spark):
 
 
 def test_every_similar_pair_shares_a_signature():
-    rng, bands = np.random.default_rng(5), J.Bands(90)
-    for _ in range(400):
-        n = int(rng.integers(1, 300))
+    rng = np.random.default_rng(5)
+    for turn in range(3000):
+        percent = (80, 90, 95)[turn % 3]
+        bands, n = J.Bands(percent), int(rng.integers(1, 300))
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-        drop, add = rng.integers(0, n // 12 + 1, 2)
+        drop, add = rng.integers(0, n // (6, 12, 24)[turn % 3] + 1, 2)
         b = np.unique(np.r_[a[rng.permutation(len(a))[drop:]], rng.integers(0, 2**64, add, dtype=np.uint64)])
         both = len(np.intersect1d(a, b))
-        similar = 100 * both >= 90 * (len(a) + len(b) - both)
+        similar = 100 * both >= percent * (len(a) + len(b) - both)
         if not similar or not len(b):
             continue
         i, j = sorted((bands.band(len(a)), bands.band(len(b))))
         assert j - i <= 1 and len(a) + len(b) - 2 * both <= bands.differing(len(a), len(b)) <= bands.most(j)
-        assert np.intersect1d(J.signatures(a, j, bands.most(j)), J.signatures(b, j, bands.most(j))).size
-        assert np.intersect1d(J.signatures(a, j, bands.most(j), 4, 2), J.signatures(b, j, bands.most(j), 4, 2)).size
+        sign = lambda x, *more: J.signatures(x, j, bands.most(j), bands.tops[j], *more)  # noqa: B023, E731
+        assert np.intersect1d(sign(a), sign(b)).size
+        assert np.intersect1d(sign(a, 4, 2), sign(b, 4, 2)).size
         bits = bands.sketch_bits(j)
         assert np.bitwise_count(J.sketch(a, bits) ^ J.sketch(b, bits)).sum() <= len(a) + len(b) - 2 * both
 
