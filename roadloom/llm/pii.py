@@ -9,7 +9,7 @@ row by row: no shuffle, and no code outside DataFrame expressions.
 Kinds: e-mail addresses (the part before the at sign), IPv4 addresses, dates from 1800 to 2199 (three layouts,
 day before month where both are possible), payment card numbers (13 to 19 digits with a right check digit),
 bank account numbers (IBAN with right check digits), social security numbers, telephone numbers with an area
-code (a leading country code stays), and credentials: access key ids, 32 to 64 hexadecimal digits, and what
+code (a leading country code stays), and credentials: access key ids, 32 to 64 hexadecimal digits in either case, and what
 follows ``password=``.
 
 Defined cases: a null text stays null with no pseudonyms; an empty text stays; repeated rows get equal results;
@@ -24,12 +24,21 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 # One alternative for each kind; inner groups but the separator's capture nothing.
 _BEFORE, _AFTER = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+#: Symbols of an IBAN by country (IBAN registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + f" ?[A-Z0-9]{{{n % 4}}}" * (n % 4 > 0) for n, names in IBAN_LENGTHS.items())
+# other codes and lengths: as far as it can reach, but not into an IBAN of the registry
+_LONGEST = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?! (?:{_IBAN}){_AFTER}) ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "password": r"(?<=password[=:])[A-Za-z0-9]{6,128}+",
     "access_key": _BEFORE + r"AKIA[A-Z0-9]{16}" + _AFTER,
-    "hex": _BEFORE + r"[0-9a-f]{32,64}+" + _AFTER,
-    "iban": _BEFORE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
+    "hex": _BEFORE + r"[0-9A-Fa-f]{32,64}+" + _AFTER,
+    "iban": _BEFORE + f"(?:(?:{_IBAN}){_AFTER}|{_LONGEST})" + _AFTER,
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
     "date": r"(?<![A-Za-z0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![A-Za-z0-9]|[./\-][0-9])",
     "ssn": _BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
@@ -177,14 +186,23 @@ def _card(v: Column, key: str) -> Column:
 
 
 def _iban(v: Column, key: str) -> Column:
+    """The longest valid beginning that ends at a space is the number; words behind it stay."""
+    body = lambda s: F.substring(s, F.lit(5), F.length(s))
+    head = lambda i: F.substring(v, F.lit(1), i)
+    right = lambda s: F.length(s).between(15, 34) & (_mod97(F.concat(body(s), F.substring(s, 1, 4))) == 1)
+
     def made(s: Column) -> Column:
-        country, body = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
-        right = _mod97(F.concat(body, F.substring(s, 1, 4))) == 1
+        country = F.substring(s, 1, 2)
         check = lambda b: F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
-        new = _let(_permuted(body, "iban", key), lambda b: F.concat(country, check(b), b))
-        return F.when(right & F.length(s).between(15, 34), _laid_out(v, new)).otherwise(v)
+        return _let(_permuted(body(s), "iban", key), lambda b: F.concat(country, check(b), b))
 
-    return _let(_symbols(v), made)
+    def put(end: Column) -> Column:
+        new = _let(head(end), lambda h: _laid_out(h, made(_symbols(h))))
+        return F.when(end.isNotNull(), F.concat(new, F.substring(v, end + 1, F.length(v)))).otherwise(v)
+
+    ends = F.sequence(F.greatest(F.length(v), F.lit(15)), F.lit(15), F.lit(-1))
+    valid = lambda i: F.substring(v, i + 1, F.lit(1)).isin("", " ") & _let(_symbols(head(i)), right)
+    return _let(F.get(F.filter(ends, valid), F.lit(0)), put)
 
 
 def _ssn(v: Column, key: str) -> Column:

@@ -178,3 +178,35 @@ def test_permutations():
     assert len({permuted(f"{i:03d}", "card") for i in range(1000)}) == 1000
     days = [datetime.date(1800, 1, 1) + datetime.timedelta(rng.randrange(146097)) for _ in range(3000)]
     assert len({pseudonym("date", d.isoformat()) for d in days}) == len(set(days))
+
+
+#: Kind, value and what stands behind it; none of it is taken from the operator's patterns.
+BETWEEN = [
+    ("hex", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", '"'),
+    ("hex", "9233a8ecF7C5b09fe5949719B6B82BC4", " next"),
+    ("hex", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", " AND MORE"),
+    ("iban", "BE68 5390 0754 7034", " EUR 20"),
+    ("iban", "BE68 5390 0754 7034", " PAID NOW"),
+    ("iban", "BE68539007547034", " EUR"),
+    ("iban", "NL91 ABNA 0417 1643 00", " EUR"),
+    ("iban", "NO93 8601 1117 947", " NOK"),
+    ("iban", "FR14 2004 1010 0505 0001 3M02 606", " EUR"),
+    ("iban", "DE89 3704 0044 0532 0130 00", " BIC COBADEFF"),
+    ("iban", "PL61 1090 1014 0000 0712 1981 2874", " PLN"),
+    ("iban", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", " EUR"),
+]
+
+
+def test_values_among_upper_case_words(spark):
+    # a code that is in no registry takes the longest beginning with right check digits
+    unlisted = "QQ" + f"{98 - mod97('539007547034QQ00'):02d}" + "539007547034"
+    cases = [*BETWEEN, ("iban", unlisted, " EUR"), ("iban", " ".join(unlisted[i : i + 4] for i in range(0, 16, 4)), " EUR")]
+    text = [f"pay {v}{after}" for _, v, after in cases]
+    rows = [(i, x, None, None, None) for i, x in enumerate(text)]
+    # two in a row, and one behind a word that looks like the beginning of another
+    rows += [(100, "BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00", None, None, None), (101, "AB12 CDEF BE68 5390 0754 7034 EUR", None, None, None), (102, "BE68 5390 0754 7035 EUR", None, None, None)]
+    got = {r.doc_id: (r.text, r.found) for r in P.pseudonymise(frame(spark, rows), KEY, count="found").collect()}
+    be, de = pseudonym("iban", "BE68 5390 0754 7034"), pseudonym("iban", "DE89 3704 0044 0532 0130 00")
+    want = {i: (f"pay {pseudonym(kind, v)}{after}", 1) for i, (kind, v, after) in enumerate(cases)}
+    assert all(pseudonym(kind, v) != v for kind, v, _ in cases)
+    assert got == want | {100: (f"{be} {de}", 2), 101: (f"AB12 CDEF {be} EUR", 1), 102: ("BE68 5390 0754 7035 EUR", 0)}
