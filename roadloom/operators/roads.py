@@ -75,6 +75,31 @@ def merged_intervals(rows: DataFrame, keys: tuple[str, ...], gap: float = 1e-9)
     return numbered.groupBy(*keys, "_i").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_i")
 
 
+def gaps(merged: DataFrame, keys: tuple[str, ...], low: float = 0.0, high: float = 1.0, least: float = 1e-9) -> DataFrame:
+    """What merged intervals (keys, a, b; disjoint) leave of low to high: gaps longer than ``least``."""
+    order = Window.partitionBy(*keys).orderBy("a")
+    beside = merged.withColumn("_before", F.coalesce(F.lag("b").over(order), F.lit(low))).withColumn("_last", F.lead("a").over(order).isNull())
+    gap = lambda a, b: F.struct(F.greatest(a, F.lit(low)).alias("a"), F.least(b, F.lit(high)).alias("b"))
+    around = F.array(gap(F.col("_before"), F.col("a")), F.when(F.col("_last"), gap(F.col("b"), F.lit(high))))
+    return beside.select(*keys, F.explode(around).alias("_x")).select(*keys, "_x.a", "_x.b").filter(F.col("b") - F.col("a") > least)
+
+
+def overlaps(merged: DataFrame, keys: tuple[str, ...], fixed: tuple[tuple[float, float], ...]) -> DataFrame:
+    """What merged intervals (keys, a, b; disjoint) share with a fixed list of disjoint ones."""
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in fixed]))
+    pairs = merged.select(*keys, "a", "b", each.alias("_y"))
+    return pairs.select(*keys, F.greatest("a", "_y.a").alias("a"), F.least("b", "_y.b").alias("b")).filter("b > a")
+
+
+def small_gaps_closed(merged: DataFrame, keys: tuple[str, ...], near: float) -> DataFrame:
+    """Merged intervals (keys, a, b; disjoint) with gaps, and ends at 0 and 1, of less than ``near`` closed."""
+    order = Window.partitionBy(*keys).orderBy("a")
+    before = F.lag("b").over(order)
+    numbered = merged.withColumn("_new", (before.isNull() | ~(F.col("a") - before < near)).cast("int")).withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.groupBy(*keys, "_i").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return joined.select(*keys, F.when(F.col("a") < near, 0.0).otherwise(F.col("a")).alias("a"), F.when(1 - F.col("b") < near, 1.0).otherwise(F.col("b")).alias("b"))
+
+
 def running_length(vertices: DataFrame, keys: tuple[str, ...], step: Column) -> DataFrame:
     """Adds cum_m. ``step`` is the distance to the vertex before, from prev_lon and prev_lat."""
     along = Window.partitionBy(*keys).orderBy("idx")

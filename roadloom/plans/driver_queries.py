@@ -137,33 +137,33 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.merged_intervals(event_ranges(spark, sf_dir), ("user_id",)).select("user_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_ranges(spark, sf_dir).groupBy("user_id").agg(F.collect_list(F.struct("a", "b")).alias("items"))
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roads.merged_intervals(event_ranges(spark, sf_dir), ("user_id",))
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("user_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
 @query(f"""WITH {MERGED_SQL}, g AS (SELECT user_id, coalesce(lag(b) OVER w, 0e0) AS a, a AS b FROM m WINDOW w AS (PARTITION BY user_id ORDER BY a)
   UNION ALL SELECT user_id, max(b), 1e0 FROM m GROUP BY user_id)
 SELECT user_id, round(a, 6) AS a, round(b, 6) AS b FROM g WHERE b - a > 1e-9""")
 def interval_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = _lists(spark, sf_dir).select("user_id", F.explode(intervals.complement(F.col("items"))).alias("x"))
-    return left.select("user_id", F.round("x.a", 6).alias("a"), F.round("x.b", 6).alias("b"))
+    return _rounded(roads.gaps(_merged(spark, sf_dir), ("user_id",)))
 
 
 @query(f"""WITH {MERGED_SQL}, e AS (SELECT user_id, a, b, row_number() OVER (PARTITION BY user_id ORDER BY a) AS n FROM m), x AS (SELECT * FROM e WHERE n % 2 = 0),
 p AS (SELECT m.user_id, greatest(m.a, f.a) AS a, least(m.b, f.b) AS b FROM m, (VALUES (1e-1, 45e-2), (5e-1, 51e-2), (6e-1, 95e-2)) AS f(a, b))
 SELECT user_id, round(a, 6) AS a, round(b, 6) AS b FROM p WHERE b > a""")
 def interval_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = F.array(*[intervals.interval(F.lit(a), F.lit(b)) for a, b in ((0.1, 0.45), (0.5, 0.51), (0.6, 0.95))])
-    both = _lists(spark, sf_dir).select("user_id", F.explode(intervals.intersected(intervals.merged(F.col("items")), fixed)).alias("x"))
-    return both.select("user_id", F.round("x.a", 6).alias("a"), F.round("x.b", 6).alias("b"))
+    return _rounded(roads.overlaps(_merged(spark, sf_dir), ("user_id",), ((0.1, 0.45), (0.5, 0.51), (0.6, 0.95))))
 
 
 @query(f"""WITH {MERGED_SQL}, g AS (SELECT *, sum(CASE WHEN pb IS NULL OR NOT (a - pb < 1e1 / 333e0) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS i
   FROM (SELECT *, lag(b) OVER (PARTITION BY user_id ORDER BY a) AS pb FROM m)), j AS (SELECT user_id, min(a) AS a, max(b) AS b FROM g GROUP BY user_id, i)
 SELECT user_id, round(CASE WHEN a < 1e1 / 333e0 THEN 0e0 ELSE a END, 6) AS a, round(CASE WHEN 1e0 - b < 1e1 / 333e0 THEN 1e0 ELSE b END, 6) AS b FROM j""")
 def close_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _lists(spark, sf_dir).select("user_id", F.explode(intervals.gaps_closed(F.col("items"), F.lit(333.0))).alias("x"))
-    return out.select("user_id", F.round("x.a", 6).alias("a"), F.round("x.b", 6).alias("b"))
+    return _rounded(roads.small_gaps_closed(_merged(spark, sf_dir), ("user_id",), intervals.LEAST_METRES / 333.0))
 
 
 @query("""WITH p AS (SELECT l_suppkey AS road, (l_orderkey * 131 % 2000003)::DOUBLE AS pos, 2e6 AS len FROM lineitem),

@@ -34,12 +34,28 @@ def match_fixes(fixes: pd.DataFrame, last: float, last_s: float | None) -> tuple
 
 
 def progress_batch(fixes: DataFrame) -> DataFrame:
-    """The batch twin: every walker from the start of the track."""
+    """The batch twin: every walker from the start of the track.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return match_fixes(pdf.sort_values(["ts", "pos"]), 0.0, None)[0]
+    Each task goes over its sorted fixes in Arrow batches and carries only the walker, the last position and its time.
+    """
 
-    return fixes.groupBy("walker").applyInPandas(run, MATCHED)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, last, last_s = None, 0.0, None
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby(["unknown", "walker"], sort=False):
+                if key != who:
+                    who, last, last_s = key, 0.0, None
+                done, last, last_s = match_fixes(part, last, last_s)
+                out.append(done.assign(unknown=key[0]))
+            if out:
+                yield pd.concat(out)
+
+    # a null walker is one of its own, and nulls would turn the identifiers of its batch into doubles
+    named = fixes.select(F.coalesce("walker", F.lit(0)).alias("walker"), "ts", "pos", "off_m", "accuracy", F.col("walker").isNull().alias("unknown"))
+    order = ("unknown", "walker", "ts", "pos", "off_m", "accuracy")
+    done = named.repartition("unknown", "walker").sortWithinPartitions(*order).mapInPandas(run, f"{MATCHED}, unknown boolean")
+    return done.withColumn("walker", F.when(~F.col("unknown"), F.col("walker"))).drop("unknown")
 
 
 def progress_stream(fixes: DataFrame) -> DataFrame:

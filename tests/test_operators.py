@@ -5,7 +5,9 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
+from roadloom.functions import intervals
 from roadloom.operators import clusters, network, poi, publishing, roads, spatial
+from roadloom.plans import driver_queries
 from roadloom.sources import sheets
 from roadloom.streaming import progress
 
@@ -149,3 +151,39 @@ def test_publishing_stream_takes_an_identifier_once(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(r.publish_id for r in spark.table("pages").collect()) == ["a", "b"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_users_intervals_are_no_array(spark, tmp_path):
+    # a third of all events are one user's
+    rng = random.Random(5)
+    rows = [(i, 0 if i % 3 == 0 else i % 40, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=rng.randrange(10**6))) for i in rng.sample(range(10**5), 300)]
+    pd.DataFrame(rows, columns=["event_id", "user_id", "ts"]).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    lists = driver_queries.event_ranges(spark, str(tmp_path)).groupBy("user_id").agg(F.collect_list(F.struct("a", "b")).alias("items"))
+    fixed = F.array(*[intervals.interval(F.lit(a), F.lit(b)) for a, b in ((0.1, 0.45), (0.5, 0.51), (0.6, 0.95))])
+    by_arrays = {"interval_subtract": intervals.complement(F.col("items")), "interval_intersect": intervals.intersected(intervals.merged(F.col("items")), fixed), "close_gaps": intervals.gaps_closed(F.col("items"), F.lit(333.0))}
+    for name, items in by_arrays.items():
+        got = driver_queries.QUERIES[name](spark, str(tmp_path))
+        assert "collect_list" not in plan_of(got)
+        want = lists.select("user_id", F.explode(items).alias("x")).select("user_id", F.round("x.a", 6), F.round("x.b", 6))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_progress_carries_its_state_over_batches(spark):
+    rng = random.Random(6)
+    walkers = [None, 2**60 + 1, 2**60 + 2]
+    rows = [(walkers[0 if i % 2 else rng.randrange(3)], pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=40 * i), i * 3.0 + rng.uniform(-60, 60), rng.uniform(0, 45), 15.0) for i in range(200)]
+    want = []
+    for w in walkers:
+        own = pd.DataFrame([r for r in rows if r[0] == w], columns=["walker", "ts", "pos", "off_m", "accuracy"])
+        want += [(w, p, m, t) for p, m, t in progress.match_fixes(own, 0.0, None)[0][["pos", "matched", "accepted"]].itertuples(index=False)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = progress.progress_batch(spark.createDataFrame([(w, t.to_pydatetime(), *x) for w, t, *x in rows], progress.FIXES))
+        assert "FlatMapGroupsInPandas" not in plan_of(got)
+        assert sorted([(r.walker, r.pos, r.matched, r.accepted) for r in got.collect()], key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
