@@ -1,13 +1,16 @@
 """Roads grouped into routes of bounded size: greedy by nature, so one task works on one ward.
 
-A ward holds some hundreds of roads; the grouped map is over wards, and no ward depends on another.
+The grouped map is over wards, and no ward depends on another. A ward's roads are in the memory of its task;
+growing and folding keep heaps and cells, so their time follows the roads of a ward and how densely they lie.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -25,39 +28,73 @@ def _grow(roads: pd.DataFrame, near: dict[str, set[str]], soft: float, most: flo
     """From the unassigned road nearest the start outwards, always the nearest neighbour that still fits."""
     dist, size = dict(zip(roads.road, roads.dist_m)), dict(zip(roads.road, roads["size"]))
     place = {r: i for i, r in enumerate(roads.road)}
-    left, out = dict.fromkeys(roads.road), []
-    while left:
-        seed = min(left, key=lambda r: (dist[r], place[r]))
+    rank = lambda r: (dist[r], place[r], r)
+    left, out = set(place), []
+    for *_, seed in sorted(map(rank, place)):
+        if seed not in left:
+            continue
         members, total = [seed], size[seed]
-        del left[seed]
-        edge = [r for r in near.get(seed, ()) if r in left]
+        left.remove(seed)
+        edge, seen = [], {seed}
+
+        def reach(road: str) -> None:
+            for r in near.get(road, ()):
+                if r in left and r not in seen:
+                    seen.add(r)
+                    heapq.heappush(edge, rank(r))
+
+        reach(seed)
         while edge and total < soft:
-            edge.sort(key=lambda r: (dist[r], place[r]))
-            fits = (r for r in edge if total + size[r] <= most and not (strict and abs(total + size[r] - soft) >= abs(total - soft)))
-            chosen = next(fits, None)
-            if chosen is None:
-                break
+            chosen = heapq.heappop(edge)[-1]
+            # what doesn't fit now never will, as the total only grows
+            if total + size[chosen] > most or strict and abs(total + size[chosen] - soft) >= abs(total - soft):
+                continue
             members.append(chosen)
             total += size[chosen]
-            del left[chosen]
-            edge = [r for r in edge if r != chosen] + [r for r in near.get(chosen, ()) if r in left and r not in edge]
+            left.remove(chosen)
+            reach(chosen)
         out.append(sorted(members))
     return out
 
 
-def _fold(groups: list[dict], partner: Callable[[int], int | None], least: float) -> None:
-    """Folds groups below the least size into their partners, starting anew after each."""
-    again = True
-    while again:
-        again = False
-        for i, group in enumerate(groups):
-            if group["size"] < least and (j := partner(i)) is not None:
-                groups[j]["roads"] += group["roads"]
-                groups[j]["size"] += group["size"]
-                groups[j]["far"] |= group.get("joined_far", False) or groups[j]["far"]
-                del groups[i]
-                again = True
-                break
+class Cells:
+    """Items by square cells of ``side`` metres."""
+
+    def __init__(self, side: float, lat0: float):
+        self.x, self.y = 111320.0 * math.cos(math.radians(lat0)) / side, 111320.0 / side
+        self.items: dict[tuple[int, int], set[int]] = {}
+
+    def cell(self, at: tuple[float, float]) -> tuple[int, int]:
+        return math.floor(at[0] * self.x), math.floor(at[1] * self.y)
+
+    def add(self, i: int, at: tuple[float, float]) -> None:
+        self.items.setdefault(self.cell(at), set()).add(i)
+
+    def remove(self, i: int, at: tuple[float, float]) -> None:
+        self.items[self.cell(at)].discard(i)
+
+    def around(self, at: tuple[float, float]) -> list[int]:
+        """The items of the place's cell and its neighbours: all within ``side``, and some more."""
+        x, y = self.cell(at)
+        return [i for dx in (-1, 0, 1) for dy in (-1, 0, 1) for i in self.items.get((x + dx, y + dy), ())]
+
+
+def _fold(groups: list[dict | None], partner: Callable[[int], int | None], least: float, merged: Callable[[int, int], Iterable[int]]) -> None:
+    """Folds groups below the least size into their partners, always the first that has one; None is left in its place.
+
+    ``merged(i, j)`` tells of each fold and returns the groups that may have a partner since, besides j.
+    """
+    waiting = [i for i, g in enumerate(groups) if g is not None and g["size"] < least]
+    while waiting:
+        i = heapq.heappop(waiting)
+        if groups[i] is None or groups[i]["size"] >= least or (j := partner(i)) is None:
+            continue
+        more = [j, *merged(i, j)]
+        groups[j]["roads"] += groups[i]["roads"]
+        groups[j]["size"] += groups[i]["size"]
+        groups[i] = None
+        for k in more:
+            heapq.heappush(waiting, k)
 
 
 def cluster_ward(roads: pd.DataFrame, soft: float, least: float, most: float, strict: bool, gap_m: float, by_effort: bool) -> pd.DataFrame:
@@ -72,24 +109,39 @@ def cluster_ward(roads: pd.DataFrame, soft: float, least: float, most: float, st
     groups = [{"roads": g, "size": sum(size[r] for r in g), "far": False} for g in _grow(roads, near, soft, most, strict)]
     cap = most if strict or by_effort else max(most, MERGE_CAP)
 
+    owner = {r: i for i, g in enumerate(groups) for r in g["roads"]}
+
     def adjacent(i: int) -> int | None:
-        touching = set().union(*(near[r] for r in groups[i]["roads"]))
-        fits = [(groups[i]["size"] + g["size"], j) for j, g in enumerate(groups) if j != i and touching & set(g["roads"]) and groups[i]["size"] + g["size"] <= cap]
-        return min(fits)[1] if fits else None
+        touching = {owner[x] for r in groups[i]["roads"] for x in near[r]} - {i}
+        return min(((t, j) for j in touching if (t := groups[i]["size"] + groups[j]["size"]) <= cap), default=(0, None))[1]
+
+    def joined(i: int, j: int) -> tuple:
+        owner.update(dict.fromkeys(groups[i]["roads"], j))
+        return ()
 
-    def centre(g: dict) -> tuple[float, float]:
-        return tuple(sum(where[r][k] for r in g["roads"]) / len(g["roads"]) for k in (0, 1))
+    _fold(groups, adjacent, least, joined)
+    groups = [g for g in groups if g is not None]
+    centre = lambda own: tuple(sum(where[r][k] for r in own) / len(own) for k in (0, 1))
+    centres = [centre(g["roads"]) for g in groups]
+    cells = Cells(max(gap_m, 1.0) * 1.001, lat0)
+    for i, at in enumerate(centres):
+        cells.add(i, at)
 
     def close(i: int) -> int | None:
-        here = centre(groups[i])
-        fits = [(d, j) for j, g in enumerate(groups) if j != i and groups[i]["size"] + g["size"] <= cap and (d := _metres(here, centre(g), lat0)) <= gap_m]
-        if not fits:
-            return None
-        groups[min(fits)[1]]["far"] = True
-        return min(fits)[1]
-
-    _fold(groups, adjacent, least)
-    _fold(groups, close, least)
+        fits = [(d, j) for j in cells.around(centres[i]) if j != i and groups[i]["size"] + groups[j]["size"] <= cap and (d := _metres(centres[i], centres[j], lat0)) <= gap_m]
+        return min(fits, default=(0, None))[1]
+
+    def moved(i: int, j: int) -> list[int]:
+        groups[j]["far"] = True
+        cells.remove(i, centres[i])
+        cells.remove(j, centres[j])
+        centres[j] = centre(groups[j]["roads"] + groups[i]["roads"])
+        cells.add(j, centres[j])
+        # its centre may have come within reach of groups that had no partner
+        return [k for k in cells.around(centres[j]) if k != j and groups[k]["size"] < least]
+
+    _fold(groups, close, least, moved)
+    groups = [g for g in groups if g is not None]
     for g in groups:
         g["dist"] = math.floor(min(dist[r] for r in g["roads"]) + 0.5)
     groups.sort(key=lambda g: g["dist"])
@@ -115,29 +167,40 @@ def settle_ward(roads: pd.DataFrame, radius_m: float, seed_m: float, least: floa
         return pd.DataFrame(columns=names)
     where, homes, lat0 = dict(zip(roads.road, zip(roads.lon, roads.lat))), dict(zip(roads.road, roads.residences)), roads.lat.mean()
     middle = lambda g: tuple(sum(where[r][k] for r in g) / len(g) for k in (0, 1))
-    left, groups = list(roads.road), []
-    while left:
-        seed = max(left, key=lambda r: homes[r])
-        left.remove(seed)
-        group = [seed]
+    names_of = list(dict.fromkeys(roads.road))
+    cells, groups = Cells(max(seed_m, 1.0) * 1.001, lat0), []
+    for i, r in enumerate(names_of):
+        cells.add(i, where[r])
+    for first in sorted(range(len(names_of)), key=lambda i: (-homes[names_of[i]], i)):
+        seed = names_of[first]
+        at = where[seed]
+        if first not in cells.items[cells.cell(at)]:
+            continue
+        cells.remove(first, at)
+        group, near = [seed], sorted(i for i in cells.around(at) if _metres(where[names_of[i]], at, lat0) <= seed_m)
         while True:
             centre = middle(group)
-            more = [r for r in left if _metres(where[r], centre, lat0) <= radius_m and _metres(where[r], where[seed], lat0) <= seed_m]
-            if not more:
+            inside = [_metres(where[names_of[i]], centre, lat0) <= radius_m for i in near]
+            if not any(inside):
                 break
-            group += more
-            left = [r for r in left if r not in set(more)]
+            for i, taken in zip(near, inside):
+                if taken:
+                    group.append(names_of[i])
+                    cells.remove(i, where[names_of[i]])
+            near = [i for i, taken in zip(near, inside) if not taken]
         groups.append(group)
-    again = True
-    while again and len(groups) > 1:
-        again = False
-        for i, g in enumerate(groups):
-            if sum(homes[r] for r in g) < least:
-                j = min((j for j in range(len(groups)) if j != i), key=lambda j: _metres(middle(g), middle(groups[j]), lat0))
-                groups[j] += g
-                del groups[i]
-                again = True
-                break
+    # the groups before the first small one stay large, so one way through is enough
+    total, at = [sum(homes[r] for r in g) for g in groups], np.array([middle(g) for g in groups])
+    there, scale = np.ones(len(groups), bool), np.array([math.cos(math.radians(lat0)), 1.0]) * 111320.0
+    for i in range(len(groups)):
+        if total[i] < least and there.sum() > 1:
+            there[i] = False
+            d = np.where(there, np.hypot(*((at - at[i]) * scale).T), np.inf)
+            # the last bits as in the exact distance, the first of equals
+            j = min(np.flatnonzero(d <= d.min() + 1e-6), key=lambda j: _metres(tuple(at[i]), tuple(at[j]), lat0))
+            groups[j] += groups[i]
+            total[j], at[j] = sum(homes[r] for r in groups[j]), middle(groups[j])
+    groups = [g for g, t in zip(groups, there) if t]
     groups.sort(key=lambda g: -sum(homes[r] for r in g))
     return pd.DataFrame([(roads.ward.iloc[0], k, r, homes[r]) for k, g in enumerate(groups) for r in g], columns=names)
 

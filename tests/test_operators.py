@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -187,3 +188,15 @@ def test_progress_carries_its_state_over_batches(spark):
         assert sorted([(r.walker, r.pos, r.matched, r.accepted) for r in got.collect()], key=str) == sorted(want, key=str)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_crowded_ward(spark, monkeypatch):
+    # the numbers were taken from loops that compare every road and group with every other
+    rng, n, calls, metres = random.Random(9), 1500, [], clusters._metres
+    rows = [("W", i, f"r{i:04d}", *[float(rng.randrange(60))] * 2, i * 5.0, -2.5 + rng.random() * 0.4, 52.6 + rng.random() * 0.4, [f"r{j:04d}" for j in (i - 1, i + 1) if 0 <= j < n and rng.random() < 0.6]) for i in range(n)]
+    ward = pd.DataFrame(rows, columns=[c.split()[0] for c in clusters.ROADS.split(", ")])
+    monkeypatch.setattr(clusters, "_metres", lambda *x: calls.append(1) or metres(*x))
+    digest = lambda df: hashlib.sha256(repr(df.values.tolist()).encode()).hexdigest()[:16]
+    assert digest(clusters.cluster_ward(ward, 150, 112.5, 337.5, False, 1000.0, False)) == "bed2811183382107"
+    assert digest(clusters.settle_ward(ward, 1000.0, 1300.0, 60.0)) == "4112879f061e7150"
+    assert len(calls) < 40 * n
