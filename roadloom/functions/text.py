@@ -33,11 +33,16 @@ def leading_int(s: Column) -> Column:
 
 
 def letters_id(n: Column) -> Column:
-    """0, 1, … as A … Z, AA, AB, …"""
-    two = F.when(n >= 26, F.char(F.lit(64) + (n / 26).cast("int"))).otherwise("")
-    three = F.when(n >= 702, F.char(F.lit(65) + ((n - 702) / 676).cast("int"))).otherwise("")
-    two = F.when(n >= 702, F.char(F.lit(65) + (((n - 702) / 26).cast("int") % 26))).otherwise(two)
-    return F.concat(three, two, F.char(F.lit(65) + (n % 26).cast("int")))
+    """0, 1, … as A … Z, AA, AB, … of any length."""
+
+    def step(acc: Column, _: Column) -> Column:
+        rest, more = acc["rest"], acc["rest"] >= 0
+        ids = F.when(more, F.concat(F.char(65 + rest % 26), acc["id"])).otherwise(acc["id"])
+        return F.struct(F.when(more, F.call_function("div", rest, F.lit(26)) - 1).otherwise(rest).cast("long").alias("rest"), ids.alias("id"))
+
+    # 14 letters hold every long
+    start = F.struct(n.cast("long").alias("rest"), F.lit("").alias("id"))
+    return F.when(n.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda acc: acc["id"]))
 
 
 def fingerprint(s: Column) -> Column:

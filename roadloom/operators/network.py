@@ -50,7 +50,7 @@ def network_distances(roads: DataFrame, edges: DataFrame, entries: DataFrame, mo
     """road, dist_m: shortest distances where a hop costs the whole length of the road entered.
 
     roads: road, length_m; edges: src, dst; entries: road, dist_m. Roads that no path reaches have none. Each
-    round relaxes the roads that came nearer in the one before, until none does.
+    round relaxes the roads that came nearer in the one before, until none does; it fails if some still do after the last.
     """
     rounds = Rounds(roads)
     best = rounds.write(entries.groupBy("road").agg(F.min("dist_m").alias("dist_m")).withColumn("fresh", F.lit(True)))
@@ -61,5 +61,5 @@ def network_distances(roads: DataFrame, edges: DataFrame, entries: DataFrame, mo
         nearer = F.col("new").isNotNull() & (F.col("dist_m").isNull() | (F.col("new") < F.col("dist_m")))
         best = rounds.write(joined.select("road", F.when(nearer, F.col("new")).otherwise(F.col("dist_m")).alias("dist_m"), nearer.alias("fresh")))
         if best.filter("fresh").isEmpty():
-            break
-    return best.select("road", "dist_m")
+            return best.select("road", "dist_m")
+    raise RuntimeError(f"distances still change after {most_rounds} rounds")

@@ -94,3 +94,16 @@ def test_geometry(spark):
     r = one(spark, geo.line_length(line, F.lit(0.0)).alias("n"), geo.point_at(line, F.lit(0.75), F.lit(0.0)).alias("p"), geo.compass(F.lit(359.0)).alias("c"), geo.turn(F.lit(350.0), F.lit(80.0)).alias("t"), geo.halves_up(F.lit(-2.5)).alias("h"), geo.effort_weight(F.lit(15.0), F.lit(1000.0)).alias("w"))
     assert abs(r.n - 222.64) < 1e-6 and abs(r.p.lat - 0.0005) < 1e-9 and r.p.lon == 0.001
     assert (r.c, r.t, r.h, r.w) == ("N", "right", -2.0, 6.25)
+
+
+def test_letters_of_any_length(spark):
+    def brute(n):
+        out = ""
+        while n >= 0:
+            out, n = chr(65 + n % 26) + out, n // 26 - 1
+        return out
+
+    places = [0, 25, 26, 701, 702, 18277, 18278, 19999, 475253, 475254, 2**31, 2**53 + 1, 2**63 - 1]
+    got = spark.createDataFrame([(n,) for n in [*places, None]], "n long").select("n", text.letters_id(F.col("n")).alias("x")).collect()
+    assert {r.n: r.x for r in got} == {n: brute(n) for n in places} | {None: None}
+    assert brute(18278) == "AAAA"

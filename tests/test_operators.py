@@ -4,6 +4,7 @@ import math
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from roadloom.functions import intervals
@@ -200,3 +201,12 @@ def test_crowded_ward(spark, monkeypatch):
     assert digest(clusters.cluster_ward(ward, 150, 112.5, 337.5, False, 1000.0, False)) == "bed2811183382107"
     assert digest(clusters.settle_ward(ward, 1000.0, 1300.0, 60.0)) == "4112879f061e7150"
     assert len(calls) < 40 * n
+
+
+def test_unfinished_distances_are_an_error(spark):
+    roads_of = spark.createDataFrame([(i, 1.0) for i in range(4)], "road long, length_m double")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3)], "src long, dst long")
+    entries = spark.createDataFrame([(0, 0.0)], "road long, dist_m double")
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        network.network_distances(roads_of, edges, entries, most_rounds=2)
+    assert {r.road: r.dist_m for r in network.network_distances(roads_of, edges, entries, most_rounds=4).collect()} == {0: 0.0, 1: 1.0, 2: 2.0, 3: 3.0}
