@@ -30,7 +30,8 @@ class Scratch:
     """Tables written to the folder that ``spark.checkpoint.dir`` names.
 
     All executors share that folder, so a table there survives the loss of any of them and cuts the
-    lineage. Only where the setting is absent (tests, notebooks) is a temporary folder made and set.
+    lineage. Only where the setting is absent and Spark runs in one process (tests, notebooks) is a temporary
+    folder made and set; a cluster needs the setting.
     """
 
     def __init__(self, spark: SparkSession):
@@ -38,6 +39,8 @@ class Scratch:
         bound_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = tempfile.mkdtemp(prefix="roadloom-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.base = f"{base.rstrip('/')}/roadloom-{uuid.uuid4().hex}"
@@ -47,11 +50,20 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def utf8_batch(column) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +160,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, root: every node of edges (a, b) with the least node that it is connected with.
 
     Alternates between tying larger neighbours and tying smaller neighbours to a node's least neighbour, which
-    halves distances; each round is a written table. Minima combine before they shuffle, and they meet the pairs
+    halves distances; each round is a written table, and the last one stays as ``name``. Minima combine before they shuffle, and they meet the pairs
     by node and salt, so the pairs of a node that very many edges touch are in several tasks.
     """
     from pyspark.sql import functions as F
@@ -173,5 +185,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if before is not None:
             scratch.drop(f"{name}-{turn - 1}")
         if state == before:
+            written = scratch.write(written, name)
+            scratch.drop(f"{name}-{turn}")
             return written.select(F.col("a").alias("node"), F.col("b").alias("root")).union(written.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         current, before, turn = written, state, turn + 1

@@ -6,7 +6,8 @@ passage keeps its chunks wherever it stands; likeness is the shared length over
 
 Defined cases: a null text is an empty one, with an empty fingerprint; two empty texts are alike (1), an empty
 and another are not (0); rows with one doc_id stand in the order of their texts; a null doc_id sorts below all;
-a single document is its own next one; an empty table gives no rows.
+a single document is its own next one; an empty table gives no rows; further columns are ignored; a long text is
+walked in blocks of BLOCK bytes. Rows without a doc_id, or with one that very many share, stand in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import byte_table, lean, mix64
@@ -39,26 +40,35 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_UP, _DOWN = _powers(_FACTOR, 1 << 16), _powers(_INVERSE, 1 << 16)
+#: A long text is walked in blocks of this many bytes.
+BLOCK = 1 << 20
+_UP, _DOWN = _powers(_FACTOR, BLOCK + 512), _powers(_INVERSE, BLOCK + 512)
+
+
+def _borders_of(raw: np.ndarray) -> tuple[list[int], list[int]]:
+    """Last bytes of possible chunks, by the easy and by the hard condition."""
+    easy, hard = [], []
+    for at in range(0, len(raw), BLOCK):
+        before = min(at, 31)
+        h = (_GEAR[raw[at - before : at + BLOCK]] >> np.uint64(17)).astype(np.uint32)
+        for step in (1, 2, 4, 8, 16):  # h[i] sums the gears of the last 2 * step bytes, each shifted by its distance
+            more = h.copy()
+            more[step:] += h[:-step] << np.uint32(step) if len(h) > step else 0
+            h = more
+        h = h[before:]
+        found = np.flatnonzero((h & _EASY) == 0)
+        hard += (at + found[(h[found] & _HARD) == 0]).tolist()
+        easy += (at + found).tolist()
+    return easy, hard
 
 
 def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Borders (from 0 to the end) and a digest for each chunk."""
-    global _UP, _DOWN
     n = len(data)
     if n == 0:
         return np.zeros(1, np.int64), np.zeros(0, np.uint64)
-    if n > len(_UP):
-        _UP, _DOWN = _powers(_FACTOR, 2 * n), _powers(_INVERSE, 2 * n)
-    wide = _GEAR[np.frombuffer(data, np.uint8)]
-    h = (wide >> np.uint64(17)).astype(np.uint32)
-    for step in (1, 2, 4, 8, 16):  # h[i] sums the gears of the last 2 * step bytes, each shifted by its distance
-        more = h.copy()
-        more[step:] += h[:-step] << np.uint32(step) if n > step else 0
-        h = more
-    easy = np.flatnonzero((h & _EASY) == 0)
-    hard = easy[(h[easy] & _HARD) == 0].tolist()
-    easy = easy.tolist()
+    raw = np.frombuffer(data, np.uint8)
+    easy, hard = _borders_of(raw)
     borders, at, i, j = [0], 0, 0, 0
     while n - at > LEAST:
         while i < len(hard) and hard[i] < at + LEAST - 1:
@@ -72,10 +82,16 @@ def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         borders.append(at)
     if borders[-1] < n:
         borders.append(n)
-    edge = np.array(borders, np.int64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(wide * _UP[:n], out=sums[1:])
-    return edge, mix64((sums[edge[1:]] - sums[edge[:-1]]) * _DOWN[edge[:-1]] + np.diff(edge).astype(np.uint64))
+    edge, digests, first = np.array(borders, np.int64), [], 0
+    while first < len(edge) - 1:
+        # chunks of a block together
+        last = max(first + 1, int(np.searchsorted(edge, edge[first] + BLOCK, side="right")) - 1)
+        own = edge[first : last + 1] - edge[first]
+        sums = np.zeros(own[-1] + 1, np.uint64)
+        np.cumsum(_GEAR[raw[edge[first] : edge[last]]] * _UP[: own[-1]], out=sums[1:])
+        digests.append(mix64((sums[own[1:]] - sums[own[:-1]]) * _DOWN[own[:-1]] + np.diff(own).astype(np.uint64)))
+        first = last
+    return edge, np.concatenate(digests)
 
 
 def fingerprint(data: bytes) -> np.ndarray:
@@ -103,6 +119,13 @@ def with_edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _tasks(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each of the places 0 to parts - 1 such that ``repartition(parts, number)`` gives every place a task of its own."""
+    found = spark.range(40 * parts).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("task")).groupBy("task").agg(F.min("id").alias("id")).collect()
+    number = {r.task: r.id for r in found}
+    return [number.get(p, p) for p in range(parts)]
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprint of every text of docs (doc_id, text) and of its edited text, and their likeness.
 
@@ -116,12 +139,17 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     # the places of the ranges, the highest ids first
     place = (len(bounds) - F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key")))) if bounds else F.lit(0)
     placed = rows.withColumn("place", place.cast("int"))
-    # the first document of each place, at the end of the place before it: one row for each place
-    first = placed.groupBy("place").agg(F.max(F.struct("key", "text")).alias("m"))
-    order = Window.orderBy("place")
-    guests = first.select(F.coalesce(F.lag("place").over(order), F.max("place").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("place"), F.lit(True).alias("guest"), (F.lag("place").over(order).isNull()).alias("round"), F.col("m.key").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.col("m.text").alias("text"))
+    # the first document of each place stands at the end of the place before it: one row for each place. Its
+    # identifier is found first, as that reads no texts
+    order = Window.orderBy("place")  # over as many rows as there are places
+    heads = placed.groupBy("place").agg(F.max("key").alias("_key")).select(
+        F.col("place").alias("_place"), "_key", F.lag("place").over(order).isNull().alias("round"),
+        F.coalesce(F.lag("place").over(order), F.max("place").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"),
+    )
+    met = placed.join(F.broadcast(heads), (F.col("place") == F.col("_place")) & (F.col("key") == F.col("_key")))
+    guests = met.groupBy("to", "round", "key").agg(F.max("text").alias("text")).select(F.col("to").alias("place"), F.lit(True).alias("guest"), "round", "key", F.lit(None).cast("long").alias("doc_id"), "text")
     both = placed.select("place", F.lit(False).alias("guest"), F.lit(False).alias("round"), "key", "doc_id", "text").unionByName(guests)
-    sorted_rows = both.repartition(parts, "place").sortWithinPartitions("place", "guest", "round", F.col("key").desc(), F.col("text").desc())
+    sorted_rows = both.withColumn("task", F.element_at(F.array(*map(F.lit, _tasks(spark, parts))), F.col("place") + 1)).repartition(parts, "task").sortWithinPartitions("place", "guest", "round", F.col("key").desc(), F.col("text").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # place, doc_id, text, fingerprint of the row whose next one has yet to come

@@ -2,7 +2,7 @@
 
 Sizes fall into bands such that similar sets are in one band or in neighbours. Similar sets of such a pair of
 bands differ in at most ``k`` elements. The element domain is cut into parts, each of them into subparts: in
-some part the sets differ in at most one element, so they agree on all but one of its subparts, and every such
+some part the sets differ in few elements, so they agree on all but as many of its subparts, and every such
 choice of subparts is a signature. Sets that are similar enough thus share a signature.
 
 Nodes are distinct sets, so copies meet once. No group of sets is turned into pairs: within a group a search
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -29,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, byte_table, components, lean, mix64, row_groups, shuffle_parts, small_side, utf8_batch
+from roadloom.llm.common import Scratch, byte_table, components, free_name, lean, mix64, row_groups, shuffle_parts, small_side, utf8_batch
 
 WORDS, PERCENT = 3, 90
-#: Subparts of a part, and how many of them similar sets may disagree on.
-SUBPARTS, SPARE = 2, 1
+#: Subparts of a part, and how many of them similar sets may disagree on: the first cut whose signatures hold
+#: USUAL_ELEMENTS elements on average, else the last.
+CUTS = ((3, 1), (5, 2))
+USUAL_ELEMENTS, LEAST_ELEMENTS = 5, 2
 BLOCK = 1 << 20
 GROUP_ROWS, GROUP_BYTES = 4096, 16 << 20
+SALTS = 16
 FLUSH = 500_000
 _FACTOR = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)
@@ -121,43 +125,55 @@ class Bands:
         return 1 << max(8, (4 * self.most(band)).bit_length())
 
 
-def spare_cells(most: int, top: int) -> int:
-    """Cells beyond those that differences can touch, so that light ones need not be signatures (see ``signatures``)."""
-    mean = top / (most + 1)
-    light = most * math.exp(-mean) * (1 + mean)  # cells with less than two elements, if elements fall at random
-    return math.ceil(1.5 * light + 3 * math.sqrt(light)) if most >= 12 else 0
+def _light(mean: float) -> float:
+    """Share of signatures with less than LEAST_ELEMENTS elements, if elements fall at random."""
+    return math.exp(-mean) * (1 + mean)
 
 
-def signatures(elements: np.ndarray, band: int, most: int, top: int, subparts: int = SUBPARTS, spare: int = SPARE) -> np.ndarray:
+@lru_cache(maxsize=4096)
+def layout(most: int, top: int) -> tuple[int, int, int]:
+    """Parts, subparts of each and how many of those may differ, for sets of up to ``top`` elements that differ in at most ``most``.
+
+    The coarser cut, if its signatures still hold enough elements to tell sets apart. Some parts are to spare, so
+    that light signatures can be left out (see ``signatures``).
+    """
+    for inner, spare in CUTS:
+        spare = min(spare, most)
+        parts = -(-(most + 1) // (spare + 1))
+        mean = (inner - spare) * top / (parts * inner)
+        if mean >= USUAL_ELEMENTS:
+            break
+    light = parts * math.comb(inner, spare) * _light(mean)
+    return parts + (math.ceil(light + 2 * math.sqrt(light)) if parts > 2 else 0), inner, spare
+
+
+def signatures(elements: np.ndarray, band: int, most: int, top: int, cut: tuple[int, int, int] | None = None) -> np.ndarray:
     """Signatures of a sorted set for pairs of sets of sizes up to ``top`` that differ in at most ``most`` elements.
 
-    Where a signature is a single cell, cells with less than two elements are left out: they are common to many
-    sets that are not similar. Similar sets agree on all cells but ``most``, so with more further cells than a
-    set has light ones they agree on one that is not light. A set with too many light cells signs all.
+    Similar sets differ in at most ``spare`` elements in all parts but ``most // (spare + 1)``, and in such a part
+    they agree on one choice of ``inner - spare`` subparts. Choices with less than LEAST_ELEMENTS elements are
+    common to many sets that are not similar. They are left out where the parts that have one are fewer than the
+    parts in which a similar set must agree: one of the latter then has no light choice, and what the sets agree
+    on there is a signature of both. A set with too many light choices signs all.
     """
-    spare = min(spare, most)
-    parts = -(-(most + 1) // (spare + 1))
-    inner = subparts if spare else 1
-    single = inner - spare <= 1
-    if single:
-        parts = -(-(most + 1 + spare_cells(most, top)) // inner)
+    parts, inner, spare = cut or layout(most, top)
     cells = parts * inner
     # elements are hashes, so equal stretches of their range are equal parts of the domain
     edges = (np.arange(1, cells, dtype=np.float64) * (2.0**64 / cells)).astype(np.uint64)
     at = np.r_[0, np.searchsorted(elements, edges), len(elements)]
     sums = np.r_[np.uint64(0), np.cumsum(mix64(elements ^ np.uint64(0x5851F42D4C957F2D)))]
-    cell = (sums[at[1:]] - sums[at[:-1]]).reshape(parts, inner)
-    heavy = (np.diff(at) >= 2).reshape(parts, inner)
-    skip = single and int((~heavy).sum()) < cells - most
-    out = []
-    for number, chosen in enumerate(combinations(range(inner), inner - spare if spare else 1)):
+    cell, count = (sums[at[1:]] - sums[at[:-1]]).reshape(parts, inner), np.diff(at).reshape(parts, inner)
+    made, heavy = [], []
+    for number, chosen in enumerate(combinations(range(inner), inner - spare)):
         mixed = cell[:, chosen[0]].copy()
         for c in chosen[1:]:
             mixed = mix64(mixed) + cell[:, c]
         place = np.uint64((band * 64 + number) << 32) + np.arange(parts, dtype=np.uint64)
-        made = mix64(mixed ^ mix64(place))
-        out.append(made[heavy[:, chosen[0]]] if skip else made)
-    return np.concatenate(out)
+        made.append(mix64(mixed ^ mix64(place)))
+        heavy.append(count[:, chosen].sum(1) >= LEAST_ELEMENTS)
+    made, heavy = np.stack(made), np.stack(heavy)
+    risky = int((~heavy.all(0)).sum())
+    return made[heavy] if risky < parts - most // (spare + 1) else made.ravel()
 
 
 def sketch(elements: np.ndarray, bits: int) -> np.ndarray:
@@ -366,47 +382,56 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     Rows with one doc_id and one set of shingles are one document; other rows with one doc_id stay or go by
     their own component. Of rows without a doc_id that are linked only with each other, each set stays.
+    All columns of docs stay as they are, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
-    gone = scratch.write(_linked(docs, words, percent).filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"), F.col("node").alias("_set")).distinct(), "gone")
+    again_, gone_, set_, node_, n_ = (free_name(docs, x) for x in ("_again", "_gone", "_set", "_node", "_n"))
+    linked = _linked(docs.select("doc_id", "text"), words, percent, scratch)
+    gone = scratch.write(linked.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias(gone_), F.col("node").alias(set_)).distinct(), "gone")
+    scratch.drop("met", "linked")
     # identifiers that are missing or given more than once are rare: only those rows are told apart by their sets
-    again = small_side(scratch.write(docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).filter("_n > 1 or _again is null").select("_again"), "again"))
-    plain = docs.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti").join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twins = _with_node(docs.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi"), words)
-    left = twins.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & F.col("_node").eqNullSafe(F.col("_set")), "left_anti")
-    return plain.unionByName(left.filter("_node is not null").dropDuplicates(["doc_id", "_node"]).unionByName(left.filter("_node is null")).drop("_node"))
+    counted = docs.groupBy(F.col("doc_id").alias(again_)).agg(F.count("*").alias(n_))
+    again = small_side(scratch.write(counted.filter((F.col(n_) > 1) | F.col(again_).isNull()).select(again_), "again"))
+    plain = docs.join(again, F.col("doc_id").eqNullSafe(F.col(again_)), "left_anti").join(small_side(gone), F.col("doc_id") == F.col(gone_), "left_anti")
+    twins = _with_node(docs.join(again, F.col("doc_id").eqNullSafe(F.col(again_)), "left_semi"), words, node_)
+    left = twins.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_)) & F.col(node_).eqNullSafe(F.col(set_)), "left_anti")
+    return plain.unionByName(left.filter(F.col(node_).isNotNull()).dropDuplicates(["doc_id", node_]).unionByName(left.filter(F.col(node_).isNull())).drop(node_))
 
 
-def _with_node(docs: DataFrame, words: int) -> DataFrame:
-    """docs with the hash of each text's set as ``_node``, null for an empty set."""
+def _with_node(docs: DataFrame, words: int, name: str) -> DataFrame:
+    """docs with the hash of each text's set as a column of that name, null for an empty set."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = [set_hash(s) if len(s) else None for s in shingle_sets(batch.column(at), words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(lean(run), docs.withColumn("_node", F.lit(None).cast("long")).schema)
+    return docs.mapInArrow(lean(run), docs.withColumn(name, F.lit(None).cast("long")).schema)
 
 
 def link_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    return _linked(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+    return _linked(docs, words, percent, Scratch(docs.sparkSession)).select("doc_id", "n_shingles", "component_id")
 
 
-def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles, node, component_id of every row; of the scratch tables, ``met`` and ``linked`` are left."""
     spark = docs.sparkSession
-    scratch, parts = Scratch(spark), shuffle_parts(spark)
+    parts = shuffle_parts(spark)
     met = scratch.write(_meeting(_signed(docs, words, percent, 2 * parts)), "met")
-    documents = met.filter("n is not null").select("doc_id", "n", "node", "sketch")
+    # very many documents may be of one node: they are dealt by node and salt, and meet one row for each of these
+    documents = met.filter("n is not null").select("doc_id", "n", "node", "sketch", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     groups = met.filter("grp is not null").select("grp", "size", "node").distinct()
-    classes = documents.filter("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("doc_id").alias("least"))
+    pieces = documents.filter("node is not null").groupBy("node", "salt").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("doc_id").alias("least"))
+    classes = pieces.groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("least").alias("least"))
     rows = groups.join(classes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
     near = scratch.write(_search(_blocks(rows, "grp", F.ceil(F.col("size") / GROUP_ROWS)), "grp", percent, exact=False), "near")
     blocks = components(near, scratch, "blocks")
 
     # the sets of the nodes that have a neighbour by sketch, from the texts
     wanted = small_side(scratch.write(blocks.join(classes.select(F.col("node").alias("_node"), "least", "n"), F.col("node") == F.col("_node")).select("node", "root", "least", "n"), "wanted"))
+    scratch.drop("near", "blocks")
     texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(wanted, F.col("_doc").eqNullSafe(F.col("least"))).select("node", "root", "n", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,10 +445,15 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     weights = small_side(scratch.write(whole.groupBy("root").agg(F.ceil(F.sum(8 * F.col("n") + 64) / GROUP_BYTES).alias("blocks")).withColumnRenamed("root", "_root"), "weights"))
     dealt = _blocks(whole.join(weights, F.col("root") == F.col("_root")), "root", F.col("blocks"))
     links = scratch.write(_search(dealt, "root", percent, exact=True), "links")
-    linked = components(links, scratch, "linked").select(F.col("node").alias("_n"), "root")
+    scratch.drop("wanted", "sets", "weights")
+    found = components(links, scratch, "linked")
+    scratch.drop("links")
+    linked = found.select(F.col("node").alias("_n"), "root")
     named = classes.select("node", "least").join(linked, F.col("node") == F.col("_n"))
     firsts = named.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "_root")
     of_node = named.join(firsts, F.col("root") == F.col("_root")).select(F.col("node").alias("_n"), "first")
     # every class has its least document; those with links have the least of their component
     final = classes.select(F.col("node").alias("_node"), "least").join(of_node, F.col("_node") == F.col("_n"), "left").select("_node", F.coalesce("first", "least").alias("first"))
-    return documents.join(final, F.col("node") == F.col("_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("first", "doc_id").alias("component_id"))
+    dealt = pieces.select("node", F.col("salt").alias("_salt")).join(final, F.col("node") == F.col("_node")).select("_node", "_salt", "first")
+    joined = documents.join(dealt, (F.col("node") == F.col("_node")) & (F.col("salt") == F.col("_salt")), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("first", "doc_id").alias("component_id"))

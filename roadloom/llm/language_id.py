@@ -10,7 +10,9 @@ their ids; a bound that does not grow with the corpus), half as many more to wei
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows with a null language or text
 teach nothing; without any training text all is ``und``; one known language is predicted for every text with a
-letter; repeated rows get equal results; a null doc_id is not held out and teaches nothing.
+letter; repeated rows get equal results, and of codewords equally near the first language by name is taken; a
+null doc_id is not held out and teaches nothing; an empty table gives no rows; further columns are ignored (or
+stay, in ``keep_identified``); long texts are read whole, in blocks of whole texts of about BLOCK bytes.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ DIMENSIONS = 1 << 15
 BLOCK = 1 << 21
 #: A text is ambiguous when the best codeword's share is below this.
 LEAST_SCORE = 0.6
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _CLASS = np.array([32 if b < 128 and not chr(b).isalpha() else b for b in range(256)], np.uint8)
 
 
@@ -71,6 +73,11 @@ def _grams(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.n
         first = end
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of one of Unicode's letter categories is in the text; number signs such as ½ are none."""
+    return text is not None and any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def _lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(column, ""))
 
@@ -105,7 +112,7 @@ class Model:
         share = np.exp(loss.min(1, keepdims=True) - loss)
         share /= share.sum(1, keepdims=True)
         best = share.argmax(1)
-        letter = [x is not None and _LETTER.search(x) is not None for x in column.to_pylist()]
+        letter = [has_letter(x) for x in column.to_pylist()]
         return [self.languages[i] if ok else UNKNOWN for i, ok in zip(best, letter)], np.where(letter, share[np.arange(len(best)), best], 0.0)
 
 

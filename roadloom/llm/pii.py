@@ -7,13 +7,14 @@ all documents, and different values of one layout different ones. A text is spli
 row by row: no shuffle, and no code outside DataFrame expressions.
 
 Kinds: e-mail addresses (the part before the at sign), IPv4 addresses, dates from 1800 to 2199 (three layouts,
-day before month where both are possible), payment card numbers (13 to 19 digits with a right check digit),
+day before month where both are possible), IPv6 addresses of eight groups, payment card numbers (13 to 19 digits with a right check digit),
 bank account numbers (IBAN with right check digits), social security numbers, telephone numbers with an area
-code (a leading country code stays), and credentials: access key ids, 32 to 64 hexadecimal digits in either case, and what
+code or, in groups of any size, behind a country code (which stays), and credentials: access key ids, 32 to 64 hexadecimal digits in either case, and what
 follows ``password=``.
 
-Defined cases: a null text stays null with no pseudonyms; an empty text stays; repeated rows get equal results;
-an empty table gives no rows; all columns of the input stay.
+Defined cases: a null text stays null with no pseudonyms; an empty text stays; repeated rows get equal results,
+and there are no ties, as candidates don't overlap (the first from the left stands); an empty table gives no
+rows; all columns of the input stay, whatever their names; a long text is read whole, in one row's expression.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.common import free_name
+
 ROUNDS = 8
 # One alternative for each kind; inner groups but the separator's capture nothing.
 _BEFORE, _AFTER = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
@@ -40,9 +43,11 @@ KINDS = {
     "hex": _BEFORE + r"[0-9A-Fa-f]{32,64}+" + _AFTER,
     "iban": _BEFORE + f"(?:(?:{_IBAN}){_AFTER}|{_LONGEST})" + _AFTER,
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
+    "ip6": r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])",
     "date": r"(?<![A-Za-z0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![A-Za-z0-9]|[./\-][0-9])",
     "ssn": _BEFORE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}" + _AFTER,
+    "abroad": r"(?<![A-Za-z0-9+])\+[1-9][0-9]{0,2}(?:[ .\-]?\([0-9]{1,4}\)|[ .\-][0-9]{1,5})(?:[ .\-][0-9]{2,8}){1,4}" + _AFTER,
     "card": _BEFORE + r"(?:[0-9]{13,19}+|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})" + _AFTER,
 }
 PATTERN = "|".join(KINDS.values())
@@ -216,11 +221,19 @@ def _phone(v: Column, key: str) -> Column:
     return F.concat(country, _let(rest, lambda r: _laid_out(r, _permuted(_symbols(r), "phone", key))))
 
 
+def _abroad(v: Column, key: str) -> Column:
+    """The country code stays; numbers of less than 7 or more than 14 digits behind it are none."""
+    country = F.regexp_extract(v, r"^\+[0-9]{1,3}", 0)
+    rest = F.substring(v, F.length(country) + 1, F.length(v))
+    return F.when(F.length(_symbols(rest)).between(7, 14), F.concat(country, _let(rest, lambda r: _laid_out(r, _permuted(_symbols(r), "abroad", key))))).otherwise(v)
+
+
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of a candidate; a candidate that is not valid stays as it is."""
     whole = lambda kind: value.rlike("^(?:" + KINDS[kind].replace("(?<=password[=:])", "") + ")$")
     out = F.when(F.contains(value, F.lit("@")), _email(value, key))
     out = out.when(whole("ip"), _ip(value, key)).when(whole("date"), _date(value, key)).when(whole("ssn"), _ssn(value, key)).when(whole("phone"), _phone(value, key))
+    out = out.when(whole("ip6"), _laid_out(value, _permuted(_symbols(value), "ip6", key, 6))).when(whole("abroad"), _abroad(value, key))
     out = out.when(whole("card"), _card(value, key)).when(whole("access_key"), F.concat(F.lit("AKIA"), _permuted(F.substring(value, F.lit(5), F.lit(16)), "access_key", key)))
     # without the letters above f, hexadecimal digits stay such
     out = out.when(whole("hex"), _permuted(value, "hex", key, 6)).when(whole("iban"), _iban(value, key))
@@ -228,12 +241,16 @@ def pseudonym(value: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
-    """docs with pseudonyms in a text column; ``count`` names a further column with how many were put in."""
-    have = docs.select("*", F.when(F.col(text).rlike(MAY_HOLD), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("_found"))
-    have = have.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda v: pseudonym(v, key))))
-    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), "_new", lambda part, new: F.concat(part, F.coalesce(new, F.lit("")))), "")
-    out = have.withColumn(text, F.when(F.col("_new").isNotNull(), joined).otherwise(F.col(text)))
+    """docs with pseudonyms in a text column; ``count`` names a further column with how many were put in.
+
+    A column of that name stays, and the count's gets underscores until its name is free.
+    """
+    found, new = free_name(docs, "_found"), free_name(docs, "_new")
+    have = docs.select("*", F.when(F.col(text).rlike(MAY_HOLD), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias(found))
+    have = have.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda v: pseudonym(v, key))))
+    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda part, put: F.concat(part, F.coalesce(put, F.lit("")))), "")
+    out = have.withColumn(text, F.when(F.col(new).isNotNull(), joined).otherwise(F.col(text)))
     if count:
-        changed = F.aggregate(F.zip_with("_found", "_new", lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
-        out = out.withColumn(count, F.coalesce(changed, F.lit(0).cast("long")))
-    return out.drop("_found", "_new")
+        changed = F.aggregate(F.zip_with(found, new, lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+        out = out.withColumn(free_name(docs, count), F.coalesce(changed, F.lit(0).cast("long")))
+    return out.drop(found, new)

@@ -1,11 +1,15 @@
 """Quality rules per document, and the frequency of lines across the documents of one host.
 
-Everything is a DataFrame expression: the counts of a text need no shuffle, and what crosses the network
-for the line frequencies is hashes and counts.
-
-Defined cases: a null or empty text has no words, fails the base rules and is not kept; a null host is a
-host of its own; equal rows get equal verdicts; an empty table gives an empty result; further columns of
-the input are ignored.
+Everything is a DataFrame expression. One pass over the texts writes their counts and the hashes of their
+normalised lines; what crosses the network for the line frequencies is these hashes and counts. A line that more
+than ``MOST_DOCUMENTS`` documents of a host hold is boilerplate there, at every size of host and corpus, and is
+removed from all of them, the first included. A document is depleted, and not kept, when more than a fifth of its
+words are removed or fewer than the base rules ask for are left.
+
+Defined cases: a null or empty text has no words, fails the base rules and is not kept; a null host is a host of
+its own; rows with one doc_id are one document to the line counts, and so are a host's rows without a doc_id;
+equal rows get equal verdicts, and there are no ties; an empty table gives an empty result; further columns of the
+input are ignored; a long text is read whole, in one row's expression.
 """
 
 from __future__ import annotations
@@ -13,16 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.common import Scratch, small_side
+
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-#: A line is boilerplate when more distinct texts of its host hold it than this number and this share.
-LEAST_TEXTS = 50
-TEXT_SHARE = 0.02
-#: A document is depleted when boilerplate lines hold more than this share of its words.
-MOST_REMOVED = 0.5
+#: A line is boilerplate when more documents of its host hold it.
+MOST_DOCUMENTS = 5
+#: A document is depleted when boilerplate lines hold more than this share of its words, or leave less than LEAST_WORDS.
+MOST_REMOVED = 0.2
 SALTS = 16
 
 
@@ -32,82 +37,73 @@ def words(text: Column) -> Column:
 
 def _repeated_words(frame: DataFrame, items: str) -> DataFrame:
     """Adds n_repeat_words: words inside three-word windows that occur twice or more in the text."""
-    window = lambda i: F.struct(F.xxhash64(*[F.get(F.col(items), i + k) for k in range(3)]).alias("h"), i.alias("i"))
     n = F.size(items)
-    frame = frame.withColumn("_g", F.when(n > 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))))
+    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(*[F.get(F.col(items), i + k) for k in range(3)]))
+    frame = frame.withColumn("_h", F.when(n > 3, windows))
+    # most texts repeat no window, and need no sorting
+    frame = frame.withColumn("_g", F.when(F.size("_h") > F.size(F.array_distinct("_h")), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda x, i: (F.get(F.col("_g"), i)["h"] == x["h"])
     twice = F.transform(F.col("_g"), lambda x, i: F.when((i > 0) & same(x, i - 1) | F.coalesce(same(x, i + 1), F.lit(False)), x["i"]))
     frame = frame.withColumn("_p", F.sort_array(F.filter(twice, lambda p: p.isNotNull())))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     step = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"))
-    return frame.withColumn("n_repeat_words", F.coalesce(F.aggregate("_p", start, step, lambda acc: acc["n"]), F.lit(0)).cast("long")).drop("_g", "_p")
+    return frame.withColumn("n_repeat_words", F.coalesce(F.aggregate("_p", start, step, lambda acc: acc["n"]), F.lit(0)).cast("long")).drop("_h", "_g", "_p")
+
+
+def normal_line(line: Column) -> Column:
+    """Lower case, digits as 0, blanks as one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), BLANKS, " "))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, _host, _digest and the counts of each text; one row for each input row."""
+def counted_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, host, the counts of each text and its lines (hash of the normal form, words); one row for each input row."""
     text = F.coalesce("text", F.lit(""))
-    frame = docs.select("doc_id", F.col("source").alias("_host"), text.alias("_text")).withColumn("_digest", F.xxhash64("_text"))
-    frame = frame.withColumn("_w", words(F.col("_text")))
-    frame = _repeated_words(frame, "_w")
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD))
-    frame = frame.withColumn("_l", lines)
+    frame = docs.select("doc_id", F.col("source").alias("host"), text.alias("_text"))
+    frame = _repeated_words(frame.withColumn("_w", words(F.col("_text"))), "_w")
+    frame = frame.withColumn("_l", F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)))
+    # a normal form has single spaces between its words
+    item = lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
     return frame.select(
         "doc_id",
-        "_host",
-        "_digest",
+        "host",
         F.size("_w").cast("long").alias("n_words"),
         F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
+        F.transform(F.transform("_l", normal_line), item).alias("lines"),
     )
 
 
-def normal_line(line: Column) -> Column:
-    """Lower case, digits as 0, blanks as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), BLANKS, " "))
-
-
-def document_lines(docs: DataFrame) -> DataFrame:
-    """_host, doc_id, _digest, line (hash) and its words in the text, one row for each distinct line of a row."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(WORD))
-    item = lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("n"))
-    frame = docs.select("doc_id", F.col("source").alias("_host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_digest"), F.explode(F.transform(lines, item)).alias("x"))
-    return frame.select("doc_id", "_host", "_digest", "x.line", "x.n")
-
-
-def boilerplate_lines(lines: DataFrame, least_texts: int, text_share: float) -> DataFrame:
-    """_host, line, n_texts: the lines that more texts of a host hold than the limits allow.
+def boilerplate_lines(counted: DataFrame, most_documents: int) -> DataFrame:
+    """host, line, n_documents: the lines that more documents of a host hold than the limit allows.
 
-    A text that many documents repeat counts once. Both levels combine before they shuffle, so a line that
-    a third of all documents hold is a handful of rows when it reaches its task.
+    Distinct documents are counted in two steps, of which the first deals by host, line and document: a line
+    that a third of all documents hold is a handful of rows when it reaches one task.
     """
-    texts = lines.groupBy("_host", "line", "_digest").agg(F.lit(1).alias("one")).groupBy("_host", "line").agg(F.count("*").alias("n_texts"))
-    hosts = lines.groupBy("_host", "_digest").agg(F.lit(1).alias("one")).groupBy(F.col("_host").alias("_h")).agg(F.count("*").alias("n_host"))
-    often = texts.filter(F.col("n_texts") > least_texts)
-    return often.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).filter(F.col("n_texts") > text_share * F.col("n_host")).select("_host", "line", "n_texts")
+    lines = counted.select("host", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    return lines.groupBy("host", "line", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n_documents")).filter(F.col("n_documents") > most_documents)
 
 
-def quality_rules(docs: DataFrame, least_texts: int = LEAST_TEXTS, text_share: float = TEXT_SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:
+def quality_rules(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_removed: float = MOST_REMOVED) -> DataFrame:
     """Counts and verdict of every row of docs (doc_id, text, source)."""
-    lines = document_lines(docs)
-    often = boilerplate_lines(lines, least_texts, text_share)
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.write(counted_texts(docs).withColumn("row", F.monotonically_increasing_id()), "counted")
+    often = scratch.write(boilerplate_lines(counted, most_documents).select(F.col("host").alias("_h"), F.col("line").alias("_l")), "often")
+    entries = counted.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.line", "x.n")
     # one copy of each boilerplate line for every salt: a line that very many documents hold meets them in many tasks
-    often = often.select(F.col("_host").alias("_oh"), F.col("line").alias("_ol"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_os"))
-    counted = lines.groupBy("doc_id", "_host", "_digest", "line").agg(F.max("n").alias("n"), F.count("*").alias("times"))
-    rows = docs.groupBy("doc_id", F.col("source").alias("_host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_digest")).agg(F.count("*").alias("copies"))
-    hit = counted.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(often, F.col("_host").eqNullSafe(F.col("_oh")) & (F.col("line") == F.col("_ol")) & (F.col("_s") == F.col("_os")))
-    removed = hit.groupBy("doc_id", "_host", "_digest").agg(F.sum(F.col("n") * F.col("times")).alias("gone"), F.sum("times").alias("gone_lines"))
-    removed = removed.join(rows.withColumnsRenamed({"doc_id": "_d", "_host": "_g", "_digest": "_e"}), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_host").eqNullSafe(F.col("_g")) & (F.col("_digest") == F.col("_e")))
-    removed = removed.select(F.col("doc_id").alias("_d"), F.col("_host").alias("_h"), F.col("_digest").alias("_e"), F.expr("gone div copies").alias("gone"), F.expr("gone_lines div copies").alias("gone_lines"))
-    base = base_counts(docs)
-    joined = base.join(removed, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_digest") == F.col("_e")), "left")
+    salted = small_side(scratch.write(often.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "salted"))
+    met = entries.withColumn("_t", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    hit = met.join(salted, F.col("host").eqNullSafe(F.col("_h")) & (F.col("line") == F.col("_l")) & (F.col("_t") == F.col("_s")))
+    removed = hit.groupBy(F.col("row").alias("_r")).agg(F.sum("n").alias("gone"), F.count("*").alias("gone_lines"))
+    joined = counted.drop("lines", "host").join(removed, F.col("row") == F.col("_r"), "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     gone = F.coalesce("gone", F.lit(0)).cast("long")
+    depleted = (gone > most_removed * F.col("n_words")) | (F.col("n_words") - gone < LEAST_WORDS)
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & (gone <= most_removed * F.col("n_words"))).alias("kept"),
+        (~failed & ~depleted).alias("kept"),
         F.coalesce("gone_lines", F.lit(0)).cast("long").alias("n_removed_lines"),
         gone.alias("n_removed_words"),
     )

@@ -8,14 +8,17 @@ Their places are brought into suffix order, and within a run of places that agre
 whose position has a smaller one before or after it in that order (previous and next smaller value) has a
 longest previous factor of at least that length.
 
-A k-gram with more than ``GROUP_RECORDS`` different stretches is not gathered: its places are dealt out by
-their own strings, of which each task sends on only the first.
+The stretches of a k-gram with more than ``GROUP_RECORDS`` different ones are not brought together: their places
+are dealt out by their own strings, of which each task sends on only the first, and what meets there is put in
+suffix order like any other group. The number sets how work is dealt, not what is found.
 
-Stretches of one k-gram are told apart by 96 bits of hash, and the bytes themselves in suffix order.
+Stretches of one k-gram are told apart by 96 bits of hash, and the bytes themselves in suffix order. Rows with
+one doc_id are told apart by 32 bits of a hash of their texts.
 
 Defined cases: a null text is an empty one; a text shorter than ``length`` keeps all; rows with one doc_id and
 one text are one document, other rows with one doc_id are different documents in the order of a hash of their
-texts; a null doc_id stands after all others; an empty table gives no rows; further columns are ignored.
+texts; a null doc_id stands after all others; an empty table gives no rows; further columns are ignored (or stay,
+in ``without_repeats``, whatever their names); a long text is walked in overlapping blocks of BLOCK places.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from roadloom.llm.common import Scratch, byte_table, lean, mix64, row_groups, sh
 
 LENGTH, GRAM = 100, 28
 BLOCK, FLUSH = 1 << 20, 500_000
-GROUP_RECORDS = 100_000
+GROUP_RECORDS = 1000
 CHUNK_BYTES = 8 << 20
 LAST = (1 << 63) - 1
 _FACTOR = 0x9E3779B97F4A7C15
@@ -64,28 +67,32 @@ def _hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix64((sums[end] - sums[start]) * _powers(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
-def text_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (_hashes(sums, start, end) >> np.uint64(32)).astype(np.uint32)
+def blocks(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Whole texts of about BLOCK bytes together, or a part of a longer text: the first one's number, its offset, bytes, bounds.
 
-
-def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Whole texts of about BLOCK bytes together: the first one's number, all bytes, bounds."""
+    Every string of ``length`` bytes of a long text is in one of its parts.
+    """
     raw, bounds = utf8_batch(column)
     first = 0
     while first < len(bounds) - 1:
         end = max(first + 1, int(np.searchsorted(bounds, bounds[first] + BLOCK, side="right")) - 1)
-        yield first, raw[bounds[first] : bounds[end]], bounds[first : end + 1] - bounds[first]
+        part = raw[bounds[first] : bounds[end]]
+        if len(part) <= 2 * BLOCK:
+            yield first, 0, part, bounds[first : end + 1] - bounds[first]
+        else:
+            for at in range(0, len(part) - length + 1, BLOCK):
+                piece = part[at : at + BLOCK + length - 1]
+                yield first, at, piece, np.array([0, len(piece)])
         first = end
 
 
-def records(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Stretches of places with one anchor; the text of each."""
+def records(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
+    """Stretches of places with one anchor."""
     sums = _sums(raw)
-    texts = text_hash(sums, bounds[:-1], bounds[1:])
     n, width = len(raw) - gram + 1, length - gram + 1
     size = np.diff(bounds)
     if n < width:
-        return {}, texts
+        return {}
     place = np.arange(n)
     # the k-gram's hash above its position: the least of them is the leftmost of the least
     low = np.uint64((1 << max(21, len(raw).bit_length())) - 1)
@@ -97,10 +104,11 @@ def records(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tupl
     if have < width:
         least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
     anchor = (least & low).astype(np.int64)
-    owner = np.repeat(np.arange(len(size)), np.maximum(size - length + 1, 0))
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(size - length + 1, 0)) - np.maximum(size - length + 1, 0), np.maximum(size - length + 1, 0)) + bounds[owner]
+    places = np.maximum(size - length + 1, 0)
+    owner = np.repeat(np.arange(len(size)), places)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(places) - places, places) + bounds[owner]
     if not len(inside):
-        return {}, texts
+        return {}
     anchor = anchor[inside]
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])])
     count = np.diff(np.r_[new, len(anchor)])
@@ -111,11 +119,10 @@ def records(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tupl
         "h": _hashes(sums, anchor, anchor + gram),
         "c": mix64(whole ^ mix64((lead * 256 + count).astype(np.uint64))),
         "owner": owner,
-        "text": texts[owner],
         "start": start - bounds[owner],
         "n": count.astype(np.uint8),
         "lead": lead.astype(np.uint8),
-    }, texts
+    }
 
 
 def _packed(table: dict[str, np.ndarray], bucket: np.ndarray, names: list[str]) -> pa.RecordBatch:
@@ -204,11 +211,12 @@ def _recorded(docs: DataFrame, length: int, gram: int, buckets: int) -> DataFram
             yield _packed({k: (table[k][left] >> np.uint64(32)) if k == "h" else table[k][left] for k, _ in _FIELDS}, bucket, names)
 
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for first, raw, bounds in blocks(batch.column(1)):
-                found, _ = records(raw, bounds, length, gram)
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
+            for first, offset, raw, bounds in blocks(batch.column(2), length):
+                found = records(raw, bounds, length, gram)
                 if found:
-                    found["key"] = keys[first + found.pop("owner")]
+                    own = first + found.pop("owner")
+                    found["key"], found["text"], found["start"] = keys[own], texts[own], found["start"] + offset
                     held.append(found)
                     size += len(found["h"])
             if size > FLUSH:
@@ -258,10 +266,10 @@ def _decided(recorded: DataFrame, length: int, most: int) -> DataFrame:
 
 
 def _fetched(joined: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted stretches. joined: key, doc, wanted (array of text, start, end, grp, lead, hot).
+    """The bytes of the wanted stretches. joined: key, own, doc, wanted (array of start, end, grp, lead, hot).
 
     Places of hot k-grams are stretches of their own, grouped by their strings; of those with one string, a
-    task sends on the first and reports the others as spans (data null).
+    task sends on the first and reports the others as spans (data null), dealt by their places.
     """
     names = ["grp", "key", "text", "start", "end", "lead", "data"]
 
@@ -272,28 +280,24 @@ def _fetched(joined: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, firsts = [], {}
-            keys, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for first, raw, bounds in blocks(batch.column(1).field(0)):
-                texts = text_hash(_sums(raw), bounds[:-1], bounds[1:]).tolist()
-                data = raw.tobytes()
-                for i, own in enumerate(texts):
-                    base = int(bounds[i])
-                    for x in wanted[first + i]:
-                        if x["text"] != own:
-                            continue
-                        key, part = keys[first + i], data[base + x["start"] : base + x["end"]]
-                        if not x["hot"]:
-                            rows.append((x["grp"], key, own, x["start"], x["end"], x["lead"], part))
-                            continue
-                        for k in range(len(part) - length + 1):
-                            string = part[k : k + length]
-                            row = (key, own, x["start"] + k)
-                            before = firsts.get(string)
-                            if before is None or row < before:
-                                firsts[string] = row
-                            later = row if before is not None and row > before else before if before is not None and row < before else None
-                            if later:
-                                rows.append((0, *later, later[2] + length, 0, None))
+            keys, texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            raw, bounds = utf8_batch(batch.column(2).field(0))
+            for i, (key, own) in enumerate(zip(keys, texts)):
+                data = raw[bounds[i] : bounds[i + 1]].tobytes()
+                for x in wanted[i]:
+                    part = data[x["start"] : x["end"]]
+                    if not x["hot"]:
+                        rows.append((x["grp"], key, own, x["start"], x["end"], x["lead"], part))
+                        continue
+                    for k in range(len(part) - length + 1):
+                        string = part[k : k + length]
+                        row = (key, own, x["start"] + k)
+                        before = firsts.get(string)
+                        if before is None or row < before:
+                            firsts[string] = row
+                        later = row if before is not None and row > before else before if before is not None and row < before else None
+                        if later:
+                            rows.append((hash(later), *later, later[2] + length, 0, None))
                 if len(rows) > 20_000:
                     yield batch_of(rows)
                     rows = []
@@ -396,26 +400,23 @@ def _repeats(stretches: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(joined: DataFrame, schema: str, made) -> DataFrame:
-    """Applies ``made`` to (key, text bytes, spans) of every document. joined: key, doc, gone (array of text, start, end)."""
+    """Applies ``made`` to (row, text bytes, spans) of every document. joined: key, own, doc, gone (array of start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = batch.column(2)
+            gone = batch.column(3)
             flat, offsets = gone.flatten(), np.diff(gone.offsets.to_numpy())
             count = np.where(gone.is_valid().to_numpy(zero_copy_only=False), offsets, 0)
             ends = np.cumsum(count)
-            fields = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            starts, stops = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            raw, bounds = utf8_batch(batch.column(2).field(0))
             rows = []
-            for first, raw, bounds in blocks(batch.column(1).field(0)):
-                texts = text_hash(_sums(raw), bounds[:-1], bounds[1:])
-                data = raw.tobytes()
-                for i in range(len(bounds) - 1):
-                    part = slice(ends[first + i] - count[first + i], ends[first + i])
-                    own = fields[0][part] == texts[i]
-                    start, end = fields[1][part][own], fields[2][part][own]
-                    order = np.argsort(start, kind="stable")
-                    _, start, end = _merged(np.zeros(len(order), np.int64), start[order], end[order])
-                    rows.append((first + i, data[bounds[i] : bounds[i + 1]], start.tolist(), end.tolist()))
+            for i in range(batch.num_rows):
+                part = slice(ends[i] - count[i], ends[i])
+                start, end = starts[part], stops[part]
+                order = np.argsort(start, kind="stable")
+                _, start, end = _merged(np.zeros(len(order), np.int64), start[order], end[order])
+                rows.append((i, raw[bounds[i] : bounds[i + 1]].tobytes(), start.tolist(), end.tolist()))
             yield made(batch, rows)
 
     return joined.mapInArrow(lean(run), schema)
@@ -427,24 +428,28 @@ def kept_bytes(data: bytes, start: list[int], end: list[int]) -> bytes:
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, more: tuple[str, ...] = ()) -> DataFrame:
-    """key, doc, gone of every row of docs (doc_id, text): doc has text and the further columns asked for.
+    """key, own, doc, gone of every row of docs (doc_id, text): doc has text and the further columns asked for.
 
-    ``gone`` are spans (text hash, start, end) to remove. The texts are shuffled by key once: both joins take
-    all of ``doc``, so they read one exchange.
+    ``gone`` are spans (start, end) to remove. The texts are shuffled by document once: both joins take all of
+    ``doc``, so they read one exchange.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
+    text = F.coalesce("text", F.lit(""))
     # further columns stay inside ``doc``, so that their names clash with none of these
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.struct(F.coalesce("text", F.lit("")).alias("text"), *more).alias("doc"))
-    decided = Scratch(spark).write(_decided(_recorded(keyed.select("key", "doc.text"), length, gram, 4 * parts), length, GROUP_RECORDS), "decided")
-    placed = keyed.repartition(parts, "key")
-    item = F.struct("text", "start", "end", "grp", "lead", "hot")
-    wanted = decided.filter("grp is not null").groupBy("key").agg(F.collect_list(item).alias("wanted")).withColumnRenamed("key", "_key")
-    texts = placed.join(wanted.hint("shuffle_hash"), F.col("key") == F.col("_key")).select("key", "doc", "wanted")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.shiftrightunsigned(F.xxhash64(text), 32).alias("own"), F.struct(text.alias("text"), *more).alias("doc"))
+    decided = Scratch(spark).write(_decided(_recorded(keyed.select("key", "own", "doc.text"), length, gram, 4 * parts), length, GROUP_RECORDS), "decided")
+    placed = keyed.repartition(parts, "key", "own")
+
+    def lists(spans: DataFrame, name: str, *fields: str) -> DataFrame:
+        return spans.groupBy(F.col("key").alias("_key"), F.col("text").alias("_own")).agg(F.collect_list(F.struct(*fields)).alias(name)).hint("shuffle_hash")
+
+    same = (F.col("key") == F.col("_key")) & (F.col("own") == F.col("_own"))
+    wanted = lists(decided.filter("grp is not null"), "wanted", "start", "end", "grp", "lead", "hot")
+    texts = placed.join(wanted, same).select("key", "own", "doc", "wanted")
     later = _repeats(_fetched(texts, length), length)
     spans = decided.filter("grp is null").select("key", "text", "start", "end").union(later)
-    gone = spans.groupBy("key").agg(F.collect_list(F.struct("text", "start", "end")).alias("gone")).withColumnRenamed("key", "_key")
-    return placed.join(gone.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("key", "doc", "gone")
+    return placed.join(lists(spans, "gone", "start", "end"), same, "left").select("key", "own", "doc", "gone")
 
 
 def _ids(batch: pa.RecordBatch, rows: list[tuple]) -> pa.Array:
@@ -477,7 +482,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
         at = pa.array([r[0] for r in rows], pa.int64())
-        columns = {c: batch.column(1).field(c).take(at) for c in more}
+        columns = {c: batch.column(2).field(c).take(at) for c in more}
         columns["doc_id"] = _ids(batch, rows)
         columns["text"] = pa.array([kept_bytes(d, s, e).decode(errors="ignore") for _, d, s, e in rows], pa.string())
         return pa.RecordBatch.from_arrays([columns[c] for c in docs_columns], names=docs_columns)

@@ -26,7 +26,7 @@ def odd_rows() -> list[tuple]:
 def frame(spark, rows=None, more: bool = False):
     out = spark.createDataFrame(odd_rows() if rows is None else rows, SCHEMA)
     if more:
-        for name in ("length", "place", "key", "n", "line", "bucket", "h", "piece", "task", "rank", "_w", "start", "score", "guest"):
+        for name in ("length", "place", "key", "n", "line", "bucket", "h", "piece", "task", "rank", "_w", "start", "score", "guest", "_found", "_new", "_again", "_gone", "_node", "_set", "_n", "n_pseudonyms"):
             out = out.selectExpr("*", f"'x' as {name}")
     return out
 

@@ -89,7 +89,10 @@ def test_every_similar_pair_shares_a_signature():
         assert j - i <= 1 and len(a) + len(b) - 2 * both <= bands.differing(len(a), len(b)) <= bands.most(j)
         sign = lambda x, *more: J.signatures(x, j, bands.most(j), bands.tops[j], *more)  # noqa: B023, E731
         assert np.intersect1d(sign(a), sign(b)).size
-        assert np.intersect1d(sign(a, 4, 2), sign(b, 4, 2)).size
+        for inner, spare in ((4, 2), (4, 1), (5, 2), (3, 1)):
+            spare = min(spare, bands.most(j))
+            cut = (-(-(bands.most(j) + 1) // (spare + 1)) + turn % 4, inner, spare)
+            assert np.intersect1d(sign(a, cut), sign(b, cut)).size
         bits = bands.sketch_bits(j)
         assert np.bitwise_count(J.sketch(a, bits) ^ J.sketch(b, bits)).sum() <= len(a) + len(b) - 2 * both
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from roadloom.llm import suffix_dedup as S
 from tests.llm.cases import documents, frame
@@ -47,7 +48,7 @@ def planted(n, seed):
 
 
 def test_driver_documents(spark):
-    rows = [(r["doc_id"], r["text"]) for r in documents()[:500]]
+    rows = [(r["doc_id"], r["text"]) for r in documents()]
     got = compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sum(r[2] for r in got) > 0
 
@@ -75,6 +76,38 @@ def test_one_id_with_several_texts(spark):
     assert got == [(1, 0), (1, 0), (1, 0), (2, 600)]
 
 
+def test_long_text_in_blocks(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abc ") for _ in range(5000))
+    column, before = pa.array([text, "short " * 30]), S.BLOCK
+    try:
+        S.BLOCK = 700
+        parts = list(S.blocks(column, 100))
+    finally:
+        S.BLOCK = before
+    assert [p[0] for p in parts] == [0] * 8 + [1]
+    places = [at + i for n, at, raw, _ in parts if n == 0 for i in range(len(raw) - 99)]
+    assert places == list(range(4901))
+    assert all(bytes(raw) == text[at : at + len(raw)].encode() for n, at, raw, _ in parts if n == 0)
+
+
+def test_long_text(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    filler = "".join(rng.choice("abcdefgh ") for _ in range(2 * S.BLOCK + 5000))
+    text = filler[: S.BLOCK - 150] + passage + filler[S.BLOCK :] + passage
+    got = {r.doc_id: r for r in S.removal_digests(spark.createDataFrame([(1, text), (2, "x" + passage)], "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans, got[2].n_removed) == (300, 1, 300)
+
+
+def test_rows_without_ids(spark):
+    rng = random.Random(11)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(2))
+    got = sorted((r.doc_id is None, r.n_bytes, r.n_removed) for r in S.removal_digests(spark.createDataFrame([(None, a), (None, a), (None, b + a), (5, b)], "doc_id long, text string")).collect())
+    assert got[0] == (False, 200, 0)
+    assert sorted(x[2] for x in got[1:]) in ([0, 0, 400], [200, 200, 200])
+
+
 def test_texts_without_repeats(spark):
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefgh é") for _ in range(400))
