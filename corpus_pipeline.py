@@ -2,10 +2,19 @@
 
 Each stage is written as Parquet and read again as the next one's documents, so a lost executor costs no more
 than the stage at hand.
+
+Defined cases, for every stage but the last: the columns are those of documents, further ones are left out; an
+empty table gives an empty one; repeated rows are judged alike (near duplicates keep one of them); long texts are
+taken whole. Null and empty texts have no letter, so the first stage drops them; the others keep them as they are,
+but removal of passages turns null into empty. Rows without a doc_id stay like others; near duplicates tell
+them apart by their words. Ties: of near duplicates the least doc_id stays, of equal passages the first by doc_id.
+``n_chars`` follows the text. The last stage gives the pieces of packed sequences (see its operator).
 """
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = documents(spark, sf_dir, *COLUMNS), Scratch(spark)
+    docs, scratch, before = documents(spark, sf_dir, *COLUMNS), Scratch(spark), None
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            scratch.drop(before)
+        before = name
+        # what a stage shuffled goes once the driver has forgotten its plans
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return STAGES[-1][1](spark, docs, sf_dir)
