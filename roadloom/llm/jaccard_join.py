@@ -37,10 +37,10 @@ WORDS, PERCENT = 3, 90
 #: USUAL_ELEMENTS elements on average, else the last.
 CUTS = ((3, 1), (5, 2))
 USUAL_ELEMENTS, LEAST_ELEMENTS = 5, 2
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 GROUP_ROWS, GROUP_BYTES = 4096, 16 << 20
 SALTS = 16
-FLUSH = 500_000
+FLUSH = 250_000
 _FACTOR = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True

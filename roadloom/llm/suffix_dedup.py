@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import Scratch, byte_table, lean, mix64, row_groups, shuffle_parts, utf8_batch
 
 LENGTH, GRAM = 100, 28
-BLOCK, FLUSH = 1 << 20, 500_000
-GROUP_RECORDS = 1000
-CHUNK_BYTES = 8 << 20
+BLOCK, FLUSH = 1 << 18, 200_000
+GROUP_RECORDS = 10_000
+CHUNK_BYTES = 2 << 20
 LAST = (1 << 63) - 1
 _FACTOR = 0x9E3779B97F4A7C15
 _BYTES = byte_table(23)
