@@ -4,8 +4,12 @@ Normalisation walks the compiled character map of the model (a double-array trie
 longest prefix at each place and records, for each normalised byte, where its source begins; pieces of the
 normalised text are projected to original byte spans through that record.
 
+Which pieces stand for a normalised text is the library's own answer (its merges are the contract); that they
+fill the text from end to end is what projects them.
+
 Defined cases: a null text is an empty one; repeated rows are encoded each; an empty table gives no rows;
-further columns of the input are ignored.
+further columns of the input are ignored; there are no ties; a long text is encoded whole, as its merges may
+reach anywhere.
 """
 
 from __future__ import annotations
@@ -29,6 +33,14 @@ class CharacterMap:
         size = struct.unpack_from("<I", compiled)[0] if compiled else 0
         self.units = np.frombuffer(compiled, "<u4", size // 4, 4).tolist() if size else []
         self.replacements = compiled[4 + size :]
+        #: Bytes that a known prefix can begin with.
+        self.begins = np.array([self._begins(b) for b in range(256)])
+
+    def _begins(self, byte: int) -> bool:
+        if not self.units:
+            return False
+        node = (self.units[0] >> 10) << ((self.units[0] & 512) >> 6) ^ byte
+        return node < len(self.units) and self.units[node] & 0x800000FF == byte
 
     def longest(self, text: bytes, at: int) -> tuple[bytes, int] | None:
         """The replacement of the longest known prefix at a place, and how many bytes it stands for."""
@@ -70,16 +82,50 @@ class Pieces:
         self.names = [p.piece for p in proto.pieces]
         kinds = [p.type for p in proto.pieces]
         self.byte = {i: int(n[3:5], 16) for i, (n, k) in enumerate(zip(self.names, kinds)) if k == 6}
-        self.widths = np.array([1 if k == 6 else len(n.replace(MARK, " ").encode()) for n, k in zip(self.names, kinds)], np.uint32)
+        self.widths = np.array([1 if k == 6 else len(n.encode()) for n, k in zip(self.names, kinds)], np.int64)
+        self.is_byte = np.array([k == 6 for k in kinds])
         self.hidden = {i for i, k in enumerate(kinds) if k == 3}
         self.unknown = next((i for i, k in enumerate(kinds) if k == 2), -1)
-        self.identity = self.prefix and not self.squeeze and not spec.precompiled_charsmap and spec.escape_whitespaces
         self.shown, self.decimal = [n.replace(MARK, " ") for n in self.names], [str(i) for i in range(len(self.names))]
         self.special = {*self.byte, *self.hidden, self.unknown}
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
-        """The normalised text, and for each of its bytes (and its end) the original byte where its source begins."""
+        """The normalised text, and for each of its bytes (and its end) the original byte where its source begins.
+
+        The map is walked only at characters that a known prefix can begin with; the stretches between stay as
+        they are, with marks for spaces.
+        """
         raw = text.encode()
+        if self.squeeze:
+            return self.walked(raw)
+        data = np.frombuffer(raw, np.uint8)
+        heads = (data & 0xC0) != 0x80
+        origin = np.maximum.accumulate(np.where(heads, np.arange(len(data)), 0))
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        done = 0
+
+        def unchanged(end: int) -> None:
+            own = data[done:end]
+            times = np.where(own == 32, 3, 1)
+            out, first = np.repeat(own, times), (np.cumsum(times) - times)[own == 32]
+            for k, byte in enumerate(MARK.encode()):
+                out[first + k] = byte
+            parts.append((out, np.repeat(origin[done:end], times)))
+
+        if self.prefix and raw:
+            parts.append((np.frombuffer(MARK.encode(), np.uint8), np.zeros(3, np.int64)))
+        for at in np.flatnonzero(self.map.begins[data] & heads).tolist():
+            known = self.map.longest(raw, at) if at >= done else None
+            if known is not None:
+                unchanged(at)
+                new = np.frombuffer(known[0].replace(b" ", MARK.encode()), np.uint8)
+                parts.append((new, np.full(len(new), at)))
+                done = at + known[1]
+        unchanged(len(data))
+        return np.concatenate([p for p, _ in parts]).tobytes(), np.r_[np.concatenate([s for _, s in parts]), len(raw)].astype(np.int64)
+
+    def walked(self, raw: bytes) -> tuple[bytes, np.ndarray]:
+        """The same, prefix by prefix, with superfluous spaces removed if the model says so."""
         out, source = bytearray(), []
         space, at = MARK.encode(), 0
         chunks: list[tuple[bytes, int, int]] = []
@@ -113,29 +159,32 @@ class Pieces:
     def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """ids, first byte and end of every piece in the UTF-8 bytes of the text."""
         ids = self.model.encode(text, num_threads=1)
-        return (ids, *self.spans(text, ids))
+        begin, end = self.spans(text, ids)
+        return ids, begin.tolist(), end.tolist()
 
-    def spans(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
+    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end in the UTF-8 bytes of the text, of every piece the model made of it."""
         normal, source = self.normalise(text)
-        begin, end, at, inside, left = [], [], 0, 0, 0
+        number = np.array(ids, np.int64)
+        stop = np.cumsum(self.widths[number]) if self.unknown not in ids else self._stops(normal, ids)
+        end, begin = source[stop], source[np.r_[0, stop[:-1]].astype(np.int64)] if len(ids) else source[:0]
+        # a character of several bytes is one source: its byte pieces share the span's end
+        for k in np.flatnonzero(self.is_byte[number] & (end == begin))[::-1].tolist():
+            end[k] = end[k + 1] if k + 1 < len(ids) and begin[k + 1] == begin[k] else source[-1]
+        return begin, end
+
+    def _stops(self, normal: bytes, ids: list[int]) -> np.ndarray:
+        """Ends of the pieces in the normalised text; an unknown piece reaches to where the next known piece fits."""
+        out, at = [], 0
         for position, i in enumerate(ids):
-            if i in self.byte:
-                width = 1
-            elif i == self.unknown:
-                # an unknown piece spans the characters up to where the next known piece fits
+            if i == self.unknown:
                 following = next((self.names[j].encode() for j in ids[position + 1 :] if j != self.unknown), None)
                 stop = len(normal) if following is None else normal.find(following, at + 1)
-                width = (stop if stop > 0 else len(normal)) - at
+                at = stop if stop > 0 else len(normal)
             else:
-                width = len(self.names[i].encode())
-            begin.append(int(source[at]))
-            at += width
-            end.append(int(source[at]))
-        for k in range(len(ids) - 1, -1, -1):  # a character of several bytes is one source: its byte pieces share the span's end
-            if ids[k] in self.byte and end[k] == begin[k]:
-                end[k] = end[k + 1] if k + 1 < len(ids) and begin[k + 1] == begin[k] else len(text.encode())
-        return begin, end
+                at += int(self.widths[i])
+            out.append(at)
+        return np.array(out, np.int64)
 
     def plain(self, ids: list[int]) -> str:
         """The text of the pieces with word marks as spaces; bytes that form no character become U+FFFD each."""
@@ -168,22 +217,18 @@ class Pieces:
         text = self.plain(ids)
         return text[1:] if self.prefix and text.startswith(" ") else text
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
-        """Number of ids, SHA-256 of the joined ids, SHA-256 of the decoded text, CRC-32 of the pieces' ends, of each text.
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str, int, int]]:
+        """Number of ids, SHA-256 of the joined ids and of the decoded text, CRC-32 of the pieces' first bytes and of their ends.
 
-        The ends are 64-bit places in the original bytes. Where normalisation only puts marks for spaces, a
-        piece's source is as long as its name with the marks as spaces, so ends are a running sum.
+        Places are little-endian 64-bit numbers of original bytes.
         """
         out = []
         for text, ids in zip(texts, self.model.encode(texts, num_threads=1)):
-            if self.identity and MARK not in text and self.unknown not in ids:
-                ends = np.cumsum(self.widths[ids], dtype=np.int64) - 1  # the mark before the text has no source
-            else:
-                ends = np.array(self.spans(text, ids)[1], np.int64)
+            begins, ends = self.spans(text, ids)
             plain = "".join(map(self.shown.__getitem__, ids)) if self.special.isdisjoint(ids) else self.plain(ids)
             back = plain[1:] if self.prefix and plain.startswith(" ") else plain
             joined = ",".join(map(self.decimal.__getitem__, ids))
-            out.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), zlib.crc32(ends.tobytes())))
+            out.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), zlib.crc32(begins.tobytes()), zlib.crc32(ends.tobytes())))
         return out
 
 
@@ -222,7 +267,7 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def encoded_digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ends_crc32 of docs (doc_id, text).
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, begins_crc32, ends_crc32 of docs (doc_id, text).
 
     Encoded, projected, decoded and hashed where the text is: lists of ids would be larger than the texts.
     """
@@ -231,7 +276,7 @@ def encoded_digests(docs: DataFrame, model: str) -> DataFrame:
         digests = pieces(model).digests
         for batch in batches:
             made = digests([x or "" for x in batch.column(1).to_pylist()])
-            columns = [pa.array([m[k] for m in made], t) for k, t in ((0, pa.int64()), (1, pa.string()), (2, pa.string()), (3, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_crc32"])
+            columns = [pa.array([m[k] for m in made], t) for k, t in ((0, pa.int64()), (1, pa.string()), (2, pa.string()), (3, pa.int64()), (4, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "begins_crc32", "ends_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, begins_crc32 long, ends_crc32 long")

@@ -8,7 +8,9 @@ Defined cases: a call without a result is ``unanswered``, a result without a cal
 results) with one identifier in a conversation the first by place stands, and ``n_same`` counts them; calls
 without an identifier are ``unidentified`` and not linked, results without one are left out; references to
 unknown calls are counted and do not order; calls in or behind a cycle have no place; arguments that are no
-JSON object are invalid; a call of an unknown tool is invalid; empty tables give no rows.
+JSON object are invalid; a call of an unknown tool is invalid; empty tables give no rows; further columns are
+ignored; long arguments are read whole, in one row's expression. Canonical JSON has the keys of its outermost
+object in order and no blanks; numbers and inner objects stay as Spark's variant writes them.
 """
 
 from __future__ import annotations
@@ -131,15 +133,19 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of turns (conv_id, turn, role, text) without recorded calls.
 
     A user's turn calls ``reply``, a system's turn ``instruct``; the assistant's turn is the result of the turn
-    before it. A call uses the results of the turn two before it. Identifiers: conversation and turn.
+    before it. A call uses the results of the turn two before it; in every sixth conversation that of the turn two
+    behind it, and in every sixth both, which is a cycle. By the sum of conversation and turn, some calls lack
+    their text, give the turn as a string, or have a field that no schema knows. Identifiers: conversation and turn.
     """
     name = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit(":"), n.cast("string"))
     asked = turns.filter("role in ('user', 'system')")
+    number, before, behind = F.col("conv_id") + F.col("turn"), name(F.col("turn") - 2), name(F.col("turn") + 2)
+    fields = (F.when(number % 11 == 5, "x").alias("note"), F.when(number % 7 != 2, F.col("text")).alias("text"))
     calls = asked.select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit(0).cast("long").alias("idx"),
         F.when(F.col("role") == "user", "reply").otherwise("instruct").alias("name"),
-        F.to_json(F.struct("turn", "text")).alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).alias("after"),
+        F.when(number % 5 == 3, F.to_json(F.struct(*fields, F.col("turn").cast("string").alias("turn")))).otherwise(F.to_json(F.struct(*fields, "turn"))).alias("arguments"),
+        F.when(F.col("conv_id") % 6 == 1, F.array(behind)).when(F.col("conv_id") % 6 == 2, F.array(before, behind)).when(F.col("turn") >= 2, F.array(before)).alias("after"),
     )
     results = turns.filter("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
@@ -151,17 +157,31 @@ def turn_schemas(spark: SparkSession) -> DataFrame:
 
 
 TURNS_SQL = """
-WITH calls AS (
-  SELECT conv_id, conv_id || ':' || turn AS call_id, turn, CASE WHEN role = 'user' THEN 'reply' ELSE 'instruct' END AS name, text,
-         CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS after
+WITH RECURSIVE calls AS (
+  SELECT conv_id, conv_id || ':' || turn AS call_id, turn, CASE WHEN role = 'user' THEN 'reply' ELSE 'instruct' END AS name,
+         CASE WHEN (conv_id + turn) % 7 <> 2 THEN text END AS text, (conv_id + turn) % 5 = 3 AS quoted, (conv_id + turn) % 11 = 5 AS noted
   FROM conversations WHERE role IN ('user', 'system')),
+uses AS (
+  SELECT conv_id, call_id, turn, conv_id || ':' || (turn - 2) AS parent, false AS forward FROM calls WHERE conv_id % 6 = 2 OR (conv_id % 6 <> 1 AND turn >= 2)
+  UNION ALL SELECT conv_id, call_id, turn, conv_id || ':' || (turn + 2), true FROM calls WHERE conv_id % 6 IN (1, 2)),
+known AS (SELECT * FROM uses WHERE parent IN (SELECT call_id FROM calls)),
+missing AS (SELECT call_id, count(*) AS n FROM uses WHERE parent NOT IN (SELECT call_id FROM calls) GROUP BY 1),
+tangled AS (SELECT DISTINCT conv_id FROM known WHERE forward),
+level(call_id, n) AS (
+  SELECT call_id, 0::BIGINT FROM calls WHERE conv_id IN (SELECT conv_id FROM tangled) AND call_id NOT IN (SELECT call_id FROM known)
+  UNION ALL SELECT known.call_id, level.n + 1 FROM level JOIN known ON known.parent = level.call_id),
+place AS (SELECT call_id, max(n) AS n FROM level GROUP BY 1),
 results AS (SELECT conv_id AS c, conv_id || ':' || (turn - 1) AS r, turn AS result_turn, text AS content FROM conversations WHERE role = 'assistant'),
-linked AS (SELECT * FROM calls FULL JOIN results ON call_id = r)
+linked AS (SELECT calls.*, results.*, missing.n AS n_missing, place.n AS at_level, calls.conv_id IN (SELECT conv_id FROM tangled) AS knotted
+  FROM calls LEFT JOIN missing USING (call_id) LEFT JOIN place USING (call_id) FULL JOIN results ON call_id = r)
 SELECT coalesce(conv_id, c) AS conv_id, coalesce(call_id, r) AS call_id,
        CASE WHEN r IS NULL THEN 'unanswered' WHEN call_id IS NULL THEN 'orphan' ELSE 'linked' END AS status,
-       name, turn, result_turn, turn AS order_major, CASE WHEN call_id IS NOT NULL THEN 0::BIGINT END AS order_minor,
-       CASE WHEN after IS NOT NULL AND after NOT IN (SELECT call_id FROM calls) THEN 1 ELSE 0 END::BIGINT AS n_unknown,
-       CASE WHEN call_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_same, call_id IS NOT NULL AS valid, CASE WHEN call_id IS NOT NULL THEN '' END AS errors,
-       '{"arguments":' || CASE WHEN call_id IS NULL THEN 'null' ELSE '{"text":' || to_json(text) || ',"turn":' || turn || '}' END || ',"call_id":' || to_json(coalesce(call_id, r))
+       name, turn, result_turn, CASE WHEN knotted THEN at_level ELSE turn END AS order_major,
+       CASE WHEN call_id IS NULL THEN NULL WHEN NOT knotted THEN 0::BIGINT WHEN at_level IS NOT NULL THEN turn END AS order_minor,
+       coalesce(n_missing, 0)::BIGINT AS n_unknown, CASE WHEN call_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_same,
+       call_id IS NOT NULL AND text IS NOT NULL AND NOT quoted AND NOT noted AS valid,
+       CASE WHEN call_id IS NOT NULL THEN concat_ws(', ', CASE WHEN text IS NULL THEN 'missing text' END, CASE WHEN noted THEN 'unknown note' END, CASE WHEN quoted THEN 'wrong type of turn' END) END AS errors,
+       '{"arguments":' || CASE WHEN call_id IS NULL THEN 'null' ELSE '{' || CASE WHEN noted THEN '"note":"x",' ELSE '' END || coalesce('"text":' || to_json(text) || ',', '')
+       || '"turn":' || CASE WHEN quoted THEN '"' || turn || '"' ELSE turn::VARCHAR END || '}' END || ',"call_id":' || to_json(coalesce(call_id, r))
        || ',"name":' || CASE WHEN name IS NULL THEN 'null' ELSE to_json(name) END || ',"result":' || CASE WHEN content IS NULL THEN 'null' ELSE to_json(content) END || '}' AS canonical
 FROM linked"""

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import zlib
 
 import public_tokenizers
 from sentencepiece import SentencePieceProcessor
@@ -85,3 +86,28 @@ def test_character_map_takes_the_longest_prefix():
     normal, source = model.normalise("  ﬁ ​  é\t")
     assert normal.decode() == "▁fi▁é"
     assert source.tolist() == [2, 2, 2, 2, 2, 5, 5, 5, 11, 11, 14]
+
+
+def test_spans_of_the_query_equal_a_plain_walk(spark):
+    """First bytes and ends of every piece, from the prefix-by-prefix walk and one piece after another."""
+    model, rows = P.pieces(PATH), documents("0.001")[:60]
+    docs = frame(spark).select("doc_id", "text").union(spark.createDataFrame([(r["doc_id"] + 1000, r["text"]) for r in rows], "doc_id long, text string"))
+
+    def crc(values):
+        return zlib.crc32(b"".join(struct.pack("<q", v) for v in values))
+
+    want = {}
+    for r in docs.collect():
+        raw, at, begins, ends = (r.text or "").encode(), 0, [], []
+        ids = model.model.encode(r.text or "")
+        normal, source = model.walked(raw)
+        assert (normal, source.tolist()) == (model.normalise(r.text or "")[0], model.normalise(r.text or "")[1].tolist())
+        for i in ids:
+            width = 1 if i in model.byte else len(model.names[i].encode())
+            begins.append(int(source[at]))
+            at += width
+            # a piece that ends within a character ends with it
+            ends.append(int(source[at]) if i not in model.byte or source[at] != begins[-1] else next(int(x) for x in source[at:] if x != begins[-1]))
+        assert at == len(normal)
+        want[r.doc_id, len(ids)] = (crc(begins), crc(ends))
+    assert want == {(r.doc_id, r.n_tokens): (r.begins_crc32, r.ends_crc32) for r in P.encoded_digests(docs, PATH).collect()}

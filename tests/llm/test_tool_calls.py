@@ -66,7 +66,16 @@ def test_order(spark):
 
 
 def test_turns(spark):
-    turns = spark.createDataFrame([(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 3, "user", "bye"), (2, 0, "assistant", None), (None, 1, None, "x")], "conv_id long, turn long, role string, text string")
-    got = {r.call_id: r for r in T.link_tool_calls(*T.turns_as_calls(turns), T.turn_schemas(spark)).collect()}
-    assert {k: r.status for k, r in got.items()} == {"1:0": "unanswered", "1:1": "linked", "1:3": "unanswered", "2:-1": "orphan"}
-    assert got["1:1"].canonical == '{"arguments":{"text":"hi","turn":1},"call_id":"1:1","name":"reply","result":"hello"}'
+    turns = [(3, 0, "system", "be kind"), (3, 1, "user", "hi"), (3, 2, "assistant", "hello"), (3, 3, "user", "bye"), (4, 0, "assistant", None), (None, 1, None, "x")]
+    turns += [(7, 1, "user", "a"), (7, 3, "user", "b"), (7, 5, "user", "c"), (8, 1, "user", "d"), (8, 3, "user", "e")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r for r in T.link_tool_calls(*T.turns_as_calls(frame), T.turn_schemas(spark)).collect()}
+    assert {k: r.status for k, r in got.items() if r.conv_id in (3, 4)} == {"3:0": "unanswered", "3:1": "linked", "3:3": "unanswered", "4:-1": "orphan"}
+    assert got["3:1"].canonical == '{"arguments":{"text":"hi","turn":1},"call_id":"3:1","name":"reply","result":"hello"}'
+    # conversation 7 refers forward, conversation 8 in a circle
+    assert {k: (r.order_major, r.order_minor, r.n_unknown) for k, r in got.items() if r.conv_id == 7} == {"7:1": (2, 1, 0), "7:3": (1, 3, 0), "7:5": (0, 5, 1)}
+    assert {r.order_major for r in got.values() if r.conv_id == 8} == {None}
+    # by the sum of conversation and turn: 3 gives the turn as a string, 9 has no text, 16 a field that no schema knows
+    assert (got["3:0"].valid, got["3:0"].errors) == (False, "wrong type of turn")
+    assert (got["8:1"].valid, got["8:1"].errors) == (False, "missing text")
+    assert got["7:3"].valid
