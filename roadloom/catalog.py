@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.plans import driver_queries
+from roadloom.plans import driver_queries, walk_queries  # noqa: F401 (adds its queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

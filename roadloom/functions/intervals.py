@@ -18,6 +18,11 @@ def none() -> Column:
     return F.array().cast(LIST)
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often the use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def merged(items: Column, gap: Column | float = EPSILON, strict: bool = False) -> Column:
     """Sorted, and joined where the next one begins within ``gap`` of the end so far (``strict``: nearer than it)."""
     gap = F.lit(gap) if isinstance(gap, float) else gap
@@ -52,15 +57,19 @@ def complement(items: Column) -> Column:
 
 def without_tiny(items: Column, length_m: Column) -> Column:
     """Without intervals of less than ten metres, where the length is known."""
-    return F.when(length_m > 0, F.filter(items, lambda x: (x["b"] - x["a"]) * length_m >= LEAST_METRES)).otherwise(items)
+    return F.filter(items, lambda x: F.coalesce(length_m <= 0, F.lit(True)) | ((x["b"] - x["a"]) * length_m >= LEAST_METRES))
 
 
 def gaps_closed(items: Column, length_m: Column) -> Column:
     """Merged; gaps and ends of less than ten metres are closed where the length is known."""
     near = F.lit(LEAST_METRES) / length_m
-    joined = merged(merged(items), near, strict=True)
-    snapped = F.transform(joined, lambda x: interval(F.when(x["a"] < near, 0.0).otherwise(x["a"]), F.when(1 - x["b"] < near, 1.0).otherwise(x["b"])))
-    return F.when(length_m > 0, snapped).otherwise(merged(items))
+    known = F.coalesce(length_m > 0, F.lit(False))
+
+    def closed(found: Column) -> Column:
+        joined = merged(found, near, strict=True)
+        return F.transform(joined, lambda x: interval(F.when(x["a"] < near, 0.0).otherwise(x["a"]), F.when(1 - x["b"] < near, 1.0).otherwise(x["b"])))
+
+    return let(merged(items), lambda found: F.when(known, closed(found)).otherwise(found))
 
 
 def total(items: Column) -> Column:

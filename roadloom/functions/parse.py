@@ -61,8 +61,8 @@ def partial_text(ranges: Column) -> Column:
 
 def coordinate_paste(text: Column) -> Column:
     """(lat, lon) of pasted text: labelled numbers, else the first two; null if there are none."""
-    labelled = lambda names: F.regexp_extract(text, rf"(?i)\b(?:{names})\b\s*[:=]?\s*({_NUMBER})", 1).try_cast("double")
-    lat, lon = labelled("lat|latitude"), labelled("lon|lng|long|longitude")
+    labelled = lambda names: F.regexp_extract(text, rf"(?i)\b(?:{names})\s*[:=]?\s*({_NUMBER})", 1).try_cast("double")
+    lat, lon = labelled("latitude|lat"), labelled("longitude|long|lon|lng")
     numbers = F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0))
     plain = F.when(F.size(numbers) >= 2, F.struct(F.get(numbers, F.lit(0)).try_cast("double").alias("lat"), F.get(numbers, F.lit(1)).try_cast("double").alias("lon")))
     return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon"))).otherwise(plain)

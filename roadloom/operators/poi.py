@@ -42,3 +42,11 @@ def coverage_upsert(coverage: DataFrame, box: tuple[float, float, float, float],
     kept = coverage.filter(~box_contains(mine, own))
     new = coverage.sparkSession.createDataFrame([(*box, fetched_at)], "min_lat double, min_lon double, max_lat double, max_lon double, fetched_at string")
     return kept.unionByName(new).orderBy(F.col("fetched_at").desc()).limit(most)
+
+
+def listed(points: DataFrame) -> DataFrame:
+    """points with place, their number from 1 in the order of names (by a locale's rules) and latitudes.
+
+    For one cache's points, some hundreds; the window is one task.
+    """
+    return points.withColumn("place", F.row_number().over(Window.orderBy(F.collate("name", "UNICODE"), "lat")).cast("long"))

@@ -13,9 +13,8 @@ def retained(manifest: DataFrame, now: Column, at: str = "generated_at", days: i
 
 def first_publishes(requests: DataFrame, key: str = "publish_id", order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """The first request of each identifier; the others are retries of it. Requests without one all stay."""
-    first = Window.partitionBy(key).orderBy(*order)
-    ranked = requests.withColumn("_n", F.when(F.col(key).isNull(), 1).otherwise(F.row_number().over(first)))
-    return ranked.filter("_n = 1").drop("_n")
+    named = requests.filter(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return named.filter("_n = 1").drop("_n").unionByName(requests.filter(F.col(key).isNull()))
 
 
 def free_name(taken: DataFrame, base: str, most: int = 1000) -> DataFrame:

@@ -91,6 +91,19 @@ def overlaps(merged: DataFrame, keys: tuple[str, ...], fixed: tuple[tuple[float,
     return pairs.select(*keys, F.greatest("a", "_y.a").alias("a"), F.least("b", "_y.b").alias("b")).filter("b > a")
 
 
+def swept(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, a, b, both: the stretches of the left intervals (keys, a, b), cut at the ends of the right ones; both: covered by these too.
+
+    A sweep over the ends of both lists with two running counts; no interval is compared with another.
+    """
+    end = lambda frame, side: frame.select(*keys, F.explode(F.array(*[F.struct(F.col(c).alias("at"), F.lit(n if side == 0 else 0).alias("l"), F.lit(n if side else 0).alias("r")) for c, n in (("a", 1), ("b", -1))])).alias("e")).select(*keys, "e.*")
+    ends = end(left, 0).unionByName(end(right, 1)).groupBy(*keys, "at").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    open_ = ends.select(*keys, F.col("at").alias("a"), F.lead("at").over(order).alias("b"), F.sum("l").over(so_far).alias("_l"), F.sum("r").over(so_far).alias("_r"))
+    return open_.filter("_l > 0 and b > a").select(*keys, "a", "b", (F.col("_r") > 0).alias("both"))
+
+
 def small_gaps_closed(merged: DataFrame, keys: tuple[str, ...], near: float) -> DataFrame:
     """Merged intervals (keys, a, b; disjoint) with gaps, and ends at 0 and 1, of less than ``near`` closed."""
     order = Window.partitionBy(*keys).orderBy("a")

@@ -375,11 +375,12 @@ def road_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("ward").agg(F.count("*").alias("roads"), F.round(F.sum("leftover"), 4).alias("residences_left"), F.count_if(roads.eligible(F.col("status"), F.col("leftover"))).alias("eligible"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_partkey % 18278 AS n FROM part)
+@query("""WITH p AS (SELECT p_partkey, p_partkey AS n FROM part)
 SELECT p_partkey, CASE WHEN n < 26 THEN chr((65 + n)::INTEGER) WHEN n < 702 THEN chr((64 + n // 26)::INTEGER) || chr((65 + n % 26)::INTEGER)
+  WHEN n >= 18278 THEN chr((65 + (n - 18278) // 17576)::INTEGER) || chr((65 + ((n - 18278) // 676) % 26)::INTEGER) || chr((65 + ((n - 18278) // 26) % 26)::INTEGER) || chr((65 + n % 26)::INTEGER)
   ELSE chr((65 + (n - 702) // 676)::INTEGER) || chr((65 + ((n - 702) // 26) % 26)::INTEGER) || chr((65 + n % 26)::INTEGER) END AS route_id FROM p""")
 def route_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part", "p_partkey").select("p_partkey", text.letters_id(F.col("p_partkey") % 18278).alias("route_id"))
+    return table(spark, sf_dir, "part", "p_partkey").select("p_partkey", text.letters_id(F.col("p_partkey")).alias("route_id"))
 
 
 @query(f"""WITH b AS (SELECT c_custkey AS k, ({metres_sql('0e0', '0e0', '1e-3', '1e-3', '528e-1')}) AS unused, degrees(atan2((((c_custkey * 13) % 200)::DOUBLE - 1e2) * (111320e0 * cos(radians(528e-1))), ((((c_custkey * 29) % 190)::DOUBLE - 95e0) * 110540e0))) + 36e1 AS d FROM customer),
