@@ -245,7 +245,8 @@ def _signed(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFram
                     sig = np.concatenate([signatures(elements, b, bands.most(b), bands.tops[b]) for b in (band, band + 1)])
                     held.append((sig, own))
                     size += len(sig)
-            bucket = pa.array([(x or 0) % buckets for x in node], pa.int32())
+            # the documents' rows are read as they come, so they are dealt evenly, copies of one text too
+            bucket = pa.array((np.arange(len(node)) % buckets).astype(np.int32))
             yield pa.RecordBatch.from_arrays([bucket, batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.array([None] * len(n), pa.binary())], names=names)
             if size > FLUSH:
                 yield packed()
