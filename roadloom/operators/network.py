@@ -16,6 +16,8 @@ class Rounds:
         self.spark = df.sparkSession
         base = self.spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="roadloom-")
             self.spark.conf.set("spark.checkpoint.dir", base)
         self.base, self.turn = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}", 0

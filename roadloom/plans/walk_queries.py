@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo, intervals, parse, text
-from roadloom.operators import homes, marks, payload, poi, roads, routes, tracks
+from roadloom.operators import homes, marks, payload, poi, roads, routes, tracks, walks
 from roadloom.plans.driver_queries import LAT0, RANGES_SQL, ROADS_SQL, S_LAT, S_LON, event_ranges, grid_roads, grid_vertices, key_point, query, table
 
 KX = "(111320e0 * cos(radians(528e-1)))"
@@ -390,3 +390,93 @@ def interval_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = left.filter((F.col("a") * 1000).cast("decimal(20,0)").cast("long") % 3 == 0).select("user_id", (F.col("a") + 0.002).alias("a"), (F.col("b") + 0.003).alias("b"))
     total = lambda test: F.round(F.coalesce(F.sum(F.when(test, F.col("b") - F.col("a"))), F.lit(0.0)), 6)
     return roads.swept(left, right, ("user_id",)).groupBy("user_id").agg(total(~F.col("both")).alias("alone"), total(F.col("both")).alias("shared"))
+
+
+LINK_NODES_SQL = f"""node AS (SELECT c_custkey AS node, -25e-1 + (c_custkey % 40)::DOUBLE * 12e-4 + (c_custkey % 7)::DOUBLE * 1e-4 AS lon, 526e-1 + (c_custkey // 40)::DOUBLE * 9e-4 AS lat FROM customer),
+edge AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE c_custkey % 3 = 1 AND c_custkey < (SELECT max(c_custkey) FROM customer)),
+part AS (SELECT a AS node, a AS part FROM edge UNION ALL SELECT b, a FROM edge), placed AS (SELECT node, part, lon, lat FROM node JOIN part USING (node))"""
+
+
+@query(f"""WITH {LINK_NODES_SQL}, d AS (SELECT p.part AS p1, q.part AS p2, least(p.node, q.node) AS a, greatest(p.node, q.node) AS b, sqrt((p.lon - q.lon) * {KX} * ((p.lon - q.lon) * {KX}) + (p.lat - q.lat) * 110540e0 * ((p.lat - q.lat) * 110540e0)) AS m
+  FROM placed p JOIN placed q ON p.part < q.part AND abs(p.lat - q.lat) < 11e-4 AND abs(p.lon - q.lon) < 2e-3)
+SELECT a, b, round(m, 4) AS length_m FROM d WHERE m <= 12e1 QUALIFY row_number() OVER (PARTITION BY p1, p2 ORDER BY m, a, b) = 1""")
+def gap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("node"))
+    c = F.col("node")
+    nodes = k.select("node", (F.lit(-2.5) + (c % 40).cast("double") * 0.0012 + (c % 7).cast("double") * 0.0001).alias("lon"), (F.lit(52.6) + F.floor(c / 40).cast("double") * 0.0009).alias("lat"))
+    edges = k.filter("node % 3 = 1").select(c.alias("a"), (c + 1).alias("b")).join(k.select(c.alias("b")), "b")
+    return walks.gap_links(nodes, edges, LAT0).select("a", "b", F.round("length_m", 4).alias("length_m"))
+
+
+@query("""WITH RECURSIVE w AS (SELECT 0 AS walk, 1::BIGINT AS node, 0e0 AS dist_m, []::VARCHAR[] AS streets UNION ALL
+  SELECT walk, s_suppkey, dist_m + (1 + s_suppkey % 7)::DOUBLE, CASE WHEN s_suppkey % 5 = 0 OR streets[-1] = 'Road ' || s_suppkey % 3 THEN streets ELSE list_append(streets, 'Road ' || s_suppkey % 3) END FROM w JOIN supplier ON s_suppkey // 2 = node AND s_suppkey > 1)
+SELECT node, dist_m, array_to_string(streets, ' > ') AS streets FROM w""")
+def shortest_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier", "s_suppkey").filter("s_suppkey > 1")
+    street = F.when(k % 5 != 0, F.concat(F.lit("Road "), (k % 3).cast("string")))
+    short = s.select(F.floor(k / 2).alias("a"), k.alias("b"), (1 + k % 7).cast("double").alias("length_m"), street.alias("street"))
+    long = short.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("length_m") + 0.5).alias("length_m"), F.lit("Byway").alias("street"))
+    starts = spark.range(1).select(F.lit(0).alias("walk"), F.lit(1).cast("long").alias("node"), F.lit(0.0).alias("dist_m"))
+    return walks.shortest_walks(short.union(long), starts).select("node", "dist_m", F.array_join("streets", " > ").alias("streets"))
+
+
+def ladder_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the streets of ladders: a rung, then two rails and a rung for each block; twenty streets are a route."""
+    r = table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("edge"), F.floor(F.col("c_custkey") / 20).alias("route"), (F.col("c_custkey") % 20).alias("i"))
+    block, kind = F.floor((F.col("i") + 2) / 3), F.col("i") % 3  # kinds: rung, lower and upper rail
+    ends = {"ax": F.when(kind == 0, block).otherwise(block - 1), "ay": (kind == 2).cast("int"), "bx": block, "by": (kind != 1).cast("int")}
+    both = r.withColumns(ends).withColumn("forward", F.explode(F.array(F.lit(True), F.lit(False))))
+    pick = lambda one, two: F.when(F.col("forward"), F.col(one)).otherwise(F.col(two))
+    both = both.withColumns({"tx": pick("ax", "bx"), "ty": pick("ay", "by"), "hx": pick("bx", "ax"), "hy": pick("by", "ay")})
+    name = lambda c: F.col("route") * 100 + F.col(f"{c}x") * 2 + F.col(f"{c}y")
+    bearing = F.pmod(F.degrees(F.atan2((F.col("hx") - F.col("tx")).cast("double"), (F.col("hy") - F.col("ty")).cast("double"))) + 360.0, F.lit(360.0))
+    none = F.lit(None).cast("double")
+    return both.select("route", "edge", "forward", name("t").alias("tail"), name("h").alias("head"), bearing.alias("bearing"), F.concat(F.lit("Road "), (F.col("i") % 5).cast("string")).alias("street"), F.lit(1).alias("homes"), (F.lit(-2.0) + F.col("tx") * 0.001).alias("lon"), (F.lit(52.8) + F.col("ty") * 0.001).alias("lat"), none.alias("start_lon"), none.alias("start_lat"))
+
+
+@query()
+def walk_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.tours(ladder_halves(spark, sf_dir), LAT0)
+
+
+@query("""WITH r AS (SELECT (c_custkey // 20)::VARCHAR AS route, count(*) AS e FROM customer GROUP BY 1)
+SELECT route, 2 * e AS walked, 2 * e AS pavements, 2 * ((e - 1) // 3) AS crossings, (e - 1) // 3 AS back, 1::BIGINT AS parts FROM r""")
+def tour_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # each block of a ladder is a face, crossed into and back from the face around all
+    steps = walks.tours(ladder_halves(spark, sf_dir), LAT0)
+    walk, cross = F.col("type") == "walk", F.col("type") == "cross"
+    return steps.groupBy("route").agg(F.count_if(walk).alias("walked"), F.countDistinct(F.when(walk, F.struct("edge", "forward"))).alias("pavements"), F.count_if(cross).alias("crossings"), F.count_if(cross & F.col("back")).alias("back"), F.count_if(F.col("type") == "approach").alias("parts"))
+
+
+@query("""WITH k AS (SELECT o_custkey AS route, o_orderkey AS k FROM orders), s AS (SELECT route, k, CASE WHEN k % 5 = 0 THEN 'cross' WHEN k % 13 = 0 THEN 'approach' ELSE 'walk' END AS type FROM k),
+t AS (SELECT *, row_number() OVER (PARTITION BY route, type ORDER BY k) = 1 AS first_, sum(CASE WHEN type = 'walk' THEN 1 ELSE 0 END) OVER (PARTITION BY route ORDER BY k) + CASE WHEN type = 'walk' THEN 0 ELSE 1 END AS w FROM s),
+u AS (SELECT route, w, k, CASE WHEN type = 'cross' THEN CASE WHEN k % 2 = 0 THEN 'Cross back over ' ELSE 'Cross over ' END || 'Road ' || k % 3 || ' / Mill Lane.'
+  WHEN k % 60 > 25 THEN 'Walk to the corner of Road ' || k % 3 || ' and Mill Lane (about ' || (floor((k % 60) / 1e1 + 5e-1) * 10)::BIGINT || ' m, nothing to deliver on the way).' WHEN first_ THEN 'Start at the corner of Road ' || k % 3 || ' and Mill Lane.' END AS said FROM t WHERE type <> 'walk'),
+p AS (SELECT route, w, coalesce(string_agg(said, ' ' ORDER BY k), '') AS pre FROM u GROUP BY 1, 2),
+a AS (SELECT t.route, k, coalesce(pre, '') AS pre, pre IS NOT NULL AS apart, 'Road ' || k // 2 % 3 AS street, CASE k // 8 % 4 WHEN 0 THEN 'side' WHEN 1 THEN 'both' WHEN 2 THEN 'back' ELSE 'sidedone' END AS pass, (k * 37 % 360)::DOUBLE AS out_, (k * 53 % 360)::DOUBLE AS in_, 2 + k % 3 AS degree, k % 11 = 0 AS uturn FROM t LEFT JOIN p ON p.route = t.route AND p.w = t.w WHERE type = 'walk'),
+b AS (SELECT *, lag(street) OVER o AS s0, lag(pass) OVER o AS p0, lag(in_) OVER o AS i0 FROM a WINDOW o AS (PARTITION BY route ORDER BY k)),
+c AS (SELECT *, (out_ - i0 + 54e1 + 36e1) % 36e1 - 18e1 AS turn FROM b), d AS (SELECT *, s0 IS NULL OR apart AS fresh, coalesce(s0 = street AND degree >= 3 AND abs(turn) >= 5e1, false) AS fork FROM c),
+e AS (SELECT *, sum(CASE WHEN fresh OR (NOT (pass = 'back' AND p0 = 'back') AND (s0 <> street OR uturn OR fork OR p0 <> pass)) THEN 1 ELSE 0 END) OVER (PARTITION BY route ORDER BY k) AS n FROM d),
+f AS (SELECT route, n, arg_min(street, k) AS street, arg_min(pass, k) AS pass, arg_min(pre, k) AS pre, arg_min(uturn, k) AS uturn, arg_min(coalesce(s0, ''), k) AS s0, arg_min(coalesce(turn, 999), k) AS turn, arg_min(fork, k) AS fork, arg_min(fresh, k) AS fresh,
+  arg_max((k + 5) % 17, k)::DOUBLE * 1e1 - arg_min(k % 13, k)::DOUBLE * 1e1 AS dx, arg_max((k + 3) % 11, k)::DOUBLE * 1e1 - arg_min(k % 7, k)::DOUBLE * 1e1 AS dy, sum((1e1 + k % 50)::DOUBLE) AS length_m,
+  sum(CASE pass WHEN 'side' THEN (k % 4) / 2e0 WHEN 'both' THEN (k % 4)::DOUBLE ELSE 0e0 END) AS homes, list(street ORDER BY k) AS all_ FROM e GROUP BY 1, 2),
+g AS (SELECT *, list_filter(all_, lambda x, i: list_position(all_, x) = i) AS seen, CASE WHEN sqrt(dx * dx + dy * dy) > greatest(2e1, length_m * 25e-2) THEN (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[(floor(((degrees(atan2(dx, dy)) + 36e1) % 36e1) / 45e0 + 5e-1)::INTEGER % 8) + 1] END AS dir,
+  CASE WHEN abs(turn) < 35 THEN 'straight' WHEN abs(turn) > 150 THEN 'round' WHEN turn < 0 THEN 'left' ELSE 'right' END AS way FROM f),
+h AS (SELECT *, coalesce(CASE dir WHEN 'N' THEN 'north' WHEN 'NE' THEN 'north-east' WHEN 'E' THEN 'east' WHEN 'SE' THEN 'south-east' WHEN 'S' THEN 'south' WHEN 'SW' THEN 'south-west' WHEN 'W' THEN 'west' WHEN 'NW' THEN 'north-west' END || ' along ' || street, 'round ' || street) AS along,
+  CASE WHEN len(seen) = 1 THEN street WHEN len(seen) = 2 THEN seen[1] || ', then ' || seen[2] ELSE seen[1] || ', then ' || seen[2] || ' and ' || seen[3] END AS via FROM g)
+SELECT route, n::BIGINT AS n, street, dir, round(homes, 2) AS homes, round(length_m, 2) AS length_m, trim(CASE WHEN pre = '' THEN '' ELSE pre || ' ' END || CASE WHEN pass = 'back' THEN CASE WHEN uturn AND NOT fresh THEN 'At the end of ' || s0 || ', turn round and head back along ' || via || '. Both sides are already done.' ELSE 'Head back along ' || via || ' (already done).' END ELSE
+  CASE WHEN fresh AND pre <> '' THEN 'Then ' || CASE pass WHEN 'side' THEN 'walk ' ELSE 'drive ' END || along || '.' WHEN fresh THEN CASE pass WHEN 'side' THEN 'Walk ' ELSE 'Drive ' END || along || '.' WHEN uturn THEN 'At the end of ' || s0 || ', cross over and come back down the other side.'
+  WHEN fork AND way = 'straight' THEN 'Carry straight on, staying on ' || street || '.' WHEN fork THEN 'Turn ' || way || ' to stay on ' || street || ' (it branches here).' WHEN way = 'straight' THEN 'Carry straight on into ' || street || '.' WHEN way = 'round' THEN 'Turn round into ' || street || '.' ELSE 'Turn ' || way || ' into ' || street || '.' END
+  || CASE pass WHEN 'both' THEN ' Deliver both sides as you go.' WHEN 'sidedone' THEN ' This side''s already been done, so nothing to deliver.' ELSE '' END END) AS cue FROM h""")
+def walk_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("seq")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_custkey").alias("route"), F.col("o_orderkey").alias("seq"))
+    kind = F.when(k % 5 == 0, "cross").when(k % 13 == 0, "approach").otherwise("walk")
+    num = lambda c: c.cast("double")
+    steps = o.select(
+        "route", "seq", kind.alias("type"), F.array(F.concat(F.lit("Road "), (k % 3).cast("string")), F.lit("Mill Lane")).alias("streets"), (k % 2 == 0).alias("back"), (k % 11 == 0).alias("uturn"), num(k % 60).alias("dist_m"),
+        F.concat(F.lit("Road "), (F.floor(k / 2) % 3).cast("string")).alias("street"), F.element_at(F.array(*map(F.lit, ("side", "both", "back", "sidedone"))), (F.floor(k / 8) % 4 + 1).cast("int")).alias("pass"), num(k % 4).alias("homes"), num(10 + k % 50).alias("length_m"),
+        num(k * 37 % 360).alias("out_bearing"), num(k * 53 % 360).alias("in_bearing"), (2 + k % 3).alias("degree"), (num(k % 13) * 10).alias("a_x"), (num(k % 7) * 10).alias("a_y"), (num((k + 5) % 17) * 10).alias("b_x"), (num((k + 3) % 11) * 10).alias("b_y"),
+    )
+    return walks.walk_legs(steps).select("route", "n", "street", "dir", F.round("homes", 2).alias("homes"), F.round("length_m", 2).alias("length_m"), "cue")
