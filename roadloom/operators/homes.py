@@ -55,6 +55,27 @@ def nearest_pieces(homes: DataFrame, segments: DataFrame, lat0: float, near_m: f
     return best.groupBy("road", "pt").agg(F.min("m").alias("m")).select("road", "pt", "m.piece", "m.along_m", "m.dist")
 
 
+def points_on(homes: DataFrame, segments: DataFrame, lat0: float, near_m: float = NEAR_M) -> DataFrame:
+    """The homes (or other points: road, pt, lon, lat) that lie on a piece of their own road."""
+    return homes.join(nearest_pieces(homes, segments, lat0, near_m).select("road", "pt"), ["road", "pt"], "left_semi")
+
+
+def half_done_of_parts(stretches: DataFrame, segments: DataFrame, lat0: float, near_m: float = 3.0) -> DataFrame:
+    """The stretches done on one side (road, pt, lon, lat of their middle vertex) that lie on the pieces of a part."""
+    return points_on(stretches, segments, lat0, near_m)
+
+
+def build_stats(matched: DataFrame) -> DataFrame:
+    """points, placed, far, roads of points (pt, seg, road, far), of which those of no segment are not placed."""
+    on = F.col("seg").isNotNull()
+    return matched.agg(F.count("*").alias("points"), F.count_if(on).alias("placed"), F.count_if(on & F.col("far")).alias("far"), F.countDistinct(F.when(on, F.col("road"))).alias("roads"))
+
+
+def write_home_index(index: DataFrame, path: str, version: int = VERSION) -> None:
+    """Writes row_key, positions as an index: a JSON line for each row, so that no task holds the whole of it."""
+    index.select(F.lit(version).alias("version"), F.create_map("row_key", "positions").alias("roads")).write.mode("overwrite").json(path)
+
+
 def shared_residences(placed: DataFrame, pieces: DataFrame) -> DataFrame:
     """pieces (road, piece, remaining) with homes (zeros included) and residences: the road's remaining ones, shared by homes.
 

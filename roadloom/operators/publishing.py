@@ -21,3 +21,12 @@ def free_name(taken: DataFrame, base: str, most: int = 1000) -> DataFrame:
     """name: the first of base.html, base1.html, … that no row of taken (name) has."""
     numbers = taken.sparkSession.range(most).select("id", F.concat(F.lit(base), F.when(F.col("id") == 0, "").otherwise(F.col("id").cast("string")), F.lit(".html")).alias("name"))
     return numbers.join(taken.select("name"), "name", "left_anti").orderBy("id").limit(1).select("name")
+
+
+def still_there(manifest: DataFrame, listing: DataFrame) -> DataFrame:
+    """The manifest's entries whose file is in the folder's listing (filename); vanished files drop out."""
+    return manifest.join(listing.select("filename"), "filename", "left_semi")
+
+
+def vanished(manifest: DataFrame, listing: DataFrame) -> DataFrame:
+    return manifest.join(listing.select("filename"), "filename", "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from roadloom.functions.geo import Y_PLAN, metres
+from roadloom.functions.geo import Y_PLAN, effort_weight, metres
 from roadloom.operators.roads import COMPLETE, islands, running_length
 
 LINE = ("road", "frag")
@@ -92,6 +92,17 @@ def parts_needed(effort: Column, target: float, most: float | None = None) -> Co
     return F.greatest(F.floor(effort / target + 0.5), F.ceil(effort / most)).cast("int")
 
 
+def oversized(roads: DataFrame, target: float = 150.0, strict: bool = False, by_effort: bool = False, most: float | None = None) -> DataFrame:
+    """road, k of the roads too big for one route, to be cut in k parts: by homes under strict sizes, by effort where asked; else none.
+
+    roads: road, status, residences (left), length_m.
+    """
+    homes = F.when((F.coalesce("status", F.lit("")) != COMPLETE) & (F.col("residences") > 0) & (F.col("length_m") > 0), F.col("residences").cast("double")).otherwise(0.0)
+    effort = homes * effort_weight(F.col("residences").cast("double"), F.col("length_m")) if by_effort else homes
+    limit = None if not strict else math.floor(1.25 * target + 0.5) if most is None else most
+    return roads.select("road", parts_needed(effort, target, limit).alias("k")).filter((F.col("k") >= 2) & F.lit(strict or by_effort))
+
+
 def _chain(fragments: list[list[tuple[float, float]]], lat0: float) -> list[tuple[int, bool]]:
     """Fragments end to end: from the end that is farthest out, then always the nearest one, turned if need be."""
     kx = 111320.0 * math.cos(math.radians(lat0))

@@ -98,10 +98,10 @@ def read_poi_response(spark: SparkSession, path: str) -> DataFrame:
     return found.filter(wanted).select(name.alias("name"), F.coalesce("e.lat", "e.center.lat").alias("lat"), F.coalesce("e.lon", "e.center.lon").alias("lon"))
 
 
-def read_home_index(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
-    """row_key, positions (thousandths by fragment) of a home index of the right version."""
+def read_home_index(spark: SparkSession, path: str, version: int = 1, lines: bool = False) -> DataFrame:
+    """row_key, positions (thousandths by fragment) of a home index of the right version: one document, or a folder of lines."""
     schema = "version int, roads map<string,array<array<int>>>"
-    return spark.read.schema(schema).option("multiLine", True).json(path).filter(F.col("version") == version).select(F.explode("roads").alias("row_key", "positions"))
+    return spark.read.schema(schema).option("multiLine", not lines).json(path).filter(F.col("version") == version).select(F.explode("roads").alias("row_key", "positions"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -112,6 +112,24 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("filename", "e.ward", "e.constituency", F.col("e.generatedAt").try_cast("timestamp").alias("generated_at"), F.col("e.publishId").alias("publish_id"), "e.sheets")
 
 
+def read_deployments(spark: SparkSession, path: str) -> DataFrame:
+    """The areas of a registry file as maps of text: a list, or an object whose ``deployments`` is one.
+
+    A file that is neither has no areas.
+    """
+    items = "array<map<string,string>>"
+    text = spark.read.text(path, wholetext=True)
+    is_list = F.ltrim("value").startswith("[")
+    found = F.when(is_list, F.from_json("value", items)).otherwise(F.from_json("value", f"struct<deployments:{items}>")["deployments"])
+    return text.select(F.explode(found).alias("deployment"))
+
+
+def read_listing(spark: SparkSession, path: str) -> DataFrame:
+    """filename, modified, bytes of the files in a folder; their content is not read."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
 def tracker_settings(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds a column for each setting that a page's script assigns."""
     for name in SETTINGS:
