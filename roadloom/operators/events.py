@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.functions.geo import Y_PLAN, halves_up, metres, point
 from roadloom.functions.text import letters_id
 from roadloom.operators import clusters, payload, roads, routes
+from roadloom.operators.network import Rounds
 
 REVIEW = "NEEDS REVIEW: combines roads not directly linked by a mapped road in this dataset (nearest-cluster fallback) — double-check there's a sensible walking/driving link between them, or split this route."
 HUB = ["ward", "hub_seq"]
@@ -127,6 +128,8 @@ def _kinds_by_effort(found: DataFrame, table: DataFrame, lat0: float, general: b
 
 
 def _records(found: DataFrame, table: DataFrame, hubs: DataFrame, general: bool) -> tuple[DataFrame, DataFrame]:
+    # written once: routes' names, shapes, markers and lists all read the clusters, which are costly to make again
+    found = Rounds(table).write(found)
     known = table.select("road", "street", "status", "row_index", "lon", "lat", "points")
     edges = table.select(F.col("road").alias("src"), F.explode("neighbours").alias("dst"))
     records = route_records(found.join(known, "road"), edges.union(edges.select("dst", "src")), hubs, general)
@@ -157,7 +160,8 @@ def multi_hub(table: DataFrame, pois: DataFrame, lat0: float, radius_m: float =
     effort (the table's size), and a settlement's routes begin at its own centre.
     """
     sizes = {**sizes, "by_effort": True} if general else sizes
-    settled = clusters.find_settlements(table.select("ward", "ord", "road", "residences", "size", F.lit(0.0).alias("dist_m"), "lon", "lat", "neighbours"), radius_m)
+    asked = table.select("ward", "ord", "road", "residences", "size", F.lit(0.0).alias("dist_m"), "lon", "lat", "neighbours")
+    settled = Rounds(table).write(clusters.find_settlements(asked, radius_m))
     placed = table.join(settled.select("road", F.col("settlement").alias("hub_seq")), "road")
     weight = F.when(F.col("status") != roads.COMPLETE, F.greatest("residences", F.lit(1.0)))
     centre = lambda c: (F.sum(F.col(c) * weight) / F.sum(weight)).alias(c)
