@@ -13,8 +13,6 @@ them apart by their words. Ties: of near duplicates the least doc_id stays, of e
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +70,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before is not None:
             scratch.drop(before)
         before = name
-        # what a stage shuffled goes once the driver has forgotten its plans
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return STAGES[-1][1](spark, docs, sf_dir)
