@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm import fingerprints, jaccard_join, language_id, licenses, oracles, packing, pieces, pii, quality_rules, suffix_dedup, tool_calls
+from roadloom.llm import divergence, fingerprints, jaccard_join, language_id, licenses, oracles, packing, pieces, pii, quality_rules, suffix_dedup, token_counts, tool_calls, whitening
 from roadloom.llm.common import documents
 
 #: For the queries on invented data; a real corpus takes a key of its own from a secret store.
 PSEUDONYM_KEY = "roadloom example key"
+#: ``op11`` marks texts with more tokens than this.
+TOKEN_LIMIT = 512
 
 
 def tokenizer(name: str) -> str:
@@ -60,8 +62,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir, "doc_id", "text"), tokenizer("byte_bpe_50k.json"), TOKEN_LIMIT)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir, "text", "lang", "source"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_tool_calls, op3_best_fit_packing, op4_suffix_dedup, op5_license_scan, op6_sentencepiece, op7_quality_rules, op8_fingerprints, op9_language_id, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_tool_calls, op3_best_fit_packing, op4_suffix_dedup, op5_license_scan, op6_sentencepiece, op7_quality_rules, op8_fingerprints, op9_language_id, op10_jaccard_join, op11_token_counts, op12_source_divergence, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -70,4 +84,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": licenses.scan_sql(),
         "op7_quality_rules": oracles.QUALITY_SQL,
         "op10_jaccard_join": oracles.LINKS_SQL,
+        "op12_source_divergence": divergence.AUDIT_SQL,
     }

@@ -23,7 +23,7 @@ _KIND = np.array([0 if c in b" \n" else 1 if chr(c).isalpha() else 2 if chr(c).i
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[0-9²³¹¼-¾]|(?:[^\w\s]|_)+")
 
 
-def _letters_to_bytes() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The public byte-level alphabet: printable bytes stand for themselves, the others follow from 256."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -53,7 +53,7 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
-        code = _letters_to_bytes()
+        code = byte_alphabet()
         ranks = {}
         for token, number in vocabulary.items():
             word = token.endswith("</w>")
