@@ -7,7 +7,7 @@ all documents, and different values of one layout different ones. A text is spli
 row by row: no shuffle, and no code outside DataFrame expressions.
 
 Kinds: e-mail addresses (the part before the at sign), IPv4 addresses, dates from 1800 to 2199 (three layouts,
-day before month where both are possible), IPv6 addresses of eight groups, payment card numbers (13 to 19 digits with a right check digit),
+day before month where both are possible; days and months with or without a leading zero are layouts of their own), IPv6 addresses of eight groups, payment card numbers (13 to 19 digits with a right check digit),
 bank account numbers (IBAN with right check digits), social security numbers, telephone numbers with an area
 code or, in groups of any size, behind a country code (which stays), and credentials: access key ids, 32 to 64 hexadecimal digits in either case, and what
 follows ``password=``.
@@ -19,6 +19,11 @@ rows; all columns of the input stay, whatever their names; a long text is read w
 
 from __future__ import annotations
 
+import calendar
+import itertools
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +58,8 @@ KINDS = {
 PATTERN = "|".join(KINDS.values())
 #: No kind does without one of these characters, but access keys and passwords.
 MAY_HOLD = r"[0-9@]|AKIA|password[=:]"
-# Days in 400 years, 189 * 773: a Feistel network over this product permutes them without rest.
-_DAYS, _HIGH, _LOW, _FIRST_DAY = 146097, 189, 773, "1800-01-01"
+# Dates are those of 400 years, 97 of them leap years.
+_FIRST_YEAR, _LEAPS = 1800, 97
 
 
 def _let(value: Column, use) -> Column:
@@ -156,26 +161,93 @@ def _ip(v: Column, key: str) -> Column:
     return _let(F.transform(F.split(v, r"\."), lambda x: x.cast("int")), made)
 
 
+@dataclass(frozen=True)
+class _Dates:
+    """The dates of 400 years with a day from ``low`` to ``high`` in the first ``months`` months, in order, as one range of ranks."""
+
+    kind: str
+    months: int
+    low: int
+    high: int
+
+    def before(self, leap: bool) -> list[int]:
+        """How many dates of a year stand before each month, and how many there are."""
+        days = [calendar.monthrange(2000 if leap else 2001, m)[1] for m in range(1, self.months + 1)]
+        return list(itertools.accumulate((min(self.high, d) - self.low + 1 for d in days), initial=0))
+
+    @property
+    def size(self) -> int:
+        return 400 * self.before(False)[-1] + _LEAPS * (self.before(True)[-1] - self.before(False)[-1])
+
+    @property
+    def sides(self) -> tuple[int, int]:
+        """Two sizes of about the same order whose product exceeds ``size`` by as little as can be."""
+        root = math.isqrt(self.size)
+        return min(((h, -(-self.size // h)) for h in range(root, root // 4, -1)), key=lambda s: (s[0] * s[1] - self.size, -s[0]))
+
+    def first(self, year: Column) -> Column:
+        """The rank of a year's first date."""
+        leaps = lambda y: F.floor(y / 4) - F.floor(y / 100) + F.floor(y / 400)
+        common, more = self.before(False)[-1], self.before(True)[-1] - self.before(False)[-1]
+        return (year - _FIRST_YEAR) * common + more * (leaps(year - 1) - leaps(F.lit(_FIRST_YEAR - 1)))
+
+    def _table(self, year: Column) -> Column:
+        leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+        return F.when(leap, F.array(*map(F.lit, self.before(True)))).otherwise(F.array(*map(F.lit, self.before(False))))
+
+    def rank(self, year: Column, month: Column, day: Column) -> Column:
+        return self.first(year) + F.get(self._table(year), month - 1) + day - self.low
+
+    def date(self, rank: Column) -> Column:
+        """year, month, day of a rank."""
+
+        def within(year: Column) -> Column:
+            left = rank - self.first(year)
+            month = F.size(F.filter(F.slice(self._table(year), 1, self.months), lambda n: n <= left))
+            return F.struct(year.alias("year"), month.alias("month"), (left - F.get(self._table(year), month - 1) + self.low).alias("day"))
+
+        about = _FIRST_YEAR + F.floor(rank * 400 / self.size).cast("long")
+        return _let(_let(about, lambda y: y - F.when(self.first(y) > rank, 1).otherwise(0) + F.when(self.first(y + 1) <= rank, 1).otherwise(0)), within)
+
+    def permuted(self, rank: Column, key: str) -> Column:
+        """A Feistel network over the sides, taken again while it leaves the range: its cycles come back to it."""
+        high, low = self.sides
+        once = lambda n: _let(_permuted_pair((n - n % low) / low, n % low, (high, low), self.kind, key), lambda q: q["a"] * low + q["b"])
+        most = high * low - self.size
+        return once(rank) if not most else F.aggregate(F.sequence(F.lit(1), F.lit(most)), once(rank), lambda n, _: F.when(n < self.size, n).otherwise(once(n)))
+
+
+_ALL_DAYS = _Dates("date", 12, 1, 31)
+
+
 def _date(v: Column, key: str) -> Column:
+    """Each layout is permuted by itself: the digits of day and month, and dates that only a month-first reading makes valid."""
+
     def made(p: Column) -> Column:
-        iso = F.length(p[0]) == 4
         text = lambda y, m, d: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
-        day_first, month_first = text(p[2], p[1], p[0]), text(p[2], p[0], p[1])
-        swapped = ~iso & day_first.isNull()
-        day = F.when(iso, text(p[0], p[1], p[2])).otherwise(F.coalesce(day_first, month_first))
-        number = F.datediff(day, F.lit(_FIRST_DAY).cast("date"))
-        pair = _permuted_pair((number - number % _LOW) / _LOW, number % _LOW, (_HIGH, _LOW), "date", key)
-        new = _let(pair, lambda q: F.date_add(F.lit(_FIRST_DAY).cast("date"), (q["a"] * _LOW + q["b"]).cast("int")))
-        wide = F.length(v) == 10
         sep = F.when(F.contains(v, F.lit("/")), "/").otherwise(".")
+        year, a, b = (F.when(F.length(p[0]) == 4, p[i]).otherwise(p[j]).cast("long") for i, j in ((0, 2), (1, 0), (2, 1)))
+        short = (F.length(p[0]) == 1, F.length(p[1]) == 1)
+
+        def shown(dates: _Dates, month_first: bool, put) -> Column:
+            month, day = (a, b) if month_first else (b, a)
+            return _let(dates.permuted(dates.rank(year, month, day), key), lambda n: _let(dates.date(n), put))
 
-        def shown(n: Column) -> Column:
-            short = lambda x: F.when(wide, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
-            # a date that only a month-first reading makes valid may not stay one: its layout is month first all the same
-            first, second = F.when(swapped, F.month(n)).otherwise(F.dayofmonth(n)), F.when(swapped, F.dayofmonth(n)).otherwise(F.month(n))
-            return F.when(iso, n.cast("string")).otherwise(F.concat(short(first), sep, short(second), sep, F.lpad(F.year(n).cast("string"), 4, "0")))
+        two = lambda x: F.lpad(x.cast("string"), 2, "0")
+        four = lambda x: F.lpad(x.cast("string"), 4, "0")
 
-        return F.when((number >= 0) & (number < _DAYS), _let(new, shown)).otherwise(v)
+        def layout(first: str, second: str, one: bool, other: bool):
+            put = lambda q, name, narrow: q[name].cast("string") if narrow else two(q[name])
+            return lambda q: F.concat(put(q, first, one), sep, put(q, second, other), sep, four(q["year"]))
+
+        iso = F.length(p[0]) == 4
+        known = F.when(iso, text(p[0], p[1], p[2]).isNotNull()).otherwise(text(p[2], p[1], p[0]).isNotNull() | text(p[2], p[0], p[1]).isNotNull())
+        out = F.when(~known | ~year.between(_FIRST_YEAR, _FIRST_YEAR + 399), v).when(iso, shown(_ALL_DAYS, True, lambda q: F.concat_ws("-", four(q["year"]), two(q["month"]), two(q["day"]))))
+        day_first = text(p[2], p[1], p[0]).isNotNull()
+        for one, other, dates in ((False, False, _ALL_DAYS), (True, False, _Dates("date12", 12, 1, 9)), (False, True, _Dates("date21", 9, 1, 31)), (True, True, _Dates("date11", 9, 1, 9))):
+            out = out.when(day_first & (short[0] == one) & (short[1] == other), shown(dates, False, layout("day", "month", one, other)))
+        late = _Dates("late22", 12, 13, 31), _Dates("late12", 9, 13, 31)
+        return out.when(short[0], shown(late[1], True, layout("month", "day", True, False))).otherwise(shown(late[0], True, layout("month", "day", False, False)))
 
     return _let(F.split(v, r"[./\-]"), made)
 

@@ -1,8 +1,13 @@
+import bisect
 import datetime
+import functools
 import hashlib
+import math
 import random
 import re
 
+import pandas
+
 from roadloom.llm import pii as P
 from tests.llm.cases import documents, frame
 
@@ -62,6 +67,15 @@ def mod97(s):
     return int("".join(str(int(c, 36)) for c in s)) % 97
 
 
+@functools.cache
+def layout_dates(month_first, one, other):
+    """The name of a layout's permutation and its dates: those whose numbers have a single digit where one is shown."""
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(i) for i in range(146097)]
+    if month_first:
+        return f"late{2 - one}2", [d for d in days if d.day > 12 and (not one or d.month < 10)]
+    return ("date" if not (one or other) else f"date{2 - one}{2 - other}"), [d for d in days if (not one or d.day < 10) and (not other or d.month < 10)]
+
+
 def pseudonym(kind, v):
     if kind == "email":
         local, _, domain = v.partition("@")
@@ -81,21 +95,29 @@ def pseudonym(kind, v):
             except ValueError:
                 return None
 
-        iso, swapped = len(p[0]) == 4, False
+        iso = len(p[0]) == 4
         found = day(*p) if iso else day(p[2], p[1], p[0])
-        if not iso and found is None:
-            found, swapped = day(p[2], p[0], p[1]), True
-        start = datetime.date(1800, 1, 1)
-        if found is None or not 0 <= (found - start).days < 146097:
+        swapped = not iso and found is None
+        found = day(p[2], p[0], p[1]) if swapped else found
+        if found is None or not 1800 <= found.year < 2200:
             return v
-        n = (found - start).days
-        a, b = pair(n // 773, n % 773, (189, 773), kind)
-        new = start + datetime.timedelta(a * 773 + b)
+        narrow = (not iso and len(p[0]) == 1, not iso and len(p[1]) == 1)
+        name, days = layout_dates(swapped, *narrow)
+        # the two sides with the least rest, the nearest to each other first
+        root = math.isqrt(len(days))
+        high, low = min(((h, -(-len(days) // h)) for h in range(root, root // 4, -1)), key=lambda s: (s[0] * s[1] - len(days), -s[0]))
+        n = bisect.bisect_left(days, found)
+        while True:
+            a, b = pair(n // low, n % low, (high, low), name)
+            n = a * low + b
+            if n < len(days):
+                break
+        new = days[n]
         if iso:
             return new.isoformat()
         sep = "/" if "/" in v else "."
         parts = (new.month, new.day) if swapped else (new.day, new.month)
-        return sep.join([*(f"{x:02d}" if len(v) == 10 else str(x) for x in parts), f"{new.year:04d}"])
+        return sep.join([*(str(x) if short else f"{x:02d}" for x, short in zip(parts, narrow)), f"{new.year:04d}"])
     if kind == "card":
         s = symbols(v)
         if not (13 <= len(s) <= 19) or luhn(s[:-1]) != s[-1]:
@@ -180,6 +202,23 @@ def test_permutations():
     assert len({pseudonym("date", d.isoformat()) for d in days}) == len(set(days))
 
 
+def test_all_dates_of_four_centuries_in_all_layouts(spark):
+    """Different texts have different pseudonyms in one layout, none of another one."""
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(i) for i in range(146097)]
+    texts = {d.isoformat() for d in days}
+    for d in days:
+        texts |= {f"{x}/{y}/{d.year}" for x in {f"{d.day:02d}", str(d.day)} for y in {f"{d.month:02d}", str(d.month)}}
+        if d.day > 12:
+            texts |= {f"{y}.{d.day}.{d.year}" for y in {f"{d.month:02d}", str(d.month)}}
+    rows = spark.createDataFrame(pandas.DataFrame({"v": sorted(texts)})).repartition(16).select("v", P.pseudonym(P.F.col("v"), KEY).alias("p"))
+    got = rows.toPandas()
+    assert got.p.nunique() == len(texts) == len(got)
+    shape = got.v.str.replace("[0-9]", "0", regex=True)
+    assert (shape == got.p.str.replace("[0-9]", "0", regex=True)).all() and set(got.p) == texts
+    few = got.sample(3000, random_state=1)
+    assert [pseudonym("date", v) for v in few.v] == few.p.tolist()
+
+
 #: Kind, value and what stands behind it; none of it is taken from the operator's patterns.
 BETWEEN = [
     ("hex", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", '"'),
