@@ -9,8 +9,9 @@ results) with one identifier in a conversation the first by place stands, and ``
 without an identifier are ``unidentified`` and not linked, results without one are left out; references to
 unknown calls are counted and do not order; calls in or behind a cycle have no place; arguments that are no
 JSON object are invalid; a call of an unknown tool is invalid; empty tables give no rows; further columns are
-ignored; long arguments are read whole, in one row's expression. Canonical JSON has the keys of its outermost
-object in order and no blanks; numbers and inner objects stay as Spark's variant writes them.
+ignored; long arguments are read whole, in one row's expression. Canonical JSON has the keys of every object in
+order and no blanks, and numbers by value, exact at any size: ``1``, ``1.0`` and ``1e0`` are one text, and an integer for
+the schema's type. Digits are written out for powers of ten up to 40 either way, else as ``<digits>e<power>``.
 """
 
 from __future__ import annotations
@@ -23,8 +24,13 @@ from roadloom.llm.common import Scratch
 SALTS = 16
 CALLS = "conv_id long, call_id string, turn long, idx long, name string, arguments string, after array<string>"
 SCHEMAS = "name string, field string, type string, required boolean"
-# JSON Schema's types by the names of variant types
-_TYPES = {"string": "STRING", "boolean": "BOOLEAN", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+# JSON Schema's types by the names of variant types; numbers are strings behind a mark here
+_TYPES = {"boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+# Within marked JSON a number is a string that begins with \u0001n, and \u0001 itself is \u0001s. While a text is cut into
+# tokens, an escaped backslash or quote is a control character, which JSON has not.
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+\-]?[0-9]++)?"
+_TOKENS = rf'"[^"]*+"|{_NUMBER}|[^"0-9\-]++|[\-"0-9]'
+_WRITTEN_OUT = 40
 
 
 def _firsts(frame: DataFrame, order: tuple[str, ...], rest: tuple[str, ...]) -> DataFrame:
@@ -35,18 +41,17 @@ def _firsts(frame: DataFrame, order: tuple[str, ...], rest: tuple[str, ...]) ->
 
 def _peeled(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """conv_id, call_id, level of the calls of some conversations; those in or behind a cycle are missing."""
-    done, level = None, 0
+    level = 0
     left = scratch.write(calls.select("conv_id", "call_id"), "left-0")
     while True:
         blocked = edges.select("conv_id", "call_id").distinct()
-        ready = scratch.write(left.join(blocked, ["conv_id", "call_id"], "left_anti"), f"ready-{level}")
+        ready = scratch.write(left.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("long")), f"ready-{level}")
         if ready.isEmpty():
-            return done
-        named = ready.withColumn("level", F.lit(level).cast("long"))
-        done = named if done is None else done.union(named)
+            return scratch.read([f"ready-{n}" for n in range(level + 1)], ready.schema)
         level += 1
         left = scratch.write(left.join(ready, ["conv_id", "call_id"], "left_anti"), f"left-{level}")
-        edges = scratch.write(edges.join(ready.withColumnRenamed("call_id", "parent"), ["conv_id", "parent"], "left_anti").select("conv_id", "call_id", "parent"), f"edges-{level}")
+        edges = scratch.write(edges.join(ready.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_anti").select("conv_id", "call_id", "parent"), f"edges-{level}")
+        scratch.drop(f"left-{level - 1}", *([f"edges-{level - 1}"] if level > 1 else []))
 
 
 def _ordered(calls: DataFrame) -> DataFrame:
@@ -67,14 +72,41 @@ def _ordered(calls: DataFrame) -> DataFrame:
     number = F.coalesce("conv_id", F.lit(-(1 << 63)))
     levels = _peeled(inner(calls).withColumn("conv_id", number), inner(edges.filter("not unknown")).withColumn("conv_id", number).select("conv_id", "call_id", "parent"), scratch)
     marked = out.join(tangled.select(F.col("conv_id").alias("_t"), F.lit(True).alias("tangled")), F.col("conv_id").eqNullSafe(F.col("_t")), "left")
-    if levels is None:
-        return marked.withColumn("order_major", F.when(F.col("tangled").isNull(), F.col("turn"))).withColumn("order_minor", F.when(F.col("tangled").isNull(), F.col("idx"))).drop("_t", "tangled")
     levels = levels.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_p"), "level")
     placed = marked.join(levels, (number == F.col("_c")) & (F.col("call_id") == F.col("_p")), "left")
     known = F.col("level").isNotNull()
     return placed.withColumn("order_major", F.when(F.col("tangled").isNull(), F.col("turn")).otherwise(F.col("level"))).withColumn("order_minor", F.when(F.col("tangled").isNull(), F.col("idx")).when(known, F.col("turn"))).drop("_t", "tangled", "_c", "_p", "level")
 
 
+def canonical_number(token: Column) -> Column:
+    """A JSON number by its value; one whose power is no long stays as it is."""
+    part = lambda i: F.regexp_extract(token, r"^-?([0-9]+)(?:\.([0-9]+))?(?:[eE]([+\-]?[0-9]+))?$", i)
+    given = F.ltrim(F.concat(part(1), part(2)), F.lit("0"))
+    digits = F.rtrim(given, F.lit("0"))
+    power = F.when(part(3) == "", F.lit(0).cast("long")).otherwise(F.regexp_replace(part(3), r"^\+", "").try_cast("long")) - F.length(part(2)) + F.length(given) - F.length(digits)
+    zeros = lambda n: F.repeat(F.lit("0"), n.cast("int"))
+    whole = F.length(digits) + power
+    out = F.when(power.between(0, _WRITTEN_OUT), F.concat(digits, zeros(power)))
+    out = out.when(power.between(-_WRITTEN_OUT, -1) & (whole > 0), F.concat(F.substring(digits, F.lit(1), whole.cast("int")), F.lit("."), F.substring(digits, (whole + 1).cast("int"), F.length(digits))))
+    out = out.when(power.between(-_WRITTEN_OUT, -1), F.concat(F.lit("0."), zeros(-whole), digits)).otherwise(F.concat(digits, F.lit("e"), power.cast("string")))
+    return F.when(power.isNull(), token).when(digits == "", "0").otherwise(F.concat(F.when(token.startswith("-"), "-").otherwise(""), out))
+
+
+def marked_json(text: Column) -> tuple[Column, Column]:
+    """JSON with canonical numbers as marked strings, and with 0 for every number, which tells whether it was valid."""
+    hidden = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x02")), F.lit('\\"'), F.lit("\x03"))
+    tokens = F.when(~text.rlike("[\x02\x03]"), F.regexp_extract_all(hidden, F.lit(_TOKENS), F.lit(0)))
+    number = lambda t: t.rlike(f"^{_NUMBER}$")
+    shown = lambda made: F.replace(F.replace(F.array_join(F.transform(tokens, made), ""), F.lit("\x02"), F.lit("\\\\")), F.lit("\x03"), F.lit('\\"'))
+    marked = lambda t: F.when(number(t), F.concat(F.lit('"\\u0001n'), canonical_number(t), F.lit('"'))).otherwise(F.replace(t, F.lit("\\u0001"), F.lit("\\u0001s")))
+    return shown(marked), shown(lambda t: F.when(number(t), "0").otherwise(t))
+
+
+def _unmarked(text: Column) -> Column:
+    numbers = F.regexp_replace(text, r'"\\u0001n([^"]*)"', "$1")
+    return F.regexp_replace(numbers, r"(?<!\\)((?:\\\\)*)\\u0001s", r"$1\\u0001")
+
+
 def _sorted_map(arguments: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_sort(F.map_keys(arguments)), lambda k: F.struct(k.alias("key"), F.element_at(arguments, k).alias("value"))))
 
@@ -85,13 +117,17 @@ def _validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     fields = schemas.groupBy(F.col("name").alias("_name")).agg(F.collect_set(F.struct("field", "type", "required")).alias("_fields"))
     salted = fields.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = calls.withColumn("_s", F.pmod(F.xxhash64("conv_id", "call_id"), F.lit(SALTS))).join(salted, (F.col("name") == F.col("_name")) & (F.col("_s") == F.col("_salt")), "left")
-    joined = joined.withColumn("_args", F.when(F.try_parse_json("arguments").isNotNull() & F.trim("arguments").startswith("{"), F.from_json("arguments", "map<string,variant>")))
+    marked, plain = marked_json(F.col("arguments"))
+    joined = joined.withColumns({"_marked": marked, "_plain": plain})
+    joined = joined.withColumn("_args", F.when(F.try_parse_json("_plain").isNotNull() & F.trim("arguments").startswith("{"), F.from_json("_marked", "map<string,variant>")))
 
     def problem(field: Column) -> Column:
         # a field that is not there has no entry
         value = F.try_element_at(F.col("_args"), field["field"])
         kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-        fits = F.lit(False)
+        written = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+        number = F.coalesce(written.startswith("\x01n"), F.lit(False))
+        fits = ((field["type"] == "string") & (kind == "STRING") & ~number) | ((field["type"] == "number") & number) | ((field["type"] == "integer") & number & written.rlike("^.n-?[0-9]+(e[0-9]+)?$"))
         for name, pattern in _TYPES.items():
             fits = fits | ((field["type"] == name) & kind.rlike(f"^({pattern})$"))
         there = F.array_contains(F.map_keys("_args"), field["field"])
@@ -101,8 +137,8 @@ def _validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     surplus = F.transform(F.array_except(F.map_keys("_args"), known), lambda k: F.concat(F.lit("unknown "), k))
     errors = F.concat(F.filter(F.transform("_fields", problem), lambda x: x.isNotNull()), surplus)
     errors = F.when(F.col("_args").isNull(), F.array(F.lit("no object"))).when(F.col("_fields").isNull(), F.array(F.lit("unknown tool"))).otherwise(F.array_sort(errors))
-    out = joined.withColumn("errors", errors).withColumn("arguments_json", F.when(F.col("_args").isNotNull(), F.to_json(_sorted_map(F.col("_args")))))
-    return out.drop("_s", "_salt", "_name", "_fields", "_args")
+    out = joined.withColumn("errors", errors).withColumn("arguments_json", F.when(F.col("_args").isNotNull(), _unmarked(F.to_json(_sorted_map(F.col("_args"))))))
+    return out.drop("_s", "_salt", "_name", "_fields", "_args", "_marked", "_plain")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -135,16 +171,18 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     A user's turn calls ``reply``, a system's turn ``instruct``; the assistant's turn is the result of the turn
     before it. A call uses the results of the turn two before it; in every sixth conversation that of the turn two
     behind it, and in every sixth both, which is a cycle. By the sum of conversation and turn, some calls lack
-    their text, give the turn as a string, or have a field that no schema knows. Identifiers: conversation and turn.
+    their text, give the turn as a string or in another spelling, or have a field that no schema knows. Identifiers: conversation and turn.
     """
     name = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit(":"), n.cast("string"))
     asked = turns.filter("role in ('user', 'system')")
     number, before, behind = F.col("conv_id") + F.col("turn"), name(F.col("turn") - 2), name(F.col("turn") + 2)
     fields = (F.when(number % 11 == 5, "x").alias("note"), F.when(number % 7 != 2, F.col("text")).alias("text"))
+    # the same numbers in other spellings, large ones and objects in a surplus field
+    respelt = lambda made: F.regexp_replace(F.regexp_replace(made, '"turn":([0-9]+)}$', F.when(number % 13 == 4, '"turn":$1.0}').when(number % 13 == 6, '"turn":$1e0}').otherwise('"turn":$1}')), '^[{]"note":"x"', F.when(number % 2 == 0, '{"note":12345678901234567890123').otherwise('{"note":{"b":1.50,"a":[-0.0,1E2]}'))
     calls = asked.select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit(0).cast("long").alias("idx"),
         F.when(F.col("role") == "user", "reply").otherwise("instruct").alias("name"),
-        F.when(number % 5 == 3, F.to_json(F.struct(*fields, F.col("turn").cast("string").alias("turn")))).otherwise(F.to_json(F.struct(*fields, "turn"))).alias("arguments"),
+        respelt(F.when(number % 5 == 3, F.to_json(F.struct(*fields, F.col("turn").cast("string").alias("turn")))).otherwise(F.to_json(F.struct(*fields, "turn")))).alias("arguments"),
         F.when(F.col("conv_id") % 6 == 1, F.array(behind)).when(F.col("conv_id") % 6 == 2, F.array(before, behind)).when(F.col("turn") >= 2, F.array(before)).alias("after"),
     )
     results = turns.filter("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
@@ -159,7 +197,7 @@ def turn_schemas(spark: SparkSession) -> DataFrame:
 TURNS_SQL = """
 WITH RECURSIVE calls AS (
   SELECT conv_id, conv_id || ':' || turn AS call_id, turn, CASE WHEN role = 'user' THEN 'reply' ELSE 'instruct' END AS name,
-         CASE WHEN (conv_id + turn) % 7 <> 2 THEN text END AS text, (conv_id + turn) % 5 = 3 AS quoted, (conv_id + turn) % 11 = 5 AS noted
+         CASE WHEN (conv_id + turn) % 7 <> 2 THEN text END AS text, (conv_id + turn) % 5 = 3 AS quoted, (conv_id + turn) % 11 = 5 AS noted, (conv_id + turn) % 2 = 0 AS even
   FROM conversations WHERE role IN ('user', 'system')),
 uses AS (
   SELECT conv_id, call_id, turn, conv_id || ':' || (turn - 2) AS parent, false AS forward FROM calls WHERE conv_id % 6 = 2 OR (conv_id % 6 <> 1 AND turn >= 2)
@@ -181,7 +219,7 @@ SELECT coalesce(conv_id, c) AS conv_id, coalesce(call_id, r) AS call_id,
        coalesce(n_missing, 0)::BIGINT AS n_unknown, CASE WHEN call_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_same,
        call_id IS NOT NULL AND text IS NOT NULL AND NOT quoted AND NOT noted AS valid,
        CASE WHEN call_id IS NOT NULL THEN concat_ws(', ', CASE WHEN text IS NULL THEN 'missing text' END, CASE WHEN noted THEN 'unknown note' END, CASE WHEN quoted THEN 'wrong type of turn' END) END AS errors,
-       '{"arguments":' || CASE WHEN call_id IS NULL THEN 'null' ELSE '{' || CASE WHEN noted THEN '"note":"x",' ELSE '' END || coalesce('"text":' || to_json(text) || ',', '')
+       '{"arguments":' || CASE WHEN call_id IS NULL THEN 'null' ELSE '{' || CASE WHEN noted AND even THEN '"note":12345678901234567890123,' WHEN noted THEN '"note":{"a":[0,100],"b":1.5},' ELSE '' END || coalesce('"text":' || to_json(text) || ',', '')
        || '"turn":' || CASE WHEN quoted THEN '"' || turn || '"' ELSE turn::VARCHAR END || '}' END || ',"call_id":' || to_json(coalesce(call_id, r))
        || ',"name":' || CASE WHEN name IS NULL THEN 'null' ELSE to_json(name) END || ',"result":' || CASE WHEN content IS NULL THEN 'null' ELSE to_json(content) END || '}' AS canonical
 FROM linked"""

@@ -1,6 +1,9 @@
+import decimal
 import json
 import random
 
+import duckdb
+
 from roadloom.llm import tool_calls as T
 
 RESULTS = "conv_id long, call_id string, turn long, content string"
@@ -79,3 +82,63 @@ def test_turns(spark):
     assert (got["3:0"].valid, got["3:0"].errors) == (False, "wrong type of turn")
     assert (got["8:1"].valid, got["8:1"].errors) == (False, "missing text")
     assert got["7:3"].valid
+
+
+def by_value(x):
+    """A number of json.loads with Decimal, in the same spelling rules."""
+    sign, digits, power = x.as_tuple()
+    text = "".join(map(str, digits)).lstrip("0")
+    stripped = text.rstrip("0")
+    power += len(text) - len(stripped)
+    if not stripped:
+        return "0"
+    if 0 <= power <= 40:
+        out = stripped + "0" * power
+    elif -40 <= power < 0:
+        padded = stripped.rjust(1 - power, "0")
+        out = f"{padded[:power]}.{padded[power:]}"
+    else:
+        out = f"{stripped}e{power}"
+    return "-" * sign + out
+
+
+def written(x):
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{written(x[k])}" for k in sorted(x)) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(written, x)) + "]"
+    return by_value(x) if isinstance(x, decimal.Decimal) else json.dumps(x, ensure_ascii=False)
+
+
+NUMBERS = ["1", "1.0", "1e0", "10e-1", "0.1e1", "-0", "-0.0", "0e5", "12345678901234567890123", "1.5", "15e-1", "1e40", "1e41", "1E+2", "123456789012345678901234567890123456789012345.5", "1e-40", "1e-41", "-2.50", "100", "0.001", "9" * 60, "1e400", "-1e-400"]
+
+
+def test_numbers_by_value(spark):
+    texts = [f'{{"a":{n},"b":{{"z":[{n},"{n}"],"y":-1.0}}}}' for n in NUMBERS]
+    texts += [r'{"a":1,"b":"\\\"1.0\\"}', r'{"a":1,"k\u0001":"\u0001n5","b":"\\u0001s \u0001s","c":"\\\u0001"}', r'{"a\"1.0":1.0,"b":[],"c":{},"d":"-1.0"}']
+    got = link(spark, [(i, "x", 0, 0, "add", t, None) for i, t in enumerate(texts)], [])
+    for r in got:
+        want = written(json.loads(texts[r.conv_id], parse_float=decimal.Decimal, parse_int=decimal.Decimal))
+        assert r.canonical == '{"arguments":' + want.replace("\x01", "\\u0001") + ',"call_id":"x","name":"add","result":null}'
+    first = {r.canonical.split(',"b"')[0] for r in got if r.conv_id < 5}
+    assert len(first) == 1
+
+
+def test_integers_by_value_and_texts_that_are_no_json(spark):
+    cases = {"1": "", "1.0": "", "1e0": "", "12345678901234567890123": "", "1e400": "", "1.5": "wrong type of a", "1e-400": "wrong type of a", '"1"': "wrong type of a", '"\\u0001n1"': "wrong type of a", "true": "wrong type of a", "null": "wrong type of a"}
+    bad = ["01", "1.", ".5", "--1", "1 2", "+1", "1e", "1x", "NaN", "'1'", "\x02", "-"]
+    calls = [(i, "x", 0, 0, "add", f'{{"a":{v},"b":1.5}}', None) for i, v in enumerate([*cases, *bad])] + [(99, "x", 0, 0, "add", '{1:2}', None)]
+    got = {r.conv_id: r.errors for r in link(spark, calls, [])}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    assert {got[i] for i in got if i >= len(cases)} == {"no object"}
+
+
+def test_sql_says_the_same(spark):
+    turns = [(c, t, ("system" if t == 0 else "user" if t % 2 else "assistant"), f"text {c} \"{t}\"" if (c + t) % 4 else None) for c in range(60) for t in range(7)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as call_id", "1 as level", "'y' as _c")
+    got = sorted(map(str, (r.asDict() for r in T.link_tool_calls(*T.turns_as_calls(frame), T.turn_schemas(spark)).collect())))
+    with duckdb.connect() as db:
+        db.register("conversations", frame.toArrow())
+        out = db.sql(T.TURNS_SQL)
+        assert sorted(str(dict(zip(out.columns, r))) for r in out.fetchall()) == got
+    assert any("12345678901234567890123" in x for x in got) and any('"b":1.5' in x for x in got)
