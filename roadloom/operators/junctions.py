@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK, bearing, metres, on_segment
 from roadloom.operators.network import Rounds, connected
+from roadloom.operators.spatial import segment_cells
 
 SAME_M, TOUCH_M, UNION_M = 1.5, 20.0, 12.0
 LEAST_EDGE_M, LEAST_LOOP_M = 3.0, 36.0
@@ -48,9 +49,7 @@ def touching_ends(vertices: DataFrame, lat0: float) -> DataFrame:
     """line, end_pos, other, pos, lon, lat: for each end of a line the nearest place of another line within 20 m."""
     along = Window.partitionBy("line").orderBy("idx")
     segments = vertices.select(F.col("line").alias("other"), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"), F.col("pos").alias("a_pos"), F.lead("lon").over(along).alias("b_lon"), F.lead("lat").over(along).alias("b_lat"), F.lead("pos").over(along).alias("b_pos")).filter("b_lon is not null")
-    low = [_grid(F.least("a_lon", "b_lon"), F.least("a_lat", "b_lat"), lat0, TOUCH_M)[k] for k in (0, 1)]
-    high = [_grid(F.greatest("a_lon", "b_lon"), F.greatest("a_lat", "b_lat"), lat0, TOUCH_M)[k] for k in (0, 1)]
-    spread = segments.withColumn("_sx", F.explode(F.sequence(low[0], high[0]))).withColumn("_sy", F.explode(F.sequence(low[1], high[1])))
+    spread = segment_cells(segments, lat0, TOUCH_M)
     ends = _around(line_ends(vertices).withColumnRenamed("pos", "end_pos"), lat0, TOUCH_M)
     met = ends.join(spread, (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")) & (F.col("line") != F.col("other")))
     t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))

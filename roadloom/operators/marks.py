@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import parse
 from roadloom.functions.geo import X_DEGREE, Y_WALK, on_segment
-from roadloom.operators.roads import COMPLETE, IN_PROGRESS, merged_intervals, runs
+from roadloom.functions.intervals import LEAST_METRES
+from roadloom.operators.roads import COMPLETE, IN_PROGRESS, merged_intervals, runs, small_gaps_closed, swept
+from roadloom.operators.spatial import segment_cells
 
 NEAR_M, ALIGNED, LEAST_RUN_M, SAMPLE_M = 8.0, 0.85, 5.0, 3.0
 CELL_M = 32.0
@@ -20,20 +22,60 @@ def token_union(existing: Column, added: Column) -> Column:
     return F.when(F.size(both) > 0, F.array_join(both, "|")).otherwise("-")
 
 
-def accumulated(changes: DataFrame) -> DataFrame:
-    """row_index, partial_geometry, status after a log of changes (row_index, at, action add or remove, token).
+def recorded_tokens(changes: DataFrame) -> DataFrame:
+    """row_index, token, since: the tokens that stand after a log of changes (row_index, at, action add or remove, token).
 
-    The last change of a token stands. A row whose tokens of both sides cover its fragment 0 from end to end is
-    Complete, one with any token In_Progress, else Not_Started. Changes combine before they shuffle.
+    A token stands from its first addition after its last removal; at one moment a removal comes after an addition.
+    Changes combine before they shuffle.
     """
-    last = changes.groupBy("row_index", "token").agg(F.max_by("action", "at").alias("action"))
-    tokens = last.groupBy("row_index").agg(F.array_sort(F.collect_list(F.when(F.col("action") == "add", F.col("token")))).alias("tokens"))
-    item = F.explode(parse.partial_ranges(F.array_join("tokens", "|"))).alias("r")
-    spans = tokens.select("row_index", item).filter("r.frag = 0 and r.side = 'B'").select("row_index", "r.a", "r.b")
-    whole = merged_intervals(spans, ("row_index",)).filter("a <= 1e-9 and b >= 1 - 1e-9").select("row_index", F.lit(True).alias("whole"))
-    joined = tokens.join(whole, "row_index", "left")
-    status = F.when(F.col("whole"), COMPLETE).when(F.size("tokens") > 0, IN_PROGRESS).otherwise("Not_Started")
-    return joined.select("row_index", F.when(F.size("tokens") > 0, F.array_join("tokens", "|")).otherwise("-").alias("partial_geometry"), status.alias("status"))
+    gone = changes.filter("action = 'remove'").groupBy(F.col("row_index").alias("_r"), F.col("token").alias("_t")).agg(F.max("at").alias("_gone"))
+    added = changes.filter("action = 'add'").join(gone, F.col("row_index").eqNullSafe(F.col("_r")) & (F.col("token") == F.col("_t")), "left")
+    return added.filter("_gone is null or at > _gone").groupBy("row_index", "token").agg(F.min("at").alias("since"))
+
+
+def done_stretches(tokens: DataFrame, fragments: DataFrame) -> DataFrame:
+    """row_index, frag, a, b: what is done of each fragment on both sides at once, or on one side and the other.
+
+    tokens: row_index, token; fragments: row_index, frag, length_m (null if unknown, then small gaps stay). Stretches are
+    endpoints, and what they cover is a running sum over them in windows: no row's stretches meet in an array.
+    """
+    keys = ("row_index", "frag", "length_m")
+    spans = tokens.select("row_index", F.explode(parse.partial_ranges(F.col("token"))).alias("r")).select("row_index", "r.*")
+    spans = spans.join(fragments.select("row_index", "frag", "length_m"), ["row_index", "frag"]).withColumn("length_m", F.when(F.col("length_m") > 0, F.col("length_m")).otherwise(0.0))
+    near = F.when(F.col("length_m") > 0, F.lit(LEAST_METRES) / F.col("length_m")).otherwise(0.0)
+
+    def clean(frame: DataFrame) -> DataFrame:
+        large = frame.filter((F.col("length_m") == 0) | ((F.col("b") - F.col("a")) * F.col("length_m") >= LEAST_METRES))
+        return small_gaps_closed(merged_intervals(large.select(*keys, "a", "b"), keys), keys, near)
+
+    side = lambda s: spans.filter(F.col("side") == s)
+    shared = swept(clean(side("S")), clean(side("F")), keys).filter("both").select(*keys, "a", "b")
+    return clean(side("B").select(*keys, "a", "b").union(merged_intervals(shared, keys))).select("row_index", "frag", "a", "b")
+
+
+def row_status(tokens: DataFrame, fragments: DataFrame, told: DataFrame) -> DataFrame:
+    """row_index, partial_geometry, status of rows from their tokens (row_index, token, since), recorded ones first.
+
+    told: row_index, complete_at, removed_at (latest moments, or null) for every row with a change. A row is Complete if all of its
+    fragments are done, or if a change said so and nothing was removed since; In_Progress with any token.
+    """
+    done = done_stretches(tokens, fragments).filter("a <= 1e-9 and b >= 1 - 1e-9").groupBy("row_index").agg(F.countDistinct("frag").alias("_done"))
+    whole = fragments.groupBy("row_index").agg(F.countDistinct("frag").alias("_all")).join(done, "row_index").filter("_all = _done").select(F.col("row_index").alias("_w"))
+    texts = tokens.groupBy(F.col("row_index").alias("_k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("since", "token"))), lambda t: t["token"]), "|").alias("text"))
+    rows = told.join(texts, F.col("row_index").eqNullSafe(F.col("_k")), "left").join(whole, F.col("row_index") == F.col("_w"), "left")
+    said = F.col("complete_at").isNotNull() & (F.col("removed_at").isNull() | (F.col("complete_at") > F.col("removed_at")))
+    status = F.when(F.col("_w").isNotNull() | said, COMPLETE).when(F.col("text").isNotNull(), IN_PROGRESS).otherwise("Not_Started")
+    return rows.select("row_index", F.coalesce("text", F.lit("-")).alias("partial_geometry"), status.alias("status"))
+
+
+def accumulated(changes: DataFrame, fragments: DataFrame) -> DataFrame:
+    """row_index, partial_geometry, status after a log of changes (row_index, at, action, token, complete).
+
+    fragments: row_index, frag, length_m of all fragments of the rows. ``complete`` says that a change did all that was left.
+    """
+    moment = lambda test: F.max(F.when(test, F.col("at")))
+    told = changes.groupBy("row_index").agg(moment((F.col("action") == "add") & F.col("complete")).alias("complete_at"), moment(F.col("action") == "remove").alias("removed_at"))
+    return row_status(recorded_tokens(changes), fragments, told)
 
 
 def write_summary(results: DataFrame, *keys: str) -> DataFrame:
@@ -59,11 +101,9 @@ def step_tokens(lines: DataFrame, segments: DataFrame, lat0: float) -> DataFrame
     share = F.col("_s") / F.col("_n")
     samples = samples.select("step", "pavement", F.struct("seq", "_s").alias("at"), (F.col("a_lon") + (F.col("b_lon") - F.col("a_lon")) * share).alias("lon"), (F.col("a_lat") + (F.col("b_lat") - F.col("a_lat")) * share).alias("lat"), "_ux", "_uy")
     # a segment stands in all cells that it is near to, and a sample in its own: each pair meets once
-    cell = lambda v, k, by=0.0: F.floor((v * k + by) / CELL_M).cast("long")
-    span = lambda a, b, k: F.sequence(cell(F.least(a, b), k, -NEAR_M), cell(F.greatest(a, b), k, NEAR_M))
-    placed = segments.withColumn("_x", F.explode(span(F.col("a_lon"), F.col("b_lon"), x))).withColumn("_y", F.explode(span(F.col("a_lat"), F.col("b_lat"), F.lit(Y_WALK))))
+    cell = lambda v, k: F.floor(v * k / CELL_M).cast("long")
     spread = samples.withColumn("_cx", cell(F.col("lon"), x)).withColumn("_cy", cell(F.col("lat"), F.lit(Y_WALK)))
-    met = spread.join(placed, (F.col("_cx") == F.col("_x")) & (F.col("_cy") == F.col("_y")))
+    met = spread.join(segment_cells(segments, lat0, CELL_M, NEAR_M), (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")))
     t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))
     sx, sy = vector()
     length = F.sqrt(sx * sx + sy * sy)

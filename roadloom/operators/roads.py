@@ -104,7 +104,7 @@ def swept(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame
     return open_.filter("_l > 0 and b > a").select(*keys, "a", "b", (F.col("_r") > 0).alias("both"))
 
 
-def small_gaps_closed(merged: DataFrame, keys: tuple[str, ...], near: float) -> DataFrame:
+def small_gaps_closed(merged: DataFrame, keys: tuple[str, ...], near: float | Column) -> DataFrame:
     """Merged intervals (keys, a, b; disjoint) with gaps, and ends at 0 and 1, of less than ``near`` closed."""
     order = Window.partitionBy(*keys).orderBy("a")
     before = F.lag("b").over(order)

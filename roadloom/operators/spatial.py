@@ -40,14 +40,26 @@ def adjacency(nearest: DataFrame) -> DataFrame:
     return pairs.union(pairs.select("dst", "src")).distinct()
 
 
-def segment_cells(segments: DataFrame, lat0: float, size_m: float) -> DataFrame:
-    """Each segment once for each square cell of ``size_m`` metres that its bounding box touches."""
+def crossed_cells(frame: DataFrame, a: tuple[Column, Column], b: tuple[Column, Column], size: Column | float, reach: Column | float = 0.0) -> DataFrame:
+    """Each row once for each cell (_sx, _sy) that its segment from a to b comes within ``reach`` of; all in metres.
+
+    Column by column of cells, only the rows that the segment has there: a long diagonal stands in as many cells as
+    its length holds, not in all of its bounding box.
+    """
+    size, reach = (x if isinstance(x, Column) else F.lit(float(x)) for x in (size, reach))
+    cells = lambda u, v: F.sequence(F.floor((F.least(u, v) - reach) / size).cast("long"), F.floor((F.greatest(u, v) + reach) / size).cast("long"))
+    spread = frame.withColumn("_sx", F.explode(cells(a[0], b[0])))
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    at = lambda x: F.when(F.abs(dx) > 1e-9, a[1] + dy * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - a[0]) / dx)))
+    left, right = at(F.col("_sx") * size - reach), at((F.col("_sx") + 1) * size + reach)
+    return spread.withColumn("_sy", F.explode(cells(F.coalesce(left, a[1]), F.coalesce(right, b[1]))))
+
+
+def segment_cells(segments: DataFrame, lat0: float, size_m: float, reach_m: float = 0.0) -> DataFrame:
+    """Each segment once for each square cell of ``size_m`` metres that it comes within ``reach_m`` of."""
     x = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(lat0)))
-    low = lambda a, b, k: F.floor(F.least(a, b) * k / size_m).cast("long")
-    high = lambda a, b, k: F.floor(F.greatest(a, b) * k / size_m).cast("long")
-    lon, lat = (F.col("a_lon"), F.col("b_lon")), (F.col("a_lat"), F.col("b_lat"))
-    spread = segments.withColumn("_sx", F.explode(F.sequence(low(*lon, x), high(*lon, x))))
-    return spread.withColumn("_sy", F.explode(F.sequence(low(*lat, F.lit(Y_WALK)), high(*lat, F.lit(Y_WALK)))))
+    end = lambda e: (F.col(f"{e}_lon") * x, F.col(f"{e}_lat") * F.lit(Y_WALK))
+    return crossed_cells(segments, end("a"), end("b"), size_m, reach_m)
 
 
 def nearest_segments(points: DataFrame, segments: DataFrame, lat0: float, most_m: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK, on_segment
+from roadloom.operators.spatial import crossed_cells
 
 PACE_MPS, PAVEMENT_M = 0.45, 5.0
 BEHIND_M, SPREAD_M = 40.0, 400.0
@@ -20,36 +21,48 @@ def built_track(legs: DataFrame) -> DataFrame:
 def at_positions(positions: DataFrame, pieces: DataFrame, bucket_m: float = 500.0) -> DataFrame:
     """positions (track, pos) with the piece each is in: n, into_m, left_m. A position beyond the end is at the end of the last piece.
 
-    Pieces and positions meet by stretches of the track, so a long track is not compared piece by piece.
+    Pieces and positions meet by stretches of the track, so a long track is not compared piece by piece. Equal rows are
+    answered together and come back as often as they were given.
     """
+    rest = positions.columns
+    positions = positions.groupBy(*rest).agg(F.count("*").cast("int").alias("_times"))
     ends = pieces.groupBy("track").agg(F.max(F.col("start_m") + F.col("length_m")).alias("_total"), F.max("seq").alias("_final")).withColumnRenamed("track", "_k")
     goal = positions.join(ends, F.col("track") == F.col("_k")).withColumn("_p", F.least(F.greatest("pos", F.lit(0.0)), F.col("_total"))).withColumn("_b", F.floor(F.col("_p") / bucket_m))
     spread = pieces.select(F.col("track").alias("_t"), "seq", "n", "start_m", "length_m", F.explode(F.sequence(F.floor(F.col("start_m") / bucket_m), F.floor((F.col("start_m") + F.col("length_m")) / bucket_m))).alias("_c"))
     inside = (F.col("_p") >= F.col("start_m")) & (F.col("_p") <= F.col("start_m") + F.col("length_m"))
     met = goal.join(spread, (F.col("track") == F.col("_t")) & (F.col("_b") == F.col("_c")) & inside)
-    rest = [c for c in positions.columns]
     # of two pieces that meet at a position, the earlier
-    best = met.groupBy(*rest).agg(F.min(F.struct("seq", "n", (F.col("_p") - F.col("start_m")).alias("into_m"), (F.col("start_m") + F.col("length_m") - F.col("_p")).alias("left_m"))).alias("m"))
-    return best.select(*rest, "m.n", "m.into_m", "m.left_m")
+    best = met.groupBy(*rest, "_times").agg(F.min(F.struct("seq", "n", (F.col("_p") - F.col("start_m")).alias("into_m"), (F.col("start_m") + F.col("length_m") - F.col("_p")).alias("left_m"))).alias("m"))
+    return best.withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*rest, "m.n", "m.into_m", "m.left_m")
 
 
-def located(fixes: DataFrame, segments: DataFrame, lat0: float, most_accuracy: float = 100.0, keep: int = 4) -> DataFrame:
+def step_starts(pieces: DataFrame) -> DataFrame:
+    """track, n, start_m: where each step of a track begins, the first piece of its number."""
+    return pieces.filter("n is not null").groupBy("track", "n").agg(F.min_by("start_m", "seq").alias("start_m"))
+
+
+def located(fixes: DataFrame, segments: DataFrame, lat0: float, keep: int = 4) -> DataFrame:
     """fix, rank, n, pos, score: the steps of its track where a fix most likely is, best first, each step once.
 
-    fixes: fix, track, lon, lat, from_pos, elapsed_s (null if unknown), accuracy (at most ``most_accuracy``).
+    fixes: fix, track, lon, lat, from_pos, elapsed_s (null if unknown), accuracy (of any size).
     segments: track, n (null for walks between areas, which are no steps), pavement, start_m (of the piece),
     from_m (of the segment within it), seq, a_lon, a_lat, b_lon, b_lat. A step counts if it is within
     max(30, twice the accuracy) metres and not more than 40 m behind or too far ahead for the time. The score adds
     squares of distance, side and time; what is ahead of time costs more, so ties lean to the earlier step.
+
+    Cells double with the reach of a fix, and a track's segments stand in those sizes that its fixes have.
     """
-    reach = max(30.0, 2 * most_accuracy)
     x = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(lat0)))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(30.0), F.col("accuracy") * 2) / 30.0))).cast("int")
+    size = lambda n: F.lit(120.0) * F.pow(F.lit(2.0), n)
     # a segment stands in all cells that it is within reach of, and a fix in its own: each pair meets once
-    cell = lambda v, k, by=0.0: F.floor((v * k + by) / (4 * reach)).cast("long")
-    span = lambda a, b, k: F.sequence(cell(F.least(a, b), k, -reach), cell(F.greatest(a, b), k, reach))
-    placed = segments.filter("n is not null").withColumn("_x", F.explode(span(F.col("a_lon"), F.col("b_lon"), x))).withColumn("_y", F.explode(span(F.col("a_lat"), F.col("b_lat"), F.lit(Y_WALK))))
-    spread = fixes.withColumn("_cx", cell(F.col("lon"), x)).withColumn("_cy", cell(F.col("lat"), F.lit(Y_WALK))).withColumnRenamed("track", "_track")
-    met = spread.join(placed, (F.col("_track") == F.col("track")) & (F.col("_cx") == F.col("_x")) & (F.col("_cy") == F.col("_y")))
+    spread = fixes.withColumnRenamed("track", "_track").withColumn("_level", level)
+    spread = spread.withColumn("_cx", F.floor(F.col("lon") * x / size(F.col("_level"))).cast("long")).withColumn("_cy", F.floor(F.col("lat") * F.lit(Y_WALK) / size(F.col("_level"))).cast("long"))
+    sizes = spread.select(F.col("_track").alias("_k"), F.col("_level").alias("_size")).distinct()
+    sized = segments.filter("n is not null").join(sizes, F.col("track") == F.col("_k")).drop("_k")
+    end = lambda e: (F.col(f"{e}_lon") * x, F.col(f"{e}_lat") * F.lit(Y_WALK))
+    placed = crossed_cells(sized, end("a"), end("b"), size(F.col("_size")), size(F.col("_size")) / 4)
+    met = spread.join(placed, (F.col("_track") == F.col("track")) & (F.col("_level") == F.col("_size")) & (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")))
     t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))
     dx, dy = (F.col("b_lon") - F.col("a_lon")) * x, (F.col("b_lat") - F.col("a_lat")) * Y_WALK
     size = F.sqrt(dx * dx + dy * dy)

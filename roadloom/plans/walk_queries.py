@@ -129,6 +129,20 @@ def points_on_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("k").alias("road"), F.posexplode("points").alias("place", "p")).select("road", F.col("place").cast("long").alias("place"), F.round("p.lon", 7).alias("lon"), F.round("p.lat", 7).alias("lat"))
 
 
+def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order reports half of a fragment of its customer's road, on one side or both, or takes it back."""
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    k, i = F.col("o_orderkey"), F.col("o_orderkey") % 2
+    token = F.format_string("seg%d:%.4f-%.4f:%s", k % 5 % (1 + F.col("o_custkey") % 2), i / 2.0, (i + 1) / 2.0, F.element_at(F.array(F.lit("B"), F.lit("S"), F.lit("F")), (1 + k % 3).cast("int")))
+    action = F.when((F.col("o_orderstatus") == "F") & (k % 3 == 0), "remove").otherwise("add")
+    return o.select(F.col("o_custkey").alias("row_index"), F.floor(k / 2).alias("at"), action.alias("action"), token.alias("token"), (k % 37 == 0).alias("complete"))
+
+
+def order_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer", "c_custkey").select(k.alias("row_index"), F.explode(F.sequence(F.lit(0), (k % 2).cast("int"))).alias("frag"), (150.0 + k % 900).alias("length_m"))
+
+
 TRACK_SQL = f"""leg0 AS (SELECT s_nationkey AS track, s_suppkey AS seq, CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey END AS n, CASE s_suppkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'both' END AS pavement, {S_LON} AS a_lon, {S_LAT} AS a_lat FROM supplier),
 leg1 AS (SELECT *, a_lon + 1e-3 AS b_lon, a_lat + 5e-4 AS b_lat FROM leg0), leg2 AS (SELECT *, {STEP_SQL} AS len FROM leg1), leg AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY track ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS start_m FROM leg2)"""
 
@@ -158,7 +172,7 @@ def progress_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         e.alias("fix"), "track", (F.col("a_lon") + 0.0005 + ((e * 13) % 21 - 10).cast("double") * 0.00002).alias("lon"), (F.col("a_lat") + 0.00025 + ((e * 17) % 21 - 10).cast("double") * 0.00002).alias("lat"),
         F.greatest(F.lit(0.0), F.col("start_m") - (e % 80).cast("double")).alias("from_pos"), F.when(e % 4 != 0, (e % 600).cast("double")).alias("elapsed_s"), (5 + e % 20).cast("double").alias("accuracy"),
     )
-    found = tracks.located(fixes, legs.withColumn("from_m", F.lit(0.0)), LAT0, most_accuracy=24.0)
+    found = tracks.located(fixes, legs.withColumn("from_m", F.lit(0.0)), LAT0)
     return found.select("fix", "rank", "n", F.round("pos", 3).alias("pos"), F.round("score", 4).alias("score"))
 
 
@@ -188,15 +202,17 @@ def step_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.step_tokens(walk, rows, LAT0).select("step", "row_index", "token")
 
 
-@query("""WITH t AS (SELECT o_custkey AS row_index, o_orderkey AS moment, CASE WHEN o_orderstatus = 'F' THEN 'remove' ELSE 'add' END AS action, o_orderkey % 5 AS i FROM orders),
-l AS (SELECT row_index, i, action FROM t QUALIFY row_number() OVER (PARTITION BY row_index, i ORDER BY moment DESC) = 1),
-g AS (SELECT row_index, string_agg(printf('seg0:%.4f-%.4f:B', i / 5e0, (i + 1) / 5e0), '|' ORDER BY i) FILTER (WHERE action = 'add') AS tokens, count(*) FILTER (WHERE action = 'add') AS n FROM l GROUP BY 1)
-SELECT row_index, coalesce(tokens, '-') AS partial_geometry, CASE WHEN n = 5 THEN 'Complete' WHEN n > 0 THEN 'In_Progress' ELSE 'Not_Started' END AS status FROM g""")
+@query("""WITH t AS (SELECT o_custkey AS row_index, o_orderkey // 2 AS moment, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'remove' ELSE 'add' END AS action, o_orderkey % 2 AS i,
+  o_orderkey % 5 % (1 + o_custkey % 2) AS f, ['B', 'S', 'F'][1 + o_orderkey % 3] AS s, o_orderkey % 37 = 0 AS complete FROM orders),
+gone AS (SELECT row_index, f, i, s, max(moment) AS m FROM t WHERE action = 'remove' GROUP BY ALL),
+l AS (SELECT t.row_index, t.f, t.i, t.s, min(moment) AS since FROM t LEFT JOIN gone g ON g.row_index = t.row_index AND g.f = t.f AND g.i = t.i AND g.s = t.s WHERE action = 'add' AND (g.m IS NULL OR moment > g.m) GROUP BY ALL),
+cells AS (SELECT row_index, f, i FROM l GROUP BY ALL HAVING bool_or(s = 'B') OR (bool_or(s = 'S') AND bool_or(s = 'F'))), whole AS (SELECT row_index FROM cells GROUP BY 1 HAVING count(*) = 2 * (1 + row_index % 2)),
+g AS (SELECT row_index, string_agg(printf('seg%d:%.4f-%.4f:%s', f, i / 2e0, (i + 1) / 2e0, s), '|' ORDER BY since, printf('seg%d:%.4f-%.4f:%s', f, i / 2e0, (i + 1) / 2e0, s)) AS tokens FROM l GROUP BY 1),
+told AS (SELECT row_index, max(moment) FILTER (WHERE action = 'add' AND complete) AS c, max(moment) FILTER (WHERE action = 'remove') AS r FROM t GROUP BY 1)
+SELECT told.row_index, coalesce(tokens, '-') AS partial_geometry, CASE WHEN w.row_index IS NOT NULL OR (c IS NOT NULL AND (r IS NULL OR c > r)) THEN 'Complete' WHEN tokens IS NOT NULL THEN 'In_Progress' ELSE 'Not_Started' END AS status
+FROM told LEFT JOIN g ON g.row_index = told.row_index LEFT JOIN whole w ON w.row_index = told.row_index""")
 def range_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
-    i = F.col("o_orderkey") % 5
-    token = F.format_string("seg0:%.4f-%.4f:B", i / 5.0, (i + 1) / 5.0)
-    return marks.accumulated(o.select(F.col("o_custkey").alias("row_index"), F.col("o_orderkey").alias("at"), F.when(F.col("o_orderstatus") == "F", "remove").otherwise("add").alias("action"), token.alias("token")))
+    return marks.accumulated(order_changes(spark, sf_dir), order_fragments(spark, sf_dir))
 
 
 @query("""SELECT p_partkey AS row_index, CASE p_partkey % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'a|b|c' WHEN 2 THEN '-' ELSE 'b|c|a' END AS tokens FROM (SELECT p_partkey FROM part WHERE p_partkey % 4 <> 2)

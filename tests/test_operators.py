@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadloom.functions import intervals
-from roadloom.operators import clusters, network, poi, publishing, roads, spatial
+from roadloom.operators import clusters, marks, network, poi, publishing, roads, spatial, tracks
 from roadloom.plans import driver_queries
 from roadloom.sources import sheets
 from roadloom.streaming import progress
@@ -210,3 +210,55 @@ def test_unfinished_distances_are_an_error(spark):
     with pytest.raises(RuntimeError, match="after 2 rounds"):
         network.network_distances(roads_of, edges, entries, most_rounds=2)
     assert {r.road: r.dist_m for r in network.network_distances(roads_of, edges, entries, most_rounds=4).collect()} == {0: 0.0, 1: 1.0, 2: 2.0, 3: 3.0}
+
+
+def test_rows_are_complete_when_all_fragments_are_done_on_both_sides(spark):
+    """A row of two fragments, sides done one by one, small gaps, the flag of a route, and moments that tie."""
+    log = [
+        (1, 1, "add", "seg0:0.0000-1.0000:B", False), (1, 2, "add", "seg1:0.5000-0.6000:B", False),
+        (2, 1, "add", "seg0:0.0000-1.0000:S", False), (2, 2, "add", "seg0:0.0000-1.0000:F", False),
+        (3, 1, "add", "seg0:0.0000-0.4950:B", False), (3, 2, "add", "seg0:0.5000-0.9990:B", False),
+        (4, 1, "add", "seg0:0.0000-0.4950:B", False), (4, 2, "add", "seg0:0.5000-0.9990:B", False),
+        (5, 1, "add", "seg0:0.1000-0.2000:B", True), (6, 1, "add", "seg0:0.1000-0.2000:B", True), (6, 2, "remove", "seg0:0.3000-0.4000:B", False),
+        (7, 5, "add", "seg0:0.1000-0.2000:B", False), (7, 1, "add", "seg0:0.4000-0.5000:S", False), (7, 9, "remove", "seg0:0.1000-0.2000:B", False), (7, 9, "add", "seg0:0.1000-0.2000:B", False), (7, 10, "add", "seg0:0.1000-0.2000:B", False),
+        (8, 1, "add", "seg0:0.0000-1.0000:B", False), (8, 1, "remove", "seg0:0.0000-1.0000:B", False), (9, 1, "add", "gone", False),
+    ]
+    changes = spark.createDataFrame(log, "row_index long, at long, action string, token string, complete boolean")
+    fragments = spark.createDataFrame([(1, 0, None), (1, 1, None), (2, 0, 80.0), (3, 0, 1000.0), (4, 0, None), (5, 0, 9.0), (6, 0, 9.0), (7, 0, 90.0), (8, 0, 1.0)], "row_index long, frag int, length_m double")
+    got = {r.row_index: (r.partial_geometry, r.status) for r in marks.accumulated(changes, fragments).collect()}
+    assert {k: v[1] for k, v in got.items()} == {1: "In_Progress", 2: "Complete", 3: "Complete", 4: "In_Progress", 5: "Complete", 6: "In_Progress", 7: "In_Progress", 8: "Not_Started", 9: "In_Progress"}
+    assert got[7][0] == "seg0:0.4000-0.5000:S|seg0:0.1000-0.2000:B" and got[8][0] == "-"
+
+
+def test_fixes_of_any_accuracy_keep_their_candidates(spark):
+    kx = 111320 * math.cos(math.radians(52.8))
+    segments = spark.createDataFrame([("t", 1, "both", 0.0, 0.0, 0, -2.0, 52.8, -2.0 + 500 / kx, 52.8)], "track string, n int, pavement string, start_m double, from_m double, seq int, a_lon double, a_lat double, b_lon double, b_lat double")
+    fixes = [(1, 290.0, 150.0), (2, 1700.0, 1000.0), (3, 310.0, 150.0), (4, 29.0, 1.0), (5, 31.0, 1.0), (6, 90_000.0, 50_000.0)]
+    rows = spark.createDataFrame([(k, "t", -2.0 + 250 / kx, 52.8 + off / 110540, 0.0, None, acc) for k, off, acc in fixes], "fix int, track string, lon double, lat double, from_pos double, elapsed_s double, accuracy double")
+    assert {r.fix: round(r.pos) for r in tracks.located(rows, segments, 52.8).collect()} == {1: 250, 2: 250, 4: 250, 6: 250}
+
+
+def test_equal_positions_come_back_as_often_as_given(spark):
+    pieces = spark.createDataFrame([("t", 0, 1, 0.0, 10.0), ("t", 1, 2, 10.0, 5.0), ("t", 2, 1, 15.0, 5.0)], "track string, seq int, n int, start_m double, length_m double")
+    positions = spark.createDataFrame([("t", 12.0), ("t", 12.0), ("t", 99.0)], "track string, pos double")
+    assert sorted(map(tuple, tracks.at_positions(positions, pieces).collect())) == [("t", 12.0, 2, 2.0, 3.0), ("t", 12.0, 2, 2.0, 3.0), ("t", 99.0, 1, 5.0, 0.0)]
+    assert {(r.n, r.start_m) for r in tracks.step_starts(pieces).collect()} == {(1, 0.0), (2, 10.0)}
+
+
+def test_long_diagonals_stand_in_few_cells(spark):
+    kx = 111320 * math.cos(math.radians(52.8))
+    long = spark.createDataFrame([(1, -2.0, 52.8, -2.0 + 3000 / kx, 52.8 + 3000 / 110540)], "seg int, a_lon double, a_lat double, b_lon double, b_lat double")
+    assert spatial.segment_cells(long, 52.8, 20.0).count() < 3 * 150 + 10
+    rng = random.Random(4)
+    segments = [(k, *(c for _ in range(2) for c in (-2.0 + rng.uniform(0, 900) / kx, 52.8 + rng.uniform(0, 900) / 110540))) for k in range(60)]
+    points = [(k, -2.0 + rng.uniform(0, 900) / kx, 52.8 + rng.uniform(0, 900) / 110540) for k in range(80)]
+
+    def far(p, s):
+        ax, ay, bx, by = s[1] * kx, s[2] * 110540, s[3] * kx, s[4] * 110540
+        px, py = p[1] * kx, p[2] * 110540
+        t = max(0, min(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+
+    want = {p[0]: min((far(p, s), s[0]) for s in segments)[1] for p in points if min(far(p, s) for s in segments) <= 20}
+    got = spatial.nearest_segments(spark.createDataFrame(points, "pt int, lon double, lat double"), spark.createDataFrame(segments, "seg int, a_lon double, a_lat double, b_lon double, b_lat double"), 52.8, 20.0)
+    assert {r.pt: r.seg for r in got.collect()} == want
