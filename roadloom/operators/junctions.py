@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK, bearing, metres, on_segment
+from roadloom.operators.linear import points_at
 from roadloom.operators.network import Rounds, connected
 from roadloom.operators.spatial import segment_cells
 
@@ -55,7 +56,12 @@ def touching_ends(vertices: DataFrame, lat0: float) -> DataFrame:
     t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))
     place = F.struct(dist.alias("d"), F.col("other"), (F.col("a_pos") + (F.col("b_pos") - F.col("a_pos")) * t).alias("pos"), (F.col("a_lon") + (F.col("b_lon") - F.col("a_lon")) * t).alias("lon"), (F.col("a_lat") + (F.col("b_lat") - F.col("a_lat")) * t).alias("lat"))
     best = met.select("line", "end_pos", place.alias("m")).filter(F.col("m.d") <= TOUCH_M).groupBy("line", "end_pos").agg(F.min("m").alias("m"))
-    return best.select("line", "end_pos", "m.other", "m.pos", "m.lon", "m.lat")
+    # both ends of a short stub near one place of another line would make it a loop of no length: only the nearer one joins
+    hits = best.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("end_pos", "m"))).alias("_h"))
+    a, b = F.get("_h", F.lit(0)), F.get("_h", F.lit(1))
+    stub = (a["m"]["other"] == b["m"]["other"]) & (F.abs(a["m"]["pos"] - b["m"]["pos"]) < SAME_NODE_M)
+    kept = F.when(stub & (a["m"]["d"] <= b["m"]["d"]), F.array(a)).when(stub, F.array(b)).otherwise(F.col("_h"))
+    return hits.select("line", F.explode(kept).alias("h")).select("line", "h.end_pos", "h.m.other", "h.m.pos", "h.m.lon", "h.m.lat")
 
 
 def junctions(vertices: DataFrame, lat0: float) -> DataFrame:
@@ -108,17 +114,10 @@ def half_edges(edges: DataFrame, vertices: DataFrame, lat0: float) -> DataFrame:
     both = edges.withColumn("forward", F.explode(F.array(F.lit(True), F.lit(False))))
     reach = F.least(F.lit(BEARING_M), F.col("length_m") / 2)
     both = both.withColumn("_from", F.when(F.col("forward"), F.col("a_pos")).otherwise(F.col("b_pos"))).withColumn("_to", F.when(F.col("forward"), F.col("a_pos") + reach).otherwise(F.col("b_pos") - reach))
-    along = Window.partitionBy("line").orderBy("idx")
-    segments = vertices.select("line", F.col("pos").alias("_p"), F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.lead("pos").over(along).alias("_q"), F.lead("lon").over(along).alias("_u"), F.lead("lat").over(along).alias("_v")).filter("_q > _p")
-
-    def at(frame: DataFrame, where: str, out: str) -> DataFrame:
-        met = frame.join(segments, "line").filter((F.col(where) >= F.col("_p") - 1e-6) & (F.col(where) <= F.col("_q") + 1e-6))
-        t = (F.col(where) - F.col("_p")) / (F.col("_q") - F.col("_p"))
-        spot = F.struct(F.col("_p"), (F.col("_x") + (F.col("_u") - F.col("_x")) * t).alias("lon"), (F.col("_y") + (F.col("_v") - F.col("_y")) * t).alias("lat"))
-        return met.groupBy("edge", "forward").agg(F.min(spot).alias(out))
-
-    first, second = at(both, "_from", "s"), at(both, "_to", "t")
-    placed = both.join(first, ["edge", "forward"]).join(second, ["edge", "forward"])
+    asked = both.select("line", "edge", "forward", F.explode(F.array(F.struct(F.lit("s").alias("_n"), F.col("_from").alias("pos")), F.struct(F.lit("t").alias("_n"), F.col("_to").alias("pos")))).alias("q")).select("line", "edge", "forward", "q.*")
+    spots = points_at(asked, vertices.select("line", "idx", "pos", "lon", "lat"), ("line",))
+    spot = lambda n: F.max(F.when(F.col("_n") == n, F.struct("lon", "lat"))).alias(n)
+    placed = both.join(spots.groupBy("edge", "forward").agg(spot("s"), spot("t")), ["edge", "forward"])
     turn = bearing(F.col("s.lon"), F.col("s.lat"), F.col("t.lon"), F.col("t.lat"), F.lit(lat0))
     return placed.select("edge", "forward", F.when(F.col("forward"), F.col("a")).otherwise(F.col("b")).alias("tail"), F.when(F.col("forward"), F.col("b")).otherwise(F.col("a")).alias("head"), turn.alias("bearing"))
 

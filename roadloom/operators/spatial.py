@@ -12,6 +12,12 @@ def cell(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(size)).cast("long")
 
 
+def cell_of(lon: Column, lat: Column, lat0: float, size_m: float) -> tuple[Column, Column]:
+    """The cell of a point among squares of ``size_m`` metres, as ``segment_cells`` numbers them."""
+    x = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(lat0)))
+    return F.floor(lon * x / size_m).cast("long"), F.floor(lat * F.lit(Y_WALK) / size_m).cast("long")
+
+
 def neighbours(frame: DataFrame, lon: str, lat: str, size: float) -> DataFrame:
     """Each row nine times, with the cells (_cx, _cy) around its own."""
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
