@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.functions.geo import Y_PLAN, halves_up, metres, point
 from roadloom.functions.text import letters_id
 from roadloom.operators import clusters, payload, roads, routes
+from roadloom.operators.lineage import RANGES
 from roadloom.operators.network import Rounds
 
 REVIEW = "NEEDS REVIEW: combines roads not directly linked by a mapped road in this dataset (nearest-cluster fallback) — double-check there's a sensible walking/driving link between them, or split this route."
@@ -48,9 +49,38 @@ def numbered_routes(members: DataFrame) -> DataFrame:
     return members.select(*HUB, "cluster").distinct().select(*HUB, "cluster", letters_id(place).alias("route"))
 
 
+#: What a route's road has besides: its homes and its stretches done on one side, and, of a split road, the part of its row.
+EXTRAS = {
+    "homes": "array<struct<lon:double,lat:double>>", "half_done": "array<struct<side:string,points:array<struct<lon:double,lat:double>>>>",
+    "root_name": "string", "original_ranges": RANGES, "current_partial": "string", "homes_trimmed": "boolean",
+}
+
+
+def with_extras(members: DataFrame, lineage: DataFrame | None = None, homes: DataFrame | None = None, half_done: DataFrame | None = None, trimmed: DataFrame | None = None) -> DataFrame:
+    """members with the columns of EXTRAS; a part of a split road takes the row_index of the row it was cut from.
+
+    lineage: as of ``lineage.part_lineage``; homes: road, pt, lon, lat on the road; half_done: road, piece, side, points; trimmed: road
+    of parts of roads that were cut down to their homes.
+    """
+    out = members
+    if lineage is not None:
+        of = lineage.select(F.col("road").alias("_road"), "root_name", F.col("row_index").alias("_row"), "original_ranges", "current_partial")
+        out = out.join(of, F.col("road") == F.col("_road"), "left").withColumn("row_index", F.coalesce("_row", "row_index")).drop("_road", "_row")
+    listed = lambda frame, name, order, made: frame.groupBy(F.col("road").alias("_road")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order))), made).alias(name))
+    if homes is not None:
+        out = out.join(listed(homes, "homes", ("pt", "lon", "lat"), lambda h: point(h["lon"], h["lat"])), F.col("road") == F.col("_road"), "left").drop("_road")
+    if half_done is not None:
+        out = out.join(listed(half_done, "half_done", ("piece", "side", "points"), lambda h: h.dropFields("piece")), F.col("road") == F.col("_road"), "left").drop("_road")
+    if trimmed is not None:
+        out = out.join(trimmed.select(F.col("road").alias("_road"), F.lit(True).alias("homes_trimmed")), F.col("road") == F.col("_road"), "left").drop("_road")
+    return out
+
+
 def route_records(members: DataFrame, edges: DataFrame, hubs: DataFrame, general: bool = False) -> DataFrame:
     """One row for each route: ward, route, hub_id, name, kind, shape, residences, start_hint, notes, marker, roads.
 
+    members may have the columns of EXTRAS (see ``with_extras``); those it lacks are null in its roads.
+
     members: ward, hub_seq, cluster, seq, road (unique), street, status, residences, row_index, kind, merged (by
     distance), lon, lat, points; edges: src, dst in both directions; hubs: ward, hub_seq, id, label, lon, lat. A
     route that isn't walked from its hub, and every general one, has a marker: the place of its parking road nearest
@@ -60,7 +90,8 @@ def route_records(members: DataFrame, edges: DataFrame, hubs: DataFrame, general
     # a route's key, for operators that know clusters
     own = members.join(numbered, [*HUB, "cluster"]).withColumn("cluster", F.struct("ward", "route"))
     lone = F.struct(
-        "seq", F.col("road").alias("name"), "status", halves_up(F.col("residences").cast("double"), 1).alias("residences"), "row_index", F.col("points").alias("geometry")
+        "seq", F.col("road").alias("name"), "status", halves_up(F.col("residences").cast("double"), 1).alias("residences"), "row_index", F.col("points").alias("geometry"),
+        *[(F.col(c) if c in members.columns else F.lit(None)).cast(kind).alias(c) for c, kind in EXTRAS.items()],
     )
     base = own.groupBy("cluster").agg(
         F.min("hub_seq").alias("hub_seq"), F.min("kind").alias("kind"), halves_up(F.sum("residences").cast("double"), 1).alias("residences"), F.max("merged").alias("merged"),

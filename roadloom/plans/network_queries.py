@@ -6,12 +6,13 @@ every fifth one a sliver of 2 m that can be no edge. Orders are homes; a stretch
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK
-from roadloom.operators import edges
+from roadloom.operators import edges, events, lineage
 from roadloom.plans.driver_queries import LAT0, query, table
+from roadloom.plans.event_queries import GIVEN_SQL, _given
 
 _X = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(LAT0)))
 
@@ -78,3 +79,64 @@ def network_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = edges.build_network(street_roads(spark, sf_dir), street_vertices(spark, sf_dir), LAT0, street_homes(spark, sf_dir), street_half_done(spark, sf_dir))
     place = F.when(F.col("a_pos") == 0, 0).otherwise(1)
     return made.edges.select("road", "street", place.alias("place"), F.round("length_m", 2).alias("length_m"), F.round("residences", 4).alias("residences"), F.round("per_km", 4).alias("per_km"), "done_left", "done_right", F.array_join("includes", ", ").alias("includes"))
+
+
+#: An order is a piece of line, cut from an order of the same customer before it: every other customer's form a chain, the others' a tree.
+_CUTS = """n AS (SELECT o_orderkey AS k, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+cut AS (SELECT n.k AS line, coalesce(p.k, -n.c) AS parent, n.c, CASE WHEN n.k % 3 = 0 THEN y ELSE x END AS a, CASE WHEN n.k % 3 = 0 THEN x ELSE y END AS b
+  FROM (SELECT *, (k % 10) / 41e0 AS x, (k % 10) / 41e0 + 5e-1 + (k % 7) / 29e0 AS y FROM n) n LEFT JOIN n p ON p.c = n.c AND p.i = CASE WHEN n.c % 2 = 0 THEN n.i - 1 ELSE n.i // 2 END),
+up(line, root, a, b, cuts) AS (SELECT line, parent, a, b, 1::BIGINT FROM cut UNION ALL SELECT up.line, cut.parent, cut.a + (cut.b - cut.a) * up.a, cut.a + (cut.b - cut.a) * up.b, cuts + 1 FROM up JOIN cut ON cut.line = up.root),
+origin AS (SELECT * FROM up WHERE root < 0)"""
+
+
+def order_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line, parent, a, b; the first orders are cut from their customers' own lines, which have negative numbers."""
+    k = F.col("k")
+    n = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")).withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy("k")))
+    before = n.select(F.col("c").alias("_c"), F.col("i").alias("_i"), F.col("k").alias("_k"))
+    wanted = F.when(F.col("c") % 2 == 0, F.col("i") - 1).otherwise(F.floor(F.col("i") / 2))
+    met = n.join(before, (F.col("c") == F.col("_c")) & (wanted == F.col("_i")), "left")
+    x, y = (k % 10) / 41.0, (k % 10) / 41.0 + 0.5 + (k % 7) / 29.0
+    turned = k % 3 == 0
+    return met.select(k.alias("line"), F.coalesce("_k", -F.col("c")).alias("parent"), F.when(turned, y).otherwise(x).alias("a"), F.when(turned, x).otherwise(y).alias("b"))
+
+
+@query(f"""WITH RECURSIVE {_CUTS} SELECT line, -root AS root, round(a, 9) AS a, round(b, 9) AS b, cuts FROM origin""")
+def part_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lineage.origins(order_cuts(spark, sf_dir))
+    return made.select("line", (-F.col("root")).alias("root"), F.round("a", 9).alias("a"), F.round("b", 9).alias("b"), "cuts")
+
+
+@query(f"""WITH RECURSIVE {GIVEN_SQL}, {_CUTS}, piece AS (SELECT -root AS k, line, least(a, b) AS lo, greatest(a, b) AS hi FROM origin WHERE line % 3 = 1),
+text AS (SELECT k, string_agg(printf('seg0:%.4f-%.4f:B', lo, hi), '|' ORDER BY line) AS tokens, count(*) AS pieces FROM piece GROUP BY 1)
+SELECT m.ward::VARCHAR AS ward, route, m.k::VARCHAR AS road, CASE WHEN pieces IS NULL THEN m.k ELSE m.k + 1000000 END AS row_index, CASE WHEN pieces IS NOT NULL THEN 'Row ' || m.k END AS root_name,
+coalesce(tokens, '') AS tokens, CASE WHEN pieces IS NOT NULL THEN CASE WHEN m.k % 4 = 0 THEN '-' ELSE 'seg0:0.1000-0.2000:B' END END AS current_partial FROM m LEFT JOIN text ON text.k = m.k""")
+def record_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of given clusters whose roads are parts: a road is made of every third piece of its customer's line."""
+    members, links, hubs = _given(spark, sf_dir)
+    made = lineage.origins(order_cuts(spark, sf_dir))
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer", "c_custkey").select(F.format_string("Row %d", k).alias("road"), (k + 1000000).alias("row_index"), F.array(F.lit("")).alias("fragments"), F.when(k % 4 > 0, "seg0:0.1000-0.2000:B").alias("partial_geometry"), k)
+    kept = lineage.captured(rows).withColumns({"line": -(F.col("row_index") - 1000000), "frag": F.lit(0)})
+    parts = made.filter("line % 3 = 1").select("line", (-F.col("root")).cast("string").alias("road"), F.col("line").alias("place"))
+    full = events.with_extras(members, lineage.part_lineage(parts, made, kept))
+    each = events.route_records(full, links, hubs).select("ward", "route", F.explode("roads").alias("r"))
+    tokens = F.array_join(lineage.range_tokens(F.coalesce("r.original_ranges", F.array().cast(lineage.RANGES))), "|")
+    return each.select("ward", "route", F.col("r.name").alias("road"), "r.row_index", "r.root_name", tokens.alias("tokens"), "r.current_partial")
+
+
+@query("""WITH f AS (SELECT c_custkey AS root, i AS frag FROM customer, range(7) AS g(i) WHERE i < 1 + c_custkey % 7),
+p AS (SELECT o_custkey AS root, o_orderkey AS part, o_orderkey % 5 AS frag, (o_orderkey % 17) / 2e1 AS a, (o_orderkey % 17) / 2e1 + 5e-2 AS b FROM orders WHERE o_orderkey % 5 < 1 + o_custkey % 7 AND o_orderkey % 3 = 0),
+one AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY root, frag, a ORDER BY part) = 1),
+w AS (SELECT *, lag(b) OVER o AS bb, lead(a) OVER o AS aa FROM one WINDOW o AS (PARTITION BY root, frag ORDER BY a, b, part)),
+m AS (SELECT root, part, frag, CASE WHEN bb IS NULL THEN 0e0 WHEN a > bb THEN (bb + a) / 2 ELSE a END AS a, CASE WHEN aa IS NULL THEN 1e0 WHEN aa > b THEN (b + aa) / 2 ELSE b END AS b FROM w),
+h AS (SELECT root, frag, min(part) AS owner FROM one GROUP BY ALL), lone AS (SELECT f.root, f.frag FROM f LEFT JOIN h ON h.root = f.root AND h.frag = f.frag WHERE owner IS NULL),
+n AS (SELECT lone.root, owner AS part, lone.frag, row_number() OVER (PARTITION BY lone.root, lone.frag ORDER BY abs(lone.frag - h.frag), h.frag) AS r FROM lone JOIN h ON h.root = lone.root)
+SELECT root, part, frag::INTEGER AS frag, round(a, 6) AS a, round(b, 6) AS b FROM m UNION ALL SELECT root, part, frag, 0e0, 1e0 FROM n WHERE r = 1""")
+def reported_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of rows with up to seven fragments, some of which no part touches; of parts that begin at one place the first counts."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    fragments = table(spark, sf_dir, "customer", "c_custkey").select(k.alias("root"), F.explode(F.sequence(F.lit(0), (k % 7).cast("int"))).alias("frag"))
+    a = (o % 17) / 20.0
+    ranges = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").filter((o % 3 == 0) & (o % 5 < 1 + F.col("o_custkey") % 7)).groupBy(F.col("o_custkey").alias("root"), (o % 5).cast("int").alias("frag"), a.alias("a"), (a + 0.05).alias("b")).agg(F.min("o_orderkey").alias("part"))
+    return lineage.reported_ranges(ranges, fragments).select("root", "part", "frag", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
