@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geo, intervals, parse, text
 from roadloom.operators import homes, marks, payload, poi, roads, routes, tracks, walks
+from roadloom.operators.network import Rounds
 from roadloom.plans.driver_queries import LAT0, RANGES_SQL, ROADS_SQL, S_LAT, S_LON, event_ranges, grid_roads, grid_vertices, key_point, query, table
+from roadloom.streaming import ranges
 
 KX = "(111320e0 * cos(radians(528e-1)))"
 STEP_SQL = f"sqrt((b_lon - a_lon) * {KX} * ((b_lon - a_lon) * {KX}) + (b_lat - a_lat) * 110540e0 * ((b_lat - a_lat) * 110540e0))"
@@ -131,11 +133,11 @@ def points_on_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order reports half of a fragment of its customer's road, on one side or both, or takes it back."""
-    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
-    k, i = F.col("o_orderkey"), F.col("o_orderkey") % 2
-    token = F.format_string("seg%d:%.4f-%.4f:%s", k % 5 % (1 + F.col("o_custkey") % 2), i / 2.0, (i + 1) / 2.0, F.element_at(F.array(F.lit("B"), F.lit("S"), F.lit("F")), (1 + k % 3).cast("int")))
+    k = F.col("o_orderkey")
     action = F.when((F.col("o_orderstatus") == "F") & (k % 3 == 0), "remove").otherwise("add")
-    return o.select(F.col("o_custkey").alias("row_index"), F.floor(k / 2).alias("at"), action.alias("action"), token.alias("token"), (k % 37 == 0).alias("complete"))
+    side = F.element_at(F.array(F.lit("B"), F.lit("S"), F.lit("F")), (1 + k % 3).cast("int"))
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    return reported(o.select(F.col("o_custkey").alias("row_index"), F.floor(k / 2).alias("moment"), action.alias("action"), (k % 5 % (1 + F.col("o_custkey") % 2)).alias("f"), (k % 2).alias("i"), side.alias("s"), (k % 37 == 0).alias("complete")))
 
 
 def order_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,19 +204,49 @@ def step_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.step_tokens(walk, rows, LAT0).select("step", "row_index", "token")
 
 
-@query("""WITH t AS (SELECT o_custkey AS row_index, o_orderkey // 2 AS moment, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'remove' ELSE 'add' END AS action, o_orderkey % 2 AS i,
-  o_orderkey % 5 % (1 + o_custkey % 2) AS f, ['B', 'S', 'F'][1 + o_orderkey % 3] AS s, o_orderkey % 37 = 0 AS complete FROM orders),
-gone AS (SELECT row_index, f, i, s, max(moment) AS m FROM t WHERE action = 'remove' GROUP BY ALL),
+def status_sql(reports: str) -> str:
+    """The rows after reports (row_index, moment, action, f, i, s, complete) on halves of fragments; odd rows have two."""
+    return f"""WITH t AS ({reports}), gone AS (SELECT row_index, f, i, s, max(moment) AS m FROM t WHERE action = 'remove' GROUP BY ALL),
 l AS (SELECT t.row_index, t.f, t.i, t.s, min(moment) AS since FROM t LEFT JOIN gone g ON g.row_index = t.row_index AND g.f = t.f AND g.i = t.i AND g.s = t.s WHERE action = 'add' AND (g.m IS NULL OR moment > g.m) GROUP BY ALL),
 cells AS (SELECT row_index, f, i FROM l GROUP BY ALL HAVING bool_or(s = 'B') OR (bool_or(s = 'S') AND bool_or(s = 'F'))), whole AS (SELECT row_index FROM cells GROUP BY 1 HAVING count(*) = 2 * (1 + row_index % 2)),
 g AS (SELECT row_index, string_agg(printf('seg%d:%.4f-%.4f:%s', f, i / 2e0, (i + 1) / 2e0, s), '|' ORDER BY since, printf('seg%d:%.4f-%.4f:%s', f, i / 2e0, (i + 1) / 2e0, s)) AS tokens FROM l GROUP BY 1),
 told AS (SELECT row_index, max(moment) FILTER (WHERE action = 'add' AND complete) AS c, max(moment) FILTER (WHERE action = 'remove') AS r FROM t GROUP BY 1)
 SELECT told.row_index, coalesce(tokens, '-') AS partial_geometry, CASE WHEN w.row_index IS NOT NULL OR (c IS NOT NULL AND (r IS NULL OR c > r)) THEN 'Complete' WHEN tokens IS NOT NULL THEN 'In_Progress' ELSE 'Not_Started' END AS status
-FROM told LEFT JOIN g ON g.row_index = told.row_index LEFT JOIN whole w ON w.row_index = told.row_index""")
+FROM told LEFT JOIN g ON g.row_index = told.row_index LEFT JOIN whole w ON w.row_index = told.row_index"""
+
+
+def reported(rows: DataFrame) -> DataFrame:
+    """Reports of rows (row_index, moment, action, f, i, s, complete) with their tokens."""
+    token = F.format_string("seg%d:%.4f-%.4f:%s", "f", F.col("i") / 2.0, (F.col("i") + 1) / 2.0, "s")
+    return rows.select("row_index", F.col("moment").alias("at"), "action", token.alias("token"), "complete")
+
+
+@query(status_sql("""SELECT o_custkey AS row_index, o_orderkey // 2 AS moment, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'remove' ELSE 'add' END AS action, o_orderkey % 2 AS i,
+  o_orderkey % 5 % (1 + o_custkey % 2) AS f, ['B', 'S', 'F'][1 + o_orderkey % 3] AS s, o_orderkey % 37 = 0 AS complete FROM orders"""))
 def range_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.accumulated(order_changes(spark, sf_dir), order_fragments(spark, sf_dir))
 
 
+@query(status_sql("""SELECT k // 40 AS row_index, (k * 7919) % 10007 AS moment, CASE WHEN h % 7 = 0 THEN 'remove' ELSE 'add' END AS action, h % 2 AS i, h // 6 % (1 + k // 40 % 2) AS f, ['B', 'S', 'F'][1 + h // 2 % 3] AS s, k % 37 = 0 AS complete
+  FROM (SELECT c_custkey AS k, (c_custkey * 7907) % 101 AS h FROM customer)"""))
+def range_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as reports on rows, forty on each, as a stream of files in no order, in several batches."""
+    k, h = F.col("c_custkey"), (F.col("c_custkey") * 7907) % 101
+    row = F.floor(k / 40)
+    customers = table(spark, sf_dir, "customer", "c_custkey").select(
+        row.alias("row_index"), ((k * 7919) % 10007).alias("moment"), F.when(h % 7 == 0, "remove").otherwise("add").alias("action"), (F.floor(h / 6) % (1 + row % 2)).alias("f"), (h % 2).alias("i"),
+        F.element_at(F.array(F.lit("B"), F.lit("S"), F.lit("F")), (1 + F.floor(h / 2) % 3).cast("int")).alias("s"), (k % 37 == 0).alias("complete"),
+    )
+    rounds = Rounds(customers)
+    # dealt by a hash, so that no file holds a span of time
+    reported(customers).repartition(6, F.xxhash64("token", "at")).write.parquet(f"{rounds.base}/reports")
+    stream = spark.readStream.schema("row_index long, at long, action string, token string, complete boolean").option("maxFilesPerTrigger", 2).parquet(f"{rounds.base}/reports")
+    ledger = ranges.Ledger(f"{rounds.base}/ledger", ranges.CHANGES)
+    ranges.token_changes(stream).writeStream.foreachBatch(ledger).option("checkpointLocation", f"{rounds.base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    fragments = customers.select("row_index", F.explode(F.sequence(F.lit(0), (F.col("row_index") % 2).cast("int"))).alias("frag"), F.lit(None).cast("double").alias("length_m")).distinct()
+    return ranges.recorded_rows(ledger.read(spark), fragments)
+
+
 @query("""SELECT p_partkey AS row_index, CASE p_partkey % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'a|b|c' WHEN 2 THEN '-' ELSE 'b|c|a' END AS tokens FROM (SELECT p_partkey FROM part WHERE p_partkey % 4 <> 2)
 UNION ALL SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '-' ELSE 'c' END FROM part WHERE p_partkey % 4 = 2""")
 def token_union(spark: SparkSession, sf_dir: str) -> DataFrame:
