@@ -16,14 +16,21 @@ Shares are taken by long division in three steps, so counts may grow to 10^15.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import Scratch, small_side
+from roadloom.llm.common import Scratch, lean, small_side, utf8_batch
 
 LEAST_DOCUMENTS, TOP_TERMS = 10, 10
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Texts of about so many bytes are counted together; a longer one by itself.
+BLOCK_BYTES = 16 << 20
+_CODES = np.arange(256)
+_LETTER = (_CODES >= 0x80) | ((_CODES | 0x20 >= ord("a")) & (_CODES | 0x20 <= ord("z")) & (_CODES >= 0x41))
+_LOWER = np.where((_CODES >= ord("A")) & (_CODES <= ord("Z")), _CODES + 32, _CODES).astype(np.uint8)
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -40,13 +47,62 @@ def distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+def block_counts(texts: pa.ChunkedArray, groups: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(group, term, occurrences, documents) of texts, groups numbering each text's group.
+
+    Every byte of a character beyond ASCII belongs to a term, so bytes are looked at, not characters.
+    """
+    raw, bounds = utf8_batch(texts)
+    inside = _LETTER[raw]
+    begins = inside.copy()
+    opens = np.zeros(len(raw) + 1, bool)
+    opens[bounds[:-1]] = True
+    begins[1:] &= ~inside[:-1] | opens[1:-1]
+    at = np.flatnonzero(begins)
+    if not len(at):
+        return np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.cumsum(inside) - 1
+    letters = _LOWER[raw[inside]]
+    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(place[at], len(letters)).astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
+    size = len(words.dictionary)
+    row = np.searchsorted(bounds, at, side="right") - 1
+    pair, times = np.unique(row * size + words.indices.to_numpy(), return_counts=True)
+    key, which = np.unique(groups[pair // size] * size + pair % size, return_inverse=True)
+    terms = words.dictionary.take(pa.array(key % size)).view(pa.large_string()).cast(pa.string())
+    return key // size, terms, np.bincount(which, times).astype(np.int64), np.bincount(which)
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: occurrences and documents of each term, and a row of term '' for every group."""
-    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _UPPER.lower()), _BETWEEN), lambda w: w != "")
-    row = lambda term, n, docs: F.struct(term.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(docs).cast("long").alias("docs"))
-    groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), words.alias("words"))
-    rows = F.concat(F.transform("words", lambda w: row(w, 1, 0)), F.transform(F.array_distinct("words"), lambda w: row(w, 0, 1)), F.array(row(F.lit(""), 0, 0)))
-    return groups.select("lang", "source", F.inline(rows)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    names = ["lang", "source", "term", "n", "docs"]
+
+    def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        lang, source = (table.column(i).combine_chunks().dictionary_encode() for i in (1, 2))
+        group, of_text = np.unique(lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(), return_inverse=True)
+        of_group, terms, n, documents = block_counts(table.column(0), of_text)
+        none = np.zeros(len(group), np.int64)
+        every = group[np.concatenate([of_group, np.arange(len(group))])]
+        return pa.RecordBatch.from_arrays([
+            lang.dictionary.take(pa.array(every // len(source.dictionary))), source.dictionary.take(pa.array(every % len(source.dictionary))),
+            pa.concat_arrays([terms, pa.array([""] * len(group), pa.string())]), pa.array(np.concatenate([n, none])), pa.array(np.concatenate([documents, none])),
+        ], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column(0).nbytes
+            if size >= BLOCK_BYTES:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
+
+    given = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")])
+    return given.mapInArrow(lean(run), "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
