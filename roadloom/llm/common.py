@@ -50,10 +50,6 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def read(self, names: list[str], schema) -> DataFrame:
-        """Tables of one schema as one."""
-        return self.spark.read.schema(schema).parquet(*(f"{self.base}/{n}" for n in names))
-
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm

@@ -2,7 +2,7 @@
 
 Calls and results meet in a hash join by identifier. Where every call comes after the calls whose results it
 uses, the places in the transcript are a topological order already, and no group of calls has to be sorted in
-one task; the other conversations are peeled level by level, each level a written table.
+one task; in the other conversations levels are found by doubling along what each call waits for.
 
 Defined cases: a call without a result is ``unanswered``, a result without a call ``orphan``; of calls (or
 results) with one identifier in a conversation the first by place stands, and ``n_same`` counts them; calls
@@ -39,19 +39,32 @@ def _firsts(frame: DataFrame, order: tuple[str, ...], rest: tuple[str, ...]) ->
     return frame.groupBy("conv_id", "call_id").agg(F.min(item).alias("m"), F.count("*").alias("n_same")).select("conv_id", "call_id", *[F.col(f"m.{c}").alias(c) for c in (*order, *rest)], "n_same")
 
 
-def _peeled(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, call_id, level of the calls of some conversations; those in or behind a cycle are missing."""
-    level = 0
-    left = scratch.write(calls.select("conv_id", "call_id"), "left-0")
+def _levels(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """conv_id, call_id, level (the most calls in a row that come before) of the calls of some conversations; those in or behind a circle are missing.
+
+    An edge whose parent has one edge itself is drawn to that one's parent instead, and their lengths add up; an edge without a
+    parent holds a level. So lengths double along calls with one parent each, and rounds grow with the logarithm of
+    such a row. Edges never become more. A length beyond the number of calls goes in a circle.
+    """
+    total = calls.count()
+    given = edges.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_k"), "parent")
+    start = calls.select("conv_id", "call_id").join(given, (F.col("conv_id") == F.col("_c")) & (F.col("call_id") == F.col("_k")), "left").drop("_c", "_k")
+    state = scratch.write(start.withColumns({"w": F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long"), "knot": F.lit(False), "moved": F.lit(True)}), "levels-0")
+    turn = 0
     while True:
-        blocked = edges.select("conv_id", "call_id").distinct()
-        ready = scratch.write(left.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("long")), f"ready-{level}")
-        if ready.isEmpty():
-            return scratch.read([f"ready-{n}" for n in range(level + 1)], ready.schema)
-        level += 1
-        left = scratch.write(left.join(ready, ["conv_id", "call_id"], "left_anti"), f"left-{level}")
-        edges = scratch.write(edges.join(ready.select("conv_id", F.col("call_id").alias("parent")), ["conv_id", "parent"], "left_anti").select("conv_id", "call_id", "parent"), f"edges-{level}")
-        scratch.drop(f"left-{level - 1}", *([f"edges-{level - 1}"] if level > 1 else []))
+        lone = state.groupBy("conv_id", "call_id").agg(F.count("*").alias("_n"), F.max("parent").alias("_p"), F.max("w").alias("_w"), F.max("knot").alias("_knot")).filter("_n = 1")
+        lone = lone.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_k"), "_p", "_w", "_knot")
+        met = state.join(lone, (F.col("conv_id") == F.col("_c")) & (F.col("parent") == F.col("_k")), "left").withColumn("moved", F.col("_k").isNotNull())
+        longer = F.col("w") + F.coalesce("_w", F.lit(0))
+        drawn = met.select("conv_id", "call_id", F.when(longer <= total, F.when(F.col("moved"), F.col("_p")).otherwise(F.col("parent"))).alias("parent"), F.least(longer, F.lit(total)).alias("w"), (F.col("knot") | F.coalesce("_knot", F.lit(False)) | (longer > total)).alias("knot"), "moved")
+        turn += 1
+        state = scratch.write(drawn.groupBy("conv_id", "call_id", "parent").agg(F.max("w").alias("w"), F.max("knot").alias("knot"), F.max("moved").alias("moved")), f"levels-{turn}")
+        scratch.drop(f"levels-{turn - 1}")
+        open_, moved = state.agg(F.count("parent"), F.count_if("moved")).first()
+        if not open_ or not moved:
+            break
+    known = state.groupBy("conv_id", "call_id").agg(F.count("*").alias("_n"), F.max("parent").alias("_p"), F.max("w").alias("level"), F.max("knot").alias("knot"))
+    return known.filter("_n = 1 and _p is null and not knot").select("conv_id", "call_id", "level")
 
 
 def _ordered(calls: DataFrame) -> DataFrame:
@@ -70,7 +83,7 @@ def _ordered(calls: DataFrame) -> DataFrame:
     inner = lambda frame: frame.join(tangled.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi")
     # within these conversations a null identifier of the conversation is a number of its own
     number = F.coalesce("conv_id", F.lit(-(1 << 63)))
-    levels = _peeled(inner(calls).withColumn("conv_id", number), inner(edges.filter("not unknown")).withColumn("conv_id", number).select("conv_id", "call_id", "parent"), scratch)
+    levels = _levels(inner(calls).withColumn("conv_id", number), inner(edges.filter("not unknown")).withColumn("conv_id", number).select("conv_id", "call_id", "parent"), scratch)
     marked = out.join(tangled.select(F.col("conv_id").alias("_t"), F.lit(True).alias("tangled")), F.col("conv_id").eqNullSafe(F.col("_t")), "left")
     levels = levels.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_p"), "level")
     placed = marked.join(levels, (number == F.col("_c")) & (F.col("call_id") == F.col("_p")), "left")

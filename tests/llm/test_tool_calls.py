@@ -68,6 +68,22 @@ def test_order(spark):
     assert all((conv, c) not in placed for conv in (9, 10, 11) for c in ("c2", "c3", "c7"))
 
 
+def test_levels_take_few_rounds(spark, monkeypatch):
+    """A row of 200 calls that point forward, a ladder, and calls behind a circle."""
+    rounds = []
+    write = T.Scratch.write
+    monkeypatch.setattr(T.Scratch, "write", lambda self, df, name: rounds.append(name) or write(self, df, name))
+    n = 200
+    calls = [(1, f"c{i}", i, 0, "add", "{}", [f"c{i + 1}"]) for i in range(n)]
+    calls += [(2, f"c{i}", i, 0, "add", "{}", [f"c{i + 1}", f"c{i + 2}"]) for i in range(6)]
+    calls += [(3, f"c{i}", i, 0, "add", "{}", [f"c{(i + 1) % 3}"] if i < 3 else [f"c{i - 1}", "c9"]) for i in range(8)] + [(3, "c9", 9, 0, "add", "{}", ["c9"]), (3, "c10", 10, 0, "add", "{}", ["c11"]), (3, "c11", 11, 0, "add", "{}", [])]
+    got = {(r.conv_id, r.call_id): r.order_major for r in link(spark, calls, [])}
+    assert {i: got[1, f"c{i}"] for i in range(n)} == {i: n - 1 - i for i in range(n)}
+    assert {i: got[2, f"c{i}"] for i in range(6)} == {i: 5 - i for i in range(6)}
+    assert {c for (conv, c), m in got.items() if conv == 3 and m is not None} == {"c10", "c11"}
+    assert len([x for x in rounds if x.startswith("levels-")]) < 15
+
+
 def test_turns(spark):
     turns = [(3, 0, "system", "be kind"), (3, 1, "user", "hi"), (3, 2, "assistant", "hello"), (3, 3, "user", "bye"), (4, 0, "assistant", None), (None, 1, None, "x")]
     turns += [(7, 1, "user", "a"), (7, 3, "user", "b"), (7, 5, "user", "c"), (8, 1, "user", "d"), (8, 3, "user", "e")]
