@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK
-from roadloom.operators import edges, events, lineage
+from roadloom.operators import edges, events, lineage, linear, paths
+from roadloom.operators.network import Rounds
 from roadloom.plans.driver_queries import LAT0, query, table
 from roadloom.plans.event_queries import GIVEN_SQL, _given
 
@@ -140,3 +141,87 @@ def reported_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = (o % 17) / 20.0
     ranges = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").filter((o % 3 == 0) & (o % 5 < 1 + F.col("o_custkey") % 7)).groupBy(F.col("o_custkey").alias("root"), (o % 5).cast("int").alias("frag"), a.alias("a"), (a + 0.05).alias("b")).agg(F.min("o_orderkey").alias("part"))
     return lineage.reported_ranges(ranges, fragments).select("root", "part", "frag", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+#: Blocks of twenty-five customers are grids of streets of their own: a row's streets bend by h metres in the middle, a column's are straight.
+_GRID = f"""kx AS (SELECT 111320e0 * cos(radians(528e-1)) AS kx), c AS (SELECT c_custkey AS k, c_custkey // 25 AS g, c_custkey % 5 AS x, c_custkey % 25 // 5 AS y, (c_custkey * 31) % 16 AS h FROM customer),
+full_ AS (SELECT * FROM c WHERE g IN (SELECT g FROM c GROUP BY 1 HAVING count(*) = 25)),
+edge AS (SELECT 2 * k AS edge, g, k AS a, k + 1 AS b, 'Row ' || y AS street, 2 * sqrt(2500e0 + h * h) AS len, h FROM full_ WHERE x < 4 UNION ALL SELECT 2 * k + 1, g, k, k + 5, 'Column ' || x, 1e2 + 10 * ((k * 7) % 13), NULL FROM full_ WHERE y < 4),
+both_ AS (SELECT edge, a, b, len FROM edge UNION ALL SELECT edge, b, a, len FROM edge UNION ALL SELECT NULL, k, k, 0e0 FROM full_),
+walk AS (SELECT edge.*, g AS walk, (2 + g % 7) / 1e1 * len / 2 AS s FROM edge WHERE edge % 50 = 2 * (g % 4)),
+target AS (SELECT edge.*, edge % 50 AS target, (9 - (edge + g) % 8) / 1e1 * len / 2 AS s FROM edge WHERE h IS NOT NULL AND edge % 6 = 0),
+r(i, walk, node, d) AS (SELECT 0, walk, k, min(d) FROM (SELECT walk, a AS k, 5 + s AS d FROM walk UNION ALL SELECT walk, b, 5 + len - s FROM walk) GROUP BY ALL UNION ALL SELECT i + 1, walk, b, min(d + len) FROM r JOIN both_ ON a = node WHERE i < 24 GROUP BY ALL),
+far AS (SELECT walk, node, min(d) AS d FROM r WHERE i = 24 GROUP BY ALL),
+prev AS (SELECT f.walk, f.node, arg_min(p.node, p.d + len) AS up, arg_min(e.edge, p.d + len) AS via, min(p.d + len) AS d FROM far f JOIN both_ e ON e.b = f.node AND e.edge IS NOT NULL JOIN far p ON p.walk = f.walk AND p.node = e.a GROUP BY ALL),
+tree AS (SELECT p.* FROM prev p JOIN far f ON f.walk = p.walk AND f.node = p.node AND abs(f.d - p.d) < 1e-7)"""
+
+
+def _grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """edges (edge, grid, a, b, street, h) and shapes (edge, idx, lon, lat) of the grids; a column's street makes a detour to be as long as it is."""
+    c = table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("k"), ((F.col("c_custkey") * 31) % 16).cast("double").alias("h")).withColumns({"g": F.floor(F.col("k") / 25), "x": F.col("k") % 5, "y": F.floor(F.col("k") % 25 / 5)})
+    c = c.join(c.groupBy("g").count().filter("count = 25").select("g"), "g")
+    k, x, y = F.col("k"), F.col("x") * 100.0, F.col("y") * 100.0
+    at = lambda px, py: F.struct(px.cast("double").alias("px"), py.cast("double").alias("py"))
+    # a detour to one side and back adds twice its depth
+    deep = 5.0 * ((k * 7) % 13)
+    row = F.struct((2 * k).alias("edge"), (k + 1).alias("b"), F.concat(F.lit("Row "), F.col("y").cast("string")).alias("street"), F.col("h").alias("bend"), F.array(at(x, y), at(x + 50, y + F.col("h")), at(x + 100, y)).alias("p"))
+    column = F.struct((2 * k + 1).alias("edge"), (k + 5).alias("b"), F.concat(F.lit("Column "), F.col("x").cast("string")).alias("street"), F.lit(None).cast("double").alias("bend"), F.array(at(x, y), at(x, y + 50), at(x - deep, y + 50), at(x, y + 50), at(x, y + 100)).alias("p"))
+    made = c.select("g", F.col("k").alias("a"), F.explode(F.filter(F.array(F.when(F.col("x") < 4, row), F.when(F.col("y") < 4, column)), lambda e: e.isNotNull())).alias("e")).select("g", "a", "e.*")
+    vertices = made.select("g", "edge", F.posexplode("p").alias("idx", "v"))
+    lon, lat = _grid_spot(F.col("g"), F.col("v.px"), F.col("v.py"))
+    return made.select("edge", F.col("g").alias("grid"), "a", "b", "street", "bend"), vertices.select("edge", "idx", lon.alias("lon"), lat.alias("lat"))
+
+
+def _grid_spot(g: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    return (F.lit(-3.0) + (g % 40) * 0.02 + x / _X, F.lit(52.0) + F.floor(g / 40) * 0.02 + y / F.lit(Y_WALK))
+
+
+def _beside(edges_: DataFrame, share: Column) -> DataFrame:
+    """edges with lon, lat of a point five metres beside the first half of a row's street, at a share of it."""
+    k, g = F.col("a"), F.col("grid")
+    size = F.sqrt(2500.0 + F.col("bend") * F.col("bend"))
+    px = (k % 5) * 100.0 + 50.0 * share - F.col("bend") / size * 5.0
+    py = F.floor(k % 25 / 5) * 100.0 + F.col("bend") * share + 50.0 / size * 5.0
+    lon, lat = _grid_spot(g, px, py)
+    return edges_.withColumns({"lon": lon, "lat": lat})
+
+
+def grid_walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """edges, shapes, starts, targets and what the walks reach: a start for each grid, and a target beside every third of its rows' streets."""
+    rounds = Rounds(spark.range(1))
+    known, vertices = _grids(spark, sf_dir)
+    known, shapes = rounds.write(known), rounds.write(linear.with_places(vertices, ("edge",), LAT0))
+    place = F.col("edge") % 50
+    starts = _beside(known.filter(place == 2 * (F.col("grid") % 4)), (2 + F.col("grid") % 7) / 10.0).select(F.struct(F.col("grid").alias("walk"), F.lit(-1).cast("long").alias("target")).alias("pt"), "lon", "lat")
+    targets = _beside(known.filter("bend is not null and edge % 6 = 0"), (9 - (F.col("edge") + F.col("grid")) % 8) / 10.0).select(F.struct(F.col("grid").alias("walk"), place.alias("target")).alias("pt"), "lon", "lat")
+    asked = rounds.write(starts.union(targets))
+    met = paths.located(asked, known, shapes, LAT0).withColumnsRenamed({"lon": "on_lon", "lat": "on_lat"}).join(asked.withColumnsRenamed({"pt": "_pt", "lon": "p_lon", "lat": "p_lat"}), F.col("pt") == F.col("_pt"))
+    placed = rounds.write(met.select("pt.walk", "pt.target", "edge", "a", "b", "street", "s", "length_m", "d", "p_lon", "p_lat"))
+    begun = placed.filter("target = -1").drop("target")
+    sized = known.join(shapes.groupBy("edge").agg(F.max("pos").alias("length_m")), "edge")
+    return known, shapes, begun, placed.filter("target <> -1"), rounds.write(paths.shortest(sized, paths.start_nodes(begun)))
+
+
+@query(f"""WITH RECURSIVE {_GRID}, w AS (SELECT t.walk, t.target, t.street AS ts, t.s, t.len, f.d AS da, f2.d AS db, f.d + t.s <= f2.d + t.len - t.s AS from_a, t.a, t.b, t.edge, x.edge AS se, x.a AS sa, x.street AS ss, x.s AS s_s FROM (SELECT *, g AS walk FROM target) t JOIN walk x ON x.walk = t.walk
+  JOIN far f ON f.walk = t.walk AND f.node = t.a JOIN far f2 ON f2.walk = t.walk AND f2.node = t.b),
+way(walk, target, node, streets) AS (SELECT walk, target, CASE WHEN from_a THEN a ELSE b END, [ts] FROM w WHERE edge <> se
+  UNION ALL SELECT way.walk, way.target, up, CASE WHEN edge.street = streets[1] THEN streets ELSE list_prepend(edge.street, streets) END FROM way JOIN tree ON tree.walk = way.walk AND tree.node = way.node JOIN edge ON edge.edge = via),
+done AS (SELECT way.* FROM way LEFT JOIN tree ON tree.walk = way.walk AND tree.node = way.node WHERE tree.node IS NULL)
+SELECT w.walk, w.target, round(CASE WHEN edge = se THEN 10 + abs(s_s - s) ELSE least(da + s, db + len - s) + 5 END, 3) AS dist_m,
+  array_to_string(CASE WHEN edge = se THEN [ts] WHEN streets[1] = ss THEN streets ELSE list_prepend(ss, streets) END, ' > ') AS streets, round(CASE WHEN edge = se THEN 10 + abs(s_s - s) ELSE least(da + s, db + len - s) + 5 END, 3) AS line_m FROM w LEFT JOIN done ON done.walk = w.walk AND done.target = w.target""")
+def network_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks in grids of streets with cycles: their lengths, their streets, and the lengths of the lines that are drawn."""
+    known, shapes, starts, targets, reached = grid_walks(spark, sf_dir)
+    ways, pieces = paths.ways_to(starts, targets, known, shapes, reached)
+    pieces = Rounds(pieces).write(pieces)
+    lines = linear.with_places(paths.way_lines(pieces, shapes, starts, targets).withColumnRenamed("place", "idx"), ("walk", "target"), LAT0).groupBy("walk", "target").agg(F.round(F.max("pos"), 3).alias("line_m"))
+    return ways.join(paths.way_streets(pieces), ["walk", "target"]).join(lines, ["walk", "target"]).select("walk", "target", F.round("dist_m", 3).alias("dist_m"), F.array_join("streets", " > ").alias("streets"), "line_m")
+
+
+@query(f"""WITH RECURSIVE {_GRID}, e AS (SELECT g AS walk, edge % 7 AS route, a, b, edge FROM edge WHERE edge % 7 < 4)
+SELECT walk, route, round(min(d), 3) AS dist_m FROM (SELECT e.walk, route, d FROM e JOIN far ON far.walk = e.walk AND far.node IN (e.a, e.b) UNION ALL SELECT e.walk, route, 5e0 FROM e JOIN walk ON walk.edge = e.edge) GROUP BY ALL""")
+def network_route_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances over the network from each grid's start to four routes of its streets."""
+    known, _, starts, _, reached = grid_walks(spark, sf_dir)
+    route = F.col("edge") % 7
+    return paths.route_distances(known.withColumn("route", F.when(route < 4, route)), starts, reached).select("walk", "route", F.round("dist_m", 3).alias("dist_m"))
