@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK, on_segment
 from roadloom.operators.spatial import crossed_cells
 
 PACE_MPS, PAVEMENT_M = 0.45, 5.0
-BEHIND_M, SPREAD_M = 40.0, 400.0
+BEHIND_M, SPREAD_M, LEAST_REACH_M = 40.0, 400.0, 30.0
 
 
 def built_track(legs: DataFrame) -> DataFrame:
@@ -41,6 +41,42 @@ def step_starts(pieces: DataFrame) -> DataFrame:
     return pieces.filter("n is not null").groupBy("track", "n").agg(F.min_by("start_m", "seq").alias("start_m"))
 
 
+def reach_level(accuracy: Column) -> Column:
+    """The size of cells for a fix: it doubles with its reach, which is max(30, twice the accuracy) metres."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(LEAST_REACH_M), F.coalesce(accuracy, F.lit(0.0)) * 2) / LEAST_REACH_M))).cast("int")
+
+
+def _cell_m(level: Column) -> Column:
+    return F.lit(4 * LEAST_REACH_M) * F.pow(F.lit(2.0), level)
+
+
+def placed_segments(segments: DataFrame, sizes: DataFrame, lat0: float) -> DataFrame:
+    """Segments of steps in all cells that they are within reach of, at the levels (_track, _size) that sizes names."""
+    x = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(lat0)))
+    sized = segments.filter("n is not null").join(sizes, F.col("track") == F.col("_track")).drop("_track")
+    end = lambda e: (F.col(f"{e}_lon") * x, F.col(f"{e}_lat") * F.lit(Y_WALK))
+    return crossed_cells(sized, end("a"), end("b"), _cell_m(F.col("_size")), _cell_m(F.col("_size")) / 4)
+
+
+def in_cells(fixes: DataFrame, lat0: float) -> DataFrame:
+    """fixes with their level and cell; ``track`` becomes _track."""
+    x = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(lat0)))
+    spread = fixes.withColumnRenamed("track", "_track").withColumn("_level", reach_level(F.col("accuracy")))
+    return spread.withColumn("_cx", F.floor(F.col("lon") * x / _cell_m(F.col("_level"))).cast("long")).withColumn("_cy", F.floor(F.col("lat") * F.lit(Y_WALK) / _cell_m(F.col("_level"))).cast("long"))
+
+
+def beside(fixes: DataFrame, placed: DataFrame, lat0: float, how: str = "inner") -> DataFrame:
+    """fixes (as of ``in_cells``) with the segments that they meet: d, s (metres into the piece), side (left positive); see ``located``."""
+    x = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(lat0)))
+    met = fixes.join(placed, (F.col("_track") == F.col("track")) & (F.col("_level") == F.col("_size")) & (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")), how)
+    t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))
+    dx, dy = (F.col("b_lon") - F.col("a_lon")) * x, (F.col("b_lat") - F.col("a_lat")) * Y_WALK
+    size = F.sqrt(dx * dx + dy * dy)
+    qx, qy = (F.col("lon") - F.col("a_lon")) * x - dx * t, (F.col("lat") - F.col("a_lat")) * Y_WALK - dy * t
+    side = F.when(size > 0, (dx * qy - dy * qx) / size).otherwise(0.0)
+    return met.withColumns({"d": dist, "s": F.col("from_m") + t * size, "side": side})
+
+
 def located(fixes: DataFrame, segments: DataFrame, lat0: float, keep: int = 4) -> DataFrame:
     """fix, rank, n, pos, score: the steps of its track where a fix most likely is, best first, each step once.
 
@@ -52,24 +88,11 @@ def located(fixes: DataFrame, segments: DataFrame, lat0: float, keep: int = 4) -
 
     Cells double with the reach of a fix, and a track's segments stand in those sizes that its fixes have.
     """
-    x = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(lat0)))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(30.0), F.col("accuracy") * 2) / 30.0))).cast("int")
-    size = lambda n: F.lit(120.0) * F.pow(F.lit(2.0), n)
-    # a segment stands in all cells that it is within reach of, and a fix in its own: each pair meets once
-    spread = fixes.withColumnRenamed("track", "_track").withColumn("_level", level)
-    spread = spread.withColumn("_cx", F.floor(F.col("lon") * x / size(F.col("_level"))).cast("long")).withColumn("_cy", F.floor(F.col("lat") * F.lit(Y_WALK) / size(F.col("_level"))).cast("long"))
-    sizes = spread.select(F.col("_track").alias("_k"), F.col("_level").alias("_size")).distinct()
-    sized = segments.filter("n is not null").join(sizes, F.col("track") == F.col("_k")).drop("_k")
-    end = lambda e: (F.col(f"{e}_lon") * x, F.col(f"{e}_lat") * F.lit(Y_WALK))
-    placed = crossed_cells(sized, end("a"), end("b"), size(F.col("_size")), size(F.col("_size")) / 4)
-    met = spread.join(placed, (F.col("_track") == F.col("track")) & (F.col("_level") == F.col("_size")) & (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")))
-    t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))
-    dx, dy = (F.col("b_lon") - F.col("a_lon")) * x, (F.col("b_lat") - F.col("a_lat")) * Y_WALK
-    size = F.sqrt(dx * dx + dy * dy)
-    qx, qy = (F.col("lon") - F.col("a_lon")) * x - dx * t, (F.col("lat") - F.col("a_lat")) * Y_WALK - dy * t
-    side = F.when(size > 0, (dx * qy - dy * qx) / size).otherwise(0.0)
+    spread = in_cells(fixes, lat0)
+    sizes = spread.select("_track", F.col("_level").alias("_size")).distinct()
+    met = beside(spread, placed_segments(segments, sizes, lat0), lat0)
     own = ("fix", "from_pos", "elapsed_s", "accuracy", "n", "pavement", "start_m")
-    hit = met.select(*own, F.struct(dist.alias("d"), "seq", (F.col("from_m") + t * size).alias("s"), side.alias("side")).alias("h")).groupBy(*own).agg(F.min("h").alias("h"))
+    hit = met.select(*own, F.struct("d", "seq", "s", "side").alias("h")).groupBy(*own).agg(F.min("h").alias("h"))
     near = F.greatest(F.lit(30.0), F.col("accuracy") * 2)
     known = F.col("elapsed_s").isNotNull()
     expected = F.col("from_pos") + F.when(known, F.col("elapsed_s") * PACE_MPS).otherwise(0.0)

@@ -13,7 +13,7 @@ from roadloom.functions import geo, intervals, parse, text
 from roadloom.operators import homes, marks, payload, poi, roads, routes, tracks, walks
 from roadloom.operators.network import Rounds
 from roadloom.plans.driver_queries import LAT0, RANGES_SQL, ROADS_SQL, S_LAT, S_LON, event_ranges, grid_roads, grid_vertices, key_point, query, table
-from roadloom.streaming import ranges
+from roadloom.streaming import progress, ranges
 
 KX = "(111320e0 * cos(radians(528e-1)))"
 STEP_SQL = f"sqrt((b_lon - a_lon) * {KX} * ((b_lon - a_lon) * {KX}) + (b_lat - a_lat) * 110540e0 * ((b_lat - a_lat) * 110540e0))"
@@ -178,6 +178,61 @@ def progress_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("fix", "rank", "n", F.round("pos", 3).alias("pos"), F.round("score", 4).alias("score"))
 
 
+#: An event is a fix of one of 200 walkers, who go from step to step of their nation's track, a step in about a minute.
+FOLD_SQL = f"""{TRACK_SQL}, at_ AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY seq) - 1 AS j, count(*) OVER (PARTITION BY track) AS js FROM leg),
+fx AS (SELECT event_id AS fix, event_id % 200 AS walker, event_id // 200 AS i, (event_id // 200) * 60 + event_id % 30 AS moment, event_id % 200 % 25 AS track, (5 + event_id % 20)::DOUBLE AS acc FROM events),
+pt AS (SELECT fx.*, a_lon + 5e-4 + ((fix * 13) % 21 - 10)::DOUBLE * 2e-5 AS lon, a_lat + 25e-5 + ((fix * 17) % 21 - 10)::DOUBLE * 2e-5 AS lat FROM fx JOIN at_ ON at_.track = fx.track AND j = (i + i // 7) % js),
+near AS (SELECT pt.*, leg.seq, leg.n, leg.pavement, leg.start_m, a_lon, a_lat, b_lon, b_lat FROM pt JOIN leg USING (track) WHERE n IS NOT NULL), {near_sql('near')},
+hit AS (SELECT fix, n, start_m + s AS pos, d, acc, side - CASE pavement WHEN 'right' THEN -5e0 WHEN 'left' THEN 5e0 ELSE 0e0 END AS off FROM z WHERE d <= greatest(3e1, acc * 2)),
+r(walker, i, fix, pos, t, best) AS (SELECT walker, -1::BIGINT, NULL::BIGINT, 0e0, NULL::BIGINT, NULL::STRUCT(score DOUBLE, n BIGINT, pos DOUBLE) FROM (SELECT DISTINCT walker FROM pt)
+  UNION ALL SELECT walker, i, fix, coalesce(best.pos, pos), CASE WHEN best IS NOT NULL THEN now_ ELSE t END, best FROM (
+    SELECT r.walker, pt.i, pt.fix, r.pos, r.t, pt.moment AS now_, min({{'score': (d / greatest(3e1, hit.acc * 2)) ** 2 + (off / (hit.acc + 6)) ** 2 + ((hit.pos - r.pos - coalesce(pt.moment - r.t, 0) * 45e-2) / CASE WHEN r.t IS NULL THEN 4e2 ELSE greatest(12e1, (pt.moment - r.t) * 27e-2) END) ** 2
+      + greatest(0e0, hit.pos - r.pos - coalesce(pt.moment - r.t, 0) * 45e-2) / CASE WHEN r.t IS NULL THEN 4e2 ELSE greatest(12e1, (pt.moment - r.t) * 27e-2) END * 5e-1, 'n': n::BIGINT, 'pos': hit.pos}})
+      FILTER (WHERE hit.fix IS NOT NULL AND hit.pos >= r.pos - 40 AND (r.t IS NULL OR hit.pos <= r.pos + (pt.moment - r.t) * 1125e-3 + 150)) AS best
+    FROM r JOIN pt ON pt.walker = r.walker AND pt.i = r.i + 1 LEFT JOIN hit ON hit.fix = pt.fix GROUP BY ALL))"""
+FOLDED_SQL = f"""WITH RECURSIVE {FOLD_SQL} SELECT walker, fix, best.n AS n, round(best.pos, 3) AS pos, round(best.score, 4) AS score FROM r WHERE fix IS NOT NULL"""
+
+
+def walker_fixes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Fixes (walker, fix, ts, track, lon, lat, accuracy) and the segments of their tracks."""
+    order = Window.partitionBy("track")
+    legs = track_legs(spark, sf_dir).withColumn("from_m", F.lit(0.0))
+    placed = legs.withColumns({"_j": F.row_number().over(order.orderBy("seq")) - 1, "_js": F.count("*").over(order)}).select(F.col("track").alias("_t"), "_j", "_js", "a_lon", "a_lat")
+    e = F.col("event_id")
+    i = F.floor(e / 200)
+    fixes = table(spark, sf_dir, "events", "event_id").select(e.alias("fix"), (e % 200).alias("walker"), (e % 200 % 25).cast("int").alias("track"), i.alias("i"), F.timestamp_seconds(i * 60 + e % 30 + 1_700_000_000).alias("ts"), (5 + e % 20).cast("double").alias("accuracy"))
+    met = fixes.join(placed, (F.col("track") == F.col("_t")) & ((F.col("i") + F.floor(F.col("i") / 7)) % F.col("_js") == F.col("_j")))
+    f = F.col("fix")
+    return met.select("walker", "fix", "ts", "track", (F.col("a_lon") + 0.0005 + ((f * 13) % 21 - 10).cast("double") * 0.00002).alias("lon"), (F.col("a_lat") + 0.00025 + ((f * 17) % 21 - 10).cast("double") * 0.00002).alias("lat"), "accuracy"), legs
+
+
+@query(FOLDED_SQL)
+def progress_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = progress.scored_batch(*walker_fixes(spark, sf_dir), LAT0)
+    return done.select("walker", "fix", "n", F.round("pos", 3).alias("pos"), F.round("score", 4).alias("score"))
+
+
+@query(FOLDED_SQL)
+def progress_scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fixes as a stream of files in no order, one file a batch; a fix long after all others lets the last ones out."""
+    fixes, legs = walker_fixes(spark, sf_dir)
+    rounds = Rounds(fixes)
+    legs = rounds.write(legs)
+    closing = fixes.limit(1).withColumns({"walker": F.lit(-1).cast("long"), "ts": F.lit("2099-01-01").cast("timestamp")})
+    fixes.union(closing).repartition(6, F.xxhash64("fix", "walker")).write.parquet(f"{rounds.base}/fixes")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(fixes.schema).option("maxFilesPerTrigger", 3).parquet(f"{rounds.base}/fixes")
+        scored = progress.scored_stream(stream, legs, LAT0, "3650 days")
+        scored.writeStream.format("parquet").option("path", f"{rounds.base}/out").option("checkpointLocation", f"{rounds.base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    done = spark.read.schema(progress.SCORED).parquet(f"{rounds.base}/out").filter("walker >= 0")
+    return done.select("walker", "fix", "n", F.round("pos", 3).alias("pos"), F.round("score", 4).alias("score"))
+
+
 @query(f"""WITH {TRACK_SQL}, tot AS (SELECT track, sum(len) AS total FROM leg GROUP BY 1), p AS (SELECT event_id AS fix, track, (event_id % 997)::DOUBLE * 13e-1 AS pos, total FROM events JOIN tot ON track = event_id % 25),
 m AS (SELECT fix, least(pos, total) AS g, leg.* FROM p JOIN leg USING (track)), r AS (SELECT * FROM m WHERE g >= start_m AND g <= start_m + len QUALIFY row_number() OVER (PARTITION BY fix ORDER BY seq) = 1)
 SELECT fix, n, round(g - start_m, 3) AS into_m, round(start_m + len - g, 3) AS left_m FROM r""")
