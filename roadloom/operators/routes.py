@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.operators.boxes import containing
+
 from roadloom.functions.geo import halves_up, metres, route_kind
 from roadloom.operators.payload import original_ranges
 
@@ -127,10 +129,10 @@ def least_by_route(distances: DataFrame, members: DataFrame) -> DataFrame:
 def uncovered_requests(requests: DataFrame, coverage: DataFrame, most_degrees: float = 0.6, most_boxes: int = 300) -> DataFrame:
     """The requested boxes that are not too large and not inside a covered one, which alone have to be fetched.
 
-    Boxes: min_lon, min_lat, max_lon, max_lat. coverage: the latest ``most_boxes`` (by seq), a bound that allows
-    its broadcast.
+    Boxes: min_lon, min_lat, max_lon, max_lat; requests have a unique ``request``. coverage: the latest ``most_boxes`` (by seq) count, as many
+    as a cache lists. Boxes meet by cells of their sizes, neither side is broadcast.
     """
-    latest = coverage.orderBy(F.col("seq").desc()).limit(most_boxes).select(*[F.col(c).alias(f"_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
+    latest = coverage.orderBy(F.col("seq").desc()).limit(most_boxes).withColumnRenamed("seq", "id")
     small = requests.filter((F.col("max_lon") - F.col("min_lon") <= most_degrees) & (F.col("max_lat") - F.col("min_lat") <= most_degrees))
-    within = (F.col("min_lon") >= F.col("_min_lon")) & (F.col("min_lat") >= F.col("_min_lat")) & (F.col("max_lon") <= F.col("_max_lon")) & (F.col("max_lat") <= F.col("_max_lat"))
-    return small.join(F.broadcast(latest), within, "left_anti")
+    covered = containing(small.withColumnRenamed("request", "id"), latest).select(F.col("inner_id").alias("request")).distinct()
+    return small.join(covered, "request", "left_anti")

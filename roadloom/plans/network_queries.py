@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK
-from roadloom.operators import edges, events, lineage, linear, paths
+from roadloom.operators import boxes, edges, events, lineage, linear, paths
 from roadloom.operators.network import Rounds
 from roadloom.plans.driver_queries import LAT0, query, table
 from roadloom.plans.event_queries import GIVEN_SQL, _given
@@ -225,3 +225,42 @@ def network_route_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, _, starts, _, reached = grid_walks(spark, sf_dir)
     route = F.col("edge") % 7
     return paths.route_distances(known.withColumn("route", F.when(route < 4, route)), starts, reached).select("walk", "route", F.round("dist_m", 3).alias("dist_m"))
+
+
+#: Orders are covered boxes and customers requests, of sizes from some hundred metres to half a degree, at places that repeat.
+_BOXES = """cov AS (SELECT o_orderkey AS id, x - w AS min_lon, y - w AS min_lat, x + w AS max_lon, y + w AS max_lat FROM (SELECT o_orderkey, (o_orderkey * 7919) % 1009 / 1e2 - 5 AS x, 50 + (o_orderkey * 104729) % 887 / 1e2 AS y, 1e-3 * pow(2, o_orderkey % 9) AS w FROM orders)),
+req AS (SELECT c_custkey AS id, x - w AS min_lon, y - w AS min_lat, x + w * CASE WHEN c_custkey % 23 = 0 THEN -1 ELSE 1 END AS max_lon, y + w AS max_lat FROM (SELECT c_custkey, (c_custkey * 7919) % 1009 / 1e2 - 5 + (c_custkey % 3) * 1e-4 AS x, 50 + (c_custkey * 104729) % 887 / 1e2 AS y, 5e-4 * pow(2, c_custkey % 11) AS w FROM customer))"""
+
+
+def _order_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    x, y, w = (k * 7919) % 1009 / 100.0 - 5, 50 + (k * 104729) % 887 / 100.0, F.lit(0.001) * F.pow(F.lit(2.0), k % 9)
+    return table(spark, sf_dir, "orders", "o_orderkey").select(k.alias("id"), (x - w).alias("min_lon"), (y - w).alias("min_lat"), (x + w).alias("max_lon"), (y + w).alias("max_lat"))
+
+
+def _customer_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    x, y, w = (k * 7919) % 1009 / 100.0 - 5 + (k % 3) * 0.0001, 50 + (k * 104729) % 887 / 100.0, F.lit(0.0005) * F.pow(F.lit(2.0), k % 11)
+    return table(spark, sf_dir, "customer", "c_custkey").select(k.alias("id"), (x - w).alias("min_lon"), (y - w).alias("min_lat"), (x + w * F.when(k % 23 == 0, -1).otherwise(1)).alias("max_lon"), (y + w).alias("max_lat"))
+
+
+@query(f"""WITH {_BOXES} SELECT r.id AS request, count(*) AS boxes, min(c.id) AS least FROM req r JOIN cov c ON c.min_lat <= r.min_lat AND c.min_lon <= r.min_lon AND c.max_lat >= r.max_lat AND c.max_lon >= r.max_lon WHERE r.id % 23 <> 0 GROUP BY 1""")
+def boxes_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = boxes.containing(_customer_boxes(spark, sf_dir).filter("id % 23 <> 0"), _order_boxes(spark, sf_dir))
+    return met.groupBy(F.col("inner_id").alias("request")).agg(F.count("*").alias("boxes"), F.min("outer_id").alias("least"))
+
+
+@query(f"""WITH {_BOXES}, poi AS (SELECT s_suppkey AS k, (s_suppkey * 7919) % 1009 / 1e2 - 5 AS lon, 50 + (s_suppkey * 104729) % 887 / 1e2 AS lat FROM supplier),
+half AS (SELECT * FROM cov WHERE id % 16 < 4), ok AS (SELECT DISTINCT r.id FROM req r JOIN half c ON c.min_lat <= r.min_lat AND c.min_lon <= r.min_lon AND c.max_lat >= r.max_lat AND c.max_lon >= r.max_lon WHERE r.id % 23 <> 0),
+rest AS (SELECT r.*, CASE WHEN min_lon >= max_lon THEN 'bbox out of range' WHEN max_lat - min_lat > 6e-1 OR max_lon - min_lon > 6e-1 THEN 'bbox larger than 0.6 degrees' END AS reason FROM req r WHERE id NOT IN (SELECT id FROM ok)),
+ask AS (SELECT * FROM rest WHERE reason IS NULL), sw AS (SELECT DISTINCT i.id FROM ask i JOIN ask o ON i.id <> o.id AND o.min_lat <= i.min_lat AND o.min_lon <= i.min_lon AND o.max_lat >= i.max_lat AND o.max_lon >= i.max_lon
+  AND (o.id < i.id OR NOT (i.min_lat <= o.min_lat AND i.min_lon <= o.min_lon AND i.max_lat >= o.max_lat AND i.max_lon >= o.max_lon)))
+SELECT r.id AS request, 'answer ' || k AS what FROM req r JOIN ok ON ok.id = r.id JOIN poi ON lat BETWEEN min_lat AND max_lat AND lon BETWEEN min_lon AND max_lon
+UNION ALL SELECT id, 'fetch' FROM ask WHERE id NOT IN (SELECT id FROM sw) UNION ALL SELECT id, reason FROM rest WHERE reason IS NOT NULL""")
+def cache_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests against a cache that covers a quarter of the boxes, suppliers as its points."""
+    k = F.col("s_suppkey")
+    pois = table(spark, sf_dir, "supplier", "s_suppkey").select(k.cast("string").alias("name"), ((k * 7919) % 1009 / 100.0 - 5).alias("lon"), (50 + (k * 104729) % 887 / 100.0).alias("lat"))
+    answers, fetch, refused = boxes.read_through(_customer_boxes(spark, sf_dir), _order_boxes(spark, sf_dir).filter("id % 16 < 4"), pois)
+    out = answers.select(F.col("box").alias("request"), F.concat(F.lit("answer "), "name").alias("what"))
+    return out.union(fetch.select("id", F.lit("fetch"))).union(refused.select("id", "reason"))
