@@ -39,11 +39,12 @@ class Network:
 
 def network_lines(vertices: DataFrame, lat0: float) -> DataFrame:
     """road, line, idx, pos, lon, lat of vertices (road, line, idx, lon, lat) without repeated vertices and very short lines."""
-    points = vertices.groupBy("road", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lon", "lat"))), lambda v: geo.point(v["lon"], v["lat"])).alias("_p"))
-    thinned = points.select("road", "line", F.posexplode(without_near_vertices(F.col("_p"), VERTEX_M, F.lit(lat0), geo.Y_WALK)).alias("idx", "_v")).select("road", "line", "idx", "_v.lon", "_v.lat")
+    keys = [c for c in ("net", "road", "line") if c in vertices.columns]
+    points = vertices.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lon", "lat"))), lambda v: geo.point(v["lon"], v["lat"])).alias("_p"))
+    thinned = points.select(*keys, F.posexplode(without_near_vertices(F.col("_p"), VERTEX_M, F.lit(lat0), geo.Y_WALK)).alias("idx", "_v")).select(*keys, "idx", "_v.lon", "_v.lat")
     placed = linear.with_places(thinned, ("road", "line"), lat0)
     total = F.max("pos").over(Window.partitionBy("road", "line"))
-    return placed.withColumn("_t", total).filter(F.col("_t") >= junctions.LEAST_EDGE_M).select("road", "line", "idx", "pos", "lon", "lat")
+    return placed.withColumn("_t", total).filter(F.col("_t") >= junctions.LEAST_EDGE_M).select(*keys, "idx", "pos", "lon", "lat")
 
 
 def edge_shapes(edges: DataFrame, lines: DataFrame, nodes: DataFrame, lat0: float) -> DataFrame:
@@ -103,23 +104,41 @@ def handed_on(roads: DataFrame, vertices: DataFrame, edges: DataFrame, segments:
     """Homes of roads without an edge for the edge nearest to their first vertex: (edge, residences, includes), and lost roads (road, street)."""
     alone = roads.filter("residences > 0").join(edges.select("road").distinct(), "road", "left_anti")
     first = vertices.groupBy("road").agg(F.min(F.struct("line", "idx", "lon", "lat")).alias("v"))
-    placed = Rounds(roads).write(alone.join(first, "road", "left").select("road", "street", "residences", "v.lon", "v.lat"))
+    net = ["net"] if "net" in roads.columns else []
+    placed = Rounds(roads).write(alone.join(first, "road", "left").select("road", "street", "residences", "v.lon", "v.lat", *net))
     seen = placed.filter("lon is not null")
-    hits = linear.nearest_of_any(seen.select(F.col("road").alias("pt"), "lon", "lat"), segments, lat0)
+    asked = segments.join(roads.select("road", "net"), "road") if net else segments
+    hits = linear.nearest_of_any(seen.select(F.col("road").alias("pt"), "lon", "lat", *net), asked.drop("road"), lat0, bool(net))
     given = hits.join(seen, F.col("pt") == F.col("road")).groupBy(F.col("seg.edge").alias("edge")).agg(F.sum("residences").alias("more"), F.array_sort(F.collect_list(F.struct("road", "street"))).alias("_s"))
     named = given.select("edge", "more", F.transform("_s", lambda s: text.base_name(s["street"])).alias("includes"))
     return named, placed.filter("lon is null").select("road", "street")
 
 
+def edge_halves(network: Network, lat0: float) -> DataFrame:
+    """edge, forward, tail, head, bearing, lon, lat (of the tail), head_lon, head_lat: every edge both ways, with its bearing over the first 15 metres (at most half of it)."""
+    shape = network.shapes.select("edge", "idx", "pos", "lon", "lat")
+    size = shape.groupBy("edge").agg(F.max("pos").alias("_l"))
+    reach = F.least(F.lit(junctions.BEARING_M), F.col("_l") / 2)
+    asked = size.select("edge", F.explode(F.array(*[F.struct(F.lit(f).alias("forward"), F.lit(n).alias("_n"), at.alias("pos")) for f, n, at in ((True, "s", F.lit(0.0)), (True, "t", reach), (False, "s", F.col("_l")), (False, "t", F.col("_l") - reach))])).alias("q")).select("edge", "q.*")
+    spots = linear.points_at(asked, shape, ("edge",))
+    spot = lambda f, n: F.max(F.when((F.col("forward") == f) & (F.col("_n") == n), F.struct("lon", "lat")))
+    both = spots.groupBy("edge").agg(*[spot(f, n).alias(f"{n}_{f}") for f in (True, False) for n in "st"]).join(network.edges.select("edge", "a", "b"), "edge")
+    half = lambda f, tail, head: F.struct(F.lit(f).alias("forward"), F.col(tail).alias("tail"), F.col(head).alias("head"), F.col(f"s_{f}").alias("s"), F.col(f"t_{f}").alias("t"), F.col(f"s_{not f}").alias("h"))
+    met = both.select("edge", F.explode(F.array(half(True, "a", "b"), half(False, "b", "a"))).alias("x")).select("edge", "x.*")
+    turn = geo.bearing(F.col("s.lon"), F.col("s.lat"), F.col("t.lon"), F.col("t.lat"), F.lit(lat0))
+    return met.select("edge", "forward", "tail", "head", turn.alias("bearing"), "s.lon", "s.lat", F.col("h.lon").alias("head_lon"), F.col("h.lat").alias("head_lat"))
+
+
 def build_network(roads: DataFrame, vertices: DataFrame, lat0: float, homes: DataFrame | None = None, half_done: DataFrame | None = None) -> Network:
     """The network of roads (road, street, residences) and their vertices (road, line, idx, lon, lat; a line is of one road).
 
     Residences of a road are spread over its edges by length, or by its known homes; roads with homes that have no edge
-    give them to the edge nearest to them. The sum over edges is that of the roads, but for the lost ones.
+    give them to the edge nearest to them. The sum over edges is that of the roads, but for the lost ones. If roads and vertices have a
+    column net, each of its values is a network of its own.
     """
     rounds = Rounds(roads)
     lines = rounds.write(network_lines(vertices, lat0))
-    placed = rounds.write(junctions.junctions(lines.select("line", "idx", "lon", "lat", "pos"), lat0))
+    placed = rounds.write(junctions.junctions(lines.drop("road"), lat0))
     owner = lines.select("line", "road").distinct()
     cut = rounds.write(junctions.network_edges(placed).join(owner, "line"))
     nodes = placed.select("node", "lon", "lat").distinct()

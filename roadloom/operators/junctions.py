@@ -1,7 +1,7 @@
 """The junction graph of a road network, and the faces that its streets enclose.
 
-Lines are vertex rows (line, idx, lon, lat, pos). All steps are joins on grid cells, windows over one line or
-one junction, and rounds of joins; nothing gathers a network in one task.
+Lines are vertex rows (line, idx, lon, lat, pos), and net where lines of several networks must not meet. All steps are joins on grid
+cells, windows over one line or one junction, and rounds of joins; nothing gathers a network in one task.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ def _around(frame: DataFrame, lat0: float, size_m: float) -> DataFrame:
     return frame.withColumn("_o", F.explode(steps)).withColumn("_cx", cx + F.col("_o.i")).withColumn("_cy", cy + F.col("_o.j")).drop("_o")
 
 
+def _netted(vertices: DataFrame) -> DataFrame:
+    return vertices if "net" in vertices.columns else vertices.withColumn("net", F.lit(0))
+
+
 def line_ends(vertices: DataFrame) -> DataFrame:
     """line, pos, lon, lat of the first and the last vertex of each line."""
     both = vertices.groupBy("line").agg(*[f(F.struct("idx", "pos", "lon", "lat")).alias(n) for f, n in ((F.min, "a"), (F.max, "b"))])
@@ -41,7 +45,7 @@ def shared_vertices(vertices: DataFrame, lat0: float) -> DataFrame:
     """line, pos, lon, lat, spot: vertices in a cell of 1.5 m where two or more lines have one, the first of each line."""
     x = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(lat0)))
     cell = F.struct(F.round(F.col("lon") * x / SAME_M).alias("x"), F.round(F.col("lat") * F.lit(Y_WALK) / SAME_M).alias("y"))
-    first = vertices.withColumn("spot", cell).groupBy("spot", "line").agg(F.min(F.struct("idx", "pos", "lon", "lat")).alias("m"))
+    first = _netted(vertices).withColumn("spot", F.struct("net", cell.alias("cell"))).groupBy("spot", "line").agg(F.min(F.struct("idx", "pos", "lon", "lat")).alias("m"))
     several = first.groupBy("spot").agg(F.count("*").alias("_n")).filter("_n > 1")
     return first.join(several, "spot").select("line", "m.pos", "m.lon", "m.lat", "spot")
 
@@ -49,10 +53,12 @@ def shared_vertices(vertices: DataFrame, lat0: float) -> DataFrame:
 def touching_ends(vertices: DataFrame, lat0: float) -> DataFrame:
     """line, end_pos, other, pos, lon, lat: for each end of a line the nearest place of another line within 20 m."""
     along = Window.partitionBy("line").orderBy("idx")
-    segments = vertices.select(F.col("line").alias("other"), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"), F.col("pos").alias("a_pos"), F.lead("lon").over(along).alias("b_lon"), F.lead("lat").over(along).alias("b_lat"), F.lead("pos").over(along).alias("b_pos")).filter("b_lon is not null")
+    vertices = _netted(vertices)
+    segments = vertices.select(F.col("net").alias("_net"), F.col("line").alias("other"), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"), F.col("pos").alias("a_pos"), F.lead("lon").over(along).alias("b_lon"), F.lead("lat").over(along).alias("b_lat"), F.lead("pos").over(along).alias("b_pos")).filter("b_lon is not null")
     spread = segment_cells(segments, lat0, TOUCH_M)
-    ends = _around(line_ends(vertices).withColumnRenamed("pos", "end_pos"), lat0, TOUCH_M)
-    met = ends.join(spread, (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")) & (F.col("line") != F.col("other")))
+    nets = vertices.groupBy(F.col("line").alias("_line")).agg(F.min("net").alias("net"))
+    ends = _around(line_ends(vertices).withColumnRenamed("pos", "end_pos").join(nets, F.col("line") == F.col("_line")).drop("_line"), lat0, TOUCH_M)
+    met = ends.join(spread, (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")) & (F.col("net") == F.col("_net")) & (F.col("line") != F.col("other")))
     t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))
     place = F.struct(dist.alias("d"), F.col("other"), (F.col("a_pos") + (F.col("b_pos") - F.col("a_pos")) * t).alias("pos"), (F.col("a_lon") + (F.col("b_lon") - F.col("a_lon")) * t).alias("lon"), (F.col("a_lat") + (F.col("b_lat") - F.col("a_lat")) * t).alias("lat"))
     best = met.select("line", "end_pos", place.alias("m")).filter(F.col("m.d") <= TOUCH_M).groupBy("line", "end_pos").agg(F.min("m").alias("m"))
@@ -73,11 +79,13 @@ def junctions(vertices: DataFrame, lat0: float) -> DataFrame:
     rounds = Rounds(vertices)
     hits = touching_ends(vertices, lat0)
     places = line_ends(vertices).unionByName(shared_vertices(vertices, lat0).drop("spot")).unionByName(hits.select(F.col("other").alias("line"), "pos", "lon", "lat"))
-    once = rounds.write(places.withColumn("pos", F.round("pos", 3)).groupBy("line", "pos").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat")).withColumn("place", F.xxhash64("line", "pos")))
+    nets = _netted(vertices).groupBy(F.col("line").alias("_line")).agg(F.min("net").alias("net"))
+    once = places.withColumn("pos", F.round("pos", 3)).groupBy("line", "pos").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat")).withColumn("place", F.xxhash64("line", "pos"))
+    once = rounds.write(once.join(nets, F.col("line") == F.col("_line")).drop("_line"))
     name = lambda line, pos: F.xxhash64(line, F.round(pos, 3))
     cells = _grid(F.col("lon"), F.col("lat"), lat0, UNION_M)
-    other = once.select(F.col("place").alias("_p"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), cells[0].alias("_x"), cells[1].alias("_y"))
-    near = _around(once, lat0, UNION_M).join(other, (F.col("_cx") == F.col("_x")) & (F.col("_cy") == F.col("_y")) & (F.col("place") != F.col("_p")))
+    other = once.select(F.col("net").alias("_net"), F.col("place").alias("_p"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), cells[0].alias("_x"), cells[1].alias("_y"))
+    near = _around(once, lat0, UNION_M).join(other, (F.col("_cx") == F.col("_x")) & (F.col("_cy") == F.col("_y")) & (F.col("net") == F.col("_net")) & (F.col("place") != F.col("_p")))
     close = near.filter(metres(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"), F.lit(lat0), Y_WALK) <= UNION_M).select(F.col("place").alias("src"), F.col("_p").alias("dst"))
     joined = hits.select(name(F.col("line"), F.col("end_pos")).alias("src"), name(F.col("other"), F.col("pos")).alias("dst"))
     edges = close.union(joined).union(joined.select("dst", "src")).distinct()

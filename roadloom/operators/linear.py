@@ -80,18 +80,20 @@ def nearest_of_own(points: DataFrame, segments: DataFrame, own: tuple[str, ...],
     return hit.groupBy(*own, "pt", *per).agg(F.min("m").alias("m")).select(*own, "pt", *per, "m.dist", "m.seg", "m.at_m")
 
 
-def nearest_of_any(points: DataFrame, segments: DataFrame, lat0: float) -> DataFrame:
-    """pt, seg, t, dist: the nearest segment of all, however far; ties go to the least seg.
+def nearest_of_any(points: DataFrame, segments: DataFrame, lat0: float, net: bool = False) -> DataFrame:
+    """pt, seg, t, dist: the nearest segment of all (with ``net``, of all with the point's), however far; ties go to the least seg.
 
     Points without a hit within a ring go on to the next, five times as wide, with cells as wide: a hit within the ring that was
     searched is certainly the nearest. Rounds grow with the logarithm of the widest distance; no segment, no rows.
     """
     rounds = Rounds(points)
-    found, left, ring = None, rounds.write(points.select("pt", "lon", "lat")), RING_M
+    found, left, ring = None, rounds.write(points.select("pt", "lon", "lat", *(["net"] if net else []))), RING_M
     if segments.isEmpty():
-        return nearest_segments(left, segments, lat0, ring)
+        return nearest_segments(left, segments, lat0, ring, net)
+    if net:  # a point whose network has no segment would look for one round the globe
+        left = left.join(segments.select("net").distinct(), "net", "left_semi")
     while ring <= FARTHEST_M * WIDER:
-        hits = rounds.write(nearest_segments(left, segments, lat0, ring))
+        hits = rounds.write(nearest_segments(left, segments, lat0, ring, net))
         found = hits if found is None else found.union(hits)
         left = rounds.write(left.join(hits.select(F.col("pt").alias("_pt")), F.col("pt") == F.col("_pt"), "left_anti"))
         if left.isEmpty():

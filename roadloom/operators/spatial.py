@@ -68,16 +68,19 @@ def segment_cells(segments: DataFrame, lat0: float, size_m: float, reach_m: floa
     return crossed_cells(segments, end("a"), end("b"), size_m, reach_m)
 
 
-def nearest_segments(points: DataFrame, segments: DataFrame, lat0: float, most_m: float) -> DataFrame:
+def nearest_segments(points: DataFrame, segments: DataFrame, lat0: float, most_m: float, net: bool = False) -> DataFrame:
     """pt, seg, t, dist: for each point the nearest segment within ``most_m``; ties go to the lesser seg.
 
-    points: pt, lon, lat. segments: seg, a_lon, a_lat, b_lon, b_lat.
+    points: pt, lon, lat. segments: seg, a_lon, a_lat, b_lon, b_lat. With ``net``, both have such a column, and only equal ones meet.
     """
+    if not net:
+        points, segments = points.withColumn("net", F.lit(0)), segments.withColumn("net", F.lit(0))
+    segments = segments.withColumnRenamed("net", "_net")
     x = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(lat0)))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     placed = points.withColumn("_o", F.explode(around))
-    placed = placed.select("pt", "lon", "lat", (F.floor(F.col("lon") * x / most_m).cast("long") + F.col("_o.i")).alias("_cx"), (F.floor(F.col("lat") * F.lit(Y_WALK) / most_m).cast("long") + F.col("_o.j")).alias("_cy"))
-    met = placed.join(segment_cells(segments, lat0, most_m), (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")))
+    placed = placed.select("pt", "net", "lon", "lat", (F.floor(F.col("lon") * x / most_m).cast("long") + F.col("_o.i")).alias("_cx"), (F.floor(F.col("lat") * F.lit(Y_WALK) / most_m).cast("long") + F.col("_o.j")).alias("_cy"))
+    met = placed.join(segment_cells(segments, lat0, most_m), (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")) & (F.col("net") == F.col("_net")))
     t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))
     best = met.select("pt", F.struct(dist.alias("dist"), F.col("seg"), t.alias("t")).alias("m")).filter(F.col("m.dist") <= most_m).groupBy("pt").agg(F.min("m").alias("m"))
     return best.select("pt", F.col("m.seg").alias("seg"), F.col("m.t").alias("t"), F.col("m.dist").alias("dist"))

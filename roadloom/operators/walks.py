@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.functions import text
 from roadloom.functions.geo import X_DEGREE, Y_WALK, compass, halves_up, metres
 from roadloom.operators.junctions import _around, _grid
 from roadloom.operators.network import Rounds, connected
@@ -226,24 +227,33 @@ def _said(streets: Column) -> Column:
 
 
 def walk_legs(steps: DataFrame, drive: bool = False) -> DataFrame:
-    """route, n, street, cue, homes, length_m, dir: steps in a row along one street are a leg, with its sentence.
+    """route, n, street, cue, homes, length_m, dir, side, pavement, already_done, end_cue: steps in a row along one street are a leg, with its sentence.
 
     steps: route, seq, type, streets, back, uturn, dist_m as of ``tours``, and for walks street, pass, homes, length_m, out_bearing,
-    in_bearing, degree (roads at the junction it leaves), and a_x, a_y, b_x, b_y in metres. Texts of approaches and
-    crossings go before the walk that follows. Everything runs in windows over one route.
+    in_bearing, degree (roads at the junction it leaves), and a_x, a_y, b_x, b_y in metres. Where known also: drive (of the route, else for
+    all as given), label and start_kind (parking, spot, hub or me) of where the route starts, via (streets of a walk-in), quiet (a crossing that
+    means nothing from a car), one_sided (the edge's other side is done), right (the pavement is on the right), includes (very short roads), parts
+    (of the route). Texts of approaches and crossings go before the walk that follows. Everything runs in windows over one route.
     """
-    go = "drive" if drive else "walk"
+    lacking = {"drive": F.lit(drive), "label": F.lit(None).cast("string"), "start_kind": F.lit(None).cast("string"), "via": F.array().cast("array<string>"), "quiet": F.lit(False), "one_sided": F.lit(False), "right": F.lit(True), "includes": F.array().cast("array<string>"), "parts": F.lit(1)}
+    steps = steps.withColumns({c: v for c, v in lacking.items() if c not in steps.columns}).filter(~((F.col("type") == "cross") & F.coalesce("quiet", F.lit(False))))
     order = Window.partitionBy("route").orderBy("seq")
     walk = F.col("type") == "walk"
     where = F.when(F.size("streets") > 1, F.concat(F.lit("the corner of "), F.get("streets", F.lit(0)), F.lit(" and "), F.get("streets", F.lit(1)))).otherwise(F.get("streets", F.lit(0)))
     about = (halves_up(F.col("dist_m") / 10) * 10).cast("long").cast("string")
     # The sentences
-    coming = F.when(F.col("dist_m") > NEAR_START_M, F.concat(F.lit(f"{go.capitalize()} to "), where, F.lit(" (about "), about, F.lit(" m, nothing to deliver on the way)."))).when(F.col("_first"), F.concat(F.lit("Start at "), where, F.lit(".")))
+    go, begun = F.when(F.col("drive"), "drive").otherwise("walk"), F.coalesce("_first", F.lit(False))
+    label = text.base_name(F.col("label"))
+    lead = F.when(begun & (F.col("start_kind") == "parking") & label.isNotNull(), F.concat(F.lit("Park on "), label, F.lit(". "))).otherwise("")
+    leaving = F.when(begun & (F.col("start_kind") == "me"), F.concat(F.lit("From where you are, "), go)).when(begun & label.isNotNull() & ~F.coalesce("start_kind", F.lit("")).isin("parking", "spot"), F.concat(F.lit("From "), label, F.lit(", "), go)).otherwise(F.initcap(go))
+    passed = F.slice(F.filter(F.array_except("via", "streets"), lambda s: ~s.rlike("^Unknown Road")), F.lit(1), F.lit(3))
+    along_via = F.when(F.size(passed) > 0, F.concat(F.lit(" via "), _said(passed))).otherwise("")
+    coming = F.when(F.col("dist_m") > NEAR_START_M, F.concat(lead, leaving, F.lit(" to "), where, along_via, F.lit(" (about "), about, F.lit(" m, nothing to deliver on the way)."))).when(F.col("_first"), F.concat(lead, F.lit("Start at "), where, F.lit(".")))
     over = F.concat(F.when(F.col("back"), "Cross back over ").otherwise("Cross over "), F.array_join("streets", " / "), F.lit("."))
     told = steps.withColumn("_first", F.row_number().over(Window.partitionBy("route", "type").orderBy("seq")) == 1)
     told = told.withColumn("_said", F.when(F.col("type") == "approach", coming).when(F.col("type") == "cross", over)).withColumn("_w", F.sum(F.when(walk, 1).otherwise(0)).over(order) + F.when(walk, 0).otherwise(1))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_said").isNotNull(), F.struct("seq", "_said")))), lambda s: s["_said"]), " ")
-    before = told.filter(~walk).groupBy("route", "_w").agg(text.alias("pre"), F.lit(True).alias("apart"))
+    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_said").isNotNull(), F.struct("seq", "_said")))), lambda s: s["_said"]), " ")
+    before = told.filter(~walk).groupBy("route", "_w").agg(text_of.alias("pre"), F.lit(True).alias("apart"))
     ways = told.filter(walk).join(before, ["route", "_w"], "left").withColumns({"apart": F.col("apart").isNotNull(), "pre": F.coalesce("pre", F.lit(""))})
     ways = ways.withColumns({f"_{c}": F.lag(c).over(order) for c in ("street", "pass", "in_bearing")})
     change = F.pmod(F.col("out_bearing") - F.col("_in_bearing") + 540.0, F.lit(360.0)) - 180.0
@@ -252,10 +262,13 @@ def walk_legs(steps: DataFrame, drive: bool = False) -> DataFrame:
     on_back = (F.col("pass") == "back") & (F.col("_pass") == "back")
     begins = fresh | (~on_back & ((F.col("_street") != F.col("street")) | F.col("uturn") | F.col("_fork") | (F.col("_pass") != F.col("pass"))))
     ways = ways.withColumns({"_fresh": fresh, "n": F.sum(F.when(begins, 1).otherwise(0)).over(order)})
-    homes = F.when(F.col("pass") == "side", F.col("homes") / 2).when(F.col("pass") == "both", F.col("homes")).otherwise(0.0)
-    kept = ("street", "pass", "pre", "uturn", "a_x", "a_y", "_street", "_turn", "_fork", "_fresh")
+    homes = F.when((F.col("pass") == "side") & F.col("one_sided"), F.col("homes")).when(F.col("pass") == "side", F.col("homes") / 2).when(F.col("pass") == "both", F.col("homes")).otherwise(0.0)
+    kept = ("street", "pass", "pre", "uturn", "a_x", "a_y", "_street", "_turn", "_fork", "_fresh", "right", "parts")
+    sign = F.when(F.col("right"), -1.0).otherwise(1.0)
+    beside = [F.sum((F.col("a_y") - F.col("b_y")) * sign).alias("side_x"), F.sum((F.col("b_x") - F.col("a_x")) * sign).alias("side_y")]
+    short = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("pass") != "back", F.struct("seq", "includes")))), lambda s: s["includes"]))).alias("short")
     seen = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "street"))), lambda s: s["street"]))
-    legs = ways.groupBy("route", "n").agg(*[F.min_by(c, "seq").alias(c) for c in kept], F.max_by("b_x", "seq").alias("b_x"), F.max_by("b_y", "seq").alias("b_y"), F.sum(homes).alias("homes"), F.sum("length_m").alias("length_m"), seen.alias("seen"))
+    legs = ways.groupBy("route", "n").agg(*[F.min_by(c, "seq").alias(c) for c in kept], F.max_by("b_x", "seq").alias("b_x"), F.max_by("b_y", "seq").alias("b_y"), F.sum(homes).alias("homes"), F.sum("length_m").alias("length_m"), seen.alias("seen"), *beside, short)
     dx, dy = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
     far = F.sqrt(dx * dx + dy * dy) > F.greatest(F.lit(20.0), F.col("length_m") * 0.25)
     legs = legs.withColumn("dir", F.when(far, compass(F.pmod(F.degrees(F.atan2(dx, dy)) + 360.0, F.lit(360.0)))))
@@ -278,5 +291,16 @@ def walk_legs(steps: DataFrame, drive: bool = False) -> DataFrame:
         .otherwise(F.concat(F.lit("Turn "), turned, F.lit(" into "), F.col("street"), F.lit(".")))
     )
     tail = F.when(F.col("pass") == "both", " Deliver both sides as you go.").when(F.col("pass") == "sidedone", " This side's already been done, so nothing to deliver.").otherwise("")
-    action = F.when(F.col("pass") == "back", back).otherwise(F.concat(on, tail))
-    return legs.select("route", "n", "street", F.trim(F.concat_ws(" ", "pre", action)).alias("cue"), "homes", "length_m", "dir")
+    others = F.array_remove("short", F.col("street"))
+    named = F.when(F.size(others) > 0, F.concat(F.lit(" Includes "), F.array_join(others, " and "), F.lit(" (a very short road here)."))).otherwise("")
+    action = F.when(F.col("pass") == "back", back).otherwise(F.concat(on, tail, named))
+    word = sides[compass(F.pmod(F.degrees(F.atan2("side_x", "side_y")) + 360.0, F.lit(360.0)))]
+    side = F.when(F.col("pass") == "back", "already done").when(F.col("pass") == "both", "both sides").otherwise(F.concat(word, F.when(F.col("pass") == "sidedone", " side (already done)").otherwise(" side")))
+    pavement = F.when(F.col("pass").isin("both", "back"), F.col("pass")).when(F.col("right"), "right").otherwise("left")
+    # what is said after a route's last walk
+    last = told.groupBy("route").agg(F.count_if(walk).alias("_walks"))
+    after = told.filter(~walk).groupBy("route", "_w").agg(text_of.alias("_rest")).join(last, "route").filter(F.col("_w") > F.col("_walks")).select(F.col("route").alias("_r"), "_rest")
+    final = F.row_number().over(Window.partitionBy("route").orderBy(F.desc("n"))) == 1
+    end = F.when(F.col("parts") == 1, "That's the route done, and you're back where you started.").otherwise("That's the route done.")
+    out = legs.join(after, F.col("route") == F.col("_r"), "left").withColumn("_last", final)
+    return out.select("route", "n", "street", F.trim(F.concat_ws(" ", "pre", action)).alias("cue"), "homes", "length_m", "dir", side.alias("side"), pavement.alias("pavement"), (F.col("pass") == "sidedone").alias("already_done"), F.when(F.col("_last"), F.concat_ws(" ", F.when(F.col("_rest") != "", F.col("_rest")), end)).alias("end_cue"))

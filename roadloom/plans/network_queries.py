@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK
-from roadloom.operators import boxes, edges, events, lineage, linear, paths
+from roadloom.operators import boxes, directions, edges, events, lineage, linear, paths
 from roadloom.operators.network import Rounds
 from roadloom.plans.driver_queries import LAT0, query, table
 from roadloom.plans.event_queries import GIVEN_SQL, _given
@@ -264,3 +264,25 @@ def cache_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers, fetch, refused = boxes.read_through(_customer_boxes(spark, sf_dir), _order_boxes(spark, sf_dir).filter("id % 16 < 4"), pois)
     out = answers.select(F.col("box").alias("request"), F.concat(F.lit("answer "), "name").alias("what"))
     return out.union(fetch.select("id", F.lit("fetch"))).union(refused.select("id", "reason"))
+
+
+@query("""SELECT s_suppkey AS route, CASE s_suppkey % 10 WHEN 3 THEN 'geometry: a point without a place' WHEN 7 THEN 'network: no street is long enough' WHEN 9 THEN 'start: no place to start from' ELSE 'planned' END AS what,
+CASE WHEN s_suppkey % 10 NOT IN (3, 7, 9) THEN round((s_suppkey % 60 + s_suppkey % 37)::DOUBLE, 3) END AS homes, CASE WHEN s_suppkey % 10 NOT IN (3, 7, 9) THEN 1040e0 END AS walk_m, CASE WHEN s_suppkey % 10 NOT IN (3, 7, 9) THEN 30e0 END AS transfer_m,
+CASE WHEN s_suppkey % 10 NOT IN (3, 7, 9) THEN 520e0 END AS road_m, CASE WHEN s_suppkey % 10 NOT IN (3, 7, 9) THEN 1::BIGINT END AS junctions, CASE WHEN s_suppkey % 10 NOT IN (3, 7, 9) THEN 1::BIGINT END AS components FROM supplier""")
+def route_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as routes of a main street and a side street; one in ten has a broken line, one only a sliver, one no start."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier", "s_suppkey")
+    lon, lat = _spot(k, F.lit(0.0), F.lit(-30.0))
+    known = k % 10 != 9
+    routes = s.select(k.alias("route"), F.lit("walk").alias("kind"), F.when(known, lon).alias("start_lon"), F.when(known, lat).alias("start_lat"), F.lit("Inn").alias("start_label"), F.lit("hub").alias("start_kind"))
+    roads = s.select(k.alias("route"), F.inline(F.array(F.struct((2 * k).alias("road"), F.lit("Main Street").alias("street"), (k % 60).cast("double").alias("residences")), F.struct((2 * k + 1).alias("road"), F.lit("Side Street").alias("street"), (k % 37).cast("double").alias("residences")))))
+    size = F.when(k % 10 == 7, 0.005).otherwise(1.0)
+    at = lambda r, i, x, y: F.struct((2 * k + r).alias("road"), F.lit(i).alias("idx"), (x * size).alias("x"), F.when((k % 10 == 3) & F.lit(i == 1), float("nan")).otherwise(y * size).alias("y"))
+    points = [at(0, i, F.lit(100.0 * i), F.lit(0.0)) for i in range(5)] + [at(1, i, 60.0 + 10.0 * (k % 25), F.lit(float(y))) for i, y in enumerate((5, 125))]
+    made = s.select(k.alias("route"), F.explode(F.array(*points)).alias("p"))
+    lon, lat = _spot(F.col("route"), F.col("p.x"), F.col("p.y"))
+    vertices = made.select("route", "p.road", F.col("p.road").alias("line"), "p.idx", lon.alias("lon"), lat.alias("lat"))
+    done = directions.add_directions(routes, roads, vertices, LAT0)
+    planned = done.stats.select("route", F.lit("planned").alias("what"), F.round("homes", 3).alias("homes"), *[F.round(c, 1).alias(c) for c in ("walk_m", "transfer_m", "road_m")], "junctions", "components")
+    return planned.unionByName(done.errors.select("route", F.concat_ws(": ", "stage", "reason").alias("what")), allowMissingColumns=True)
