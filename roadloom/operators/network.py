@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.functions.geo import metres
+
 
 class Rounds:
     """Written tables that cut the lineage of a loop, in the folder ``spark.checkpoint.dir`` names."""
@@ -48,20 +51,69 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def network_distances(roads: DataFrame, edges: DataFrame, entries: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """road, dist_m: shortest distances where a hop costs the whole length of the road entered.
+#: After so many rounds the tables of what came nearer are one table again; after the most it fails.
+COMPACT_ROUNDS, MOST_ROUNDS = 8, 100_000
+
+
+def _least(layers: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, layers).groupBy("walk", "node").agg(F.min("m").alias("m"))
 
-    roads: road, length_m; edges: src, dst; entries: road, dist_m. Roads that no path reaches have none. Each
-    round relaxes the roads that came nearer in the one before, until none does; it fails if some still do after the last.
+
+def relaxed(ways: DataFrame, starts: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """walk, node, dist_m, prev, edge: the least distance of every node that a walk reaches, and the node and edge that it came by.
+
+    ways: edge, src, dst, length_m, one way; starts: walk, node, dist_m, where prev and edge are null. Ties go to the least edge. All
+    walks relax in the same rounds; a round reads the nodes that came nearer in the one before and writes those that
+    come nearer in it. It fails if some still do after the last.
     """
-    rounds = Rounds(roads)
-    best = rounds.write(entries.groupBy("road").agg(F.min("dist_m").alias("dist_m")).withColumn("fresh", F.lit(True)))
+    rounds = Rounds(ways)
+    ways = rounds.write(ways.select("edge", F.col("src").alias("_from"), F.col("dst").alias("_to"), "length_m"))
+    kind = starts.schema["node"].dataType
+    first = starts.select("walk", "node", "dist_m", F.lit(None).cast(kind).alias("prev"), F.lit(None).cast(ways.schema["edge"].dataType).alias("edge"))
+    fresh = rounds.write(first.groupBy("walk", "node").agg(F.min(F.struct("dist_m", "edge", "prev")).alias("m")))
+    layers = [fresh]
     for _ in range(most_rounds):
-        hops = best.filter("fresh").join(edges, F.col("road") == F.col("src")).select(F.col("dst").alias("road"), F.col("dist_m").alias("before"))
-        reached = hops.join(roads, "road").groupBy("road").agg(F.min(F.col("before") + F.col("length_m")).alias("new"))
-        joined = best.select("road", "dist_m").join(reached, "road", "full")
-        nearer = F.col("new").isNotNull() & (F.col("dist_m").isNull() | (F.col("new") < F.col("dist_m")))
-        best = rounds.write(joined.select("road", F.when(nearer, F.col("new")).otherwise(F.col("dist_m")).alias("dist_m"), nearer.alias("fresh")))
-        if best.filter("fresh").isEmpty():
-            return best.select("road", "dist_m")
+        step = F.struct((F.col("m.dist_m") + F.col("length_m")).alias("dist_m"), "edge", F.col("node").alias("prev"))
+        reached = fresh.join(ways, F.col("node") == F.col("_from")).select("walk", F.col("_to").alias("node"), step.alias("new")).groupBy("walk", "node").agg(F.min("new").alias("new"))
+        best = reduce(DataFrame.union, layers).join(reached.select("walk", "node"), ["walk", "node"], "left_semi").groupBy("walk", "node").agg(F.min("m.dist_m").alias("_d"))
+        fresh = rounds.write(reached.join(best, ["walk", "node"], "left").filter("_d is null or new.dist_m < _d").select("walk", "node", F.col("new").alias("m")))
+        if fresh.isEmpty():
+            return _least(layers).select("walk", "node", "m.dist_m", "m.prev", "m.edge")
+        layers.append(fresh)
+        if len(layers) > COMPACT_ROUNDS:
+            layers = [rounds.write(_least(layers))]
     raise RuntimeError(f"distances still change after {most_rounds} rounds")
+
+
+def network_distances(roads: DataFrame, edges: DataFrame, entries: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """road, dist_m: shortest distances where a hop costs the whole length of the road entered.
+
+    roads: road, length_m; edges: src, dst; entries: road, dist_m. Roads that no path reaches have none.
+    """
+    sized = roads.select(F.col("road").alias("_r"), "length_m")
+    ways = edges.join(sized, F.col("dst") == F.col("_r")).select(F.struct("src", "dst").alias("edge"), "src", "dst", "length_m")
+    found = relaxed(ways, entries.select(F.lit(0).alias("walk"), F.col("road").alias("node"), "dist_m"), most_rounds)
+    return found.select(F.col("node").alias("road"), "dist_m")
+
+
+def hub_distances(roads: DataFrame, segments: DataFrame, edges: DataFrame, hubs: DataFrame, lat0: float, entry_m: float = 250.0) -> DataFrame:
+    """road, hub, dist_m: how far each road of a hub is from it over the roads of that hub.
+
+    roads: road (unique), hub, length_m; segments: road, a_lon, a_lat, b_lon, b_lat; edges: src, dst in both directions; hubs: hub, lon, lat. A walk
+    enters by the roads whose nearest place is within ``entry_m`` of the hub, or by the nearest one of all (ties: the first) if there is
+    none. Roads that no walk reaches are as far as the crow flies.
+    """
+    met = roads.select("road", "hub", "length_m").join(segments, "road").join(hubs, "hub")
+    dx, dy = F.col("b_lon") - F.col("a_lon"), F.col("b_lat") - F.col("a_lat")
+    square = dx * dx + dy * dy
+    # the nearest place of a segment is found in degrees, and only its distance in metres
+    t = F.when(square > 0, F.least(F.greatest(((F.col("lon") - F.col("a_lon")) * dx + (F.col("lat") - F.col("a_lat")) * dy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    far = metres(F.col("lon"), F.col("lat"), F.col("a_lon") + dx * t, F.col("a_lat") + dy * t, F.lit(lat0))
+    crow = Rounds(roads).write(met.groupBy("road", "hub").agg(F.min(far).alias("crow")))
+    near = crow.filter(F.col("crow") <= entry_m).select("road", "hub", F.col("crow").alias("dist_m"))
+    alone = crow.join(near.select("hub").distinct(), "hub", "left_anti").groupBy("hub").agg(F.min(F.struct("crow", "road")).alias("m")).select("m.road", "hub", F.col("m.crow").alias("dist_m"))
+    owner = roads.select(F.col("road").alias("_s"), F.col("hub").alias("_h"))
+    other = roads.select(F.col("road").alias("_d"), F.col("hub").alias("_g"))
+    inner = edges.join(owner, F.col("src") == F.col("_s")).join(other, F.col("dst") == F.col("_d")).filter("_h = _g").select("src", "dst")
+    found = network_distances(roads, inner, near.unionByName(alone)).select(F.col("road").alias("_f"), "dist_m")
+    return crow.join(found, F.col("road") == F.col("_f"), "left").select("road", "hub", F.coalesce("dist_m", "crow").alias("dist_m"))

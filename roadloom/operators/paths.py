@@ -7,18 +7,11 @@ came before by doubling pointers, so that takes rounds by the logarithm of the l
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.operators import linear
-from roadloom.operators.network import Rounds
-
-#: After so many rounds the tables of what came nearer are one table again.
-COMPACT_ROUNDS = 8
-MOST_ROUNDS = 100_000
-
+from roadloom.operators.network import Rounds, relaxed
 
 def located(points: DataFrame, edges: DataFrame, shapes: DataFrame, lat0: float) -> DataFrame:
     """pt, edge, a, b, street, s, length_m, d, lon, lat: each point (pt, lon, lat) on the edge nearest to it, s metres from a; ties go to the least edge."""
@@ -35,32 +28,10 @@ def shortest(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """walk, node, dist_m, prev, edge: the shortest way to every junction a walk reaches, and the junction and edge that it came by.
 
     edges: edge, a, b, length_m, walked both ways. starts: walk, node, dist_m; there prev and edge are null. Ties go to the least edge.
-    All walks relax in the same rounds. A round reads the junctions that came nearer in the one before and writes those
-    that come nearer in it.
+    See ``network.relaxed``.
     """
-    rounds = Rounds(edges)
-    there = edges.select("edge", F.col("a").alias("_from"), F.col("b").alias("_to"), "length_m")
-    ways = rounds.write(there.union(there.select("edge", "_to", "_from", "length_m")))
-    at = F.struct("dist_m", F.col("edge").alias("edge"), F.col("prev").alias("prev"))
-    first = starts.select("walk", "node", "dist_m", F.lit(None).cast("long").alias("prev"), F.lit(None).cast(edges.schema["edge"].dataType).alias("edge"))
-    fresh = rounds.write(first.groupBy("walk", "node").agg(F.min(at).alias("m")))
-    layers = [fresh]
-    for _ in range(MOST_ROUNDS):
-        step = F.struct((F.col("m.dist_m") + F.col("length_m")).alias("dist_m"), "edge", F.col("node").alias("prev"))
-        reached = fresh.join(ways, F.col("node") == F.col("_from")).select("walk", F.col("_to").alias("node"), step.alias("new")).groupBy("walk", "node").agg(F.min("new").alias("new"))
-        known = reduce(DataFrame.union, layers).join(reached.select("walk", "node"), ["walk", "node"], "left_semi") if len(layers) > 1 else layers[0]
-        best = known.groupBy("walk", "node").agg(F.min("m.dist_m").alias("_d"))
-        fresh = rounds.write(reached.join(best, ["walk", "node"], "left").filter("_d is null or new.dist_m < _d").select("walk", "node", F.col("new").alias("m")))
-        if fresh.isEmpty():
-            return _least(layers).select("walk", "node", "m.dist_m", "m.prev", "m.edge")
-        layers.append(fresh)
-        if len(layers) > COMPACT_ROUNDS:
-            layers = [rounds.write(_least(layers))]
-    raise RuntimeError(f"walks still change after {MOST_ROUNDS} rounds")
-
-
-def _least(layers: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, layers).groupBy("walk", "node").agg(F.min("m").alias("m"))
+    there = edges.select("edge", F.col("a").alias("src"), F.col("b").alias("dst"), "length_m")
+    return relaxed(there.union(there.select("edge", "dst", "src", "length_m")), starts)
 
 
 def chains(ends: DataFrame, reached: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK, on_segment
+from roadloom.operators.linear import points_at
 from roadloom.operators.spatial import crossed_cells
 
 PACE_MPS, PAVEMENT_M = 0.45, 5.0
@@ -41,6 +42,41 @@ def step_starts(pieces: DataFrame) -> DataFrame:
     return pieces.filter("n is not null").groupBy("track", "n").agg(F.min_by("start_m", "seq").alias("start_m"))
 
 
+def places(positions: DataFrame, pieces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """positions (track, pos and others) with n, into_m, left_m as of ``at_positions``, and lon, lat of the place there.
+
+    vertices: track, seq (of the piece), idx, pos (within the piece), lon, lat.
+    """
+    marked = at_positions(positions, pieces.withColumn("n", F.struct("n", "seq")))
+    asked = marked.select("track", F.col("n.seq").alias("seq"), F.col("into_m").alias("pos"), F.struct(*[c for c in positions.columns if c != "track"], F.col("n.n").alias("n"), "into_m", "left_m").alias("_row"))
+    met = points_at(asked, vertices, ("track", "seq"))
+    return met.select("track", "_row.*", "lon", "lat")
+
+
+def slices(wanted: DataFrame, pieces: DataFrame, vertices: DataFrame, bucket_m: float = 500.0) -> DataFrame:
+    """q, track, seq, n, place, lon, lat: the lines of a track between two positions (q, track, from_m, to_m), one for each piece.
+
+    vertices as in ``places``. A piece that is covered from its beginning starts where the piece before it ended, as a position
+    there is that piece's. Ranges and pieces meet by stretches of the track.
+    """
+    order = Window.partitionBy("track").orderBy("seq")
+    numbered = pieces.select("track", "seq", "n", "start_m", "length_m", F.lag("seq").over(order).alias("_before"), F.lag("length_m").over(order).alias("_before_m"))
+    stretch = lambda a, b: F.explode(F.sequence(F.floor(a / bucket_m), F.floor(b / bucket_m)))
+    spread = numbered.withColumn("_b", stretch(F.col("start_m"), F.col("start_m") + F.col("length_m"))).withColumnRenamed("track", "_t")
+    asked = wanted.select("q", "track", F.greatest("from_m", F.lit(0.0)).alias("_from"), F.col("to_m").alias("_to")).filter("_to > _from").withColumn("_c", stretch(F.col("_from"), F.col("_to")))
+    met = asked.join(spread, (F.col("track") == F.col("_t")) & (F.col("_b") == F.col("_c"))).withColumns({"a": F.greatest("_from", "start_m"), "b": F.least("_to", F.col("start_m") + F.col("length_m"))})
+    # a pair counts in the stretch where what they share begins
+    met = met.filter((F.col("b") > F.col("a")) & (F.floor(F.col("a") / bucket_m) == F.col("_c"))).select("q", "track", "seq", "n", "_before", "_before_m", (F.col("a") - F.col("start_m")).alias("a"), (F.col("b") - F.col("start_m")).alias("b"))
+    own = F.struct("q", "seq", "n")
+    before = (F.col("a") <= 0) & F.col("_before").isNotNull()
+    first = met.select("track", F.when(before, F.col("_before")).otherwise(F.col("seq")).alias("seq"), F.when(before, F.col("_before_m")).otherwise(F.col("a")).alias("pos"), own.alias("_own"), F.lit(-1.0).alias("_at"))
+    last = met.select("track", "seq", F.col("b").alias("pos"), own.alias("_own"), F.lit(float("inf")).alias("_at"))
+    ends = points_at(first.union(last), vertices, ("track", "seq")).select("track", "_own", "_at", "lon", "lat")
+    inner = met.join(vertices.select("track", "seq", F.col("pos").alias("_p"), "lon", "lat"), ["track", "seq"]).filter("_p > a and _p < b").select("track", own.alias("_own"), F.col("_p").alias("_at"), "lon", "lat")
+    line = Window.partitionBy("track", "_own").orderBy("_at")
+    return ends.union(inner).select("_own.q", "track", "_own.seq", "_own.n", (F.row_number().over(line) - 1).alias("place"), "lon", "lat")
+
+
 def reach_level(accuracy: Column) -> Column:
     """The size of cells for a fix: it doubles with its reach, which is max(30, twice the accuracy) metres."""
     return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(LEAST_REACH_M), F.coalesce(accuracy, F.lit(0.0)) * 2) / LEAST_REACH_M))).cast("int")

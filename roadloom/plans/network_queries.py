@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK
-from roadloom.operators import boxes, directions, edges, events, lineage, linear, paths
+from roadloom.operators import boxes, directions, edges, events, lineage, linear, network, paths, tracks
 from roadloom.operators.network import Rounds
-from roadloom.plans.driver_queries import LAT0, query, table
+from roadloom.plans.driver_queries import EDGES_SQL, LAT0, _ward_edges, query, table
 from roadloom.plans.event_queries import GIVEN_SQL, _given
+from roadloom.plans.walk_queries import KX, SEG_SQL, TRACK_SQL, segments, track_legs
 
 _X = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(LAT0)))
 
@@ -286,3 +287,40 @@ def route_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = directions.add_directions(routes, roads, vertices, LAT0)
     planned = done.stats.select("route", F.lit("planned").alias("what"), F.round("homes", 3).alias("homes"), *[F.round(c, 1).alias(c) for c in ("walk_m", "transfer_m", "road_m")], "junctions", "components")
     return planned.unionByName(done.errors.select("route", F.concat_ws(": ", "stage", "reason").alias("what")), allowMissingColumns=True)
+
+
+@query(f"""WITH RECURSIVE {SEG_SQL}, {EDGES_SQL}, hub AS (SELECT ward, min(a_lon) - 1e-3 - (ward % 3) * 5e-3 AS lon, min(a_lat) AS lat FROM seg WHERE k % 4 = 1 GROUP BY 1),
+q AS (SELECT k, seg.ward, a_lon, a_lat, b_lon - a_lon AS dx, b_lat - a_lat AS dy, lon, lat FROM seg JOIN hub ON hub.ward = seg.ward WHERE k % 4 > 0),
+p AS (SELECT *, least(greatest(((lon - a_lon) * dx + (lat - a_lat) * dy) / (dx * dx + dy * dy), 0e0), 1e0) AS t FROM q),
+crow AS (SELECT k, ward, min(sqrt(((lon - a_lon - dx * t) * {KX}) ** 2 + ((lat - a_lat - dy * t) * 111320e0) ** 2)) AS d FROM p GROUP BY 1, 2),
+entry AS (SELECT k, d FROM crow WHERE d <= 25e1 UNION ALL SELECT k, d FROM crow WHERE ward NOT IN (SELECT ward FROM crow WHERE d <= 25e1) QUALIFY row_number() OVER (PARTITION BY ward ORDER BY d, k) = 1),
+hop AS (SELECT src, dst, 1e0 + dst % 60 AS len FROM (SELECT src, dst FROM pair UNION SELECT dst, src FROM pair) WHERE src % 4 > 0 AND dst % 4 > 0 UNION ALL SELECT k, k, 0e0 FROM crow),
+r(i, k, d) AS (SELECT 0, k, d FROM entry UNION ALL SELECT i + 1, dst, min(d + len) FROM r JOIN hop ON src = k WHERE i < 40 GROUP BY ALL), far AS (SELECT k, min(d) AS d FROM r GROUP BY 1)
+SELECT crow.k AS road, ward AS hub, round(coalesce(far.d, crow.d), 3) AS dist_m FROM crow LEFT JOIN far ON far.k = crow.k""")
+def hub_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads of a nation from a hub near its western ones, or, every third, half a kilometre and more away from all; every fourth road is missing."""
+    r, links = _ward_edges(spark, sf_dir)
+    lines = segments(spark, sf_dir).filter("k % 4 > 0")
+    of = r.filter("k % 4 > 0").select(F.col("k").alias("road"), F.col("ward").alias("hub"), (1.0 + F.col("k") % 60).alias("length_m"))
+    first = lines.filter("k % 4 = 1").join(of, F.col("k") == F.col("road")).groupBy("hub").agg(F.min("a_lon").alias("_x"), F.min("a_lat").alias("lat"))
+    hubs = first.select("hub", (F.col("_x") - 0.001 - (F.col("hub") % 3) * 0.005).alias("lon"), "lat")
+    made = network.hub_distances(of, lines.withColumnRenamed("k", "road").select("road", "a_lon", "a_lat", "b_lon", "b_lat"), links, hubs, LAT0)
+    return made.select("road", "hub", F.round("dist_m", 3).alias("dist_m"))
+
+
+@query(f"""WITH {TRACK_SQL}, w AS (SELECT event_id AS q, event_id % 25 AS track, (event_id % 997)::DOUBLE * 4e-1 AS a, (event_id % 997)::DOUBLE * 4e-1 + (event_id % 61)::DOUBLE * 5e0 AS b FROM events WHERE event_id % 7 = 0),
+m AS (SELECT q, leg.seq, n, greatest(a, start_m) - start_m AS x, least(b, start_m + len) - start_m AS y, len, a_lon, a_lat, b_lon, b_lat, a <= start_m AS whole, lag(b_lon) OVER o AS p_lon, lag(b_lat) OVER o AS p_lat
+  FROM (SELECT * FROM (SELECT *, lag(seq) OVER (PARTITION BY track ORDER BY seq) AS before FROM leg)) leg JOIN w ON w.track = leg.track WINDOW o AS (PARTITION BY q ORDER BY leg.seq))
+SELECT q, seq, n, round(CASE WHEN whole AND p_lon IS NOT NULL THEN p_lon ELSE a_lon + (b_lon - a_lon) * x / len END, 7) AS from_lon, round(CASE WHEN whole AND p_lat IS NOT NULL THEN p_lat ELSE a_lat + (b_lat - a_lat) * x / len END, 7) AS from_lat,
+round(a_lon + (b_lon - a_lon) * y / len, 7) AS to_lon, round(a_lat + (b_lat - a_lat) * y / len, 7) AS to_lat FROM m WHERE y > x""")
+def track_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of tracks between two positions, a line for each piece; a piece that is covered from its beginning starts where the one before ended."""
+    e = F.col("event_id")
+    start = (e % 997).cast("double") * 0.4
+    wanted = table(spark, sf_dir, "events", "event_id").filter(e % 7 == 0).select(e.alias("q"), (e % 25).cast("int").alias("track"), start.alias("from_m"), (start + (e % 61).cast("double") * 5.0).alias("to_m"))
+    legs = track_legs(spark, sf_dir)
+    vertices = legs.select("track", "seq", F.explode(F.array(F.struct(F.lit(0).alias("idx"), F.lit(0.0).alias("pos"), F.col("a_lon").alias("lon"), F.col("a_lat").alias("lat")), F.struct(F.lit(1).alias("idx"), F.col("length_m").alias("pos"), F.col("b_lon").alias("lon"), F.col("b_lat").alias("lat")))).alias("v")).select("track", "seq", "v.*")
+    lines = tracks.slices(wanted, legs, vertices)
+    end = lambda f, c: f(F.struct("place", c))[c]
+    out = lines.groupBy("q", "seq", "n").agg(*[F.round(end(f, c), 7).alias(f"{name}_{c}") for name, f in (("from", F.min), ("to", F.max)) for c in ("lon", "lat")])
+    return out.select("q", "seq", "n", "from_lon", "from_lat", "to_lon", "to_lat")
