@@ -17,12 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import byte_table, lean, mix64
 
 LEAST, USUAL, MOST = 32, 96, 384
+#: Ranges of identifiers for each partition, dealt by a hash; and the bytes of text that weigh as much as a row in choosing them.
+PLACES, PAGE_BYTES = 16, 4096
 _HARD, _EASY = np.uint32(0xFE000000), np.uint32(0xF8000000)  # before and after the usual size
 _GEAR = byte_table(7)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -119,13 +121,6 @@ def with_edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _tasks(spark: SparkSession, parts: int) -> list[int]:
-    """A number for each of the places 0 to parts - 1 such that ``repartition(parts, number)`` gives every place a task of its own."""
-    found = spark.range(40 * parts).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("task")).groupBy("task").agg(F.min("id").alias("id")).collect()
-    number = {r.task: r.id for r in found}
-    return [number.get(p, p) for p in range(parts)]
-
-
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprint of every text of docs (doc_id, text) and of its edited text, and their likeness.
 
@@ -134,7 +129,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first().b
+    # an identifier counts as often as its text has pages, so places hold about equally many bytes
+    pages = rows.select("key", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("text") / PAGE_BYTES).cast("int"))))
+    places = PLACES * parts
+    found = pages.agg(F.percentile_approx("key", [i / places for i in range(1, places)], 10 * places).alias("b")).first().b
     bounds = [int(x) for x in np.unique(np.array(found or [], np.int64))]
     # the places of the ranges, the highest ids first
     place = (len(bounds) - F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key")))) if bounds else F.lit(0)
@@ -149,7 +147,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     met = placed.join(F.broadcast(heads), (F.col("place") == F.col("_place")) & (F.col("key") == F.col("_key")))
     guests = met.groupBy("to", "round", "key").agg(F.max("text").alias("text")).select(F.col("to").alias("place"), F.lit(True).alias("guest"), "round", "key", F.lit(None).cast("long").alias("doc_id"), "text")
     both = placed.select("place", F.lit(False).alias("guest"), F.lit(False).alias("round"), "key", "doc_id", "text").unionByName(guests)
-    sorted_rows = both.withColumn("task", F.element_at(F.array(*map(F.lit, _tasks(spark, parts))), F.col("place") + 1)).repartition(parts, "task").sortWithinPartitions("place", "guest", "round", F.col("key").desc(), F.col("text").desc())
+    sorted_rows = both.repartition(parts, "place").sortWithinPartitions("place", "guest", "round", F.col("key").desc(), F.col("text").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # place, doc_id, text, fingerprint of the row whose next one has yet to come
