@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geo
 from roadloom.operators import events, homes, publishing, splits
+from roadloom.operators.network import Rounds
 from roadloom.plans.driver_queries import EDGES_SQL, LAT0, ROADS_SQL, S_LAT, S_LON, _cluster_input, _ward_edges, grid_roads, grid_vertices, key_point, metres_sql, query, table
 from roadloom.plans.walk_queries import SEG_SQL, near_sql, order_homes, segments
+from roadloom.sources import pages
 
 #: Routes of given clusters: seven in a ward, of which the odd ones are the second hub's.
 GIVEN_SQL = f"""{ROADS_SQL}, {EDGES_SQL}, m0 AS (SELECT k, ward, k // 30 % 7 AS c, k // 30 % 7 % 2 AS hub, residences, status, lon0, lat0 FROM road),
@@ -123,3 +125,21 @@ def multi_hub_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def general_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.range(0).select(F.lit("").alias("district"), F.lit("").alias("poi"), F.lit(0.0).alias("p_lon"), F.lit(0.0).alias("p_lat"))
     return events.multi_hub(road_table(spark, sf_dir), none, LAT0, general=True, target=150)[1]
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 2 AS c, CASE WHEN page_id % 4 > 0 THEN 'p' || page_id % 37 END AS publish_id, 'ward-' || page_id % 7 AS base, 'w' || page_id AS ward, page_id % 6 = 0 AS sheets FROM pages),
+one AS (SELECT * FROM p QUALIFY publish_id IS NULL OR row_number() OVER (PARTITION BY publish_id ORDER BY c, base, ward) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY c, coalesce(publish_id, ''), ward) - 1 AS i FROM one), f AS (SELECT *, base || CASE WHEN i = 0 THEN '' ELSE i::VARCHAR END AS stem FROM n)
+SELECT stem || '.html' AS filename, publish_id, ward, CASE WHEN sheets THEN stem || '-sheets.html' END AS sheets, bytes FROM f JOIN (SELECT page_id, strlen(coalesce(html, '')) AS bytes FROM pages) USING (page_id)""")
+def published_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages published in two commits, some of them retries; the bytes are those of the files."""
+    p, k = table(spark, sf_dir, "pages", "page_id", "html"), F.col("page_id")
+    rows = p.select(
+        F.when(k % 4 > 0, F.concat(F.lit("p"), (k % 37).cast("string"))).alias("publish_id"), F.concat(F.lit("ward-"), (k % 7).cast("string")).alias("base"), F.concat(F.lit("w"), k.cast("string")).alias("ward"),
+        F.lit("north").alias("constituency"), "html", F.when(k % 6 == 0, "sheets").alias("sheets"), (k % 2).alias("c"),
+    )
+    folder = Rounds(p).base
+    for c in (0, 1):
+        pages.publish(rows.filter(F.col("c") == c), f"{folder}/site", now="2024-05-20T12:00:00+00:00")
+    files = spark.read.format("binaryFile").load(f"{folder}/site/*.html").select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"))
+    return pages.published(spark, f"{folder}/site").join(files, "filename").select("filename", "publish_id", "ward", "sheets", "bytes")

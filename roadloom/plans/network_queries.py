@@ -16,12 +16,15 @@ from roadloom.plans.driver_queries import EDGES_SQL, LAT0, _ward_edges, query, t
 from roadloom.plans.event_queries import GIVEN_SQL, _given
 from roadloom.plans.walk_queries import KX, SEG_SQL, TRACK_SQL, segments, track_legs
 
-_X = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(LAT0)))
+
+def _lon(x: Column) -> Column:
+    """Degrees of longitude of so many metres."""
+    return x / (F.lit(X_DEGREE) * F.cos(F.radians(F.lit(LAT0))))
 
 
 def _spot(k: Column, x: Column, y: Column) -> tuple[Column, Column]:
     """A place in metres from a customer's own corner; corners are kilometres apart."""
-    return (F.lit(-3.0) + (k % 40) * 0.05 + x / _X, F.lit(52.0) + F.floor(k / 40) * 0.02 + y / F.lit(Y_WALK))
+    return (F.lit(-3.0) + (k % 40) * 0.05 + _lon(x), F.lit(52.0) + F.floor(k / 40) * 0.02 + y / F.lit(Y_WALK))
 
 
 def street_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +177,7 @@ def _grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _grid_spot(g: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    return (F.lit(-3.0) + (g % 40) * 0.02 + x / _X, F.lit(52.0) + F.floor(g / 40) * 0.02 + y / F.lit(Y_WALK))
+    return (F.lit(-3.0) + (g % 40) * 0.02 + _lon(x), F.lit(52.0) + F.floor(g / 40) * 0.02 + y / F.lit(Y_WALK))
 
 
 def _beside(edges_: DataFrame, share: Column) -> DataFrame:
