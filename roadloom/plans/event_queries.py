@@ -10,7 +10,7 @@ from roadloom.operators import events, homes, publishing, splits
 from roadloom.operators.network import Rounds
 from roadloom.plans.driver_queries import EDGES_SQL, LAT0, ROADS_SQL, S_LAT, S_LON, _cluster_input, _ward_edges, grid_roads, grid_vertices, key_point, metres_sql, query, table
 from roadloom.plans.walk_queries import SEG_SQL, near_sql, order_homes, segments
-from roadloom.sources import pages
+from roadloom.sources import pages, sheets
 
 #: Routes of given clusters: seven in a ward, of which the odd ones are the second hub's.
 GIVEN_SQL = f"""{ROADS_SQL}, {EDGES_SQL}, m0 AS (SELECT k, ward, k // 30 % 7 AS c, k // 30 % 7 % 2 AS hub, residences, status, lon0, lat0 FROM road),
@@ -143,3 +143,34 @@ def published_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages.publish(rows.filter(F.col("c") == c), f"{folder}/site", now="2024-05-20T12:00:00+00:00")
     files = spark.read.format("binaryFile").load(f"{folder}/site/*.html").select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"))
     return pages.published(spark, f"{folder}/site").join(files, "filename").select("filename", "publish_id", "ward", "sheets", "bytes")
+
+
+@query("""SELECT c_custkey + 2 AS row_index, 'Road ' || c_custkey % 50 AS street, CASE c_custkey % 3 WHEN 0 THEN 'Complete' ELSE 'Not_Started' END AS status, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_custkey % 60 END AS residences, 'W' || c_nationkey AS ward_name,
+CASE WHEN c_custkey % 7 > 0 THEN (c_custkey % 90) / 1e1 END AS lat, '' AS geometry, c_custkey >= 1000 AS is_network FROM customer WHERE c_custkey <> 1000 AND NOT (c_custkey > 1000 AND c_custkey % 11 = 0)""")
+def values_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a grid of values with short rows; from the thousandth on, which is the marker, rows are roads to walk along only."""
+    k = F.col("c_custkey")
+    street = F.when(k == 1000, "## route_planner_only_below ##").when((k > 1000) & (k % 11 == 0), "").otherwise(F.concat(F.lit("Road "), (k % 50).cast("string")))
+    cells = F.array(street, F.when(k % 3 == 0, "Complete").otherwise("Not_Started"), F.when(k % 5 == 0, "-").otherwise((k % 60).cast("string")), F.concat(F.lit("W"), F.col("c_nationkey").cast("string")))
+    full = F.when(k % 7 > 0, F.concat(cells, F.array(((k % 90) / 10.0).cast("string"), F.lit("9")))).otherwise(cells)
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct(k, full.alias("cells")))), lambda r: r["cells"]).alias("rows"))
+    header = F.array(F.array(*map(F.lit, ("Street", "STATUS", "UPRN count", "Ward", "@lat", "@lon", "Road Geometry"))))
+    folder = Rounds(c).base
+    c.select(F.to_json(F.struct(F.concat(header, "rows").alias("values"))).alias("value")).write.text(f"{folder}/grid")
+    read = sheets.read_values_grid(spark, f"{folder}/grid")
+    return read.select(F.col("row_index").cast("long").alias("row_index"), "street", "status", F.col("residences").cast("long").alias("residences"), "ward_name", "lat", F.col("road_geometry").alias("geometry"), "is_network")
+
+
+@query("""WITH p AS (SELECT page_id AS k, 'https://site' || page_id || CASE page_id % 3 WHEN 0 THEN '.test/map/' WHEN 1 THEN '.test/map' ELSE '.test/Map.HTML?x=1' END AS url FROM pages), i AS (SELECT *, CASE k % 3 WHEN 0 THEN url || 'index.html' WHEN 1 THEN url || '/index.html' ELSE url END AS page FROM p)
+SELECT url, CASE WHEN k % 5 = 0 THEN 'no answer from ' || page WHEN k % 5 = 1 THEN 'could not fetch ' || page || ' (HTTP 404)' WHEN k % 7 = 0 THEN 'no SHEET_ID in the page''s settings' ELSE 'S' || k || '|' || CASE WHEN k % 2 = 0 THEN '0' ELSE 'g' || k END || '|' || CASE WHEN k % 4 = 0 THEN '' ELSE 'Title ' || k END
+ || '|https://docs.google.com/spreadsheets/d/e/S' || k || '/pub?gid=' || CASE WHEN k % 2 = 0 THEN '0' ELSE 'g' || k END || '&single=true&output=csv' END AS what FROM i""")
+def tracker_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of trackers: some give no answer, some an error, some lack their sheet; gid and title have defaults."""
+    k = F.col("page_id")
+    named = k.cast("string")
+    url = F.concat(F.lit("https://site"), named, F.when(k % 3 == 0, ".test/map/").when(k % 3 == 1, ".test/map").otherwise(".test/Map.HTML?x=1"))
+    field = lambda name, value, there: F.when(there, F.concat(F.lit(f"\n  {name}: '"), value, F.lit("',"))).otherwise("")
+    block = F.concat(F.lit("<script>var SHEET_ID = 'elsewhere';\nwindow.MAP_CONFIG = {"), field("SHEET_ID", F.concat(F.lit("S"), named), k % 7 > 0), field("SHEET_GID", F.concat(F.lit("g"), named), k % 2 == 1), field("TITLE", F.concat(F.lit("Title "), named), k % 4 > 0), F.lit("\n};</script>"))
+    p = table(spark, sf_dir, "pages", "page_id").select(url.alias("url"), block.alias("html"), F.when(k % 5 == 1, 404).when(k % 5 > 1, 200).alias("status"))
+    known, errors = sheets.tracker_configs(p)
+    return known.select("url", F.concat_ws("|", "sheet_id", "sheet_gid", "title", "csv_url").alias("what")).union(errors)

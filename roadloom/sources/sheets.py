@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.text import leading_int
@@ -43,13 +43,42 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return typed_rows(raw)
 
 
-def typed_rows(raw: DataFrame) -> DataFrame:
-    """All-string rows of a sheet, in its order, as the fixed schema."""
-    header = raw.columns
+def read_values_grid(spark: SparkSession, path: str) -> DataFrame:
+    """A sheet as a grid of values (a JSON list of lists, or an object whose ``values`` is one), as typed rows like ``read_sheet``.
+
+    The first list is the header; short rows are filled up, cells beyond the header are left out, of equal headers the last one counts. An empty grid has no rows.
+    """
+    text = spark.read.text(path, wholetext=True)
+    cells = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<array<string>>")).otherwise(F.from_json("value", "struct<values:array<array<string>>>")["values"])
+    rows = text.select(F.posexplode(cells).alias("_at", "_row"))
+    first = rows.filter("_at = 0").select("_row").first()
+    place = {h or "": i for i, h in enumerate(first._row if first else [])}
+    header = list(place) or ["street"]
+    raw = rows.filter("_at > 0").select((F.col("_at") + 1).cast("int").alias("_index"), *[F.coalesce(F.get("_row", F.lit(place.get(h, 0))), F.lit("")).alias(h) for h in header])
+    return typed_rows(raw, "_index")
+
+
+def sheet_problems(header: list[str]) -> list[str]:
+    """What a sheet lacks: its missing fields, or that it is empty."""
+    return missing_fields(header) if header else ["(empty sheet)"]
+
+
+def _counted(raw: DataFrame) -> DataFrame:
+    """Adds row_index, the sheet's rows from its second line on: the rows before a partition and those before a row within it.
+
+    Only the partitions' numbers of rows meet in one task.
+    """
+    placed = raw.withColumn("_m", F.monotonically_increasing_id()).withColumns({"_p": F.shiftright("_m", 33), "_o": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return placed.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("row_index", (F.col("_b") + F.col("_o") + 2).cast("int"))
+
+
+def typed_rows(raw: DataFrame, index: str | None = None) -> DataFrame:
+    """All-string rows of a sheet, in its order, as the fixed schema; ``index`` names a column that has their row_index already."""
+    header = [c for c in raw.columns if c != index]
     at = detect_columns(header)
-    # places within a file's partitions, in order: the sheet's rows counted from its second line
-    placed = raw.withColumn("_m", F.monotonically_increasing_id())
-    placed = placed.withColumn("row_index", (F.row_number().over(Window.orderBy("_m")) + 1).cast("int"))  # a sheet of one district is small
+    placed = _counted(raw) if index is None else raw.withColumnRenamed(index, "row_index")
     cell = lambda f: F.coalesce(F.col(f"`{at[f]}`"), F.lit("")) if at[f] else F.lit("")
     number = lambda f: F.regexp_extract(cell(f), r"^\s*([-+]?\d*\.?\d+(?:[eE][-+]?\d+)?)", 1).try_cast("double")
     rows = placed.select(
@@ -135,3 +164,30 @@ def tracker_settings(pages: DataFrame, html: str = "html") -> DataFrame:
     for name in SETTINGS:
         pages = pages.withColumn(name.lower(), F.nullif(F.regexp_extract(html, name + r"""\s*[:=]\s*["']([^"']*)["']""", 1), F.lit("")))
     return pages
+
+
+def index_url(url: Column) -> Column:
+    """The page to read of a deployment's address: itself if it names a page, else its index."""
+    bare = F.trim(url)
+    return F.when(bare.rlike(r"(?i)\.html?(\?|#|$)"), bare).otherwise(F.concat(F.regexp_replace(bare, "/?$", ""), F.lit("/index.html")))
+
+
+def tracker_configs(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Settings of trackers with their defaults, and why the other pages have none: (url, …, csv_url) and (url, reason).
+
+    pages: url, html (null if it could not be fetched), status (of the answer; null if there was none).
+    """
+    # only what the page's own block of settings holds
+    block = F.regexp_extract("html", r"(?s)(?:window\.)?MAP_CONFIG\s*=\s*\{(.*?)\n\s*\};", 1)
+    read = tracker_settings(pages.withColumns({"_url": index_url(F.col("url")), "_block": block}), "_block")
+    reason = (
+        F.when(F.col("status").isNull(), F.concat(F.lit("no answer from "), "_url"))
+        .when(~F.col("status").between(200, 299), F.concat(F.lit("could not fetch "), "_url", F.lit(" (HTTP "), F.col("status").cast("string"), F.lit(")")))
+        .when(F.col("sheet_id").isNull(), "no SHEET_ID in the page's settings")
+    )
+    judged = read.withColumn("reason", reason)
+    sheet = F.coalesce("sheet_gid", F.lit("0"))
+    # Fixed value: the address of a published sheet as CSV
+    csv = F.concat(F.lit("https://docs.google.com/spreadsheets/d/e/"), "sheet_id", F.lit("/pub?gid="), sheet, F.lit("&single=true&output=csv"))
+    known = judged.filter("reason is null").select("url", "sheet_id", sheet.alias("sheet_gid"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("apps_script_url", "google_client_id", "title", "subtitle")], csv.alias("csv_url"))
+    return known, judged.filter("reason is not null").select("url", "reason")
