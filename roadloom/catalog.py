@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.plans import driver_queries, event_queries, network_queries, walk_queries  # noqa: F401 (they add their queries)
+from roadloom.plans import driver_queries, event_queries, file_queries, network_queries, walk_queries  # noqa: F401 (they add their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

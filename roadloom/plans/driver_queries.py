@@ -456,9 +456,12 @@ def effort_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("road", place.alias("part"), F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
 
 
-@query("""SELECT p_partkey, list_extract(['#2a78d6', '#eb6834', '#1baf7a', '#eda100', '#e87ba4', '#008300', '#4a3aa7', '#e34948'], p_size % 8 + 1) AS colour FROM part""")
+@query("""WITH p AS (SELECT p_partkey, p_size AS n, ((p_size - 8) * 618033988749895e-15) % 1 AS h, 48e-2 * 165e-2 AS q FROM part), t AS (SELECT *, 2 * 48e-2 - q AS p, [(h + 1 / 3e0) % 1, h, (h + 2 / 3e0) % 1] AS ts FROM p),
+c AS (SELECT p_partkey, n, list_transform(ts, lambda x: lpad(lower(to_hex(floor(255 * CASE WHEN x < 1 / 6e0 THEN p + (q - p) * 6 * x WHEN x < 5e-1 THEN q WHEN x < 2 / 3e0 THEN p + (q - p) * (2 / 3e0 - x) * 6 ELSE p END + 5e-1)::BIGINT)), 2, '0')) AS c FROM t)
+SELECT p_partkey, CASE WHEN n < 8 THEN list_extract(['#2a78d6', '#eb6834', '#1baf7a', '#eda100', '#e87ba4', '#008300', '#4a3aa7', '#e34948'], n + 1) ELSE '#' || c[1] || c[2] || c[3] END AS colour FROM c""")
 def route_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", payload.route_colour(F.col("p_size") % 8).alias("colour"))
+    """Parts as routes at the place of their size, beyond the eight fixed colours too."""
+    return table(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", payload.route_colour(F.col("p_size")).alias("colour"))
 
 
 @query()
