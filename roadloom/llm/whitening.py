@@ -36,6 +36,8 @@ from roadloom.llm.common import bound_batches, lean
 STEPS, SHIFT = 64, 1_000_000
 COMPONENTS = 32
 DIGIT_BITS, BLOCK_ROWS = 20, 4096
+#: Rows of a batch that a task gives out.
+ROWS_OUT = 16_384
 #: Cross-products leave a task as digits of so many bits, which longs hold and decimals add up.
 LIMB_BITS, LIMBS = 60, 4
 #: An eigenvalue below this share of the largest is zero.
@@ -160,6 +162,18 @@ def decompose(scatter: Scatter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values[order], vectors[:, order], covariance
 
 
+def deviations(steps: np.ndarray, n: int, sums: list[int]) -> list[int]:
+    """The exact sum over dimensions of (n x - S)^2 of every row: n² Σx² - 2n ΣxS + ΣS², in longs as far as they reach."""
+    top, most, dims = max(abs(int(steps.min())), abs(int(steps.max()))), max(map(abs, sums)), steps.shape[1]
+    if top * max(top, most) * dims < _LONG:
+        squares, mixed = (steps * steps).sum(axis=1), steps @ np.array(sums, np.int64)
+    else:
+        whole = steps.astype(object)
+        squares, mixed = (whole * whole).sum(axis=1), whole @ np.array(sums, object)
+    rest = sum(s * s for s in sums)
+    return [n * n * int(a) - 2 * n * int(b) + rest for a, b in zip(squares.tolist(), mixed.tolist())]
+
+
 def whiten(table: DataFrame, components: int = COMPONENTS) -> DataFrame:
     """vec_id, component, n, deviation, whitened, explained, identity_error, deviation_exact of table (vec_id, embedding)."""
     bound_batches(table.sparkSession)
@@ -184,16 +198,13 @@ def whiten(table: DataFrame, components: int = COMPONENTS) -> DataFrame:
     error = float(np.abs(held.T @ covariance @ held - np.eye(held.shape[1])).max()) if real.any() else 0.0
     means = np.array([s // n for s in sums], np.int64)
     rests = np.array([(s - n * (s // n)) / n for s in sums])
-    squares = sum(s * s for s in sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.array(sums, object)
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS // kept or 1):
-                part = batch.slice(at, BLOCK_ROWS // kept or 1)
+            for at in range(0, batch.num_rows, ROWS_OUT // kept or 1):
+                part = batch.slice(at, ROWS_OUT // kept or 1)
                 steps = steps_of(part.column(1), dims)
-                whole = steps.astype(object)
-                exact = [int(d) for d in n * n * (whole * whole).sum(axis=1) - 2 * n * (whole @ own) + squares]
+                exact = deviations(steps, n, sums)
                 # an integer difference from the mean's whole part, then its rest: nothing is lost to a large mean
                 whitened = (steps.astype(np.longdouble) - means.astype(np.longdouble) - rests).astype(np.float64) @ lines
                 rows = np.repeat(np.arange(part.num_rows), kept)

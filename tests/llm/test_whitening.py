@@ -98,5 +98,10 @@ def test_products_beyond_doubles(spark):
     assert [[int(x) for x in r] for r in cross] == [[sum(r[i] * r[j] for r in own) for j in range(2)] for i in range(2)]
     many = np.tile(np.array([[2**20 - 1, -(2**20) + 1]], np.int64), (10_000, 1))
     assert int(W.cross_products(many)[1][0, 1]) == -10_000 * (2**20 - 1) ** 2
+    for n, sums in ((3, [5, -7]), (10**12, [2**62, -(2**61)])):
+        want = [sum((n * int(x) - s) ** 2 for x, s in zip(row, sums)) for row in steps.tolist()]
+        assert W.deviations(steps, n, sums) == want
+        small = steps % 1000
+        assert W.deviations(small, n, sums) == [sum((n * int(x) - s) ** 2 for x, s in zip(row, sums)) for row in small.tolist()]
     huge = W.whiten(spark.createDataFrame([(1, [1e300, 1.0]), (2, [-1e300, 2.0]), (3, [5e16, 1.5])], SCHEMA)).collect()
     assert len(huge) == 6 and all(math.isfinite(r.whitened) for r in huge)
