@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import X_DEGREE, Y_WALK
-from roadloom.operators import edges, walks
+from roadloom.functions.geo import X_DEGREE, Y_WALK, metres
+from roadloom.operators import edges, paths, walks
 from roadloom.operators.network import Rounds
 
 #: Drive routes: below so many homes a kilometre both sides are delivered in one pass.
@@ -52,11 +52,35 @@ def _usable(routes: DataFrame, roads: DataFrame, vertices: DataFrame) -> tuple[D
     return judged.filter("_why is null").select(routes.columns), judged.filter("_why is not null").select("route", "_why.stage", "_why.reason")
 
 
-def add_directions(routes: DataFrame, roads: DataFrame, vertices: DataFrame, lat0: float, homes: DataFrame | None = None, half_done: DataFrame | None = None) -> Directions:
+def with_walk_ins(toured: DataFrame, halves: DataFrame, routes: DataFrame, around: edges.Network, lat0: float) -> DataFrame:
+    """toured with the ways to each part of a route over the streets around: their lengths as dist_m, and their streets as via.
+
+    A way goes from the route's start, or from where the part before began. One that is absurdly longer than the straight line, or none at all, leaves that.
+    """
+    rounds = Rounds(toured)
+    place = halves.groupBy("route", F.col("tail").alias("node")).agg(F.min(F.struct("lon", "lat")).alias("to"))
+    parts = toured.filter("type = 'approach'").select("route", "seq", "node").join(place, ["route", "node"]).join(routes.select("route", F.struct(F.col("start_lon").alias("lon"), F.col("start_lat").alias("lat")).alias("_s")), "route")
+    before = F.lag("to").over(Window.partitionBy("route").orderBy("seq"))
+    asked = rounds.write(parts.select(F.struct("route", "seq").alias("walk"), F.coalesce(before, F.col("_s")).alias("from"), "to"))
+    straight = metres(F.col("from.lon"), F.col("from.lat"), F.col("to.lon"), F.col("to.lat"), F.lit(lat0), Y_WALK)
+    limits = asked.select("walk", straight.alias("straight_m"), (3 * straight + 300).alias("most_m"))
+    ways, shapes = paths.walking_network(around, lat0)
+    points = asked.select("walk", F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("target"), F.col(c).alias("p")) for n, c in ((-1, "from"), (0, "to"))])).alias("x"))
+    placed = rounds.write(paths.located(points.select(F.struct("walk", "x.target").alias("pt"), "x.p.lon", "x.p.lat"), ways, shapes, lat0).select("pt.walk", "pt.target", "edge", "a", "b", "street", "s", "length_m", "d"))
+    begun, ended = placed.filter("target = -1").drop("target"), placed.filter("target = 0")
+    reached = rounds.write(paths.shortest(ways, paths.start_nodes(begun), limits))
+    found, pieces = paths.ways_to(begun, ended, ways, shapes, reached)
+    walked = found.join(paths.way_streets(pieces), ["walk", "target"], "left").join(limits, "walk").filter("dist_m <= most_m")
+    better = walked.select(F.col("walk.route").alias("_r"), F.col("walk.seq").alias("_q"), F.col("dist_m").alias("_d"), F.col("streets").alias("_via"))
+    met = toured.join(better, (F.col("route") == F.col("_r")) & (F.col("seq") == F.col("_q")), "left")
+    return met.withColumns({"dist_m": F.coalesce("_d", "dist_m"), "via": F.coalesce("_via", F.array().cast("array<string>"))}).drop("_r", "_q", "_d", "_via")
+
+
+def add_directions(routes: DataFrame, roads: DataFrame, vertices: DataFrame, lat0: float, homes: DataFrame | None = None, half_done: DataFrame | None = None, around: edges.Network | None = None) -> Directions:
     """Directions of routes (route, kind, start_lon, start_lat, start_label, start_kind: parking, spot, hub or me).
 
     roads: route, road (unique), street, residences; vertices: route, road, line (unique), idx, lon, lat of the roads' lines; homes: road, pt, lon,
-    lat; half_done: road, piece, side, idx, lon, lat. A route of kind drive delivers both sides of sparse roads in one pass.
+    lat; half_done: road, piece, side, idx, lon, lat; around: the network of all streets near, over which walks to a route's parts go. A route of kind drive delivers both sides of sparse roads in one pass.
     """
     rounds = Rounds(routes)
     sound, broken = _usable(routes, roads, vertices)
@@ -73,6 +97,8 @@ def add_directions(routes: DataFrame, roads: DataFrame, vertices: DataFrame, lat
     halves = edges.edge_halves(network, lat0).join(known.select("route", "edge", "street", F.col("residences").alias("homes")), "edge")
     halves = rounds.write(halves.join(sound.select("route", "start_lon", "start_lat"), "route"))
     toured = rounds.write(walks.tours(halves, lat0))
+    if around is not None:
+        toured = rounds.write(with_walk_ins(toured, halves, sound, around, lat0))
     steps = _told(toured, halves, known, sound, lat0)
     steps = rounds.write(steps)
     walk = walks.walk_legs(steps)

@@ -59,11 +59,11 @@ def _least(layers: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, layers).groupBy("walk", "node").agg(F.min("m").alias("m"))
 
 
-def relaxed(ways: DataFrame, starts: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def relaxed(ways: DataFrame, starts: DataFrame, most_rounds: int = MOST_ROUNDS, limits: DataFrame | None = None) -> DataFrame:
     """walk, node, dist_m, prev, edge: the least distance of every node that a walk reaches, and the node and edge that it came by.
 
-    ways: edge, src, dst, length_m, one way; starts: walk, node, dist_m, where prev and edge are null. Ties go to the least edge. All
-    walks relax in the same rounds; a round reads the nodes that came nearer in the one before and writes those that
+    ways: edge, src, dst, length_m, one way; starts: walk, node, dist_m, where prev and edge are null. limits: walk, most_m, beyond which
+    a walk doesn't go on. Ties go to the least edge. All walks relax in the same rounds; a round reads the nodes that came nearer in the one before and writes those that
     come nearer in it. It fails if some still do after the last.
     """
     rounds = Rounds(ways)
@@ -75,6 +75,8 @@ def relaxed(ways: DataFrame, starts: DataFrame, most_rounds: int = MOST_ROUNDS)
     for _ in range(most_rounds):
         step = F.struct((F.col("m.dist_m") + F.col("length_m")).alias("dist_m"), "edge", F.col("node").alias("prev"))
         reached = fresh.join(ways, F.col("node") == F.col("_from")).select("walk", F.col("_to").alias("node"), step.alias("new")).groupBy("walk", "node").agg(F.min("new").alias("new"))
+        if limits is not None:
+            reached = reached.join(limits.select("walk", "most_m"), "walk").filter("new.dist_m <= most_m").drop("most_m")
         best = reduce(DataFrame.union, layers).join(reached.select("walk", "node"), ["walk", "node"], "left_semi").groupBy("walk", "node").agg(F.min("m.dist_m").alias("_d"))
         fresh = rounds.write(reached.join(best, ["walk", "node"], "left").filter("_d is null or new.dist_m < _d").select("walk", "node", F.col("new").alias("m")))
         if fresh.isEmpty():

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.operators import linear
+from roadloom.operators.edges import Network
 from roadloom.operators.network import Rounds, relaxed
+from roadloom.operators.walks import gap_links
 
 def located(points: DataFrame, edges: DataFrame, shapes: DataFrame, lat0: float) -> DataFrame:
     """pt, edge, a, b, street, s, length_m, d, lon, lat: each point (pt, lon, lat) on the edge nearest to it, s metres from a; ties go to the least edge."""
@@ -24,14 +26,26 @@ def located(points: DataFrame, edges: DataFrame, shapes: DataFrame, lat0: float)
     return placed.join(length, F.col("edge") == F.col("_l")).drop("_l").join(edges.select("edge", "a", "b", "street"), "edge")
 
 
-def shortest(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def walking_network(network: Network, lat0: float) -> tuple[DataFrame, DataFrame]:
+    """edges (edge, a, b, street, length_m) and shapes of a network whose parts are joined over short gaps; the links have no street."""
+    rounds = Rounds(network.edges)
+    known = network.edges.select("edge", "a", "b", "street")
+    links = rounds.write(gap_links(network.nodes, known, lat0).select(F.xxhash64(F.lit("link"), "a", "b").alias("edge"), "a", "b"))
+    ends = links.select("edge", F.explode(F.array(F.struct(F.lit(0).alias("idx"), F.col("a").alias("node")), F.struct(F.lit(1).alias("idx"), F.col("b").alias("node")))).alias("e")).select("edge", "e.*").join(network.nodes, "node")
+    drawn = linear.with_places(ends.select("edge", "idx", "lon", "lat"), ("edge",), lat0).select("edge", "idx", "pos", "lon", "lat")
+    shapes = rounds.write(network.shapes.select("edge", "idx", "pos", "lon", "lat").union(drawn))
+    every = known.unionByName(links.withColumn("street", F.lit(None).cast("string")))
+    return rounds.write(every.join(shapes.groupBy("edge").agg(F.max("pos").alias("length_m")), "edge")), shapes
+
+
+def shortest(edges: DataFrame, starts: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """walk, node, dist_m, prev, edge: the shortest way to every junction a walk reaches, and the junction and edge that it came by.
 
     edges: edge, a, b, length_m, walked both ways. starts: walk, node, dist_m; there prev and edge are null. Ties go to the least edge.
     See ``network.relaxed``.
     """
     there = edges.select("edge", F.col("a").alias("src"), F.col("b").alias("dst"), "length_m")
-    return relaxed(there.union(there.select("edge", "dst", "src", "length_m")), starts)
+    return relaxed(there.union(there.select("edge", "dst", "src", "length_m")), starts, limits=limits)
 
 
 def chains(ends: DataFrame, reached: DataFrame) -> DataFrame:

@@ -96,3 +96,8 @@ def exported(routes: DataFrame, roads: DataFrame) -> DataFrame:
 def sheet_facts(members: DataFrame) -> DataFrame:
     """route, streets (sorted, distinct), residences. members: route, street, residences."""
     return members.groupBy("route").agg(F.array_join(F.array_sort(F.collect_set("street")), ", ").alias("streets"), F.sum("residences").alias("residences"))
+
+
+def summary_tiles(roads: DataFrame, kinds: tuple[str, ...] = ("walk", "hybrid", "drive")) -> DataFrame:
+    """routes, roads, residences and the number of roads of each kind, on one row. roads: route, kind, residences."""
+    return roads.agg(F.count_distinct("route").alias("routes"), F.count("*").alias("roads"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.coalesce(F.sum("residences"), F.lit(0)).alias("residences"))

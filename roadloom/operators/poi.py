@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import Y_PLAN, metres
+from roadloom.operators.ranking import numbered
 
 
 def in_box(lat: Column, lon: Column, box: tuple[Column, Column, Column, Column]) -> Column:
@@ -45,8 +46,5 @@ def coverage_upsert(coverage: DataFrame, box: tuple[float, float, float, float],
 
 
 def listed(points: DataFrame) -> DataFrame:
-    """points with place, their number from 1 in the order of names (by a locale's rules) and latitudes.
-
-    For one cache's points, some hundreds; the window is one task.
-    """
-    return points.withColumn("place", F.row_number().over(Window.orderBy(F.collate("name", "UNICODE"), "lat")).cast("long"))
+    """points with place, their number from 1 in the order of names (by a locale's rules) and latitudes."""
+    return numbered(points, [F.collate("name", "UNICODE"), "lat"])

@@ -393,10 +393,12 @@ def bearings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(k.alias("k"), d.alias("d")).select("k", F.round("d", 4).alias("bearing"), geo.compass(F.col("d")).alias("compass"))
 
 
-@query("""WITH s AS (SELECT 'summary' AS what, count(DISTINCT o_custkey) AS routes, count(*) AS roads, count(*) FILTER (WHERE o_orderstatus = 'F') AS walk, count(*) FILTER (WHERE o_orderstatus = 'O') AS drive, round(sum(o_totalprice), 2) AS residences FROM orders) SELECT * FROM s""")
+@query("""SELECT 'summary' AS what, count(DISTINCT o_custkey) AS routes, count(*) AS roads, count(*) FILTER (WHERE o_orderstatus = 'F') AS walk, count(*) FILTER (WHERE o_orderstatus = 'P') AS hybrid, count(*) FILTER (WHERE o_orderstatus = 'O') AS drive, round(sum(o_totalprice), 2) AS residences FROM orders""")
 def summary_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderstatus", "o_totalprice")
-    return o.agg(F.count_distinct("o_custkey").alias("routes"), F.count("*").alias("roads"), F.count_if(F.col("o_orderstatus") == "F").alias("walk"), F.count_if(F.col("o_orderstatus") == "O").alias("drive"), F.round(F.sum("o_totalprice"), 2).alias("residences")).select(F.lit("summary").alias("what"), "*")
+    """Orders as roads of their customers' routes, whose kind is their status."""
+    kind = F.when(F.col("o_orderstatus") == "F", "walk").when(F.col("o_orderstatus") == "O", "drive").otherwise("hybrid")
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderstatus", "o_totalprice").select(F.col("o_custkey").alias("route"), kind.alias("kind"), F.col("o_totalprice").alias("residences"))
+    return payload.summary_tiles(o).select(F.lit("summary").alias("what"), "routes", "roads", "walk", "hybrid", "drive", F.round("residences", 2).alias("residences"))
 
 
 def _cluster_input(spark: SparkSession, sf_dir: str) -> DataFrame:

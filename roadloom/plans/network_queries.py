@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK
-from roadloom.operators import boxes, directions, edges, events, lineage, linear, network, paths, tracks
+from roadloom.operators import boxes, directions, edges, events, junctions, lineage, linear, network, paths, tracks
 from roadloom.operators.network import Rounds
 from roadloom.plans.driver_queries import EDGES_SQL, LAT0, _ward_edges, query, table
 from roadloom.plans.event_queries import GIVEN_SQL, _given
-from roadloom.plans.walk_queries import KX, SEG_SQL, TRACK_SQL, segments, track_legs
+from roadloom.plans.walk_queries import KX, SEG_SQL, TRACK_SQL, ladder_halves, segments, track_legs
 
 
 def _lon(x: Column) -> Column:
@@ -327,3 +327,17 @@ def track_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = lambda f, c: f(F.struct("place", c))[c]
     out = lines.groupBy("q", "seq", "n").agg(*[F.round(end(f, c), 7).alias(f"{name}_{c}") for name, f in (("from", F.min), ("to", F.max)) for c in ("lon", "lat")])
     return out.select("q", "seq", "n", "from_lon", "from_lat", "to_lon", "to_lat")
+
+
+@query("""WITH RECURSIVE r AS (SELECT c_custkey AS edge, c_custkey // 20 AS route, (c_custkey % 20 + 2) // 3 AS block, c_custkey % 20 % 3 AS kind FROM customer),
+e AS (SELECT edge, route, CASE kind WHEN 0 THEN block ELSE block - 1 END AS ax, (kind = 2)::INTEGER AS ay, block AS bx, (kind <> 1)::INTEGER AS by_ FROM r),
+h AS (SELECT edge, true AS f, route, ax AS tx, ay AS ty, bx AS hx, by_ AS hy FROM e UNION ALL SELECT edge, false, route, bx, by_, ax, ay FROM e),
+b AS (SELECT *, (degrees(atan2((hx - tx)::DOUBLE, (hy - ty)::DOUBLE)) + 36e1) % 36e1 AS turn FROM h),
+o AS (SELECT *, coalesce(lead([edge, f::INTEGER]) OVER w, first_value([edge, f::INTEGER]) OVER w) AS nx FROM b WINDOW w AS (PARTITION BY route, tx, ty ORDER BY turn)),
+n AS (SELECT route, [edge, (NOT f)::INTEGER] AS half, nx FROM o), walk(route, start, half, n) AS (SELECT route, half, nx, 1 FROM n UNION ALL SELECT walk.route, start, n.nx, walk.n + 1 FROM walk JOIN n ON n.half = walk.half WHERE walk.half <> start),
+size AS (SELECT route, n FROM walk WHERE half = start) SELECT route, n::BIGINT AS halves, (count(*) // n)::BIGINT AS faces FROM size GROUP BY route, n""")
+def face_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many faces of each size the ladders of ``ladder_halves`` have."""
+    halves = ladder_halves(spark, sf_dir)
+    found = junctions.faces(halves).join(halves.select("edge", "route").distinct(), "edge")
+    return found.groupBy("route", "face").agg(F.count("*").alias("halves")).groupBy("route", "halves").agg(F.count("*").alias("faces"))

@@ -2,7 +2,7 @@
 
 import math
 
-from roadloom.operators import directions
+from roadloom.operators import directions, edges
 
 KX = 111320 * math.cos(math.radians(52.8))
 
@@ -11,13 +11,13 @@ def ll(x, y):
     return -2.1 + x / KX, 52.8 + y / 110540
 
 
-def made(spark, routes, lines, homes=None, half=None):
+def made(spark, routes, lines, homes=None, half=None, around=None):
     """routes: name -> (kind, start or None, label, start_kind); lines: (route, road) -> (street, residences, points)."""
     r = spark.createDataFrame([(k, kind, *(ll(*s) if s else (None, None)), label, sk) for k, (kind, s, label, sk) in routes.items()], "route string, kind string, start_lon double, start_lat double, start_label string, start_kind string")
     roads = spark.createDataFrame([(route, road, street, float(n)) for (route, road), (street, n, _) in lines.items()], "route string, road string, street string, residences double")
     v = spark.createDataFrame([(route, road, road, i, *(ll(*p) if p else (float("nan"), 1.0))) for (route, road), (*_, points) in lines.items() for i, p in enumerate(points)], "route string, road string, line string, idx int, lon double, lat double")
     h = half and spark.createDataFrame([(road, n, side, i, *ll(*p)) for n, (road, side, points) in enumerate(half) for i, p in enumerate(points)], "road string, piece int, side string, idx int, lon double, lat double")
-    return directions.add_directions(r, roads, v, 52.8, homes, h)
+    return directions.add_directions(r, roads, v, 52.8, homes, h, around)
 
 
 GOOD = {("A", "a1"): ("Long Road (part 1)", 20, [(0, 0), (200, 0)]), ("A", "a2"): ("Side Lane", 6, [(100, 5), (100, 105)]), ("A", "a3"): ("Stub", 2, [(150, 9), (151, 9)])}
@@ -64,3 +64,18 @@ def test_sides_done_and_drives(spark):
     assert [r.pavement for r in a] == ["both", "back"] and a[0].cue == "Park on Long Road. Drive to Long Road (about 60 m, nothing to deliver on the way). Then drive east along Long Road. Deliver both sides as you go." and a[0].homes == 3
     assert a[1].cue == "At the end of Long Road, turn round and head back along Long Road. Both sides are already done." and [round(r.length_m) for r in told["A"] if r.type == "transfer"] == [60]
     assert [r.pavement for r in told["B"]] == ["right", "right"] and sum(r.homes for r in told["B"]) == 30
+
+
+def test_walks_to_a_route_follow_the_streets_around(spark):
+    """From the inn along two streets and over a gap; and a part that only an absurd way leads to."""
+    around = {"Inn Lane": [(-300, 0), (0, 0)], "Unknown Road 7": [(0, 0), (0, 100)], "High Street": [(0, 190), (300, 190)], "Far Loop": [(-300, 0), (-300, -5000), (400, -5000), (400, -60)]}
+    streets = spark.createDataFrame([(i, s, 0.0) for i, s in enumerate(around)], "road int, street string, residences double")
+    lines = spark.createDataFrame([(i, str(i), k, *ll(*p)) for i, points in enumerate(around.values()) for k, p in enumerate(points)], "road int, line string, idx int, lon double, lat double")
+    network = edges.build_network(streets, lines, 52.8)
+    # no street leads to the other one but the loop of ten kilometres
+    got = made(spark, {"A": ("walk", (-300, 0), "The Inn", "hub"), "B": ("walk", (300, 190), "Stile", "hub")}, {("A", "a"): ("Mill Road", 8, [(300, 190), (300, 290)]), ("B", "b"): ("Brook End", 4, [(400, -55), (500, -55)])}, around=network)
+    cues = {r.route: r.cue for r in got.legs.filter("n = 1").collect()}
+    # 300 m, 100 m, a gap of 90 m, 300 m; the unknown road is not named
+    assert cues["A"].startswith("From The Inn, walk to Mill Road via Inn Lane and High Street (about 790 m, nothing to deliver on the way). Then walk north along Mill Road.")
+    assert cues["B"].startswith("From Stile, walk to Brook End (about 260 m, nothing to deliver on the way).")
+    assert {r.route: round(r.length_m) for r in got.legs.filter("type = 'transfer'").collect()} == {"A": 790, "B": 265}
