@@ -40,6 +40,7 @@ def linestrings(text: Column, mode: str = "tolerant") -> Column:
     return F.when(absent, empty).otherwise(parts)
 
 
+# The forms of a geometry and of a done stretch, as sheets have them.
 def partial_ranges(text: Column) -> Column:
     """``seg<i>:<from>-<to>:<side>|…`` as an array of (frag, a, b, side); a side other than S and F counts as both."""
     found = F.transform(F.split(F.coalesce(text, F.lit("-")), r"\|"), lambda t: F.regexp_extract_all(t, F.lit(r"seg(\d+):([\d.]+)-([\d.]+):(\w)"), F.lit(0)))

@@ -11,6 +11,7 @@ from roadloom.operators import clusters, payload, roads, routes
 from roadloom.operators.lineage import RANGES
 from roadloom.operators.network import Rounds
 
+# Fixed value: the note on a route that needs review.
 REVIEW = "NEEDS REVIEW: combines roads not directly linked by a mapped road in this dataset (nearest-cluster fallback) — double-check there's a sensible walking/driving link between them, or split this route."
 HUB = ["ward", "hub_seq"]
 

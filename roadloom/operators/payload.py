@@ -35,6 +35,7 @@ def parking_roads(members: DataFrame, edges: DataFrame) -> DataFrame:
     return ranked.groupBy("cluster").agg(best.alias("parking"))
 
 
+# The sentences of the two hints.
 def start_hint(kind: Column, start: Column, parking: Column) -> Column:
     discretion = "(suggested — please use your own discretion)"
     drive = F.concat(F.lit("Park on "), parking, F.lit(f" {discretion}"))

@@ -301,6 +301,7 @@ def walk_legs(steps: DataFrame, drive: bool = False) -> DataFrame:
     last = told.groupBy("route").agg(F.count_if(walk).alias("_walks"))
     after = told.filter(~walk).groupBy("route", "_w").agg(text_of.alias("_rest")).join(last, "route").filter(F.col("_w") > F.col("_walks")).select(F.col("route").alias("_r"), "_rest")
     final = F.row_number().over(Window.partitionBy("route").orderBy(F.desc("n"))) == 1
+    # The closing words
     end = F.when(F.col("parts") == 1, "That's the route done, and you're back where you started.").otherwise("That's the route done.")
     out = legs.join(after, F.col("route") == F.col("_r"), "left").withColumn("_last", final)
     return out.select("route", "n", "street", F.trim(F.concat_ws(" ", "pre", action)).alias("cue"), "homes", "length_m", "dir", side.alias("side"), pavement.alias("pavement"), (F.col("pass") == "sidedone").alias("already_done"), F.when(F.col("_last"), F.concat_ws(" ", F.when(F.col("_rest") != "", F.col("_rest")), end)).alias("end_cue"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.functions import sql
 from roadloom.functions.geo import X_DEGREE
 from roadloom.operators import homes, junctions, publishing, splits
 from roadloom.operators.network import Rounds
@@ -247,3 +248,23 @@ def half_done_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = _corner(F.col("o_custkey"), ((o * 31) % 500).cast("double"), (o % 7).cast("double") * 0.99)
     stretches = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_custkey").alias("road"), o.alias("pt"), x.alias("lon"), y.alias("lat")).filter("pt * 31 % 500 not between 114 and 119 and pt * 31 % 500 not between 301 and 306")
     return homes.half_done_of_parts(stretches, pieces, LAT0).select("road", "pt")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 5 AS kind FROM customer WHERE c_custkey % 5 < 4),
+v AS (SELECT k, f, i FROM c, range(2) AS a(f), range(3) AS b(i) WHERE (kind = 0) OR (kind = 1 AND f = 0) OR (kind = 2 AND f = 0))
+SELECT k, 'vertex' AS what, f::INTEGER AS frag, i::INTEGER AS place, round(k % 90 + f + i / 8e0, 4) AS a, round(50 + i / 4e0, 4) AS b, '' AS side FROM v
+UNION ALL SELECT c_custkey, 'stretch', (c_custkey % 4)::INTEGER, t::INTEGER, round(least(c_custkey % 50, c_custkey % 70) / 1e2, 4), round(greatest(c_custkey % 50, c_custkey % 70) / 1e2, 4), CASE t WHEN 0 THEN 'S' ELSE 'B' END FROM customer, range(2) AS g(t) WHERE c_custkey % 6 > 0""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometries and stretches read by table functions, laterally: two lines, one beside a broken one, one in odd spelling, and none."""
+    sql.register(spark)
+    k = F.col("c_custkey")
+    line = lambda f: F.format_string("LINESTRING(%s %s, %s %s, %s %s)", *[x for i in range(3) for x in ((k % 90 + f + i / 8.0).cast("string"), F.lit(str(50 + i / 4.0)))])
+    kind = k % 5
+    odd = F.regexp_replace(F.regexp_replace(line(0), "LINESTRING", "  linestring  "), ", ", " ,   ")
+    wkt = F.when(kind == 0, F.concat_ws("|", line(0), line(1))).when(kind == 1, F.concat_ws("|", F.lit("LINESTRING(1 x, 2 3)"), line(0), F.lit("POINT(1 2)"))).when(kind == 2, odd).when(kind == 3, "-")
+    token = lambda side: F.format_string("seg%d:%.4f-%.4f:%s", k % 4, (k % 50) / 100.0, (k % 70) / 100.0, F.lit(side))
+    rows = table(spark, sf_dir, "customer", "c_custkey").select(k.alias("k"), wkt.alias("wkt"), F.when(k % 6 > 0, F.concat_ws("|", token("S"), F.lit("nonsense"), token("X"))).alias("done"))
+    return spark.sql(
+        """SELECT k, 'vertex' AS what, frag, idx AS place, round(lon, 4) AS a, round(lat, 4) AS b, '' AS side FROM {rows}, LATERAL wkt_vertices(wkt)
+        UNION ALL SELECT k, 'stretch', frag, place, round(a, 4), round(b, 4), side FROM {rows}, LATERAL stretches(done)""", rows=rows,
+    )

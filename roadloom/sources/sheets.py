@@ -177,7 +177,7 @@ def tracker_configs(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     pages: url, html (null if it could not be fetched), status (of the answer; null if there was none).
     """
-    # only what the page's own block of settings holds
+    # only what the page's own block of settings holds (a fixed form)
     block = F.regexp_extract("html", r"(?s)(?:window\.)?MAP_CONFIG\s*=\s*\{(.*?)\n\s*\};", 1)
     read = tracker_settings(pages.withColumns({"_url": index_url(F.col("url")), "_block": block}), "_block")
     reason = (

@@ -107,3 +107,20 @@ def test_letters_of_any_length(spark):
     got = spark.createDataFrame([(n,) for n in [*places, None]], "n long").select("n", text.letters_id(F.col("n")).alias("x")).collect()
     assert {r.n: r.x for r in got} == {n: brute(n) for n in places} | {None: None}
     assert brute(18278) == "AAAA"
+
+
+def test_table_functions_give_the_rows_of_the_expressions(spark):
+    from roadloom.functions import sql
+
+    sql.register(spark)
+    texts = ["LINESTRING(1 2, 3 4)", "LINESTRING(1 2, 3 4)|LINESTRING(5 6, 7 8, 9 10)", "linestring ( 1 2 , 3   4 )", "LINESTRING(1 x, 2 3)|LINESTRING(1 1, 2 2)", "POINT(1 2)", "-", "", None, "LINESTRING()", "LINESTRING(1, 2)", "|LINESTRING(0 0, 1 1)|"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    rows.createOrReplaceTempView("texts")
+    got = sorted(map(tuple, spark.sql("SELECT k, frag, idx, lon, lat FROM texts, LATERAL wkt_vertices(t)").collect()))
+    spread = rows.select("k", F.posexplode(parse.linestrings(F.col("t"))).alias("frag", "f")).select("k", "frag", F.posexplode("f").alias("idx", "p"))
+    assert got == sorted(map(tuple, spread.select("k", "frag", "idx", "p.lon", "p.lat").collect())) and len(got) > 10
+    marks = ["seg0:0.1-0.5:B", "seg1:0.9-0.2:S|seg0:0.0-1.0:F|seg2:0.1-0.2:X", "nonsense|seg3:.5-.6:B", "-", "", None, "seg0:1.2.3-0.4:B"]
+    spark.createDataFrame(list(enumerate(marks)), "k int, t string").createOrReplaceTempView("texts")
+    got = sorted(map(str, spark.sql("SELECT k, place, frag, a, b, side FROM texts, LATERAL stretches(t)").collect()))
+    spread = spark.table("texts").select("k", F.posexplode(parse.partial_ranges(F.col("t"))).alias("place", "r"))
+    assert got == sorted(map(str, spread.select("k", "place", "r.frag", "r.a", "r.b", "r.side").collect())) and len(got) == 6
