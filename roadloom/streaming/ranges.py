@@ -21,6 +21,8 @@ from roadloom.functions import parse
 from roadloom.operators import marks
 
 CHANGES = "row_index long, token string, version long, delta int, since long, removed_at long, complete_at long"
+#: A moment before all others, for what has not been.
+NEVER = -(1 << 62)
 _STATE = "removed long, complete long, version long, adds string"
 
 
@@ -40,23 +42,20 @@ def token_changes(reports: DataFrame) -> DataFrame:
     delta is 1 where a token comes to stand, -1 where it goes, else 0; since, removed_at and complete_at are its state's. A report
     that changes nothing gives no row. Reports without a row, token or moment are left out.
     """
-    never = -(1 << 62)
-
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        before = tuple(state.get) if state.exists else (never, never, 0, "[]")
+        before = tuple(state.get) if state.exists else (NEVER, NEVER, 0, "[]")
         after = _folded(before, pd.concat(list(batches)))
         if (after[0], after[1], after[3]) == (before[0], before[1], before[3]):
             return
         state.update(after)
         adds = json.loads(after[3])
-        known = lambda x: None if x == never else x
-        row = (*key, after[2], bool(adds) - (before[3] != "[]"), adds[0] if adds else None, known(after[0]), known(after[1]))
-        out = pd.DataFrame([row], columns=["row_index", "token", "version", "delta", "since", "removed_at", "complete_at"])
-        yield out.astype({c: "Int64" for c in ("since", "removed_at", "complete_at")})
+        row = (*key, after[2], bool(adds) - (before[3] != "[]"), adds[0] if adds else NEVER, after[0], after[1])
+        yield pd.DataFrame([row], columns=["row_index", "token", "version", "delta", "since", "removed_at", "complete_at"])
 
     kept = reports.filter("row_index is not null and token is not null and at is not null and action in ('add', 'remove')")
     asked = kept.select(F.col("row_index").cast("long").alias("row_index"), "token", F.col("at").cast("long").alias("at"), "action", "complete")
-    return asked.groupBy("row_index", "token").applyInPandasWithState(run, CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
+    changed = asked.groupBy("row_index", "token").applyInPandasWithState(run, CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return changed.select("row_index", "token", "version", "delta", *[F.nullif(c, F.lit(NEVER)).alias(c) for c in ("since", "removed_at", "complete_at")])
 
 
 class Ledger:
