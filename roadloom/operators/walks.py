@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import text
 from roadloom.functions.geo import X_DEGREE, Y_WALK, compass, halves_up, metres
 from roadloom.operators.junctions import _around, _grid
-from roadloom.operators.network import Rounds, connected
+from roadloom.operators.network import Rounds, connected, relaxed
 
 GAP_M = 120.0
 FORK_DEGREES, STRAIGHT_DEGREES, ROUND_DEGREES, NEAR_START_M = 50.0, 35.0, 150.0, 25.0
@@ -45,27 +45,22 @@ def shortest_walks(links: DataFrame, starts: DataFrame, most_rounds: int = 10_00
     """walk, node, dist_m, streets of the shortest way from each walk's start to every junction it reaches.
 
     links: a, b, length_m, street (walked both ways; null for a link over a gap); starts: walk, node, dist_m. Streets
-    that follow each other are named once. Ties go to the least junction before. All walks relax in the same rounds; it
-    fails if some still do after the last.
+    that follow each other are named once. Ties go to the least junction before. All walks relax in the same rounds (see ``network.relaxed``), and the
+    streets of ways are put together by doubling them.
     """
+    there = links.select(F.col("a").alias("src"), F.col("b").alias("dst"), "length_m", "street")
+    both = there.union(links.select("b", "a", "length_m", "street"))
+    found = relaxed(both.select(F.struct("src", "street").alias("edge"), "src", "dst", "length_m"), starts, most_rounds)
     rounds = Rounds(links)
-    there = links.select("a", "b", "length_m", "street")
-    ways = rounds.write(there.union(links.select("b", "a", "length_m", "street")))
     none = F.array().cast("array<string>")
-    at = F.struct("dist_m", F.lit(None).cast("long").alias("before"), none.alias("streets"))
-    best = rounds.write(starts.select("walk", "node", at.alias("m")).groupBy("walk", "node").agg(F.min("m").alias("m")).withColumn("fresh", F.lit(True)))
-    same = F.col("street").isNull() | F.element_at("m.streets", -1).eqNullSafe(F.col("street"))
-    named = F.when(F.size("m.streets") == 0, F.when(F.col("street").isNull(), none).otherwise(F.array("street"))).when(same, F.col("m.streets")).otherwise(F.concat("m.streets", F.array("street")))
-    step = F.struct((F.col("m.dist_m") + F.col("length_m")).alias("dist_m"), F.col("a").alias("before"), named.alias("streets"))
-    for _ in range(most_rounds):
-        hops = best.filter("fresh").join(ways, F.col("node") == F.col("a")).select("walk", F.col("b").alias("node"), step.alias("new"))
-        reached = hops.groupBy("walk", "node").agg(F.min("new").alias("new"))
-        nearer = F.col("new").isNotNull() & (F.col("m").isNull() | (F.col("new.dist_m") < F.col("m.dist_m")))
-        met = best.drop("fresh").join(reached, ["walk", "node"], "full")
-        best = rounds.write(met.select("walk", "node", F.when(nearer, F.col("new")).otherwise(F.col("m")).alias("m"), nearer.alias("fresh")))
-        if best.filter("fresh").isEmpty():
-            return best.select("walk", "node", "m.dist_m", "m.streets")
-    raise RuntimeError(f"walks still change after {most_rounds} rounds")
+    state = rounds.write(found.select("walk", "node", "dist_m", F.col("prev").alias("up"), F.when(F.col("edge.street").isNull(), none).otherwise(F.array("edge.street")).alias("streets")))
+    while not state.filter("up is not null").isEmpty():
+        before = state.select(F.col("walk").alias("_w"), F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("streets").alias("_s"))
+        met = state.join(before, (F.col("walk") == F.col("_w")) & (F.col("up") == F.col("_n")), "left")
+        again = (F.size("_s") > 0) & (F.size("streets") > 0) & (F.get("_s", F.size("_s") - 1) == F.get("streets", F.lit(0)))
+        joined = F.when(F.col("_w").isNull(), F.col("streets")).when(again, F.concat("_s", F.slice("streets", F.lit(2), F.size("streets")))).otherwise(F.concat("_s", "streets"))
+        state = rounds.write(met.select("walk", "node", "dist_m", F.col("_u").alias("up"), joined.alias("streets")))
+    return state.select("walk", "node", "dist_m", "streets")
 
 
 def taken_walk(walk_m: Column, straight_m: Column) -> Column:

@@ -9,7 +9,6 @@ from roadloom import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"components", "network_distance"}  # many rounds; tests/test_operators.py has them on a small graph
 
 
 def plain(value):
@@ -23,7 +22,7 @@ def rows(frame):
     return columns, sorted(str([plain(x) for x in r]) for r in frame[columns].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_its_sql(spark, name):
     got = rows(catalog.queries()[name](spark, SF).toPandas())
     if name in catalog.oracle_sql():
