@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK, bearing, metres, on_segment
 from roadloom.operators.linear import points_at
-from roadloom.operators.network import Rounds, connected
+from roadloom.operators.network import Rounds, connected, large
 from roadloom.operators.spatial import segment_cells
 
 SAME_M, TOUCH_M, UNION_M = 1.5, 20.0, 12.0
@@ -47,7 +47,7 @@ def shared_vertices(vertices: DataFrame, lat0: float) -> DataFrame:
     cell = F.struct(F.round(F.col("lon") * x / SAME_M).alias("x"), F.round(F.col("lat") * F.lit(Y_WALK) / SAME_M).alias("y"))
     first = _netted(vertices).withColumn("spot", F.struct("net", cell.alias("cell"))).groupBy("spot", "line").agg(F.min(F.struct("idx", "pos", "lon", "lat")).alias("m"))
     several = first.groupBy("spot").agg(F.count("*").alias("_n")).filter("_n > 1")
-    return first.join(several, "spot").select("line", "m.pos", "m.lon", "m.lat", "spot")
+    return first.join(large(several), "spot").select("line", "m.pos", "m.lon", "m.lat", "spot")
 
 
 def touching_ends(vertices: DataFrame, lat0: float) -> DataFrame:

@@ -31,6 +31,15 @@ class Rounds:
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{self.turn}")
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast.
+
+    Spark takes rows that a column was exploded into for as many as there were before, and would send millions of
+    them through the driver as a small table.
+    """
+    return df.hint("merge")
+
+
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (its least node). nodes: node; edges: src, dst in both directions.
 
@@ -40,11 +49,11 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rounds = Rounds(nodes)
     labels = rounds.write(nodes.select("node", F.col("node").alias("component")))
     while True:
-        heard = edges.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, F.col("node") == F.col("dst"), "left").select("node", "component", F.least("component", F.coalesce("heard", "component")).alias("low"))
+        heard = edges.join(large(labels), F.col("src") == F.col("node")).groupBy("dst").agg(F.min("component").alias("heard"))
+        lower = labels.join(large(heard), F.col("node") == F.col("dst"), "left").select("node", "component", F.least("component", F.coalesce("heard", "component")).alias("low"))
         # the nodes that a label stands for hear of the lowest label any of their followers has heard of
         told = lower.groupBy(F.col("component").alias("_c")).agg(F.min("low").alias("told"))
-        after = rounds.write(lower.join(told, F.col("component") == F.col("_c")).select("node", "component", F.least("low", "told").alias("next")))
+        after = rounds.write(lower.join(large(told), F.col("component") == F.col("_c")).select("node", "component", F.least("low", "told").alias("next")))
         changed = after.filter("next <> component").limit(1).count()
         labels = after.select("node", F.col("next").alias("component"))
         if not changed:
