@@ -57,8 +57,8 @@ def touching_ends(vertices: DataFrame, lat0: float) -> DataFrame:
     segments = vertices.select(F.col("net").alias("_net"), F.col("line").alias("other"), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"), F.col("pos").alias("a_pos"), F.lead("lon").over(along).alias("b_lon"), F.lead("lat").over(along).alias("b_lat"), F.lead("pos").over(along).alias("b_pos")).filter("b_lon is not null")
     spread = segment_cells(segments, lat0, TOUCH_M)
     nets = vertices.groupBy(F.col("line").alias("_line")).agg(F.min("net").alias("net"))
-    ends = _around(line_ends(vertices).withColumnRenamed("pos", "end_pos").join(nets, F.col("line") == F.col("_line")).drop("_line"), lat0, TOUCH_M)
-    met = ends.join(spread, (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")) & (F.col("net") == F.col("_net")) & (F.col("line") != F.col("other")))
+    ends = _around(line_ends(vertices).withColumnRenamed("pos", "end_pos").join(large(nets), F.col("line") == F.col("_line")).drop("_line"), lat0, TOUCH_M)
+    met = ends.join(large(spread), (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")) & (F.col("net") == F.col("_net")) & (F.col("line") != F.col("other")))
     t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))
     place = F.struct(dist.alias("d"), F.col("other"), (F.col("a_pos") + (F.col("b_pos") - F.col("a_pos")) * t).alias("pos"), (F.col("a_lon") + (F.col("b_lon") - F.col("a_lon")) * t).alias("lon"), (F.col("a_lat") + (F.col("b_lat") - F.col("a_lat")) * t).alias("lat"))
     best = met.select("line", "end_pos", place.alias("m")).filter(F.col("m.d") <= TOUCH_M).groupBy("line", "end_pos").agg(F.min("m").alias("m"))
@@ -81,17 +81,17 @@ def junctions(vertices: DataFrame, lat0: float) -> DataFrame:
     places = line_ends(vertices).unionByName(shared_vertices(vertices, lat0).drop("spot")).unionByName(hits.select(F.col("other").alias("line"), "pos", "lon", "lat"))
     nets = _netted(vertices).groupBy(F.col("line").alias("_line")).agg(F.min("net").alias("net"))
     once = places.withColumn("pos", F.round("pos", 3)).groupBy("line", "pos").agg(F.min("lon").alias("lon"), F.min("lat").alias("lat")).withColumn("place", F.xxhash64("line", "pos"))
-    once = rounds.write(once.join(nets, F.col("line") == F.col("_line")).drop("_line"))
+    once = rounds.write(once.join(large(nets), F.col("line") == F.col("_line")).drop("_line"))
     name = lambda line, pos: F.xxhash64(line, F.round(pos, 3))
     cells = _grid(F.col("lon"), F.col("lat"), lat0, UNION_M)
     other = once.select(F.col("net").alias("_net"), F.col("place").alias("_p"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), cells[0].alias("_x"), cells[1].alias("_y"))
-    near = _around(once, lat0, UNION_M).join(other, (F.col("_cx") == F.col("_x")) & (F.col("_cy") == F.col("_y")) & (F.col("net") == F.col("_net")) & (F.col("place") != F.col("_p")))
+    near = _around(once, lat0, UNION_M).join(large(other), (F.col("_cx") == F.col("_x")) & (F.col("_cy") == F.col("_y")) & (F.col("net") == F.col("_net")) & (F.col("place") != F.col("_p")))
     close = near.filter(metres(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"), F.lit(lat0), Y_WALK) <= UNION_M).select(F.col("place").alias("src"), F.col("_p").alias("dst"))
     joined = hits.select(name(F.col("line"), F.col("end_pos")).alias("src"), name(F.col("other"), F.col("pos")).alias("dst"))
     edges = close.union(joined).union(joined.select("dst", "src")).distinct()
     labels = connected(once.select(F.col("place").alias("node")), rounds.write(edges)).withColumnsRenamed({"node": "place", "component": "node"})
-    placed = once.join(labels, "place")
-    return placed.join(placed.groupBy("node").agg(F.avg("lon").alias("node_lon"), F.avg("lat").alias("node_lat")), "node").select("line", "pos", "node", F.col("node_lon").alias("lon"), F.col("node_lat").alias("lat"))
+    placed = once.join(large(labels), "place")
+    return placed.join(large(placed.groupBy("node").agg(F.avg("lon").alias("node_lon"), F.avg("lat").alias("node_lat"))), "node").select("line", "pos", "node", F.col("node_lon").alias("lon"), F.col("node_lat").alias("lat"))
 
 
 def network_edges(placed: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def half_edges(edges: DataFrame, vertices: DataFrame, lat0: float) -> DataFrame:
     asked = both.select("line", "edge", "forward", F.explode(F.array(F.struct(F.lit("s").alias("_n"), F.col("_from").alias("pos")), F.struct(F.lit("t").alias("_n"), F.col("_to").alias("pos")))).alias("q")).select("line", "edge", "forward", "q.*")
     spots = points_at(asked, vertices.select("line", "idx", "pos", "lon", "lat"), ("line",))
     spot = lambda n: F.max(F.when(F.col("_n") == n, F.struct("lon", "lat"))).alias(n)
-    placed = both.join(spots.groupBy("edge", "forward").agg(spot("s"), spot("t")), ["edge", "forward"])
+    placed = both.join(large(spots.groupBy("edge", "forward").agg(spot("s"), spot("t"))), ["edge", "forward"])
     turn = bearing(F.col("s.lon"), F.col("s.lat"), F.col("t.lon"), F.col("t.lat"), F.lit(lat0))
     return placed.select("edge", "forward", F.when(F.col("forward"), F.col("a")).otherwise(F.col("b")).alias("tail"), F.when(F.col("forward"), F.col("b")).otherwise(F.col("a")).alias("head"), turn.alias("bearing"))
 
@@ -146,9 +146,9 @@ def faces(halves: DataFrame) -> DataFrame:
     state = rounds.write(follows.withColumn("face", F.least("half", "next")))
     while True:
         ahead = state.select(F.col("half").alias("_h"), F.col("next").alias("_n"), F.col("face").alias("_f"))
-        after = rounds.write(state.join(ahead, F.col("next") == F.col("_h")).select("half", F.col("_n").alias("next"), F.least("face", "_f").alias("low"), "face"))
+        after = rounds.write(state.join(large(ahead), F.col("next") == F.col("_h")).select("half", F.col("_n").alias("next"), F.least("face", "_f").alias("low"), "face"))
         changed = not after.filter("low <> face").isEmpty()
         state = after.select("half", "next", F.col("low").alias("face"))
         if not changed:
             break
-    return named.select("edge", "forward", "half").join(state.select("half", "face"), "half").select("edge", "forward", "face")
+    return named.select("edge", "forward", "half").join(large(state.select("half", "face")), "half").select("edge", "forward", "face")

@@ -15,3 +15,7 @@ def crossing_vertices(spark):
 
 def test_shared_vertices_are_not_broadcast(spark):
     assert "Broadcast" not in planned(junctions.shared_vertices(crossing_vertices(spark), 52.8))
+
+
+def test_touching_ends_are_not_broadcast(spark):
+    assert "Broadcast" not in planned(junctions.touching_ends(crossing_vertices(spark), 52.8))
