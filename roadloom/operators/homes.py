@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geo, intervals, parse, text
 from roadloom.functions.geo import on_segment
+from roadloom.operators.network import large
 from roadloom.operators.roads import COMPLETE, IN_PROGRESS, last_of_street, remaining_share, without_features
 
 VERSION = 1
@@ -22,7 +23,7 @@ def attach_homes(rows: DataFrame, index: DataFrame, version: int = VERSION) -> D
     """
     usable = index.filter(F.lit(version == VERSION)).select(F.col("row_key").alias("_key"), F.transform("positions", lambda f: F.transform(f, lambda v: v / 1000.0)).alias("home_fracs"))
     keyed = rows.withColumn("_row", text.row_key(F.col("street"), F.col("ward_name"), F.col("road_geometry")))
-    return keyed.join(usable, F.col("_row") == F.col("_key"), "left").drop("_row", "_key")
+    return keyed.join(large(usable), F.col("_row") == F.col("_key"), "left").drop("_row", "_key")
 
 
 def match_stats(attached: DataFrame, *keys: str) -> DataFrame:

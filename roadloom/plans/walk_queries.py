@@ -32,6 +32,11 @@ home AS (SELECT o_orderkey AS pt, o_custkey AS hk, lon, lat FROM (SELECT o_order
   JOIN (SELECT k, seq, a_lon, a_lat, b_lon, b_lat FROM seg) g ON k = o_custkey AND seq = hs, LATERAL (SELECT a_lon + (b_lon - a_lon) * u AS lon, a_lat + (b_lat - a_lat) * u + (o_orderkey % 5)::DOUBLE * 1e-5 AS lat))"""
 
 
+def grid_net(k: Column) -> Column:
+    """Which time round the grid a customer's road lies on it: it begins again after 16000."""
+    return F.floor(k / 16000)
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, seq, a_lon, a_lat, b_lon, b_lat, len of the two segments of each customer's road."""
     order = Window.partitionBy("k").orderBy("idx")
@@ -56,7 +61,9 @@ def _fracs(k: Column) -> Column:
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The road sheet's row of each customer, as text."""
     r = grid_roads(spark, sf_dir)
-    wkt = F.format_string("LINESTRING(%.6f %.6f, %.6f %.6f)", F.col("lon0"), F.col("lat0"), F.col("lon0") + 0.002, F.col("lat0"))
+    # digits behind those of the grid keep the lines apart that lie on each other
+    lat = F.col("lat0") + grid_net(F.col("k")) * 1e-9
+    wkt = F.format_string("LINESTRING(%.6f %.9f, %.6f %.9f)", F.col("lon0"), lat, F.col("lon0") + 0.002, lat)
     a = (F.col("k") % 4) / 10.0
     return r.select(
         F.col("k").alias("row_index"), F.col("ward").cast("string").alias("ward_name"), F.format_string("Road %d", F.col("k") % 5000).alias("street"), "status", "residences", wkt.alias("road_geometry"),
@@ -252,10 +259,10 @@ def step_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lambda at, by: F.when(F.col("seq") == at, by).otherwise(0.0)
     # each road is walked from a tenth behind its beginning to a tenth before its end, a metre beside its line
     walk = s.select(
-        F.col("k").alias("step"), "seq", F.element_at(F.array(F.lit("both"), F.lit("right"), F.lit("left")), (F.col("k") % 3 + 1).cast("int")).alias("pavement"), (F.col("a_lon") + cut(0, 0.0001)).alias("a_lon"),
+        F.col("k").alias("step"), grid_net(F.col("k")).alias("net"), "seq", F.element_at(F.array(F.lit("both"), F.lit("right"), F.lit("left")), (F.col("k") % 3 + 1).cast("int")).alias("pavement"), (F.col("a_lon") + cut(0, 0.0001)).alias("a_lon"),
         (F.col("a_lat") + 0.00001 + cut(0, 0.00002)).alias("a_lat"), (F.col("b_lon") - cut(1, 0.0001)).alias("b_lon"), (F.col("b_lat") + 0.00001 + cut(1, 0.00002)).alias("b_lat"),
     )
-    rows = _lines(spark, sf_dir).withColumnRenamed("road", "row_index").withColumnRenamed("piece", "frag")
+    rows = _lines(spark, sf_dir).withColumnRenamed("road", "row_index").withColumnRenamed("piece", "frag").withColumn("net", grid_net(F.col("row_index")))
     return marks.step_tokens(walk, rows, LAT0).select("step", "row_index", "token")
 
 
