@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_PLAN, Y_WALK, metres, on_segment
+from roadloom.operators.network import large
 
 
 def cell(value: Column, size: float) -> Column:
@@ -69,7 +70,7 @@ def segment_cells(segments: DataFrame, lat0: float, size_m: float, reach_m: floa
 
 
 def nearest_segments(points: DataFrame, segments: DataFrame, lat0: float, most_m: float, net: bool = False) -> DataFrame:
-    """pt, seg, t, dist: for each point the nearest segment within ``most_m``; ties go to the lesser seg.
+    """pt, seg, t, dist: for each point the nearest segment within ``most_m``; ties, distances that are equal in micrometres, go to the lesser seg.
 
     points: pt, lon, lat. segments: seg, a_lon, a_lat, b_lon, b_lat. With ``net``, both have such a column, and only equal ones meet.
     """
@@ -80,18 +81,19 @@ def nearest_segments(points: DataFrame, segments: DataFrame, lat0: float, most_m
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     placed = points.withColumn("_o", F.explode(around))
     placed = placed.select("pt", "net", "lon", "lat", (F.floor(F.col("lon") * x / most_m).cast("long") + F.col("_o.i")).alias("_cx"), (F.floor(F.col("lat") * F.lit(Y_WALK) / most_m).cast("long") + F.col("_o.j")).alias("_cy"))
-    met = placed.join(segment_cells(segments, lat0, most_m), (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")) & (F.col("net") == F.col("_net")))
+    met = placed.join(large(segment_cells(segments, lat0, most_m)), (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")) & (F.col("net") == F.col("_net")))
     t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))
-    best = met.select("pt", F.struct(dist.alias("dist"), F.col("seg"), t.alias("t")).alias("m")).filter(F.col("m.dist") <= most_m).groupBy("pt").agg(F.min("m").alias("m"))
+    best = met.select("pt", F.struct(F.round(dist, 6).alias("near"), F.col("seg"), t.alias("t"), dist.alias("dist")).alias("m")).filter(F.col("m.dist") <= most_m).groupBy("pt").agg(F.min("m").alias("m"))
     return best.select("pt", F.col("m.seg").alias("seg"), F.col("m.t").alias("t"), F.col("m.dist").alias("dist"))
 
 
 def match_homes(points: DataFrame, segments: DataFrame, lat0: float, near_m: float = 40.0, far_m: float = 250.0) -> DataFrame:
     """The nearest segment within the near radius, else within the far one, with ``far`` telling which."""
-    near = nearest_segments(points, segments, lat0, near_m)
+    # a micrometre more, so that a segment just beyond the radius ties with one just within it
+    near = nearest_segments(points, segments, lat0, near_m + 1e-6)
     rest = points.join(near.select(F.col("pt").alias("_pt")), F.col("pt") == F.col("_pt"), "left_anti")
     far = nearest_segments(rest, segments, lat0, far_m)
-    return near.withColumn("far", F.lit(False)).unionByName(far.withColumn("far", F.lit(True)))
+    return near.unionByName(far).withColumn("far", F.col("dist") > near_m)
 
 
 def without_commercial_spots(points: DataFrame, most: int = 150) -> DataFrame:

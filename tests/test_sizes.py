@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from roadloom import catalog
-from roadloom.operators import junctions
+from roadloom.operators import junctions, spatial
 
 
 def planned(df):
@@ -39,3 +39,10 @@ def differing(spark, folder, name, keys):
 def test_homes_of_roads_whose_grid_begins_again(spark, tmp_path):
     # one street, ward and place on the grid, but only the first has homes in the index
     assert not differing(spark, tmp_path, "attach_homes", [4, 4 + 80000])
+
+
+def test_segments_as_far_in_micrometres_tie(spark):
+    segments = spark.createDataFrame([(2, -2.1, 52.8, -2.09, 52.8), (1, -2.1, 52.8 - 1e-13, -2.09, 52.8 - 1e-13)], "seg int, a_lon double, a_lat double, b_lon double, b_lat double")
+    # a hundred metres above both, and at the radius of near ones but for less than a micrometre
+    points = spark.createDataFrame([(0, -2.095, 52.8 + 100 / 110540), (1, -2.095, 52.8 + (40 - 1e-9) / 110540)], "pt int, lon double, lat double")
+    assert {(r.pt, r.seg, r.far) for r in spatial.match_homes(points, segments, 52.8).collect()} == {(0, 1, True), (1, 1, True)}
