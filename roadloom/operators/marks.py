@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import parse
 from roadloom.functions.geo import X_DEGREE, Y_WALK, on_segment
 from roadloom.functions.intervals import LEAST_METRES
+from roadloom.operators.network import large
 from roadloom.operators.roads import COMPLETE, IN_PROGRESS, merged_intervals, runs, small_gaps_closed, swept
 from roadloom.operators.spatial import segment_cells
 
@@ -89,8 +90,12 @@ def step_tokens(lines: DataFrame, segments: DataFrame, lat0: float) -> DataFrame
 
     lines: step, seq, pavement, a_lon, a_lat, b_lon, b_lat (the step's segments). segments: row_index, frag, a_lon,
     a_lat, b_lon, b_lat, from_m, frag_m. Every three metres of a step snap to the nearest segment within 8 m that
-    runs its way; samples in a row on one fragment and in one direction are a stretch, if it has 5 m or more.
+    runs its way; samples in a row on one fragment and in one direction are a stretch, if it has 5 m or more. If both have
+    a column net, a step snaps to rows of its own only.
     """
+    if "net" not in lines.columns:
+        lines, segments = lines.withColumn("net", F.lit(0)), segments.withColumn("net", F.lit(0))
+    segments = segments.withColumnRenamed("net", "_net")
     x = F.lit(X_DEGREE) * F.cos(F.radians(F.lit(lat0)))
     vector = lambda: ((F.col("b_lon") - F.col("a_lon")) * x, (F.col("b_lat") - F.col("a_lat")) * Y_WALK)
     dx, dy = vector()
@@ -99,11 +104,11 @@ def step_tokens(lines: DataFrame, segments: DataFrame, lat0: float) -> DataFrame
     n = F.greatest(F.lit(1), F.ceil(F.col("_l") / SAMPLE_M)).cast("int")
     samples = walked.withColumn("_n", n).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     share = F.col("_s") / F.col("_n")
-    samples = samples.select("step", "pavement", F.struct("seq", "_s").alias("at"), (F.col("a_lon") + (F.col("b_lon") - F.col("a_lon")) * share).alias("lon"), (F.col("a_lat") + (F.col("b_lat") - F.col("a_lat")) * share).alias("lat"), "_ux", "_uy")
+    samples = samples.select("step", "net", "pavement", F.struct("seq", "_s").alias("at"), (F.col("a_lon") + (F.col("b_lon") - F.col("a_lon")) * share).alias("lon"), (F.col("a_lat") + (F.col("b_lat") - F.col("a_lat")) * share).alias("lat"), "_ux", "_uy")
     # a segment stands in all cells that it is near to, and a sample in its own: each pair meets once
     cell = lambda v, k: F.floor(v * k / CELL_M).cast("long")
     spread = samples.withColumn("_cx", cell(F.col("lon"), x)).withColumn("_cy", cell(F.col("lat"), F.lit(Y_WALK)))
-    met = spread.join(segment_cells(segments, lat0, CELL_M, NEAR_M), (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")))
+    met = spread.join(large(segment_cells(segments, lat0, CELL_M, NEAR_M)), (F.col("_cx") == F.col("_sx")) & (F.col("_cy") == F.col("_sy")) & (F.col("net") == F.col("_net")))
     t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))
     sx, sy = vector()
     length = F.sqrt(sx * sx + sy * sy)
@@ -111,9 +116,9 @@ def step_tokens(lines: DataFrame, segments: DataFrame, lat0: float) -> DataFrame
     hit = F.struct(dist.alias("d"), "row_index", "frag", ((F.col("from_m") + t * length) / F.col("frag_m")).alias("t"), (cos > 0).alias("fwd"), "frag_m")
     snapped = met.filter((length > 0) & (F.abs(cos) >= ALIGNED)).select("step", "at", hit.alias("h")).filter(F.col("h.d") <= NEAR_M).groupBy("step", "at").agg(F.min("h").alias("h"))
     # a sample that snaps to nothing breaks a stretch
-    every = samples.select("step", "at", "pavement").join(snapped, ["step", "at"], "left").select("step", "at", "pavement", "h.row_index", "h.frag", "h.fwd", "h.t", "h.frag_m")
+    every = samples.select("step", "at", "pavement").join(large(snapped), ["step", "at"], "left").select("step", "at", "pavement", "h.row_index", "h.frag", "h.fwd", "h.t", "h.frag_m")
     found = runs(every, ("step",), "at", ("row_index", "frag", "fwd")).select("step", "run", "first", "last")
-    keyed = every.filter("row_index is not null").join(found, "step").filter(F.col("at").between(F.col("first"), F.col("last")))
+    keyed = every.filter("row_index is not null").join(large(found), "step").filter(F.col("at").between(F.col("first"), F.col("last")))
     stretch = keyed.groupBy("step", "run", "pavement", "row_index", "frag", "fwd").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("frag_m").alias("frag_m"))
     side = F.when(F.col("pavement") == "both", "B").when((F.col("pavement") == "right") == F.col("fwd"), "S").otherwise("F")
     token = F.format_string("seg%d:%.4f-%.4f:%s", "frag", "a", "b", side)

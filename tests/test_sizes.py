@@ -46,3 +46,7 @@ def test_segments_as_far_in_micrometres_tie(spark):
     # a hundred metres above both, and at the radius of near ones but for less than a micrometre
     points = spark.createDataFrame([(0, -2.095, 52.8 + 100 / 110540), (1, -2.095, 52.8 + (40 - 1e-9) / 110540)], "pt int, lon double, lat double")
     assert {(r.pt, r.seg, r.far) for r in spatial.match_homes(points, segments, 52.8).collect()} == {(0, 1, True), (1, 1, True)}
+
+
+def test_steps_on_roads_whose_grid_begins_again(spark, tmp_path):
+    assert not differing(spark, tmp_path, "step_tokens", [5, 16005])
