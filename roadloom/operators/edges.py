@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geo, text
 from roadloom.operators import junctions, linear
-from roadloom.operators.network import Rounds
+from roadloom.operators.network import Rounds, large
 from roadloom.operators.routes import without_near_vertices
 
 #: Vertices nearer than this to the last one go; lines shorter than the least edge are none.
@@ -51,7 +51,7 @@ def edge_shapes(edges: DataFrame, lines: DataFrame, nodes: DataFrame, lat0: floa
     """edge, idx, pos, lon, lat: every edge from one junction's point over its line's vertices to the other's."""
     inner = linear.inner_vertices(edges.select("line", "edge", "a_pos", "b_pos"), lines.select("line", "pos", "lon", "lat"), ("line",), "edge")
     ends = edges.select("edge", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_pos").alias("at")), F.struct(F.col("b").alias("node"), F.col("b_pos").alias("at")))).alias("e")).select("edge", "e.node", "e.at")
-    met = ends.join(nodes, "node").select("edge", F.col("at").alias("pos"), "lon", "lat")
+    met = ends.join(large(nodes), "node").select("edge", F.col("at").alias("pos"), "lon", "lat")
     order = Window.partitionBy("edge").orderBy("pos")
     numbered = met.unionByName(inner).select("edge", (F.row_number().over(order) - 1).alias("idx"), "lon", "lat")
     return linear.with_places(numbered, ("edge",), lat0)
@@ -60,7 +60,7 @@ def edge_shapes(edges: DataFrame, lines: DataFrame, nodes: DataFrame, lat0: floa
 def by_length(edges: DataFrame, roads: DataFrame) -> DataFrame:
     """Adds residences and per_km: a road's homes (road, residences) spread by length over the edges that it has."""
     kept = F.sum("length_m").over(Window.partitionBy("road"))
-    return edges.join(roads.select("road", F.col("residences").alias("_all")), "road").withColumns({"residences": F.col("_all") * F.col("length_m") / kept, "per_km": F.col("_all") / kept * 1000}).drop("_all")
+    return edges.join(large(roads.select("road", F.col("residences").alias("_all"))), "road").withColumns({"residences": F.col("_all") * F.col("length_m") / kept, "per_km": F.col("_all") / kept * 1000}).drop("_all")
 
 
 def by_homes(edges: DataFrame, segments: DataFrame, homes: DataFrame, roads: DataFrame, lat0: float) -> DataFrame:
@@ -70,7 +70,7 @@ def by_homes(edges: DataFrame, segments: DataFrame, homes: DataFrame, roads: Dat
     """
     hits = linear.nearest_of_own(homes, segments, ("road",), lat0, HOME_M)
     counts = hits.groupBy(F.col("seg.edge").alias("_e")).agg(F.count("*").alias("_n"))
-    counted = edges.join(counts, F.col("edge") == F.col("_e"), "left").join(roads.select("road", F.col("residences").alias("_all")), "road").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    counted = edges.join(large(counts), F.col("edge") == F.col("_e"), "left").join(large(roads.select("road", F.col("residences").alias("_all"))), "road").withColumn("_n", F.coalesce("_n", F.lit(0)))
     total = F.sum("_n").over(Window.partitionBy("road"))
     return counted.withColumn("_total", total).withColumn("residences", F.when(F.col("_total") > 0, F.col("_all") * F.col("_n") / F.col("_total")).otherwise(F.col("residences"))).drop("_e", "_n", "_all", "_total")
 
@@ -93,7 +93,7 @@ def done_sides(shapes: DataFrame, half_done: DataFrame, lat0: float) -> DataFram
     seen = linear.points_at(around, placed.select("road", "piece", "side", "idx", "pos", "lon", "lat"), ("road", "piece", "side"))
     ways = seen.groupBy("road", "piece", "side", "edge").agg(spot("from").alias("p"), spot("to").alias("q"))
 
-    met = ways.join(mids, ["road", "edge"])
+    met = ways.join(large(mids), ["road", "edge"])
     ux, uy = linear.metre_vector(F.col("mid.lon"), F.col("mid.lat"), F.col("on.lon"), F.col("on.lat"), lat0)
     vx, vy = linear.metre_vector(F.col("p.lon"), F.col("p.lat"), F.col("q.lon"), F.col("q.lat"), lat0)
     right = (F.col("side") == "S") == (ux * vx + uy * vy >= 0)
@@ -102,14 +102,14 @@ def done_sides(shapes: DataFrame, half_done: DataFrame, lat0: float) -> DataFram
 
 def handed_on(roads: DataFrame, vertices: DataFrame, edges: DataFrame, segments: DataFrame, lat0: float) -> tuple[DataFrame, DataFrame]:
     """Homes of roads without an edge for the edge nearest to their first vertex: (edge, residences, includes), and lost roads (road, street)."""
-    alone = roads.filter("residences > 0").join(edges.select("road").distinct(), "road", "left_anti")
+    alone = roads.filter("residences > 0").join(large(edges.select("road").distinct()), "road", "left_anti")
     first = vertices.groupBy("road").agg(F.min(F.struct("line", "idx", "lon", "lat")).alias("v"))
     net = ["net"] if "net" in roads.columns else []
-    placed = Rounds(roads).write(alone.join(first, "road", "left").select("road", "street", "residences", "v.lon", "v.lat", *net))
+    placed = Rounds(roads).write(alone.join(large(first), "road", "left").select("road", "street", "residences", "v.lon", "v.lat", *net))
     seen = placed.filter("lon is not null")
-    asked = segments.join(roads.select("road", "net"), "road") if net else segments
+    asked = segments.join(large(roads.select("road", "net")), "road") if net else segments
     hits = linear.nearest_of_any(seen.select(F.col("road").alias("pt"), "lon", "lat", *net), asked.drop("road"), lat0, bool(net))
-    given = hits.join(seen, F.col("pt") == F.col("road")).groupBy(F.col("seg.edge").alias("edge")).agg(F.sum("residences").alias("more"), F.array_sort(F.collect_list(F.struct("road", "street"))).alias("_s"))
+    given = hits.join(large(seen), F.col("pt") == F.col("road")).groupBy(F.col("seg.edge").alias("edge")).agg(F.sum("residences").alias("more"), F.array_sort(F.collect_list(F.struct("road", "street"))).alias("_s"))
     named = given.select("edge", "more", F.transform("_s", lambda s: text.base_name(s["street"])).alias("includes"))
     return named, placed.filter("lon is null").select("road", "street")
 
@@ -122,7 +122,7 @@ def edge_halves(network: Network, lat0: float) -> DataFrame:
     asked = size.select("edge", F.explode(F.array(*[F.struct(F.lit(f).alias("forward"), F.lit(n).alias("_n"), at.alias("pos")) for f, n, at in ((True, "s", F.lit(0.0)), (True, "t", reach), (False, "s", F.col("_l")), (False, "t", F.col("_l") - reach))])).alias("q")).select("edge", "q.*")
     spots = linear.points_at(asked, shape, ("edge",))
     spot = lambda f, n: F.max(F.when((F.col("forward") == f) & (F.col("_n") == n), F.struct("lon", "lat")))
-    both = spots.groupBy("edge").agg(*[spot(f, n).alias(f"{n}_{f}") for f in (True, False) for n in "st"]).join(network.edges.select("edge", "a", "b"), "edge")
+    both = spots.groupBy("edge").agg(*[spot(f, n).alias(f"{n}_{f}") for f in (True, False) for n in "st"]).join(large(network.edges.select("edge", "a", "b")), "edge")
     half = lambda f, tail, head: F.struct(F.lit(f).alias("forward"), F.col(tail).alias("tail"), F.col(head).alias("head"), F.col(f"s_{f}").alias("s"), F.col(f"t_{f}").alias("t"), F.col(f"s_{not f}").alias("h"))
     met = both.select("edge", F.explode(F.array(half(True, "a", "b"), half(False, "b", "a"))).alias("x")).select("edge", "x.*")
     turn = geo.bearing(F.col("s.lon"), F.col("s.lat"), F.col("t.lon"), F.col("t.lat"), F.lit(lat0))
@@ -140,19 +140,19 @@ def build_network(roads: DataFrame, vertices: DataFrame, lat0: float, homes: Dat
     lines = rounds.write(network_lines(vertices, lat0))
     placed = rounds.write(junctions.junctions(lines.drop("road"), lat0))
     owner = lines.select("line", "road").distinct()
-    cut = rounds.write(junctions.network_edges(placed).join(owner, "line"))
+    cut = rounds.write(junctions.network_edges(placed).join(large(owner), "line"))
     nodes = placed.select("node", "lon", "lat").distinct()
-    shapes = rounds.write(edge_shapes(cut, lines, nodes, lat0).join(cut.select("edge", "road", "line", "a_pos"), "edge"))
+    shapes = rounds.write(edge_shapes(cut, lines, nodes, lat0).join(large(cut.select("edge", "road", "line", "a_pos")), "edge"))
     segments = rounds.write(linear.segments_of(shapes, ("road", "edge", "line", "a_pos")).select("road", F.struct("line", "a_pos", "seq", "edge").alias("seg"), "from_m", "a_lon", "a_lat", "b_lon", "b_lat"))
     edges = by_length(cut, roads)
     if homes is not None:
         edges = by_homes(edges, segments, homes, roads, lat0)
     if half_done is not None:
-        edges = edges.join(done_sides(shapes, half_done, lat0), "edge", "left")
+        edges = edges.join(large(done_sides(shapes, half_done, lat0)), "edge", "left")
     else:
         edges = edges.withColumns({"done_left": F.lit(False), "done_right": F.lit(False)})
     given, lost = handed_on(roads, vertices, cut, segments, lat0)
-    full = edges.join(given, "edge", "left").join(roads.select("road", text.base_name(F.col("street")).alias("street")), "road")
+    full = edges.join(large(given), "edge", "left").join(large(roads.select("road", text.base_name(F.col("street")).alias("street"))), "road")
     out = full.select(
         "edge", "road", "street", "line", "a", "b", "a_pos", "b_pos", "length_m", (F.col("residences") + F.coalesce("more", F.lit(0.0))).alias("residences"), "per_km",
         F.coalesce("done_left", F.lit(False)).alias("done_left"), F.coalesce("done_right", F.lit(False)).alias("done_right"), F.coalesce("includes", F.array().cast("array<string>")).alias("includes"),

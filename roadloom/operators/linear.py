@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK, metres, on_segment
-from roadloom.operators.network import Rounds
+from roadloom.operators.network import Rounds, large
 from roadloom.operators.roads import running_length
 from roadloom.operators.spatial import cell_of, nearest_segments, segment_cells
 
@@ -76,7 +76,7 @@ def nearest_of_own(points: DataFrame, segments: DataFrame, own: tuple[str, ...],
         same = same & (F.col(f"_{c}") == F.col(c))
     t, dist = on_segment(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0))
     size = metres(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), F.lit(lat0), Y_WALK)
-    hit = placed.join(spread, same).select(*own, "pt", *per, F.struct(dist.alias("dist"), "seg", (F.col("from_m") + t * size).alias("at_m")).alias("m")).filter(F.col("m.dist") <= most_m)
+    hit = placed.join(large(spread), same).select(*own, "pt", *per, F.struct(dist.alias("dist"), "seg", (F.col("from_m") + t * size).alias("at_m")).alias("m")).filter(F.col("m.dist") <= most_m)
     return hit.groupBy(*own, "pt", *per).agg(F.min("m").alias("m")).select(*own, "pt", *per, "m.dist", "m.seg", "m.at_m")
 
 
@@ -95,7 +95,7 @@ def nearest_of_any(points: DataFrame, segments: DataFrame, lat0: float, net: boo
     while ring <= FARTHEST_M * WIDER:
         hits = rounds.write(nearest_segments(left, segments, lat0, ring, net))
         found = hits if found is None else found.union(hits)
-        left = rounds.write(left.join(hits.select(F.col("pt").alias("_pt")), F.col("pt") == F.col("_pt"), "left_anti"))
+        left = rounds.write(left.join(large(hits.select(F.col("pt").alias("_pt"))), F.col("pt") == F.col("_pt"), "left_anti"))
         if left.isEmpty():
             break
         ring *= WIDER

@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from roadloom import catalog
-from roadloom.operators import junctions, spatial
+from roadloom.operators import junctions, linear, spatial
 
 
 def planned(df):
@@ -50,3 +50,9 @@ def test_segments_as_far_in_micrometres_tie(spark):
 
 def test_steps_on_roads_whose_grid_begins_again(spark, tmp_path):
     assert not differing(spark, tmp_path, "step_tokens", [5, 16005])
+
+
+def test_places_near_lines_of_their_own_are_not_broadcast(spark):
+    points = spark.range(4).selectExpr("id as road", "id as pt", "id * 0.01D as lon", "52.8D as lat")
+    segments = spark.range(4).selectExpr("id as road", "id as seg", "0.0D as from_m", "0.0D as a_lon", "52.8D as a_lat", "0.1D as b_lon", "52.8D as b_lat")
+    assert "Broadcast" not in planned(linear.nearest_of_own(points, segments, ("road",), 52.8, 3.0))
