@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_PLAN, Y_WALK, metres, on_segment
-from roadloom.operators.network import large
+from roadloom.operators.network import Rounds, large
+
+#: Vertices that a vertex's cell may hold on average, and the least part of the widest ring that is searched first.
+CROWD, LEAST_SHARE = 8, 1 / 4096
 
 
 def cell(value: Column, size: float) -> Column:
@@ -30,11 +33,43 @@ def nearest_vertices(ends: DataFrame, vertices: DataFrame, lat0: float, most_m:
     """end, road, other, dist: for each end of a road the nearest vertex of another road within ``most_m``.
 
     ends: end, road, lon, lat. vertices: road, lon, lat. Ties go to the lesser name. A cell has to be at least
-    as wide as ``most_m`` at the latitude.
+    as wide as ``most_m`` at the latitude. Where vertices are dense, ends look within narrower rings first, with cells as
+    narrow, and only those that find none go on to the next: a hit within the ring that was searched is certainly the nearest.
     """
+    rounds = Rounds(ends)
+    spot = Window.partitionBy("_lon", "_lat").orderBy("other")
+    named = vertices.select(F.col("road").alias("other"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).distinct()
+    # of the roads that share a spot, an end can only take the first, or the second if the first is its own
+    placed = rounds.write(named.withColumn("_n", F.row_number().over(spot)).filter("_n <= 2").drop("_n"))
+    share = _ring_share(placed, size)
+    found, left = None, rounds.write(ends.select("end", "road", "lon", "lat"))
+    while True:
+        hits = rounds.write(_nearest_within(left, placed, lat0, most_m * share, size * share))
+        found = hits if found is None else found.union(hits)
+        if share >= 1:
+            return found
+        done = large(hits.select(F.col("end").alias("_end"), F.col("road").alias("_road")))
+        left = rounds.write(left.join(done, F.col("end").eqNullSafe(F.col("_end")) & (F.col("road") == F.col("_road")), "left_anti"))
+        if left.isEmpty():
+            return found
+        share *= 2
+
+
+def _ring_share(placed: DataFrame, size: float) -> float:
+    """The part, a power of two, of the widest ring that leaves a vertex's cell with few others."""
+    share = 1.0
+    while share > LEAST_SHARE:
+        cells = placed.groupBy(cell(F.col("_lon"), size * share), cell(F.col("_lat"), size * share)).count()
+        if (cells.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0) <= CROWD:
+            break
+        share /= 2
+    return share
+
+
+def _nearest_within(ends: DataFrame, placed: DataFrame, lat0: float, most_m: float, size: float) -> DataFrame:
     spread = neighbours(ends, "lon", "lat", size)
-    placed = vertices.select(F.col("road").alias("other"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), cell(F.col("lon"), size).alias("_x"), cell(F.col("lat"), size).alias("_y"))
-    met = spread.join(placed, (F.col("_cx") == F.col("_x")) & (F.col("_cy") == F.col("_y")) & (F.col("road") != F.col("other")))
+    cells = placed.select("*", cell(F.col("_lon"), size).alias("_x"), cell(F.col("_lat"), size).alias("_y"))
+    met = spread.join(large(cells), (F.col("_cx") == F.col("_x")) & (F.col("_cy") == F.col("_y")) & (F.col("road") != F.col("other")))
     dist = metres(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat"), F.lit(lat0), Y_PLAN)
     # the least of a struct combines before the shuffle, so a crowded cell does not meet in one task
     best = met.select("end", "road", F.struct(dist.alias("dist"), "other").alias("m")).filter(F.col("m.dist") <= most_m).groupBy("end", "road").agg(F.min("m").alias("m"))

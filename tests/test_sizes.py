@@ -1,5 +1,7 @@
 """What queries do on tables larger than those of the catalog's test."""
 
+import math
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -56,3 +58,19 @@ def test_places_near_lines_of_their_own_are_not_broadcast(spark):
     points = spark.range(4).selectExpr("id as road", "id as pt", "id * 0.01D as lon", "52.8D as lat")
     segments = spark.range(4).selectExpr("id as road", "id as seg", "0.0D as from_m", "0.0D as a_lon", "52.8D as a_lat", "0.1D as b_lon", "52.8D as b_lat")
     assert "Broadcast" not in planned(linear.nearest_of_own(points, segments, ("road",), 52.8, 3.0))
+
+
+def test_crowded_vertices_meet_few_ends(spark):
+    # 400 roads 1 m apart and 3 more on one spot: the ring that is searched is far narrower than 600 m, and no end is lost
+    spots = [(i, -2.1 + (i % 20) / 67000, 52.8 + i // 20 / 111320) for i in range(400)] + [(1000 + i, -2.09, 52.8) for i in range(3)]
+    vertices = spark.createDataFrame(spots, "road int, lon double, lat double")
+    ends = spark.createDataFrame([(road, road, lon + 1e-7, lat) for road, lon, lat in spots], "end int, road int, lon double, lat double")
+    placed = vertices.selectExpr("road as other", "lon as _lon", "lat as _lat")
+    assert spatial._ring_share(placed, 0.01) <= 1 / 64
+    x = 111320 * math.cos(math.radians(52.8))
+    want = {}
+    for road, lon, lat in spots:
+        far = [(math.sqrt(((lon + 1e-7 - b) * x) ** 2 + ((lat - c) * 111320) ** 2), a) for a, b, c in spots if a != road]
+        want[road] = min((round(d, 6), a) for d, a in far if d <= 600)
+    got = {r.end: (round(r.dist, 6), r.other) for r in spatial.nearest_vertices(ends, vertices, 52.8, 600.0, 0.01).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and [got[1000 + i][1] for i in range(3)] == [1001, 1000, 1000]
