@@ -141,7 +141,7 @@ def published_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Rounds(p).base
     for c in (0, 1):
         pages.publish(rows.filter(F.col("c") == c), f"{folder}/site", now="2024-05-20T12:00:00+00:00")
-    files = spark.read.format("binaryFile").load(f"{folder}/site/*.html").select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(f"{folder}/site").select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"))
     return pages.published(spark, f"{folder}/site").join(files, "filename").select("filename", "publish_id", "ward", "sheets", "bytes")
 
 

@@ -105,15 +105,16 @@ class PageWriter(DataSourceWriter):
             files = set(_names(store, root))
             entries, gone = self._kept(entries, files - set(placed.values()), now)
             known = {e["publish_id"] for e in entries if e["publish_id"]}
+            taken, tried = files | {e["filename"] for e in entries} | set(placed.values()), {}
             for publish_id, base, ward, constituency, page, sheets in staged:
                 if publish_id in known:
                     continue
                 known |= {publish_id} - {None}
                 # a page that has been given a name keeps it when another commit came first
                 if page not in placed:
-                    taken = files | {e["filename"] for e in entries} | set(placed.values())
-                    while not _claimed(store, page, f"{root}/{(name := self._free(base, taken))}"):
+                    while not _claimed(store, page, f"{root}/{(name := self._free(base, taken, tried))}"):
                         taken.add(name)
+                    taken.add(name)
                     placed[page] = name
                     if sheets:
                         store.copy_file(sheets, f"{root}/{name.removesuffix('.html')}-sheets.html")
@@ -146,10 +147,12 @@ class PageWriter(DataSourceWriter):
         return kept, [e["filename"] for e in gone]
 
     @staticmethod
-    def _free(base: str, taken: set[str]) -> str:
-        number = 0
+    def _free(base: str, taken: set[str], tried: dict[str, int]) -> str:
+        """The first name of a base that isn't taken; as taken names stay taken, numbers below the one tried last are not tried again."""
+        number = tried.get(base, 0)
         while f"{base}{number or ''}.html" in taken:
             number += 1
+        tried[base] = number
         return f"{base}{number or ''}.html"
 
     def _made(self, store: fs.FileSystem, root: str, number: int, text: str) -> bool:

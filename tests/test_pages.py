@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import pathlib
 import threading
 
 import pytest
@@ -68,3 +69,22 @@ def test_two_commits_never_mix(tmp_path):
     for e in entries:
         assert (tmp_path / e["filename"]).read_text()[1:] == e["publish_id"][1:]
     assert {p.name for p in tmp_path.glob("*.html")} == {e["filename"] for e in entries}
+
+
+def test_names_of_one_base_are_tried_once_each(tmp_path):
+    class Counted(str):
+        tried = 0
+
+        def __format__(self, spec):
+            Counted.tried += 1
+            return str(self)
+
+    (tmp_path / "ward3.html").write_text("made by hand")
+    writer = pages.PageWriter({"path": str(tmp_path), "now": NOW})
+    staged = [(None, Counted("ward"), f"{i:03d}", "c", str(tmp_path / f"page{i}"), None) for i in range(300)]
+    for s in staged:
+        pathlib.Path(s[4]).write_text("page")
+    writer.commit([pages.Staged(staged)])
+    names = [e["filename"] for e in json.loads(next((tmp_path / "_manifest").iterdir()).read_text())]
+    assert names == [f"ward{i or ''}.html" for i in range(301) if i != 3]
+    assert Counted.tried <= 3 * len(staged)
