@@ -1,7 +1,7 @@
 """Reports of done stretches as a stream: what each token stands at is state, what changes is a ledger of batches.
 
 Reports come late, twice and in any order. A token's state is its last removal and its additions since, so the order in which they
-come changes nothing in the end; a key is one token of one row, so a row that everybody reports on is not one task's. Changes of
+come changes nothing in the end; tokens are dealt to keys by a hash, so a row that everybody reports on is not one task's. Changes of
 state are written once for each batch, and rows and coverage are read from the finished batches.
 """
 
@@ -23,38 +23,48 @@ from roadloom.operators import marks
 CHANGES = "row_index long, token string, version long, delta int, since long, removed_at long, complete_at long"
 #: A moment before all others, for what has not been.
 NEVER = -(1 << 62)
-_STATE = "removed long, complete long, version long, adds string"
+#: Tokens are dealt by a hash to so many keys of the state, since a call for each key costs far more than the reports in it.
+BUCKETS = 8192
+_STATE = "tokens string"
 
 
-def _folded(state: tuple, rows: pd.DataFrame) -> tuple:
+def _folded(state: tuple, reports: list[tuple]) -> tuple:
     """(removed, complete, version, adds) after reports (at, action, complete) in any order."""
-    removed, complete, version, adds = state[0], state[1], state[2], set(json.loads(state[3]))
-    add = rows.action == "add"
-    moments = lambda those: [int(x) for x in rows.loc[those, "at"]]
-    removed = max([removed, *moments(rows.action == "remove")])
-    complete = max([complete, *moments(add & rows.complete.fillna(False).astype(bool))])
-    return removed, complete, version + 1, json.dumps(sorted(x for x in adds.union(moments(add)) if x > removed))
+    removed, complete, version, adds = state
+    removed = max([removed, *(at for at, action, _ in reports if action == "remove")])
+    complete = max([complete, *(at for at, action, done in reports if action == "add" and done)])
+    return removed, complete, version + 1, sorted(x for x in {*adds, *(at for at, action, _ in reports if action == "add")} if x > removed)
 
 
-def token_changes(reports: DataFrame) -> DataFrame:
+def token_changes(reports: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """A stream of what reports (row_index, at, action add or remove, token, complete) change; see CHANGES.
 
     delta is 1 where a token comes to stand, -1 where it goes, else 0; since, removed_at and complete_at are its state's. A report
-    that changes nothing gives no row. Reports without a row, token or moment are left out.
+    that changes nothing gives no row. Reports without a row, token or moment are left out. A batch reads and writes the buckets that
+    its tokens are in, so a stream of very many tokens and small batches wants more of them; a checkpoint keeps the number that it began with.
     """
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        before = tuple(state.get) if state.exists else (NEVER, NEVER, 0, "[]")
-        after = _folded(before, pd.concat(list(batches)))
-        if (after[0], after[1], after[3]) == (before[0], before[1], before[3]):
-            return
-        state.update(after)
-        adds = json.loads(after[3])
-        row = (*key, after[2], bool(adds) - (before[3] != "[]"), adds[0] if adds else NEVER, after[0], after[1])
-        yield pd.DataFrame([row], columns=["row_index", "token", "version", "delta", "since", "removed_at", "complete_at"])
+        held = {(row, token): tuple(rest) for row, token, *rest in json.loads(state.get[0])} if state.exists else {}
+        told: dict[tuple, list[tuple]] = {}
+        for pdf in batches:
+            for row, token, *report in zip(*[pdf[c].tolist() for c in ("row_index", "token", "at", "action", "complete")]):
+                told.setdefault((row, token), []).append(tuple(report))
+        rows = []
+        for own, given in told.items():
+            before = held.get(own, (NEVER, NEVER, 0, []))
+            after = _folded(before, given)
+            if (after[0], after[1], after[3]) != (before[0], before[1], before[3]):
+                held[own] = after
+                adds = after[3]
+                rows.append((*own, after[2], bool(adds) - bool(before[3]), adds[0] if adds else NEVER, after[0], after[1]))
+        if rows:
+            state.update((json.dumps([(*own, *rest) for own, rest in held.items()]),))
+            yield pd.DataFrame(rows, columns=["row_index", "token", "version", "delta", "since", "removed_at", "complete_at"])
 
     kept = reports.filter("row_index is not null and token is not null and at is not null and action in ('add', 'remove')")
     asked = kept.select(F.col("row_index").cast("long").alias("row_index"), "token", F.col("at").cast("long").alias("at"), "action", "complete")
-    changed = asked.groupBy("row_index", "token").applyInPandasWithState(run, CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
+    dealt = asked.withColumn("_bucket", F.pmod(F.xxhash64("row_index", "token"), F.lit(buckets)).cast("int"))
+    changed = dealt.groupBy("_bucket").applyInPandasWithState(run, CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
     return changed.select("row_index", "token", "version", "delta", *[F.nullif(c, F.lit(NEVER)).alias(c) for c in ("since", "removed_at", "complete_at")])
 
 

@@ -4,6 +4,8 @@ import datetime
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from roadloom.operators import marks, tracks
 from roadloom.streaming import progress, ranges
 
@@ -68,6 +70,18 @@ def test_a_batch_counts_once_and_only_when_finished(spark, tmp_path):
     assert sorted(r.row_index for r in ledger.read(spark).collect()) == [1, 2]
 
 
+def test_a_batch_calls_for_buckets_not_for_tokens(spark, tmp_path):
+    token = F.format_string("seg0:%.4f-%.4f:B", F.col("id") / 20000, F.col("id") / 20000 + 0.5)
+    many = spark.range(10000).select((F.col("id") % 500).alias("row_index"), F.col("id").alias("at"), F.lit("add").alias("action"), token.alias("token"), F.lit(None).cast("boolean").alias("complete"))
+    many.coalesce(1).write.parquet(f"{tmp_path}/in")
+    ledger = ranges.Ledger(f"{tmp_path}/ledger", ranges.CHANGES)
+    stream = spark.readStream.schema(LOG).parquet(f"{tmp_path}/in")
+    query = ranges.token_changes(stream).writeStream.foreachBatch(ledger).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8192
+    assert ledger.read(spark).filter("delta = 1 and version = 1").count() == 10000
+
+
 FIXES = "walker long, fix long, ts timestamp, track string, lon double, lat double, accuracy double"
 SEGMENTS = "track string, n long, pavement string, start_m double, from_m double, seq long, a_lon double, a_lat double, b_lon double, b_lat double"
 KX = 111320 * math.cos(math.radians(52.8))
