@@ -202,13 +202,15 @@ FOLDED_SQL = f"""WITH RECURSIVE {FOLD_SQL} SELECT walker, fix, best.n AS n, roun
 
 def walker_fixes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Fixes (walker, fix, ts, track, lon, lat, accuracy) and the segments of their tracks."""
-    order = Window.partitionBy("track")
     legs = track_legs(spark, sf_dir).withColumn("from_m", F.lit(0.0))
-    placed = legs.withColumns({"_j": F.row_number().over(order.orderBy("seq")) - 1, "_js": F.count("*").over(order)}).select(F.col("track").alias("_t"), "_j", "_js", "a_lon", "a_lat")
+    placed = legs.select(F.col("track").alias("_t"), (F.row_number().over(Window.partitionBy("track").orderBy("seq")) - 1).cast("long").alias("_j"), "a_lon", "a_lat")
+    counts = legs.groupBy(F.col("track").alias("_k")).agg(F.count("*").alias("_js"))
     e = F.col("event_id")
     i = F.floor(e / 200)
     fixes = table(spark, sf_dir, "events", "event_id").select(e.alias("fix"), (e % 200).alias("walker"), (e % 200 % 25).cast("int").alias("track"), i.alias("i"), F.timestamp_seconds(i * 60 + e % 30 + 1_700_000_000).alias("ts"), (5 + e % 20).cast("double").alias("accuracy"))
-    met = fixes.join(placed, (F.col("track") == F.col("_t")) & ((F.col("i") + F.floor(F.col("i") / 7)) % F.col("_js") == F.col("_j")))
+    # the place is known before the legs are met, so a fix meets one leg and not all of its track
+    aimed = fixes.join(counts, F.col("track") == F.col("_k")).withColumn("_at", (F.col("i") + F.floor(F.col("i") / 7)) % F.col("_js"))
+    met = aimed.join(placed, (F.col("track") == F.col("_t")) & (F.col("_at") == F.col("_j")))
     f = F.col("fix")
     return met.select("walker", "fix", "ts", "track", (F.col("a_lon") + 0.0005 + ((f * 13) % 21 - 10).cast("double") * 0.00002).alias("lon"), (F.col("a_lat") + 0.00025 + ((f * 17) % 21 - 10).cast("double") * 0.00002).alias("lat"), "accuracy"), legs
 

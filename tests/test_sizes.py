@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom import catalog
 from roadloom.operators import junctions, linear, spatial
+from roadloom.plans import walk_queries
 
 
 def planned(df):
@@ -74,3 +75,10 @@ def test_crowded_vertices_meet_few_ends(spark):
         want[road] = min((round(d, 6), a) for d, a in far if d <= 600)
     got = {r.end: (round(r.dist, 6), r.other) for r in spatial.nearest_vertices(ends, vertices, 52.8, 600.0, 0.01).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and [got[1000 + i][1] for i in range(3)] == [1001, 1000, 1000]
+
+
+def test_a_fix_meets_one_leg_of_its_track(spark):
+    # with the place in the join's keys no fix is compared with all legs of its track
+    fixes, _ = walk_queries.walker_fixes(spark, "/root/testdata/sf0.001")
+    joins = [line for line in planned(fixes).splitlines() if "Join" in line]
+    assert any("_at#" in line and "_j#" in line for line in joins)
