@@ -192,15 +192,16 @@ class _Scorer(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             new = _rows(pdf)
-            self.held.appendList(new)
-            for ms in {r[0] for r in new}:
-                self.handle.registerTimer(ms)
+            if new:
+                self.held.appendList(new)
+                # one timer does all that has passed and sets the next one
+                self.handle.registerTimer(min(r[0] for r in new))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed, kept = timerValues.getCurrentWatermarkInMs(), [tuple(r) for r in self.held.get()]
         ready = sorted((r for r in kept if r[0] <= passed), key=lambda r: r[:2])
-        if not ready:  # another timer of this watermark has done them
+        if not ready:  # another timer has done them
             return
         left = [r for r in kept if r[0] > passed]
         last, last_ms = self.last.get() if self.last.exists() else (0.0, None)
@@ -210,6 +211,7 @@ class _Scorer(StatefulProcessor):
         self.held.clear()
         if left:
             self.held.put(left)
+            self.handle.registerTimer(min(r[0] for r in left))
         yield _results(key[0], done)
 
     def close(self) -> None:

@@ -3,11 +3,13 @@
 import math
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from roadloom import catalog
 from roadloom.operators import junctions, linear, spatial
 from roadloom.plans import walk_queries
+from roadloom.streaming import progress
 
 
 def planned(df):
@@ -82,3 +84,21 @@ def test_a_fix_meets_one_leg_of_its_track(spark):
     fixes, _ = walk_queries.walker_fixes(spark, "/root/testdata/sf0.001")
     joins = [line for line in planned(fixes).splitlines() if "Join" in line]
     assert any("_at#" in line and "_j#" in line for line in joins)
+
+
+def test_a_walker_has_one_timer_for_what_came_together(spark):
+    class Handle:
+        timers, rows = [], []
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+        def appendList(self, rows):
+            self.rows.extend(rows)
+
+    scorer = progress._Scorer()
+    scorer.handle = scorer.held = Handle()
+    names = [c.split()[0] for c in progress.MET.split(", ")]
+    given = pd.DataFrame([(1, i, pd.Timestamp(1000 + i, unit="s"), 5.0, *[None] * 7) for i in range(500)], columns=names)
+    assert list(scorer.handleInputRows((1,), iter([given]), None)) == []
+    assert Handle.timers == [1_000_000] and len(Handle.rows) == 500
