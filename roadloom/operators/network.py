@@ -40,24 +40,46 @@ def large(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: A written table of at most so many rows is broadcast; loops do so in every round, so it is a MB or two.
+SMALL_ROWS = 20_000
+
+
+def counted(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join with so many rows: broadcast if they are few, else never."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else large(df)
+
+
+def _roots(parents: DataFrame, rounds: Rounds) -> DataFrame:
+    """node, up of a forest (node, up; lesser ones up, roots their own), with the root of each node: pointers double until none moves."""
+    parents = rounds.write(parents)
+    while True:
+        above = counted(parents.select(F.col("node").alias("_n"), F.col("up").alias("_up")), parents.count())
+        jumped = rounds.write(parents.join(above, F.col("up") == F.col("_n")).select("node", F.col("_up").alias("up"), (F.col("_up") != F.col("up")).alias("moved")))
+        moved = jumped.filter("moved").limit(1).count()
+        parents = jumped.select("node", "up")
+        if not moved:
+            return parents
+
+
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component (its least node). nodes: node; edges: src, dst in both directions.
 
-    Each round takes the least label of a node and its neighbours, then the label of that label, so the number
-    of rounds grows with the logarithm of a component's diameter.
+    Each node with edges points to the least of its neighbours and itself, and all nodes go into the roots of these
+    pointers. Of what is left with edges each round leaves half at most, and it finds roots by doubling, so the number of rounds
+    and of their joins grows with logarithms, not with a component's diameter.
     """
     rounds = Rounds(nodes)
     labels = rounds.write(nodes.select("node", F.col("node").alias("component")))
-    while True:
-        heard = edges.join(large(labels), F.col("src") == F.col("node")).groupBy("dst").agg(F.min("component").alias("heard"))
-        lower = labels.join(large(heard), F.col("node") == F.col("dst"), "left").select("node", "component", F.least("component", F.coalesce("heard", "component")).alias("low"))
-        # the nodes that a label stands for hear of the lowest label any of their followers has heard of
-        told = lower.groupBy(F.col("component").alias("_c")).agg(F.min("low").alias("told"))
-        after = rounds.write(lower.join(large(told), F.col("component") == F.col("_c")).select("node", "component", F.least("low", "told").alias("next")))
-        changed = after.filter("next <> component").limit(1).count()
-        labels = after.select("node", F.col("next").alias("component"))
-        if not changed:
-            return labels
+    known = edges.join(large(labels.select(F.col("node").alias("_a"))), F.col("src") == F.col("_a"), "left_semi").join(large(labels.select(F.col("node").alias("_b"))), F.col("dst") == F.col("_b"), "left_semi")
+    links = rounds.write(known.filter("src <> dst").select("src", "dst"))
+    while links.count():
+        roots = _roots(links.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_low")).select("node", F.least("node", "_low").alias("up")), rounds)
+        rows = roots.count()
+        to = lambda c: counted(roots.select(F.col("node").alias(f"_{c}"), F.col("up").alias(f"_{c}_up")), rows)
+        merged = links.join(to("src"), F.col("src") == F.col("_src")).join(to("dst"), F.col("dst") == F.col("_dst")).filter("_src_up <> _dst_up")
+        links = rounds.write(merged.select(F.col("_src_up").alias("src"), F.col("_dst_up").alias("dst")).distinct())
+        labels = rounds.write(labels.join(to("label"), F.col("component") == F.col("_label"), "left").select("node", F.coalesce("_label_up", "component").alias("component")))
+    return labels
 
 
 #: After so many rounds the tables of what came nearer are one table again; after the most it fails.

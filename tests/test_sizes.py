@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from roadloom import catalog
-from roadloom.operators import junctions, linear, spatial
+from roadloom.operators import junctions, linear, network, spatial
 from roadloom.plans import walk_queries
 from roadloom.streaming import progress
 
@@ -102,3 +102,14 @@ def test_a_walker_has_one_timer_for_what_came_together(spark):
     given = pd.DataFrame([(1, i, pd.Timestamp(1000 + i, unit="s"), 5.0, *[None] * 7) for i in range(500)], columns=names)
     assert list(scorer.handleInputRows((1,), iter([given]), None)) == []
     assert Handle.timers == [1_000_000] and len(Handle.rows) == 500
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    turns = []
+    write = network.Rounds.write
+    monkeypatch.setattr(network.Rounds, "write", lambda self, df: turns.append(1) or write(self, df))
+    nodes = spark.range(43).withColumnRenamed("id", "node")
+    pairs = spark.range(39).selectExpr("id as src", "id + 1 as dst")
+    got = {r.node: r.component for r in network.connected(nodes, pairs.union(pairs.select("dst", "src"))).collect()}
+    assert got == {n: 0 if n < 40 else n for n in range(43)}
+    assert len(turns) <= 16
