@@ -102,15 +102,18 @@ def relaxed(ways: DataFrame, starts: DataFrame, most_rounds: int = MOST_ROUNDS,
     kind = starts.schema["node"].dataType
     first = starts.select("walk", "node", "dist_m", F.lit(None).cast(kind).alias("prev"), F.lit(None).cast(ways.schema["edge"].dataType).alias("edge"))
     fresh = rounds.write(first.groupBy("walk", "node").agg(F.min(F.struct("dist_m", "edge", "prev")).alias("m")))
-    layers = [fresh]
+    layers, rows = [fresh], fresh.count()
     for _ in range(most_rounds):
         step = F.struct((F.col("m.dist_m") + F.col("length_m")).alias("dist_m"), "edge", F.col("node").alias("prev"))
-        reached = fresh.join(ways, F.col("node") == F.col("_from")).select("walk", F.col("_to").alias("node"), step.alias("new")).groupBy("walk", "node").agg(F.min("new").alias("new"))
+        reached = ways.join(counted(fresh, rows), F.col("node") == F.col("_from")).select("walk", F.col("_to").alias("node"), step.alias("new")).groupBy("walk", "node").agg(F.min("new").alias("new"))
         if limits is not None:
-            reached = reached.join(limits.select("walk", "most_m"), "walk").filter("new.dist_m <= most_m").drop("most_m")
-        best = reduce(DataFrame.union, layers).join(reached.select("walk", "node"), ["walk", "node"], "left_semi").groupBy("walk", "node").agg(F.min("m.dist_m").alias("_d"))
-        fresh = rounds.write(reached.join(best, ["walk", "node"], "left").filter("_d is null or new.dist_m < _d").select("walk", "node", F.col("new").alias("m")))
-        if fresh.isEmpty():
+            reached = reached.join(large(limits.select("walk", "most_m")), "walk").filter("new.dist_m <= most_m").drop("most_m")
+        reached = rounds.write(reached)
+        met = reached.count()
+        best = reduce(DataFrame.union, layers).join(counted(reached.select("walk", "node"), met), ["walk", "node"], "left_semi").groupBy("walk", "node").agg(F.min("m.dist_m").alias("_d"))
+        fresh = rounds.write(reached.join(counted(best, met), ["walk", "node"], "left").filter("_d is null or new.dist_m < _d").select("walk", "node", F.col("new").alias("m")))
+        rows = fresh.count()
+        if not rows:
             return _least(layers).select("walk", "node", "m.dist_m", "m.prev", "m.edge")
         layers.append(fresh)
         if len(layers) > COMPACT_ROUNDS:

@@ -113,3 +113,15 @@ def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     got = {r.node: r.component for r in network.connected(nodes, pairs.union(pairs.select("dst", "src"))).collect()}
     assert got == {n: 0 if n < 40 else n for n in range(43)}
     assert len(turns) <= 16
+
+
+def test_relaxation_broadcasts_only_what_is_counted(spark, monkeypatch):
+    plans = []
+    write = network.Rounds.write
+    monkeypatch.setattr(network, "SMALL_ROWS", -1, raising=False)
+    monkeypatch.setattr(network.Rounds, "write", lambda self, df: plans.append(planned(df)) or write(self, df))
+    ways = spark.range(5).selectExpr("id as edge", "id as src", "id + 1 as dst", "1.0D as length_m")
+    starts = spark.createDataFrame([(0, 0, 0.0)], "walk int, node long, dist_m double")
+    limits = spark.createDataFrame([(0, 3.0)], "walk int, most_m double")
+    assert {(r.node, r.dist_m) for r in network.relaxed(ways, starts, limits=limits).collect()} == {(n, float(n)) for n in range(4)}
+    assert plans and not any("Broadcast" in p for p in plans)
