@@ -37,7 +37,7 @@ def merged(items: Column, gap: Column | float = EPSILON, strict: bool = False) -
 
 
 def intersected(left: Column, right: Column) -> Column:
-    pairs = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: interval(F.greatest(x["a"], y["a"]), F.least(x["b"], y["b"])))))
+    pairs = let(right, lambda others: F.flatten(F.transform(left, lambda x: F.transform(others, lambda y: interval(F.greatest(x["a"], y["a"]), F.least(x["b"], y["b"]))))))
     return merged(F.filter(pairs, lambda x: x["b"] > x["a"]))
 
 

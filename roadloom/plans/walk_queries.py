@@ -462,8 +462,11 @@ def done_and_half_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = lambda a, b: F.array(intervals.interval(x + a, x + b))
     both, one, other = F.concat(span(0.0, 0.2), span(0.7, 0.701)), span(0.3, 0.6), span(0.5, 0.9)
     done = intervals.done(both, one, other, length)
-    listed = F.array(F.struct(F.lit("done").alias("kind"), done.alias("x")), F.struct(F.lit("one").alias("kind"), intervals.half_done(one, done, length).alias("x")), F.struct(F.lit("other").alias("kind"), intervals.half_done(other, done, length).alias("x")))
-    found = table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("road"), F.explode(listed).alias("l")).select("road", "l.kind", F.explode("l.x").alias("x"))
+    half = lambda side, d: intervals.half_done(side, d, length)
+    listed = intervals.let(done, lambda d: F.array(*[F.struct(F.lit(kind).alias("kind"), x.alias("x")) for kind, x in (("done", d), ("one", half(one, d)), ("other", half(other, d)))]))
+    # the file may be one task's, and stretches are far dearer than keys
+    dealt = table(spark, sf_dir, "customer", "c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    found = dealt.select(F.col("c_custkey").alias("road"), F.explode(listed).alias("l")).select("road", "l.kind", F.explode("l.x").alias("x"))
     return found.select("road", F.round("x.a", 4).alias("a"), F.round("x.b", 4).alias("b"), "kind")
 
 

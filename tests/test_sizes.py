@@ -125,3 +125,7 @@ def test_relaxation_broadcasts_only_what_is_counted(spark, monkeypatch):
     limits = spark.createDataFrame([(0, 3.0)], "walk int, most_m double")
     assert {(r.node, r.dist_m) for r in network.relaxed(ways, starts, limits=limits).collect()} == {(n, float(n)) for n in range(4)}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_stretches_of_one_file_are_many_tasks(spark):
+    assert catalog.queries()["done_and_half_done"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
