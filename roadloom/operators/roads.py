@@ -60,11 +60,18 @@ def islands(positions: DataFrame, keys: tuple[str, ...], length: str, gap_m: flo
     Stretches of at most one metre go.
     """
     along = Window.partitionBy(*keys).orderBy("pos")
-    new = (F.coalesce(F.col("pos") - F.lag("pos").over(along), F.lit(gap_m + 1)) > gap_m).cast("int")
-    numbered = positions.withColumn("_new", new).withColumn("island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = numbered.groupBy(*keys, "island").agg(F.min("pos").alias("_a"), F.max("pos").alias("_b"), F.max(length).alias("_l"), F.count("*").alias("homes"))
-    a, b = F.greatest(F.col("_a") - margin_m, F.lit(0.0)), F.least(F.col("_b") + margin_m, F.col("_l"))
-    return grouped.select(*keys, F.col("island").cast("long").alias("island"), a.alias("from_m"), b.alias("to_m"), "homes").filter(F.col("to_m") - F.col("from_m") > 1)
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    apart = lambda step: F.coalesce(step, F.lit(gap_m + 1)) > gap_m
+    marked = positions.withColumns({"_first": apart(F.col("pos") - F.lag("pos").over(along)), "_last": apart(F.lead("pos").over(along) - F.col("pos")), "_n": F.row_number().over(along)})
+    numbered = marked.withColumn("island", F.sum(F.col("_first").cast("int")).over(so_far))
+    # islands are numbered as they come, so the greatest pair so far is of the present one
+    sized = numbered.withColumn("_l", F.max(F.struct("island", F.col(length).alias("l"))).over(so_far)["l"])
+    # only the first and the last position of an island go on; what is sorted is told in passing and not gathered by islands
+    ends = sized.filter("_first or _last")
+    end = lambda c: F.when(F.col("_last"), F.col(c)).otherwise(F.lead(c).over(along))
+    a, b = F.greatest(F.col("pos") - margin_m, F.lit(0.0)), F.least(F.col("_b") + margin_m, F.col("_end_l"))
+    told = ends.withColumns({"_b": end("pos"), "_end_n": end("_n"), "_end_l": end("_l")}).filter("_first")
+    return told.select(*keys, F.col("island").cast("long").alias("island"), a.alias("from_m"), b.alias("to_m"), (F.col("_end_n") - F.col("_n") + 1).cast("long").alias("homes")).filter(F.col("to_m") - F.col("from_m") > 1)
 
 
 def merged_intervals(rows: DataFrame, keys: tuple[str, ...], gap: float = 1e-9) -> DataFrame:

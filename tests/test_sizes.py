@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from roadloom import catalog
-from roadloom.operators import junctions, linear, network, spatial
+from roadloom.operators import junctions, linear, network, roads, spatial
 from roadloom.plans import walk_queries
 from roadloom.streaming import progress
 
@@ -129,3 +129,10 @@ def test_relaxation_broadcasts_only_what_is_counted(spark, monkeypatch):
 
 def test_stretches_of_one_file_are_many_tasks(spark):
     assert catalog.queries()["done_and_half_done"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_islands_are_told_in_passing(spark):
+    spots = [(1, p, 1000.0) for p in (10.0, 10.0, 260.0, 511.0, 900.0)] + [(2, 5.0, 20.0), (2, None, 20.0)]
+    found = roads.islands(spark.createDataFrame(spots, "road int, pos double, len double"), ("road",), "len")
+    assert "Aggregate" not in planned(found)
+    assert {tuple(r) for r in found.collect()} == {(1, 1, 0.0, 290.0, 3), (1, 2, 481.0, 541.0, 1), (1, 3, 870.0, 930.0, 1), (2, 1, 0.0, 20.0, 1), (2, 2, 0.0, 20.0, 1)}
