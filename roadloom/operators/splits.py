@@ -8,11 +8,13 @@ folds of short parts, groups of close fragments) are small functions over one ro
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from roadloom.functions.geo import Y_PLAN, effort_weight, metres
 from roadloom.operators.roads import COMPLETE, islands, running_length
@@ -188,27 +190,54 @@ def split_long(roads: DataFrame, vertices: DataFrame, touching: DataFrame, thres
     return spread.select(*LINE, F.col("_i").alias("part"), (F.col("x.a") * F.col("length_m")).alias("a"), (F.col("x.b") * F.col("length_m")).alias("b"), (F.col("_homes") * (F.col("x.b") - F.col("x.a"))).alias("residences"))
 
 
+def _areas(ends: list[tuple], kx: float, most_m: float) -> list[int]:
+    """The area (from 1) of each fragment of a road, given by its two ends."""
+    area = list(range(len(ends)))
+    for i in range(len(ends)):
+        for j in range(i):
+            if area[i] != area[j] and min(math.sqrt(((p[0] - q[0]) * kx) ** 2 + ((p[1] - q[1]) * Y_PLAN) ** 2) for p in ends[i] for q in ends[j]) <= most_m:
+                area = [area[j] if x == area[i] else x for x in area]
+    number = {a: k + 1 for k, a in enumerate(dict.fromkeys(area))}
+    return [number[a] for a in area]
+
+
 def split_disconnected(vertices: DataFrame, lat0: float, most_m: float = 600.0) -> DataFrame:
-    """road, frag, area (from 1), n_areas: fragments whose ends lie within the distance are of one area."""
-    end = lambda f: f(F.struct("idx", "lon", "lat"))
-    ends = vertices.groupBy(*LINE).agg(end(F.min).alias("a"), end(F.max).alias("b"))
-    fragments = ends.groupBy("road").agg(F.array_sort(F.collect_list(F.struct("frag", F.array("a.lon", "a.lat", "b.lon", "b.lat").alias("p")))).alias("f"))
-    kx = 111320.0 * math.cos(math.radians(lat0))
+    """road, frag, area (from 1), n_areas: fragments whose ends lie within the distance are of one area.
 
-    @F.pandas_udf("array<int>")
-    def areas(roads: pd.Series) -> pd.Series:
-        out = []
-        for road in roads:
-            ends = [((f["p"][0], f["p"][1]), (f["p"][2], f["p"][3])) for f in road]
-            area = list(range(len(ends)))
-            for i in range(len(ends)):
-                for j in range(i):
-                    if area[i] != area[j] and min(math.sqrt(((p[0] - q[0]) * kx) ** 2 + ((p[1] - q[1]) * Y_PLAN) ** 2) for p in ends[i] for q in ends[j]) <= most_m:
-                        area = [area[j] if x == area[i] else x for x in area]
-            number = {a: k + 1 for k, a in enumerate(dict.fromkeys(area))}
-            out.append([number[a] for a in area])
-        return pd.Series(out)
+    A task goes over the sorted ends of its roads and carries one road's.
+    """
+    place = ("idx", "lon", "lat")
+    order = Window.partitionBy(*LINE).orderBy(*place)
+    marked = vertices.select(*LINE, *place).repartition("road").withColumns({"_first": F.row_number().over(order) == 1, "_last": F.lead(F.lit(1)).over(order).isNull()})
+    ends = marked.filter("_first or _last").sortWithinPartitions(*LINE, *place).drop("idx")
+    kx = 111320.0 * math.cos(math.radians(lat0))
 
-    grouped = fragments.withColumn("_a", areas("f"))
-    spread = grouped.select("road", F.array_max("_a").alias("n_areas"), F.explode(F.arrays_zip("f", "_a")).alias("z"))
-    return spread.select("road", F.col("z.f.frag").alias("frag"), F.col("z._a").alias("area"), "n_areas")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        road, frags, held, types = None, [], [], []
+
+        def told() -> list[tuple]:
+            area = _areas(held, kx, most_m)
+            most = max(area)
+            return [(road, f, a, most) for f, a in zip(frags, area)]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["road", "frag", "area", "n_areas"])
+
+        for batch in batches:
+            types, out = [batch.schema.field("road").type, batch.schema.field("frag").type, pa.int32(), pa.int32()], []
+            for r, f, lon, lat, first, last in zip(*[c.to_pylist() for c in batch.columns]):
+                if frags and r != road:
+                    out += told()
+                    frags, held = [], []
+                road = r
+                if first:
+                    frags.append(f)
+                    held.append(((lon, lat), (lon, lat)))
+                if last:
+                    held[-1] = (held[-1][0], (lon, lat))
+            if out:
+                yield packed(out)
+        if frags:
+            yield packed(told())
+
+    return ends.mapInArrow(run, StructType([*[vertices.schema[c] for c in LINE], StructField("area", IntegerType()), StructField("n_areas", IntegerType())]))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from roadloom import catalog
-from roadloom.operators import junctions, linear, network, roads, spatial
+from roadloom.operators import junctions, linear, network, roads, spatial, splits
 from roadloom.plans import walk_queries
 from roadloom.streaming import progress
 
@@ -136,3 +136,10 @@ def test_islands_are_told_in_passing(spark):
     found = roads.islands(spark.createDataFrame(spots, "road int, pos double, len double"), ("road",), "len")
     assert "Aggregate" not in planned(found)
     assert {tuple(r) for r in found.collect()} == {(1, 1, 0.0, 290.0, 3), (1, 2, 481.0, 541.0, 1), (1, 3, 870.0, 930.0, 1), (2, 1, 0.0, 20.0, 1), (2, 2, 0.0, 20.0, 1)}
+
+
+def test_areas_gather_no_arrays(spark):
+    ends = [(road, frag, i, -2.1 + (frag * 700 + 100 * i) / 67305, 52.8) for road in ("A", None) for frag in (0, 1) for i in (0, 1)]
+    found = splits.split_disconnected(spark.createDataFrame(ends, "road string, frag int, idx int, lon double, lat double"), 52.8, 650.0)
+    assert "Aggregate" not in planned(found)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(str((road, frag, 1, 1)) for road in ("A", None) for frag in (0, 1))
