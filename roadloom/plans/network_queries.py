@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import X_DEGREE, Y_WALK
 from roadloom.operators import boxes, directions, edges, events, junctions, lineage, linear, network, paths, tracks
-from roadloom.operators.network import Rounds
+from roadloom.operators.network import Rounds, large
 from roadloom.plans.driver_queries import EDGES_SQL, LAT0, _ward_edges, query, table
 from roadloom.plans.event_queries import GIVEN_SQL, _given
 from roadloom.plans.walk_queries import KX, SEG_SQL, TRACK_SQL, ladder_halves, segments, track_legs
@@ -163,7 +163,7 @@ tree AS (SELECT p.* FROM prev p JOIN far f ON f.walk = p.walk AND f.node = p.nod
 def _grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """edges (edge, grid, a, b, street, h) and shapes (edge, idx, lon, lat) of the grids; a column's street makes a detour to be as long as it is."""
     c = table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("k"), ((F.col("c_custkey") * 31) % 16).cast("double").alias("h")).withColumns({"g": F.floor(F.col("k") / 25), "x": F.col("k") % 5, "y": F.floor(F.col("k") % 25 / 5)})
-    c = c.join(c.groupBy("g").count().filter("count = 25").select("g"), "g")
+    c = c.join(large(c.groupBy("g").count().filter("count = 25").select("g")), "g")
     k, x, y = F.col("k"), F.col("x") * 100.0, F.col("y") * 100.0
     at = lambda px, py: F.struct(px.cast("double").alias("px"), py.cast("double").alias("py"))
     # a detour to one side and back adds twice its depth
@@ -199,10 +199,10 @@ def grid_walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     starts = _beside(known.filter(place == 2 * (F.col("grid") % 4)), (2 + F.col("grid") % 7) / 10.0).select(F.struct(F.col("grid").alias("walk"), F.lit(-1).cast("long").alias("target")).alias("pt"), "lon", "lat")
     targets = _beside(known.filter("bend is not null and edge % 6 = 0"), (9 - (F.col("edge") + F.col("grid")) % 8) / 10.0).select(F.struct(F.col("grid").alias("walk"), place.alias("target")).alias("pt"), "lon", "lat")
     asked = rounds.write(starts.union(targets))
-    met = paths.located(asked, known, shapes, LAT0).withColumnsRenamed({"lon": "on_lon", "lat": "on_lat"}).join(asked.withColumnsRenamed({"pt": "_pt", "lon": "p_lon", "lat": "p_lat"}), F.col("pt") == F.col("_pt"))
+    met = paths.located(asked, known, shapes, LAT0).withColumnsRenamed({"lon": "on_lon", "lat": "on_lat"}).join(large(asked.withColumnsRenamed({"pt": "_pt", "lon": "p_lon", "lat": "p_lat"})), F.col("pt") == F.col("_pt"))
     placed = rounds.write(met.select("pt.walk", "pt.target", "edge", "a", "b", "street", "s", "length_m", "d", "p_lon", "p_lat"))
     begun = placed.filter("target = -1").drop("target")
-    sized = known.join(shapes.groupBy("edge").agg(F.max("pos").alias("length_m")), "edge")
+    sized = known.join(large(shapes.groupBy("edge").agg(F.max("pos").alias("length_m"))), "edge")
     return known, shapes, begun, placed.filter("target <> -1"), rounds.write(paths.shortest(sized, paths.start_nodes(begun)))
 
 
@@ -219,7 +219,7 @@ def network_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways, pieces = paths.ways_to(starts, targets, known, shapes, reached)
     pieces = Rounds(pieces).write(pieces)
     lines = linear.with_places(paths.way_lines(pieces, shapes, starts, targets).withColumnRenamed("place", "idx"), ("walk", "target"), LAT0).groupBy("walk", "target").agg(F.round(F.max("pos"), 3).alias("line_m"))
-    return ways.join(paths.way_streets(pieces), ["walk", "target"]).join(lines, ["walk", "target"]).select("walk", "target", F.round("dist_m", 3).alias("dist_m"), F.array_join("streets", " > ").alias("streets"), "line_m")
+    return ways.join(large(paths.way_streets(pieces)), ["walk", "target"]).join(large(lines), ["walk", "target"]).select("walk", "target", F.round("dist_m", 3).alias("dist_m"), F.array_join("streets", " > ").alias("streets"), "line_m")
 
 
 @query(f"""WITH RECURSIVE {_GRID}, e AS (SELECT g AS walk, edge % 7 AS route, a, b, edge FROM edge WHERE edge % 7 < 4)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from roadloom import catalog
-from roadloom.operators import junctions, linear, network, roads, spatial, splits
+from roadloom.operators import junctions, linear, network, paths, roads, spatial, splits
 from roadloom.plans import walk_queries
 from roadloom.streaming import progress
 
@@ -143,3 +143,13 @@ def test_areas_gather_no_arrays(spark):
     found = splits.split_disconnected(spark.createDataFrame(ends, "road string, frag int, idx int, lon double, lat double"), 52.8, 650.0)
     assert "Aggregate" not in planned(found)
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(str((road, frag, 1, 1)) for road in ("A", None) for frag in (0, 1))
+
+
+def test_ways_are_not_broadcast(spark):
+    edges = spark.createDataFrame([(1, 10, 11, "A", 100.0), (2, 11, 12, "B", 100.0)], "edge long, a long, b long, street string, length_m double")
+    shapes = edges.selectExpr("edge", "inline(array(struct(0 as idx, 0.0D as pos, edge * 0.01D as lon, 52.8D as lat), struct(1 as idx, 100.0D as pos, edge * 0.01D + 0.0015D as lon, 52.8D as lat)))")
+    place = lambda e, *more: edges.filter(f"edge = {e}").selectExpr("cast(length_m * 0 as int) as walk", *more, "edge", "a", "b", "street", "40.0D as s", "length_m", "5.0D as d", "0.0D as p_lon", "52.8D as p_lat")
+    starts, targets = place(1), place(2, "0 as target")
+    ways, pieces = paths.ways_to(starts, targets, edges, shapes, paths.shortest(edges, paths.start_nodes(starts)))
+    assert "Broadcast" not in planned(ways) + planned(pieces)
+    assert [round(r.dist_m) for r in ways.collect()] == [110] and [r.street for r in pieces.orderBy("seq").collect()] == ["A", "B"]
