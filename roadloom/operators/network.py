@@ -31,6 +31,11 @@ class Rounds:
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{self.turn}")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Groups of these keys over all tasks: few bytes would be joined into one task, however much work there is in each group."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def large(df: DataFrame) -> DataFrame:
     """A side of a join that is never broadcast.
 

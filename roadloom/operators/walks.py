@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import text
 from roadloom.functions.geo import X_DEGREE, Y_WALK, compass, halves_up, metres
 from roadloom.operators.junctions import _around, _grid
-from roadloom.operators.network import Rounds, connected, relaxed
+from roadloom.operators.network import Rounds, connected, dealt, relaxed
 
 GAP_M = 120.0
 FORK_DEGREES, STRAIGHT_DEGREES, ROUND_DEGREES, NEAR_START_M = 50.0, 35.0, 150.0, 25.0
@@ -206,7 +206,7 @@ def tours(halves: DataFrame, lat0: float, road_on_left: bool = True) -> DataFram
     x, y = X_DEGREE * np.cos(np.radians(lat0)), Y_WALK
     put = lambda c, k: (F.col(c).cast("double") * F.lit(float(k)))
     flat = halves.select(F.col("route").cast("string").alias("route"), "edge", "forward", "tail", "head", "bearing", "street", F.coalesce(F.col("homes").cast("double"), F.lit(0.0)).alias("homes"), put("lon", x).alias("x"), put("lat", y).alias("y"), put("start_lon", x).alias("start_x"), put("start_lat", y).alias("start_y"))
-    return flat.groupBy("route").applyInPandas(lambda part: _planned(part, road_on_left), STEPS)
+    return dealt(flat, "route").groupBy("route").applyInPandas(lambda part: _planned(part, road_on_left), STEPS)
 
 
 def passes(steps: DataFrame, sparse: Column, side_done: Column) -> DataFrame:

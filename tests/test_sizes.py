@@ -153,3 +153,7 @@ def test_ways_are_not_broadcast(spark):
     ways, pieces = paths.ways_to(starts, targets, edges, shapes, paths.shortest(edges, paths.start_nodes(starts)))
     assert "Broadcast" not in planned(ways) + planned(pieces)
     assert [round(r.dist_m) for r in ways.collect()] == [110] and [r.street for r in pieces.orderBy("seq").collect()] == ["A", "B"]
+
+
+def test_tours_of_few_bytes_are_many_tasks(spark):
+    assert walk_queries.walk_tours(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
