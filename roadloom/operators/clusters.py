@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from roadloom.operators.network import dealt
+
 WALK_M, HYBRID_M = 700.0, 1100.0
 MERGE_CAP = 450.0
 ROADS = "ward string, ord long, road string, residences double, size double, dist_m double, lon double, lat double, neighbours array<string>"
@@ -156,7 +158,7 @@ def cluster_roads(roads: DataFrame, target: float = 150, least: float | None = N
     """Clusters of every ward of roads (see ROADS); sizes default to shares of the target."""
     low = target * 0.75 if least is None else least
     high = target * (1.25 if strict else 2.25) if most is None else most
-    return roads.groupBy("ward").applyInPandas(lambda pdf: cluster_ward(pdf, target, low, high, strict, gap_m, by_effort), CLUSTERS)
+    return dealt(roads, "ward").groupBy("ward").applyInPandas(lambda pdf: cluster_ward(pdf, target, low, high, strict, gap_m, by_effort), CLUSTERS)
 
 
 def settle_ward(roads: pd.DataFrame, radius_m: float, seed_m: float, least: float) -> pd.DataFrame:
@@ -206,4 +208,4 @@ def settle_ward(roads: pd.DataFrame, radius_m: float, seed_m: float, least: floa
 
 
 def find_settlements(roads: DataFrame, radius_m: float = 1000.0, seed_m: float = 1300.0, least: float = 60.0) -> DataFrame:
-    return roads.groupBy("ward").applyInPandas(lambda pdf: settle_ward(pdf, radius_m, seed_m, least), "ward string, settlement long, road string, residences double")
+    return dealt(roads.select("ward", "ord", "road", "residences", "lon", "lat"), "ward").groupBy("ward").applyInPandas(lambda pdf: settle_ward(pdf, radius_m, seed_m, least), "ward string, settlement long, road string, residences double")

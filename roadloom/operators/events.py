@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import Y_PLAN, halves_up, metres, point
+from roadloom.functions.geo import X_DEGREE, Y_PLAN, halves_up, metres, point
 from roadloom.functions.text import letters_id
 from roadloom.operators import clusters, payload, roads, routes
 from roadloom.operators.lineage import RANGES
-from roadloom.operators.network import Rounds
+from roadloom.operators.network import Rounds, dealt, large
 
 # Fixed value: the note on a route that needs review.
 REVIEW = "NEEDS REVIEW: combines roads not directly linked by a mapped road in this dataset (nearest-cluster fallback) — double-check there's a sensible walking/driving link between them, or split this route."
 HUB = ["ward", "hub_seq"]
+#: Sides of the cells by which settlements look for points of interest, each level so many times as wide as the one before, to farther than the earth reaches.
+WIDER = 4
+SIDES_M = [25.0 * WIDER**k for k in range(10)]
+#: Degrees from which a place doesn't count as one, and the cosine of a latitude up to which cells would be too narrow.
+FINITE, LEAST_COSINE = 1e6, 0.01
 
 
 def nearest_on_line(points: Column, lon: Column, lat: Column) -> Column:
@@ -30,18 +37,57 @@ def nearest_on_line(points: Column, lon: Column, lat: Column) -> Column:
     return F.when(F.size(points) > 1, F.array_min(F.transform(F.sequence(F.lit(1), F.size(points) - 1), on))["p"])
 
 
+def _at_levels(frame: DataFrame, lon: str, lat: str) -> DataFrame:
+    """Each row once for each level of cells; without a finite place, or near a pole, only for the last, one cell that holds everything."""
+    placed = (F.abs(lon) < FINITE) & (F.abs(lat) < FINITE) & (F.col("_least") > LEAST_COSINE)
+    last = F.lit(len(SIDES_M))
+    return frame.withColumn("level", F.explode(F.when(placed, F.sequence(F.lit(0), last)).otherwise(F.array(last))))
+
+
+def _in_cells(frame: DataFrame, lon: str, lat: str, around: int) -> DataFrame:
+    """Each row once for each cell (_x, _y) of its level that is at most ``around`` from its own. _least: the cosine by which degrees of longitude shrink."""
+    steps = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-around, around + 1) for j in range(-around, around + 1)]
+    inner, none = F.col("level") < len(SIDES_M), F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))
+    side = F.get(F.array(*map(F.lit, SIDES_M)), F.col("level"))
+    x, y = F.floor(F.col(lon) * F.col("_least") * X_DEGREE / side), F.floor(F.col(lat) * Y_PLAN / side)
+    at = lambda c, o: F.when(inner, c + F.col(o)).otherwise(0).cast("long")
+    spread = frame.withColumn("_o", F.explode(F.when(inner, F.array(*steps)).otherwise(F.array(none))))
+    return spread.withColumns({"_x": at(x, "_o.i"), "_y": at(y, "_o.j")}).drop("_o")
+
+
 def nearest_hubs(centres: DataFrame, pois: DataFrame) -> DataFrame:
     """ward, hub_seq, label, lon, lat: each settlement's nearest point of interest of its district, else its own centre.
 
-    centres: ward, hub_seq, district, lon, lat; pois: district, poi, p_lon, p_lat. Ties go to the first name. The
-    least of a struct combines before the shuffle, so a district's pairs aren't gathered.
+    centres: ward, hub_seq (unique), district, lon, lat; pois: district, poi, p_lon, p_lat; those without a finite place are left out. Ties go to the first
+    name. A settlement meets the points of its own and the neighbouring cells, at the narrowest level that certainly
+    has the nearest one there: the points of a district aren't compared with all of its settlements. The least distance is hashed, and
+    only points as near as that are compared by name, so pairs are neither sorted nor gathered.
     """
-    met = centres.join(pois, "district", "left")
+    cosine = F.when(F.abs("lat") < FINITE, F.abs(F.cos(F.radians("lat"))))
+    # cells of a district are as wide as its settlement farthest from the equator needs them
+    squeezed = centres.groupBy(F.col("district").alias("_d")).agg(F.min(cosine).alias("_least"), F.max(cosine).alias("_most"))
+    finite = pois.filter((F.abs("p_lon") < FINITE) & (F.abs("p_lat") < FINITE) & F.col("poi").isNotNull())
+    spots = finite.groupBy("district", "p_lon", "p_lat").agg(F.min("poi").alias("poi")).join(squeezed, F.col("district") == F.col("_d"))
+    standing = _in_cells(_at_levels(spots.drop("_d", "_most"), "p_lon", "p_lat"), "p_lon", "p_lat", 0).drop("_least")
+    asked = _at_levels(centres.join(squeezed, F.col("district") == F.col("_d")).drop("_d"), "lon", "lat")
+    key, cell = [F.col(c) for c in HUB], ["district", "level", "_x", "_y"]
+    taken = large(standing.select(*cell).distinct())
+    narrowest = _in_cells(asked, "lon", "lat", 1).join(taken, cell).groupBy(*key, "district", "lon", "lat", "_least", "_most").agg(F.min("level").alias("_level"))
+    # a point in one of the nine cells is within two sides each way, by longitude within as many more as the settlement's cosine exceeds the least one
+    reach = 2.002 * F.sqrt(1 + F.pow(F.col("_most") / F.col("_least"), F.lit(2)))
+    wider = F.ceil(F.log(reach) / math.log(WIDER))
+    # searched at a level whose side is at least as long as that, or in the one cell of all
+    searched = narrowest.withColumn("level", F.least(F.col("_level") + wider, F.lit(len(SIDES_M))).cast("int")).drop("_level")
     dist = metres(F.col("lon"), F.col("lat"), F.col("p_lon"), F.col("p_lat"), F.col("lat"), Y_PLAN)
-    found = F.when(F.col("poi").isNotNull(), F.struct(dist.alias("d"), F.col("poi").alias("label"), F.col("p_lon").alias("lon"), F.col("p_lat").alias("lat")))
-    best = met.groupBy(*HUB, "lon", "lat").agg(F.min(found).alias("m"))
+
+    def met(frame: DataFrame) -> DataFrame:
+        return _in_cells(frame, "lon", "lat", 1).join(large(standing), cell).withColumn("_m", dist)
+
+    least = met(searched).groupBy(*key).agg(F.min("_m").alias("_near"))
+    nearest = met(searched.join(least, HUB)).filter(F.col("_m").eqNullSafe(F.col("_near")))
+    best = nearest.groupBy(*key).agg(F.min(F.struct("poi", "p_lon", "p_lat")).alias("m"))
     own = F.concat(F.lit("Settlement "), F.col("hub_seq").cast("string"), F.lit(" centre"))
-    return best.select(*HUB, F.coalesce("m.label", own).alias("label"), F.coalesce("m.lon", "lon").alias("lon"), F.coalesce("m.lat", "lat").alias("lat"))
+    return centres.join(best, HUB, "left").select(*HUB, F.coalesce("m.poi", own).alias("label"), F.coalesce("m.p_lon", "lon").alias("lon"), F.coalesce("m.p_lat", "lat").alias("lat"))
 
 
 def numbered_routes(members: DataFrame) -> DataFrame:
@@ -89,7 +135,7 @@ def route_records(members: DataFrame, edges: DataFrame, hubs: DataFrame, general
     """
     numbered = numbered_routes(members)
     # a route's key, for operators that know clusters
-    own = members.join(numbered, [*HUB, "cluster"]).withColumn("cluster", F.struct("ward", "route"))
+    own = dealt(members.join(numbered, [*HUB, "cluster"]).withColumn("cluster", F.struct("ward", "route")), "cluster")
     lone = F.struct(
         "seq", F.col("road").alias("name"), "status", halves_up(F.col("residences").cast("double"), 1).alias("residences"), "row_index", F.col("points").alias("geometry"),
         *[(F.col(c) if c in members.columns else F.lit(None)).cast(kind).alias(c) for c, kind in EXTRAS.items()],
@@ -101,8 +147,9 @@ def route_records(members: DataFrame, edges: DataFrame, hubs: DataFrame, general
     named = roads.route_names(own.select(F.col("cluster").alias("route"), "street", "residences")).withColumnRenamed("route", "cluster")
     shape = payload.cluster_shapes(own.select("cluster", "road"), edges).select("cluster", "shape")
     parking = payload.parking_roads(own.select("cluster", "road", "seq", "residences"), edges)
-    spot = own.select("cluster", "road", nearest_on_line(F.col("points"), F.col("lon"), F.col("lat")).alias("spot"))
-    marked = parking.join(spot, (parking["cluster"] == spot["cluster"]) & (F.col("parking") == F.col("road"))).select(parking["cluster"], "parking", "spot")
+    # the place on its line is looked for on parking roads only
+    lines = own.select(F.col("cluster").alias("_c"), "road", "lon", "lat", "points")
+    marked = parking.join(large(lines), (F.col("cluster") == F.col("_c")) & (F.col("parking") == F.col("road"))).select("cluster", "parking", nearest_on_line(F.col("points"), F.col("lon"), F.col("lat")).alias("spot"))
     joined = base.join(shape, "cluster").join(named, "cluster", "left").join(marked, "cluster", "left").withColumn("ward", F.col("cluster.ward"))
     hub = hubs.select(*HUB, F.col("id").alias("hub_id"), F.col("label").alias("_label"))
     joined = joined.join(hub, HUB, "left")
@@ -152,7 +199,7 @@ def _kinds_by_effort(found: DataFrame, table: DataFrame, lat0: float, general: b
     """found with the kinds of clusters by their length, homes and spread; table: road, length_m, points."""
     key = [*HUB, "cluster"]
     side = lambda f, g, c: g(f(F.transform("points", lambda p: p[c])))
-    sized = found.join(table.select("road", "length_m", "points"), "road").groupBy(*key).agg(
+    sized = found.join(large(table.select("road", "length_m", "points")), "road").groupBy(*key).agg(
         F.min("min_dist_m").alias("min_dist_m"), (F.sum("length_m") / 1000).alias("km"), F.sum("residences").alias("residences"),
         *[side(f, g, c).alias(f"{n}_{c}") for n, f, g in (("min", F.array_min, F.min), ("max", F.array_max, F.max)) for c in ("lon", "lat")],
     )
@@ -164,7 +211,7 @@ def _records(found: DataFrame, table: DataFrame, hubs: DataFrame, general: bool)
     found = Rounds(table).write(found)
     known = table.select("road", "street", "status", "row_index", "lon", "lat", "points")
     edges = table.select(F.col("road").alias("src"), F.explode("neighbours").alias("dst"))
-    records = route_records(found.join(known, "road"), edges.union(edges.select("dst", "src")), hubs, general)
+    records = route_records(found.join(large(known), "road"), edges.union(edges.select("dst", "src")), hubs, general)
     return records, ward_documents(records, hubs, general)
 
 
@@ -192,13 +239,18 @@ def multi_hub(table: DataFrame, pois: DataFrame, lat0: float, radius_m: float =
     effort (the table's size), and a settlement's routes begin at its own centre.
     """
     sizes = {**sizes, "by_effort": True} if general else sizes
+    # written once, over all tasks: settlements, centres, clusters, names, shapes, markers and lists all read it
+    table = Rounds(table).write(dealt(table, "road"))
     asked = table.select("ward", "ord", "road", "residences", "size", F.lit(0.0).alias("dist_m"), "lon", "lat", "neighbours")
     settled = Rounds(table).write(clusters.find_settlements(asked, radius_m))
-    placed = table.join(settled.select("road", F.col("settlement").alias("hub_seq")), "road")
+    placed = table.join(large(settled.select("road", F.col("settlement").alias("hub_seq"))), "road")
     weight = F.when(F.col("status") != roads.COMPLETE, F.greatest("residences", F.lit(1.0)))
-    centre = lambda c: (F.sum(F.col(c) * weight) / F.sum(weight)).alias(c)
-    centres = placed.groupBy(*HUB).agg(F.min("district").alias("district"), centre("lon"), centre("lat"))
-    own = nearest_hubs(centres, pois.filter(F.lit(not general)))
+    # sums by district first: they are hashed, while the least of texts would sort all roads
+    summed = placed.groupBy(*HUB, "district").agg(*[F.sum(F.col(c) * weight).alias(c) for c in ("lon", "lat")], F.sum(weight).alias("weight"))
+    centre = lambda c: (F.sum(c) / F.sum("weight")).alias(c)
+    # written once, as the search for hubs reads them again and again
+    centres = Rounds(table).write(summed.groupBy(*HUB).agg(F.min("district").alias("district"), centre("lon"), centre("lat")))
+    own = Rounds(table).write(nearest_hubs(centres, pois.filter(F.lit(not general))))
     found = _clustered(placed.join(own.select(*HUB, F.col("lon").alias("hub_lon"), F.col("lat").alias("hub_lat")), HUB), sizes)
     if sizes.get("by_effort"):
         found = _kinds_by_effort(found, table, lat0, general)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geo
 from roadloom.operators import events, homes, publishing, splits
-from roadloom.operators.network import Rounds
-from roadloom.plans.driver_queries import EDGES_SQL, LAT0, ROADS_SQL, S_LAT, S_LON, _cluster_input, _ward_edges, grid_roads, grid_vertices, key_point, metres_sql, query, table
+from roadloom.operators.network import Rounds, large
+from roadloom.plans.driver_queries import EDGES_SQL, LAT0, ROADS_SQL, S_LAT, S_LON, _cluster_input, _ward_edges, grid_roads, key_point, metres_sql, query, table
 from roadloom.plans.walk_queries import SEG_SQL, near_sql, order_homes, segments
 from roadloom.sources import pages, sheets
 
@@ -108,9 +108,9 @@ def manifest_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def road_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as roads of an event, whose ward is a nation and whose district a ward of its own."""
-    lines = grid_vertices(spark, sf_dir).groupBy(F.col("road").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lon", "lat"))), lambda v: geo.point(v["lon"], v["lat"])).alias("points"))
-    known = grid_roads(spark, sf_dir).select(F.col("road").alias("name"), F.concat(F.lit("Lane "), (F.col("k") % 9).cast("string")).alias("street"), "status", F.col("k").alias("row_index"))
-    base = _cluster_input(spark, sf_dir).drop("dist_m").join(known, F.col("road") == F.col("name")).drop("name").join(lines, F.col("road") == F.col("name")).drop("name")
+    points = F.array(*[geo.point(F.col("lon0") + F.lit(float(i)) * 0.001, F.col("lat0") + (0.0002 if i == 1 else 0.0)) for i in range(3)])
+    known = grid_roads(spark, sf_dir).select(F.col("road").alias("name"), F.concat(F.lit("Lane "), (F.col("k") % 9).cast("string")).alias("street"), "status", F.col("k").alias("row_index"), points.alias("points"))
+    base = _cluster_input(spark, sf_dir).drop("dist_m").join(large(known), F.col("road") == F.col("name")).drop("name")
     return base.withColumns({"length_m": F.lit(140.0), "district": F.col("ward")})
 
 

@@ -1,6 +1,8 @@
 """Events end to end, and the files around them."""
 
 import json
+import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -66,6 +68,55 @@ def test_without_points_of_interest_the_centre_is_the_hub(spark):
     assert {r.start_hint for r in records.collect()} == {"Settlement 0 centre (event start point)", "Settlement 1 centre (event start point)"}
 
 
+def hubs_by_pairs(centres, points):
+    """Each settlement's nearest point, by comparing it with all of its district."""
+    out = {}
+    for ward, seq, district, lon, lat in centres:
+        far = lambda p: math.sqrt(((lon - p[2]) * (111320.0 * math.cos(math.radians(lat)))) ** 2 + ((lat - p[3]) * 111320.0) ** 2)
+        best = min(((far(p), *p[1:]) for p in points if p[0] == district and p[1] is not None), default=None)
+        out[ward, seq] = best[1:] if best else (f"Settlement {seq} centre", lon, lat)
+    return out
+
+
+CENTRES = "ward string, hub_seq long, district string, lon double, lat double"
+
+
+def test_nearest_hubs_at_any_distance(spark):
+    rng = random.Random(5)
+    centres, points = [], []
+    # a town, a country, places all over the earth up to the poles, a far point alone, many points on a spot, no points
+    for d, n, m, lon, lat, wide in (("town", 40, 80, -2.0, 52.8, 0.02), ("country", 40, 30, -2.0, 52.8, 3.0), ("earth", 60, 60, 0.0, 0.0, 89.0), ("far", 5, 1, 10.0, 40.0, 0.1), ("spot", 5, 20, 3.0, -30.0, 0.0), ("none", 3, 0, 1.0, 1.0, 0.1)):
+        centres += [(d, i, d, lon + rng.uniform(-wide, wide) + (0.01 if d == "spot" else 0), lat + rng.uniform(-wide, wide)) for i in range(n)]
+        points += [(d, None if i == 7 and d == "town" else f"P{rng.randrange(1000):03d}", lon + (60.0 if d == "far" else 0) + rng.uniform(-wide, wide), lat + rng.uniform(-wide, wide)) for i in range(m)]
+    # equally far on both sides: the first name
+    centres.append(("tie", 0, "tie", 0.0, 0.0))
+    points += [("tie", "Z", 0.5, 0.0), ("tie", "A", -0.5, 0.0), ("tie", "B", 0.0, 0.5), ("lost", "L", 0.0, 0.0)]
+    centres.append(("W", 0, None, 5.0, 5.0))
+    want = hubs_by_pairs(centres, points)
+    got = events.nearest_hubs(spark.createDataFrame(centres, CENTRES), pois(spark, *points, ("none", "Nowhere", None, None)))
+    found = {(r.ward, r.hub_seq): (r.label, r.lon, r.lat) for r in got.collect()}
+    assert found == want
+
+
+def test_settlements_do_not_meet_all_points_of_their_district(spark):
+    rng, n = random.Random(3), 800
+    at = lambda: (-2.5 + rng.random() * 0.5, 52.6 + rng.random() * 0.4)
+    centres = spark.createDataFrame([("W", i, "D", *at()) for i in range(n)], CENTRES)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan stays as it is made, with its counts
+    try:
+        got = events.nearest_hubs(centres, pois(spark, *[("D", f"P{i}", *at()) for i in range(n)]))
+        assert len(got.collect()) == n
+        made, left = [], [got._jdf.queryExecution().executedPlan()]
+        while left:
+            node = left.pop()
+            left += [node.children().apply(i) for i in range(node.children().size())]
+            if "Join" in node.nodeName():
+                made.append(node.metrics().apply("numOutputRows").value())
+        assert made and max(made) < n * n / 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_single_hub(spark):
     starts = spark.createDataFrame([("W", "Hall", -2.0, 52.8)], "ward string, label string, lon double, lat double")
     records, wards = events.single_hub(small_town(spark), starts, LAT0)
