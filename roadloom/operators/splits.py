@@ -20,6 +20,8 @@ from roadloom.functions.geo import Y_PLAN, effort_weight, metres
 from roadloom.operators.roads import COMPLETE, islands, running_length
 
 LINE = ("road", "frag")
+# Measured lengths are off by their last bits (2000 m as 1999.9999999999977): what differs by less is the same.
+SAME_M = 1e-6
 
 
 def with_positions(vertices: DataFrame, lat0: float, y: float = Y_PLAN) -> DataFrame:
@@ -82,7 +84,7 @@ def trim_to_homes(roads: DataFrame, vertices: DataFrame, homes: DataFrame, gap_m
     kept = found.groupBy("road").agg(F.sum(F.col("to_m") - F.col("from_m")).alias("_kept"))
     whole = sized.groupBy("road").agg(F.sum("length_m").alias("_whole"))
     placed = homes.groupBy("road").agg(F.count("*").alias("_placed"))
-    worth = open_roads.join(kept, "road").join(whole, "road").join(placed, "road").filter(F.col("_kept") < keep_if_over * F.col("_whole"))
+    worth = open_roads.join(kept, "road").join(whole, "road").join(placed, "road").filter(F.col("_kept") < keep_if_over * F.col("_whole") - SAME_M)
     numbered = found.join(worth.select("road", "residences", "_placed"), "road").withColumn("part", F.row_number().over(Window.partitionBy("road").orderBy("frag", "from_m")) - 1)
     return numbered.select(*LINE, "part", F.col("from_m").alias("a"), F.col("to_m").alias("b"), (F.col("residences") * F.col("homes") / F.col("_placed")).alias("residences"))
 

@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,22 @@ def test_trimming(spark, lines):
     assert [(r.road, r.frag, r.part, round(r.a), round(r.b), r.residences) for r in got] == [("B", 0, 0, 0, 370, 6.0), ("B", 0, 1, 870, 930, 2.0)]
 
 
+def test_roads_of_which_just_85_percent_would_stay_are_left(spark, tmp_path):
+    from roadloom import catalog
+
+    # homes 200 m apart at most; stretches reach from 300 m to the end, from 301 m to the end, from 70 to 1770 m and from the start to 1700 m
+    homes = {1: [330, 1999], 2: [331, 1999], 3: [100, 1740], 4: [0, 1670]}
+    # the query places an order at o_orderkey * 7919 % 2000
+    orders = [(p * pow(7919, -1, 2000) % 2000, road) for road, (first, last) in homes.items() for p in [*range(first, last, 200), last]]
+    spark.createDataFrame([(road,) for road in homes], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(map(tuple, catalog.queries()["trimmed_roads"](spark, str(tmp_path)).collect()))
+    connection = duckdb.connect()
+    for table in ("customer", "orders"):
+        connection.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    assert got == sorted(connection.execute(catalog.oracle_sql()["trimmed_roads"]).fetchall()) == [(2, 0, 301.0, 2000.0, 2.0)]
+
+
 def test_long_roads_fold_short_parts(spark, lines):
     touching = spark.createDataFrame([("A", 0, f) for f in (0.05, 0.2, 0.25, 0.5, 0.9, 0.95)], "road string, frag int, fraction double")
     got = splits.split_long(spark.createDataFrame([("A", 200.0), ("B", 50.0)], "road string, residences double"), lines, touching).orderBy("part").collect()
